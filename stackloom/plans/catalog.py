@@ -2,5 +2,26 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(name: str, sql: str | None = None) -> Callable:
+    """Registers ``f(spark, sf_dir)`` under ``name``."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def load() -> None:
+    from stackloom.plans import address, aggregate, decode, history, stream, timeline  # noqa: F401
+
+
+load()
