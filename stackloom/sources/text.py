@@ -55,7 +55,7 @@ def split_callchain(ips: Column, depth: int = 127) -> Column:
     """Struct ``kernel, user`` of one address list with context marks; each part is cut to ``depth``."""
     empty = F.array().cast(f"array<{ADDRESS}>")
     start = F.struct(F.lit(0).alias("state"), empty.alias("kernel"), empty.alias("user"))
-    kernel, user = F.lit(KERNEL_CONTEXT).cast(ADDRESS), F.lit(USER_CONTEXT).cast(ADDRESS)
+    kernel, user = F.lit(str(KERNEL_CONTEXT)).cast(ADDRESS), F.lit(str(USER_CONTEXT)).cast(ADDRESS)
 
     def step(a: Column, ip: Column) -> Column:
         mark = (ip == kernel) | (ip == user)
