@@ -65,6 +65,9 @@ def s15(spark, d):
     return sym.merge_maps(lines)
 
 
-@query("w9_off_cpu", with_views(", l as (select *, lag(kind) over w as before, lag(ts) over w as out_ts from switches window w as (partition by tid order by ts, event_id)) select event_id, tid, epoch_us(ts) - epoch_us(out_ts) as blocked_us from l where kind = 'in' and before = 'out' and ts > out_ts", "switches"))
+OFF_CPU_SQL = with_views(", l as (select *, lag(kind) over w as before, lag(ts) over w as out_ts from switches window w as (partition by tid order by ts, event_id)) select event_id, tid, epoch_us(ts) - epoch_us(out_ts) as blocked_us from l where kind = 'in' and before = 'out' and ts > out_ts", "switches")
+
+
+@query("w9_off_cpu", OFF_CPU_SQL)
 def w9(spark, d):
     return sym.off_cpu(switches(spark, d))

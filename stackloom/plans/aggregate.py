@@ -66,7 +66,10 @@ def a6(spark, d):
 PERIOD_US = 60_000_000
 
 
-@query("a8_irqoff_gaps", with_views(f", g as (select *, ts_us - lag(case when not throttled then ts_us end) over (partition by host, cpu order by ts_us, tick_id) as gap from ticks) select tick_id, host, cpu, gap - {PERIOD_US} as diff_us from g where not throttled and gap * 10 > 11 * {PERIOD_US}", "ticks"))
+GAPS_SQL = with_views(f", g as (select *, ts_us - lag(case when not throttled then ts_us end) over (partition by host, cpu order by ts_us, tick_id) as gap from ticks) select tick_id, host, cpu, gap - {PERIOD_US} as diff_us from g where not throttled and gap * 10 > 11 * {PERIOD_US}", "ticks")
+
+
+@query("a8_irqoff_gaps", GAPS_SQL)
 def a8(spark, d):
     return stats.irqoff_gaps(ticks(spark, d), PERIOD_US)
 

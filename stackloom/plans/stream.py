@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from stackloom.plans.catalog import query
 from stackloom.session import shared_path
 from stackloom.sources.views import samples, table, with_views
-from stackloom.streaming import buckets
+from stackloom.plans.address import OFF_CPU_SQL
+from stackloom.plans.aggregate import GAPS_SQL, PERIOD_US
+from stackloom.streaming import buckets, pairing
 
 
 def sample_stream(spark, d):
@@ -39,14 +41,37 @@ def w7(spark, d):
 
 @query("w3_clamped_buckets", with_views(", m as (select host, epoch_us(ts) // 1000 as ms, comm as stack, cnt from samples), t as (select host, max(ms) // 1000 - 10 as top from m group by host) select host, cast(ms // 1000 * 1000 as bigint) as start_ms, stack, cast(sum(cnt) as bigint) as count from m join t using (host) where ms // 1000 < top group by 1, 2, 3", "samples"))
 def w3(spark, d):
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", buckets.ROCKSDB)
-    out = shared_path(spark, "stream")
     stream = sample_stream(spark, d).select("host", F.floor(F.unix_micros("ts") / 1000).cast("long").alias("record_ms"), "stack", "cnt")
-    buckets.run_once(buckets.clamped_counts(stream), f"{out}/data", f"{out}/checkpoint")
-    return spark.read.schema(buckets.OUT_SCHEMA).parquet(f"{out}/data").select("host", "start_ms", "stack", "count")
+    return collected(spark, buckets.clamped_counts(stream), buckets.OUT_SCHEMA).select("host", "start_ms", "stack", "count")
 
 
 @query("w5_flush_all", with_views(" select host, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as start, comm as stack, cast(sum(cnt) as bigint) as count from samples group by 1, 2, 3", "samples"))
 def w5(spark, d):
     s = samples(spark, d)
     return s.groupBy("host", F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd HH:mm:ss").alias("start"), F.col("comm").alias("stack")).agg(F.sum("cnt").cast("long").alias("count"))
+
+
+def collected(spark, stream, schema):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", buckets.ROCKSDB)
+    out = shared_path(spark, "stream")
+    buckets.run_once(stream, f"{out}/data", f"{out}/checkpoint")
+    return spark.read.schema(schema).parquet(f"{out}/data")
+
+
+@query("w8_irqoff_stream", GAPS_SQL)
+def w8(spark, d):
+    ticks = sample_stream(spark, d).select(F.col("event_id").alias("tick_id"), "host", (F.col("event_id") % 8).cast("long").alias("cpu"), F.unix_micros("ts").alias("ts_us"), (F.col("stack") == "purchase").alias("throttled"))
+    return collected(spark, pairing.irqoff_stream(ticks, PERIOD_US), pairing.GAP_SCHEMA)
+
+
+@query("w9_off_cpu_stream", OFF_CPU_SQL)
+def w9(spark, d):
+    stream = spark.readStream.schema(table(spark, d, "events").schema).parquet(f"{d}/events.parquet*")
+    switches = stream.select("event_id", F.col("user_id").cast("long").alias("tid"), F.unix_micros(F.col("ts").cast("timestamp")).alias("ts_us"), F.when(F.col("event_type").isin("view", "click"), "out").otherwise("in").alias("kind"))
+    return collected(spark, pairing.off_cpu_stream(switches), pairing.OFF_SCHEMA)
+
+
+@query("w10_wheel_statistics", with_views(", m as (select host, epoch_us(ts) // 1000 as ms, cnt from samples), t as (select host, max(ms) // 1000 - 10 as top from m group by host) select host, count(distinct ms // 1000) as flushed, cast(sum(cnt) as bigint) as weight, cast(0 as bigint) as clamped from m join t using (host) where ms // 1000 < top group by 1", "samples"))
+def w10(spark, d):
+    stream = sample_stream(spark, d).select("host", F.floor(F.unix_micros("ts") / 1000).cast("long").alias("record_ms"), "stack", "cnt")
+    return buckets.wheel_statistics(collected(spark, buckets.clamped_counts(stream), buckets.OUT_SCHEMA))

@@ -59,7 +59,13 @@ class SecondWheel:
 
 
 class ClampingProcessor(StatefulProcessor):
-    """State per host: open (second, stack) counts, and (greatest time, oldest open second, clamped weight)."""
+    """State per host: open (second, stack) counts, and (greatest time, oldest open second, clamped weight).
+
+    With ``idle_ms`` a host that sends nothing for so long is flushed as if its clock had gone on.
+    """
+
+    def __init__(self, idle_ms: int = 0):
+        self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -83,25 +89,50 @@ class ClampingProcessor(StatefulProcessor):
                 self.counts.updateValue(at, (before + int(count),))
                 max_ms = max(max_ms, int(ms))
         limit = max_ms // 1000 - HOLD_S
-        out = []
-        for at, value in list(self.counts.iterator()):
-            if flush_all or at[0] < limit:
-                out.append((key[0], at[0] * 1000, at[0] * 1000 + 1000, at[1], value[0], clamped))
+        self.marks.update((max_ms, max(oldest, limit), clamped))
+        if self.idle_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self.emitted(key, None if flush_all else limit, clamped)
+
+    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
+        max_ms, oldest, clamped = self.marks.get()
+        limit = (max_ms + self.idle_ms) // 1000 - HOLD_S
+        self.marks.update((max_ms, max(oldest, limit), clamped))
+        yield self.emitted(key, limit, clamped)
+
+    def emitted(self, key, limit: int | None, clamped: int) -> pd.DataFrame:
+        """The open seconds before ``limit``, or all, which are then closed."""
+        out = [(key[0], at[0] * 1000, at[0] * 1000 + 1000, at[1], value[0], clamped) for at, value in list(self.counts.iterator()) if limit is None or at[0] < limit]
         for row in out:
             self.counts.removeKey((row[1] // 1000, row[3]))
-        self.marks.update((max_ms, max(oldest, limit), clamped))
-        yield pd.DataFrame(out, columns=["host", "start_ms", "end_ms", "stack", "count", "clamped"])
+        return pd.DataFrame(out, columns=["host", "start_ms", "end_ms", "stack", "count", "clamped"])
 
     def close(self) -> None:
         pass
 
 
-def clamped_counts(samples: DataFrame) -> DataFrame:
+def clamped_counts(samples: DataFrame, idle_ms: int = 0) -> DataFrame:
     """Emitted buckets of ``samples(host, record_ms, stack, cnt)``, late rows clamped. Needs the RocksDB state store.
 
     A row with a null stack asks for everything open of its host.
     """
-    return samples.groupBy("host").transformWithStateInPandas(ClampingProcessor(), OUT_SCHEMA, "append", "none")
+    return samples.groupBy("host").transformWithStateInPandas(ClampingProcessor(idle_ms), OUT_SCHEMA, "append", "ProcessingTime" if idle_ms else "none")
+
+
+def wheel_statistics(buckets: DataFrame) -> DataFrame:
+    """Per host flushed seconds, their weight, and the weight clamped so far, from emitted buckets."""
+    return buckets.groupBy("host").agg(F.count_distinct("start_ms").alias("flushed"), F.sum("count").cast("long").alias("weight"), F.max("clamped").alias("clamped"))
+
+
+def append_batch(path: str):
+    """A ``foreachBatch`` function that writes each micro-batch to a folder of its own, so that a repeated one replaces itself."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+
+    return write
 
 
 def run_once(stream: DataFrame, output: str, checkpoint: str) -> None:
