@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import sys
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,3 +39,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ship(spark: SparkSession) -> None:
+    """Makes this package importable in Python workers that would not find it by working folder or PYTHONPATH."""
+    root, context = Path(__file__).resolve().parent.parent, spark.sparkContext
+    paths = [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(":")]
+    if any(p and Path(p).resolve() == root for p in paths) or not (root / "stackloom").is_dir() or getattr(context, "_stackloom_shipped", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="stackloom-")) / "stackloom.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted((root / "stackloom").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    own = list(sys.path)
+    context.addPyFile(str(archive))
+    sys.path[:] = own  # the driver goes on with the files themselves
+    context._stackloom_shipped = True

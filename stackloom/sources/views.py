@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stackloom.session import ship
+
 #: Configuration that the views stand for.
 FREQ, RECORD_INTERVAL, CPU_NUM = 49, 3600, 8
 
@@ -39,6 +41,7 @@ def with_views(sql: str, *names: str) -> str:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
