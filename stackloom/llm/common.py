@@ -9,12 +9,15 @@ from contextlib import contextmanager
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.session import ship
+
 #: A word: code points outside space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -41,6 +44,7 @@ def freed_shuffles(spark: SparkSession):
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/stackloom/{name}-{uuid.uuid4().hex}"
     with freed_shuffles(spark):
         df.write.parquet(path)

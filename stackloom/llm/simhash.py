@@ -19,13 +19,16 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
 from stackloom.llm.common import connected_components, row_key, stored
+from stackloom.session import ship
 
 SHINGLE_WORDS, BITS, SEED = 4, 4, 42
+#: Values on one join key from which they are linked through hubs first.
+DENSE = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -85,21 +88,67 @@ def chains_fit(ring: Column, difference: Column, bits: int) -> Column:
     return fits
 
 
+def keyed_prints(prints: DataFrame, bits: int) -> DataFrame:
+    return prints.select("fp", F.explode(ring_keys(F.col("fp"), bits)).alias("k")).select("fp", "k.*")
+
+
+def chosen_pairs(left: DataFrame, right: DataFrame, bits: int, more: Column) -> DataFrame:
+    """Pairs of ``left(ring, a, b, x)`` and ``right(ring, a, b, y)`` that pass the chains and the full distance."""
+    difference = F.col("x").bitwiseXOR(F.col("y"))
+    found = left.join(right, ["ring", "a", "b"]).where(more & chains_fit(F.col("ring"), difference, bits) & (F.bit_count(difference) <= bits))
+    return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def near_pairs(prints: DataFrame, bits: int = BITS) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of the distinct values in ``prints(fp)`` that differ in at most ``bits`` bits."""
-    keyed = prints.select("fp", F.explode(ring_keys(F.col("fp"), bits)).alias("k")).select("fp", "k.*")
-    left = keyed.select("ring", "a", "b", F.col("fp").alias("x"))
-    right = keyed.select("ring", "a", "b", F.col("fp").alias("y"))
-    difference = F.col("x").bitwiseXOR(F.col("y"))
-    found = left.join(right, ["ring", "a", "b"]).where((F.col("x") < F.col("y")) & chains_fit(F.col("ring"), difference, bits) & (F.bit_count(difference) <= bits))
-    return found.select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+    keyed = keyed_prints(prints, bits)
+    return chosen_pairs(keyed.withColumnRenamed("fp", "x"), keyed.withColumnRenamed("fp", "y"), bits, F.col("x") < F.col("y"))
+
+
+def hub_links(prints: DataFrame) -> DataFrame:
+    """Edges that connect all of ``prints(fp)`` within two bits of each other, at most 65 per value.
+
+    Two values are within two bits if and only if some third one is within one bit of both;
+    at most 65 values share such a hub, and each is linked to the least of them.
+    """
+    near = F.transform(F.array(F.lit(0).cast("long"), *[F.shiftleft(F.lit(1).cast("long"), b) for b in range(64)]), lambda m: F.col("fp").bitwiseXOR(m))
+    hubs = prints.select("fp", F.explode(near).alias("hub"))
+    return hubs.withColumn("least", F.min("fp").over(Window.partitionBy("hub"))).where("fp <> least").select(F.col("fp").alias("a"), F.col("least").alias("b")).distinct()
+
+
+def near_links(prints: DataFrame, bits: int = BITS, dense: int = DENSE) -> DataFrame:
+    """Edges ``(a, b)`` between values of ``prints(fp)`` within ``bits`` bits that connect all such pairs.
+
+    Where more than ``dense`` values meet on one key, as near copies of one text do, comparing
+    all pairs would grow with the square of the group. Such values are first linked through
+    hubs. On their keys only pairs of different groups are then compared, and only those
+    outside the key's largest group with all others.
+    """
+    key = ["ring", "a", "b"]
+    keyed = stored(keyed_prints(prints, bits), "simhash-keys")
+    crowded = keyed.groupBy(*key).count().where(F.col("count") > dense).select(*key)
+    rows = stored(keyed.join(crowded, key, "left_semi"), "simhash-crowded")
+    if bits < 2 or rows.isEmpty():
+        return near_pairs(prints, bits)
+    rare = keyed.join(crowded, key, "left_anti")
+    pairs = chosen_pairs(rare.withColumnRenamed("fp", "x"), rare.withColumnRenamed("fp", "y"), bits, F.col("x") < F.col("y"))
+    hubs = stored(hub_links(rows.select("fp").distinct()), "simhash-hubs")
+    groups = connected_components(hubs, "simhash-groups")
+    grouped = rows.join(groups, rows.fp == groups.node, "left").select(*key, "fp", F.coalesce("component", "fp").alias("group"))
+    largest = grouped.groupBy(*key, "group").count().groupBy(*key).agg(F.max_by("group", F.struct("count", "group")).alias("largest"))
+    marked = grouped.join(largest, key)
+    left = marked.select(*key, F.col("fp").alias("x"), F.col("group").alias("gx"), "largest").where("gx <> largest").drop("largest")
+    right = marked.select(*key, F.col("fp").alias("y"), F.col("group").alias("gy"), "largest").withColumn("main", F.col("gy") == F.col("largest")).drop("largest")
+    others = chosen_pairs(left, right, bits, (F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))))
+    return pairs.union(hubs).union(others).distinct()
 
 
 def simhash_components(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """Rows ``doc_id, key, fp, component_id`` for every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable over links."""
+    ship(docs.sparkSession)
     light = stored(docs.select("doc_id", row_key("doc_id", "text")[0].alias("key"), fingerprints("text").alias("fp")), "simhash-prints")
     classes = light.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    components = connected_components(near_pairs(classes.select("fp"), bits), "simhash-components")
+    components = connected_components(near_links(classes.select("fp"), bits), "simhash-components")
     # A component's smallest doc_id, then per fingerprint.
     merged = classes.join(components, classes.fp == components.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
     best = merged.groupBy("root").agg(F.min("least").alias("component_id"))

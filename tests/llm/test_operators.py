@@ -313,6 +313,43 @@ def test_near_pairs_are_all(spark):
     assert got == want and len(want) > 100
 
 
+def test_crowded_keys_lose_no_link(spark):
+    rng = random.Random(6)
+    centre, prints = rng.getrandbits(64), set()
+    for _ in range(300):
+        prints.add(centre ^ sum(1 << b for b in rng.sample(range(20), rng.randint(0, 4))))
+    for _ in range(60):
+        p = rng.getrandbits(44) << 20 | centre & 0xFFFFF
+        prints |= {p, p ^ sum(1 << b for b in rng.sample(range(64), 3))}
+    signed = sorted(p - 2**64 if p >> 63 else p for p in prints)
+    up = {p: p for p in signed}
+
+    def root(p):
+        while up[p] != p:
+            p = up[p]
+        return p
+
+    for i, a in enumerate(signed):
+        for b in signed[i + 1 :]:
+            if bin((a ^ b) & (2**64 - 1)).count("1") <= 4:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    frame = spark.createDataFrame([(p,) for p in signed], "fp long")
+    links = {(r.a, r.b) for r in simhash.near_links(frame, dense=8).collect()}
+    assert all(bin((a ^ b) & (2**64 - 1)).count("1") <= 4 for a, b in links)
+    got = {p: p for p in signed}
+
+    def find(p):
+        while got[p] != p:
+            p = got[p]
+        return p
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        got[max(x, y)] = min(x, y)
+    assert {p: find(p) for p in signed} == {p: root(p) for p in signed}
+
+
 def test_components(spark):
     from stackloom.llm.common import connected_components
 
