@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm.common import connected_components, stored
+from stackloom.session import ship
 
 COSINE, BLOCK, CENTRES, LEAF, SLACK = 0.98, 4096, 1024, 64, 1e-9
 #: Rows of a leaf compared at once.
@@ -200,6 +201,7 @@ def near_links(classes: DataFrame, cosine: float = COSINE, block: int = BLOCK, c
 
 def embedding_components(embeddings: DataFrame, cosine: float = COSINE) -> DataFrame:
     """Rows ``vec_id, n_links, component_id, kept`` for every row of ``embeddings(vec_id, embedding, label)``."""
+    ship(embeddings.sparkSession)
     rows = usable(embeddings)
     classes = stored(rows.groupBy("label", "embedding", "class").agg(F.count("*").alias("copies"), F.min("vec_id").alias("least")), "embedding-classes")
     found = stored(near_links(classes.select("class", "label", "embedding", "copies"), cosine), "embedding-links")

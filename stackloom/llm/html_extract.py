@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 
 from stackloom.llm.common import stored
 from stackloom.llm.url_filter import url_parts
+from stackloom.session import ship
 
 #: Weight of child styles, least importance, and least pages of a host that must show a style before it is judged.
 G, LEAST, LEAST_PAGES = 0.9, 0.3, 8
@@ -198,6 +199,7 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 def html_extract(pages: DataFrame) -> DataFrame:
     """Rows ``page_id, url, text`` for ``pages(page_id, url, html)``; blocks are joined by an empty line."""
+    ship(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", url_parts(F.col("url"))[0].alias("host"))
     low = stored(style_tree(hosted), "style-low")
     joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "low")

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stackloom.llm.common import stored
+from stackloom.session import ship
 
 CAPACITY, END = 2048, 0
 GROUP_PIECES = 40_000
@@ -100,6 +101,7 @@ def encoder(path: str) -> WordEncoder:
 
 def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, end: int = END) -> DataFrame:
     """Rows ``doc_id, piece, start, length, ids`` for ``docs(doc_id, text)``; ids are little-endian unsigned 32-bit numbers, ``end`` last."""
+    ship(docs.sparkSession)
     path, tail = path or vocabulary_path(), np.array([end], dtype="<u4").tobytes()
     kind = docs.schema["doc_id"].dataType.simpleString()
     fields = pa.schema([("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary())])
@@ -167,6 +169,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, salt: Column | None = None) -> DataFrame:
     """``pieces`` (a column ``length`` of at most ``capacity``) plus ``sequence_id`` and gapless ``offset``."""
+    ship(pieces.sparkSession)
     pieces = stored(pieces, "pack-pieces")
     groups = max(1, -(-pieces.count() // group_pieces))
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*[c for c in pieces.columns if c not in ("length",)]), F.lit(groups)).cast("int") if salt is None else salt)
