@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by the sum-of-squares rule.
 
 Documents become token ids and pieces of at most ``capacity`` tokens. A piece goes where the
-sum over gaps of (number of open sequences with that gap) squared becomes smallest: into an
-open sequence, or into a new one. Pieces that fill a sequence alone need no choice.
+sum over gaps of (number of open sequences with that gap) squared becomes smallest, longest
+piece first; a new sequence is opened only where no open one has room.
 
 Pieces are dealt to groups of about ``GROUP_PIECES`` by a hash, and each group is packed by
 one task; a group's few unfilled sequences are the only waste that grouping adds.
@@ -136,8 +136,9 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
     """(sequence, offset) of each piece, longest first, sequences numbered from 0.
 
     With ``n[g]`` open sequences of gap ``g``, putting a piece of length ``s`` into gap ``g``
-    changes the sum of squares by ``2 * (n[g - s] - n[g]) + 2``, a new sequence by
-    ``2 * n[capacity - s] + 1``; closed sequences (gap 0) do not count.
+    changes the sum of squares by ``2 * (n[g - s] - n[g]) + 2``, or by ``1 - 2 * n[s]`` if that
+    fills it; closed sequences (gap 0) do not count. A new sequence is opened only where no
+    open one has room, as opening early wastes sequences when all pieces are known.
     """
     order = np.argsort(-lengths, kind="stable")
     sequence, offset = np.empty(len(lengths), np.int64), np.zeros(len(lengths), np.int64)
@@ -151,9 +152,7 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
             change = 2 * (count[: capacity - s] - count[s:capacity]) + 2
             change[0] = 1 - 2 * count[s]
             change[count[s:capacity] == 0] = 1 << 40
-            best = int(change.argmin())
-            if change[best] <= (2 * count[capacity - s] + 1 if s < capacity else 0):
-                gap = best + s
+            gap = int(change.argmin()) + s
         if gap == capacity:
             where, made = made, made + 1
         else:
