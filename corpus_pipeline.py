@@ -53,9 +53,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents")  # stages write under the shared folder, in one named by the application
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/stackloom/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/stackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)

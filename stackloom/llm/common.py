@@ -45,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/stackloom/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/stackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
     with freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
