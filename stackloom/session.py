@@ -31,7 +31,7 @@ def shared_path(spark: SparkSession, name: str) -> str:
     if not folder:
         folder = "file://" + tempfile.mkdtemp(prefix="stackloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
-    return f"{folder}/stackloom/{name}-{uuid.uuid4().hex}"
+    return f"{folder}/stackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
