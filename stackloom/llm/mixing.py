@@ -108,18 +108,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has it: one row for each full pass over a document and one for a cut pass, which keeps its first words joined by one space. Columns as in ``docs``; ``n_chars``, if there, is renewed for cut rows."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), F.col("size").alias("_size"), F.col("taken").alias("_taken"))
-    same = Window.partitionBy("_key", "_id")
+    taken = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
+    same = Window.partitionBy("__key", "__id")
     # Equal rows get their amounts one by one: number them on both sides.
-    taken = taken.withColumn("_nth", F.row_number().over(same.orderBy("_taken")))
-    rows = docs.withColumn("_key", F.xxhash64("doc_id", "source", "text")).withColumn("_id", F.col("doc_id"))
-    rows = rows.withColumn("_nth", F.row_number().over(same.orderBy(F.lit(0))))
-    both = rows.alias("r").join(taken.alias("t"), F.col("r._key").eqNullSafe(F.col("t._key")) & F.col("r._id").eqNullSafe(F.col("t._id")) & (F.col("r._nth") == F.col("t._nth")))
-    both = both.select("r.*", "t._size", "t._taken")
-    passes = F.when(F.col("_size") == 0, F.lit(1)).otherwise(F.ceil(F.col("_taken") / F.col("_size")))
-    both = both.where(passes > 0).withColumn("_pass", F.explode(F.sequence(F.lit(1), passes.cast("int"))))
-    left = F.col("_taken") - (F.col("_pass") - 1) * F.col("_size")
-    cut = (F.col("_size") > 0) & (left < F.col("_size"))
+    taken = taken.withColumn("__nth", F.row_number().over(same.orderBy("__taken")))
+    rows = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text")).withColumn("__id", F.col("doc_id"))
+    rows = rows.withColumn("__nth", F.row_number().over(same.orderBy(F.lit(0))))
+    both = rows.alias("r").join(taken.alias("t"), F.col("r.__key").eqNullSafe(F.col("t.__key")) & F.col("r.__id").eqNullSafe(F.col("t.__id")) & (F.col("r.__nth") == F.col("t.__nth")))
+    both = both.select("r.*", "t.__size", "t.__taken")
+    passes = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.ceil(F.col("__taken") / F.col("__size")))
+    both = both.where(passes > 0).withColumn("__pass", F.explode(F.sequence(F.lit(1), passes.cast("int"))))
+    left = F.col("__taken") - (F.col("__pass") - 1) * F.col("__size")
+    cut = (F.col("__size") > 0) & (left < F.col("__size"))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
     out = [text.alias("text") if c == "text" else F.when(cut, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
     return both.select(*out)

@@ -159,10 +159,10 @@ def simhash_components(docs: DataFrame, bits: int = BITS) -> DataFrame:
 def one_of_each_group(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """The rows of ``docs`` whose doc_id is their group's smallest; of repeated rows one."""
     marked = simhash_components(docs, bits)
-    chosen = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("_keep")).select("_keep").distinct()
-    keyed = docs.withColumn("_keep", row_key("doc_id", "text")[0])
-    kept = keyed.join(stored(chosen, "simhash-kept"), "_keep", "left_semi")
+    chosen = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("__keep")).select("__keep").distinct()
+    keyed = docs.withColumn("__keep", row_key("doc_id", "text")[0])
+    kept = keyed.join(stored(chosen, "simhash-kept"), "__keep", "left_semi")
     twice = marked.groupBy("key").count().where("count > 1")
-    once = kept.join(twice.select(F.col("key").alias("_keep")), "_keep", "left_anti")
-    several = kept.join(twice.select(F.col("key").alias("_keep")), "_keep", "left_semi").dropDuplicates(["_keep"])
-    return once.union(several).drop("_keep")
+    once = kept.join(twice.select(F.col("key").alias("__keep")), "__keep", "left_anti")
+    several = kept.join(twice.select(F.col("key").alias("__keep")), "__keep", "left_semi").dropDuplicates(["__keep"])
+    return once.union(several).drop("__keep")

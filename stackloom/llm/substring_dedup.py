@@ -168,18 +168,18 @@ def covered(spans: list | None, n_words: int, window: int) -> np.ndarray:
     return np.cumsum(change[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False) -> DataFrame:
-    """Columns of ``docs`` with ``text`` cut, plus ``n_words, n_removed``.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False, counts: tuple[str, str] = ("n_words", "n_removed")) -> DataFrame:
+    """Columns of ``docs`` with ``text`` cut, plus the ``counts`` of words and of removed ones (columns of ``docs`` with these names are replaced).
 
     The kept words are joined by one space; a text that loses nothing stays as it is. With
     ``digest`` the text column is replaced by ``kept_sha256``, of the kept words joined by one space.
     """
     ship(docs.sparkSession)
-    names = [c for c in docs.columns if c != "text"]
+    names = [c for c in docs.columns if c not in ("text", *counts)]
     k1, k2 = row_key("doc_id", "text")
-    spans = repeated_spans(docs.select("doc_id", "text"), window).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), F.col("spans.first").alias("_first"), F.col("spans.n").alias("_n"))
-    keyed = docs.select(*names, "text", k1.alias("_k1"), k2.alias("_k2"))
-    joined = keyed.join(spans, ["_k1", "_k2"], "left").select(*names, "text", "_first", "_n")
+    spans = repeated_spans(docs.select("doc_id", "text"), window).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans.first").alias("__first"), F.col("spans.n").alias("__n"))
+    keyed = docs.select(*names, "text", k1.alias("__k1"), k2.alias("__k2"))
+    joined = keyed.join(spans, ["__k1", "__k2"], "left").select(*names, "text", "__first", "__n")
     out = "kept_sha256" if digest else "text"
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
     w = len(names)
@@ -195,12 +195,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
 
     def part(batch: pa.RecordBatch) -> pa.RecordBatch:
         total, gone, kept = [], [], []
-        firsts, counts = batch.column(w + 1), batch.column(w + 2)
+        firsts, many = batch.column(w + 1), batch.column(w + 2)
         for i, text in enumerate(batch.column(w).to_pylist()):
             words = (text or "").encode().split()
             drop = None
             if firsts[i].is_valid:
-                drop = covered((firsts[i].values.to_numpy(), counts[i].values.to_numpy()), len(words), window)
+                drop = covered((firsts[i].values.to_numpy(), many[i].values.to_numpy()), len(words), window)
             n = int(drop.sum()) if drop is not None else 0
             if n:
                 words = [words[k] for k in np.flatnonzero(~drop).tolist()]
@@ -210,6 +210,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False)
                 kept.append(hashlib.sha256(b" ".join(words)).hexdigest())
             else:
                 kept.append(b" ".join(words).decode() if n else text)
-        return pa.RecordBatch.from_arrays([*batch.columns[:w], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, out, "n_words", "n_removed"])
+        return pa.RecordBatch.from_arrays([*batch.columns[:w], pa.array(kept, pa.string()), pa.array(total, pa.int64()), pa.array(gone, pa.int64())], names=[*names, out, *counts])
 
-    return joined.mapInArrow(run, ", ".join([*kinds, f"{out} string", "n_words long", "n_removed long"]))
+    return joined.mapInArrow(run, ", ".join([*kinds, f"{out} string", *[f"`{c}` long" for c in counts]]))
