@@ -24,9 +24,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stackloom.llm.common import stored
 from stackloom.llm.wordhash import U64, Words, chunks, split
+from stackloom.session import ship
 
-SAMPLE, FEATURES, FACTORS, ROUNDS = 2000, 2048, 8, 300
+SAMPLE, FEATURES, FACTORS, ROUNDS = 2000, 2048, 8, 400
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
 #: Byte lengths of the prefixes that are terms beside the whole word.
 PREFIXES = (4, 5, 6, 8)
@@ -79,29 +81,22 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, factors: int = FACTORS, rounds: int = ROUNDS) -> Machine:
-    """A machine from each text's distinct term hashes and its label; both classes weigh the same."""
-    nothing = np.zeros(0, np.uint64)
-    positive = int(labels.sum())
-    if positive in (0, len(labels)):
-        share = positive / len(labels) if len(labels) else 0.0
-        return Machine(nothing, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, factors)))
-    flat, row = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    known, at = np.unique(flat, return_inverse=True)
-    n1, n0 = positive, len(labels) - positive
-    d1 = np.bincount(at, labels[row], minlength=len(known))
-    d0 = np.bincount(at, minlength=len(known)) - d1
-    a, b, c, d = d1, d0, n1 - d1, n0 - d0
-    chi = (a * d - b * c) ** 2.0 * (n1 + n0) / np.maximum(1, (a + b) * (c + d) * n1 * n0)
-    chi[(d1 + d0 < 3) | (chi < 10.83)] = 0
-    best = np.sort(np.argsort(-chi, kind="stable")[: min(features, int((chi > 0).sum()))])
-    x = np.zeros((len(rows), len(best)), dtype=np.float32)
-    place = np.searchsorted(best, at)
-    used = (place < len(best)) & (best[np.minimum(place, max(0, len(best) - 1))] == at) if len(best) else np.zeros(len(at), bool)
-    x[row[used], place[used]] = 1
+def constant(positive: int, total: int) -> Machine:
+    """The share of toxic labels, for every text."""
+    share = positive / total if total else 0.0
+    return Machine(np.zeros(0, np.uint64), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
+
+
+def fit(hashes: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS) -> Machine:
+    """A machine over the sorted term ``hashes`` from each text's places in them and its label; both classes weigh the same."""
+    n1 = int(labels.sum())
+    n0 = len(labels) - n1
+    x = np.zeros((len(rows), len(hashes)), dtype=np.float32)
+    for i, places in enumerate(rows):
+        x[i, places] = 1
     y, weight = labels.astype(np.float32), np.where(labels > 0, 0.5 / n1, 0.5 / n0).astype(np.float32)
     rng = np.random.default_rng(7)
-    values = [np.zeros(1, np.float32), np.zeros(len(best), np.float32), rng.normal(0, 0.01, (len(best), factors)).astype(np.float32)]
+    values = [np.zeros(1, np.float32), np.zeros(len(hashes), np.float32), rng.normal(0, 0.01, (len(hashes), factors)).astype(np.float32)]
     first, second = [np.zeros_like(p) for p in values], [np.zeros_like(p) for p in values]
     for t in range(1, rounds + 1):
         bias, w, v = values
@@ -109,27 +104,37 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, features: int = FEATURES, fa
         z = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
         back = x.T @ g
-        grads = [np.array([g.sum()], np.float32), back + 1e-4 * w, x.T @ (g[:, None] * s) - v * back[:, None] + 1e-3 * v]
+        grads = [np.array([g.sum()], np.float32), back + 1e-5 * w, x.T @ (g[:, None] * s) - v * back[:, None] + 1e-2 * v]
         for i, grad in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * grad
             second[i] = 0.999 * second[i] + 0.001 * grad * grad
             values[i] = values[i] - 0.05 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
     bias, w, v = values
-    return Machine(known[best], float(bias[0]), w.astype(np.float64), v.astype(np.float64))
+    return Machine(hashes, float(bias[0]), w.astype(np.float64), v.astype(np.float64))
 
 
 def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Machine:
-    """A machine from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, learning only from rows outside the held-out fold."""
-    known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", "toxic").distinct()
+def chi_square(d1: Column, d0: Column, n1: int, n0: int) -> Column:
+    """Of a term that ``d1`` of ``n1`` toxic and ``d0`` of ``n0`` other texts have."""
+    d1, d0 = d1.cast("double"), d0.cast("double")
+    return F.pow(d1 * (n0 - d0) - d0 * (n1 - d1), 2.0) * (n1 + n0) / F.greatest(F.lit(1.0), (d1 + d0) * (n1 - d1 + n0 - d0) * n1 * n0)
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, **options) -> Machine:
+    """A machine from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, learning only from rows outside the held-out fold.
+
+    The terms are counted and chosen in Spark; the driver gets the chosen ones alone.
+    """
+    ship(docs.sparkSession)
+    known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     order = [F.xxhash64(F.lit(3), "doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most 2 * sample ids
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, data, offsets in chunks(batch.column(1)):
                 row, term = terms(data, offsets)
@@ -141,13 +146,31 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -
                 lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(row, np.arange(j - i + 1)), pa.int32()), pa.array(term.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), lists], names=["toxic", "terms"])
 
-    found = texts.mapInArrow(run, "toxic int, terms array<long>").toArrow()
-    rows = [x.values.to_numpy().view(np.uint64) for x in found.column("terms")] if len(found) else []
-    return fit(rows, found.column("toxic").to_numpy().astype(np.int64), **options)
+    found = stored(texts.mapInArrow(distinct, "toxic int, terms array<long>"), "toxicity-sample")
+    size = {r.toxic: r["count"] for r in found.groupBy("toxic").count().collect()}
+    n1, n0 = size.get(1, 0), size.get(0, 0)
+    if not n1 or not n0:
+        return constant(n1, n1 + n0)
+    counts = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("d1"), F.count("*").alias("d")).where("d >= 3")
+    ranked = counts.select("term", chi_square(F.col("d1"), F.col("d") - F.col("d1"), n1, n0).alias("chi")).where("chi >= 10.83")
+    best = ranked.orderBy(F.desc("chi"), "term").limit(features).select("term").toArrow().column("term").to_numpy().view(np.uint64)
+    hashes = np.sort(best)
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for terms_ in batch.column(1):
+                at = np.searchsorted(hashes, own := terms_.values.to_numpy().view(np.uint64))
+                rows.append(at[hashes[np.minimum(at, len(hashes) - 1)] == own] if len(hashes) else at[:0])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tolist() for r in rows], pa.list_(pa.int32()))], names=["toxic", "places"])
+
+    seen = found.mapInArrow(places, "toxic int, places array<int>").toArrow()
+    return fit(hashes, [np.array(x, np.int64) for x in seen.column("places").to_pylist()], seen.column("toxic").to_numpy().astype(np.int64), **options)
 
 
 def score(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame:
     """``docs`` plus the score of its ``text``."""
+    ship(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
 
@@ -161,5 +184,5 @@ def score(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
-    scored = score(docs, train(docs, labels), "_toxicity")
-    return scored.where(F.col("_toxicity") < threshold).drop("_toxicity")
+    scored = score(docs, train(docs, labels), "__toxicity")
+    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
