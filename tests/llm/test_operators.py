@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from stackloom.llm import embedding_dedup, html_extract, license_scan, mixing, packing, quality, queries, simhash, substring_dedup, toxicity, url_filter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
-DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, key string"
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, n_words long, fp string, taken string, _keep int"
 
 
 def corpus(seed=1, n=60):
@@ -31,7 +31,7 @@ def corpus(seed=1, n=60):
         rows.append((i, text, "en", rng.choice(["b", "a", None, "Z"]), len(text or ""), "clash", "clash"))
     rows += [(1000, None, None, None, None, None, None), (1001, "", "en", "a", 0, None, None), (1002, " \n\t ", "en", "a", 4, None, None), (None, passage, "en", "a", 1, None, None)]
     rows += [(1003, "word " * 5000, "en", "b", 25000, None, None), rows[8], rows[8]]
-    return rows
+    return [r + (1, "2", "3", 4) for r in rows]
 
 
 @pytest.fixture(scope="module")
@@ -189,6 +189,7 @@ def test_substring(docs, none, window):
     if window == 35:
         cut = substring_dedup.remove_repeats(docs)
         assert set(docs.columns) <= set(cut.columns) and cut.count() == len(rows)
+        assert substring_dedup.remove_repeats(docs, counts=("a", "b")).select("n_words").distinct().collect() == [(1,)]
         assert substring_dedup.remove_repeats(none).count() == 0
 
 
@@ -298,6 +299,7 @@ def test_simhash(spark, docs, none):
     assert sorted(map(tuple, found), key=key) == want
     kept = simhash.one_of_each_group(small)
     assert kept.count() == len(set(root))
+    assert simhash.one_of_each_group(docs).columns == docs.columns
     assert simhash.simhash_components(none).count() == 0
 
 
@@ -361,3 +363,16 @@ def test_components(spark):
         for a, b in edges:
             up[a] = up[b] = min(up[a], up[b])
     assert got == {n: r for n, r in up.items() if n in got} and all(up[n] == n for n in set(up) - set(got))
+
+
+def test_pipeline_stages(spark, docs, none, sf_dir):
+    import corpus_pipeline
+
+    for start in (docs, none):
+        frame = start
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            frame = stage(spark, frame, sf_dir).cache()
+            assert frame.columns == docs.columns
+        packed = corpus_pipeline.STAGES[-1][1](spark, frame, sf_dir)
+        assert packed.select("doc_id").distinct().count() == frame.select("doc_id").distinct().count()
+    assert packed.count() == 0
