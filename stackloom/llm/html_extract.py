@@ -4,8 +4,9 @@ Each page is read into blocks of text, each with the path of element styles (tag
 id words) above it. The pages of a host form one tree of styles. A content node (a block's
 text) that ``k`` of the ``m`` pages with that style have has importance
 ``1 - log k / log m``; a style node has, from the ``l`` child sequences it shows,
-``(1 - G**l) * entropy + G**l * mean content importance below`` (base ``m`` entropy). Branches
-below ``LEAST`` are removed, if enough pages show them.
+``(1 - G**l) * entropy + G**l * mean content importance`` (base ``m`` entropy). A branch is
+noise if it and all below it stay under ``LEAST``, so a block goes if the innermost style above
+it does and enough pages show that style; a wrapper never takes a good block with it.
 
 What a page declares counts first: elements made for menus, forms, notices, adverts, comments
 and the like (by tag or by class, id or role words) are no article; if the page has an article
@@ -155,9 +156,10 @@ def main_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Elemen
     return [(t, above) for t, above in blocks if not (above and above[-1].noise) and (not declared or above and above[-1].main)], every
 
 
-def judged(above: list[Element]) -> list[Element]:
-    """The elements that may be removed for low importance: all outside a main element, those with styles inside."""
-    return [e for e in above if e.tag not in ("html", "body") and (not e.main or e.styled and e.tag not in MAIN)]
+def judged(above: list[Element]) -> Element | None:
+    """The element whose importance decides on a block: the innermost one above it, unless that is plain text flow of a main element."""
+    e = above[-1] if above else None
+    return None if e is None or e.tag in ("html", "body") or e.tag in MAIN or e.main and not e.styled else e
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -167,12 +169,11 @@ def style_tree(pages: DataFrame) -> DataFrame:
         for batch in batches:
             rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks, _ = main_blocks(page or "")
                 contents, styles = set(), set()
-                for line, above in blocks:
-                    value = xxhash.xxh64_intdigest(line) >> 1
-                    for e in judged(above):
-                        contents.add((e.path, value))
+                for line, above in read_blocks(page or "")[0]:
+                    e = judged(above)
+                    if e is not None:
+                        contents.add((e.path, xxhash.xxh64_intdigest(line) >> 1))
                         styles.add((e.path, xxhash.xxh64_intdigest(" ".join(e.children)) >> 1))
                 rows += [(host, p, v, None) for p, v in contents] + [(host, p, None, s) for p, s in styles]
             columns = list(zip(*rows)) if rows else [()] * 4
@@ -211,7 +212,7 @@ def html_extract(pages: DataFrame) -> DataFrame:
             for i, page in enumerate(batch.column(2).to_pylist()):
                 blocks, _ = main_blocks(page or "")
                 gone = set(paths[i].values.to_pylist()) if paths[i].is_valid else ()
-                kept = [line for line, above in blocks if not (gone and any(e.path in gone for e in judged(above)))]
+                kept = [line for line, above in blocks if not gone or (e := judged(above)) is None or e.path not in gone]
                 texts.append("\n\n".join(kept))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
