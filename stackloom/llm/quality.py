@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from stackloom.llm.wordhash import U64, WindowHash, chunks, mix, split
 from stackloom.session import ship
 
-SAMPLE, SHARE, ROUNDS = 1500, 0.5, 120
+SAMPLE, SHARE, ROUNDS, PIECE = 1500, 0.5, 120, 64
 LEAST_WORDS, MOST_REPEATED = 50, 50
 SYMBOLS = b"#*$%&|<>"
 DIGITS = b"0123456789"
@@ -116,23 +116,28 @@ class Field:
 
 
 def fit_field(chains: list[list[tuple[int, ...]]], labels: list[np.ndarray], rounds: int = ROUNDS) -> Field:
-    """Maximum likelihood by Adam; forward and backward run over all chains at once, step by step."""
-    order = np.argsort([-len(c) for c in chains], kind="stable")
-    chains, labels = [chains[i] for i in order], [labels[i] for i in order]
+    """Maximum likelihood by Adam; forward and backward run over all chains at once, step by step.
+
+    Chains are cut into pieces of ``PIECE`` lines here, which only leaves out the transitions at the cuts.
+    """
+    texts = len(chains)
+    pieces = [(c[i : i + PIECE], l[i : i + PIECE], 1.0 / len(c)) for c, l in zip(chains, labels) for i in range(0, len(c), PIECE)]
+    pieces.sort(key=lambda p: -len(p[0]))
+    chains, labels, share = zip(*pieces)
     size = np.array([len(c) for c in chains])
     width = int(size.max())
-    x = np.zeros((len(chains), width, len(EDGES)), dtype=np.int64)
-    y = np.zeros((len(chains), width), dtype=np.int64)
+    x = np.zeros((len(EDGES), len(chains), width), dtype=np.int16)
+    y = np.zeros((len(chains), width), dtype=np.int8)
     for i, (c, l) in enumerate(zip(chains, labels)):
-        x[i, : len(c)], y[i, : len(c)] = c, l
+        x[:, i, : len(c)], y[i, : len(c)] = np.array(c).T, l
     inside = np.arange(width) < size[:, None]
     alive = [int((size > t).sum()) for t in range(width)]
     values = np.zeros(OFFSETS[-1] + 2)
     first, second = np.zeros_like(values), np.zeros_like(values)
-    per_chain = (1.0 / size)[:, None] * inside
+    per_chain = np.array(share)[:, None] * inside
     for r in range(1, rounds + 1):
         w, stay = values[:-2], values[-2:]
-        e = np.stack([np.zeros((len(chains), width)), w[x].sum(2)], axis=2)
+        e = np.stack([np.zeros((len(chains), width)), sum(w[k] for k in x)], axis=2)
         step = np.array([[stay[0], 0.0], [0.0, stay[1]]])
         alpha, beta = np.zeros_like(e), np.zeros_like(e)
         alpha[:, 0] = e[:, 0]
@@ -146,12 +151,12 @@ def fit_field(chains: list[list[tuple[int, ...]]], labels: list[np.ndarray], rou
         p = np.exp(alpha + beta - z[:, None, None])[:, :, 1]
         grad = np.zeros_like(values)
         g = (p - y) * per_chain
-        grad[:-2] = np.bincount(x.ravel(), np.repeat(g.ravel(), len(EDGES)), minlength=OFFSETS[-1])
+        grad[:-2] = sum(np.bincount(k.ravel(), g.ravel(), minlength=OFFSETS[-1]) for k in x)
         both = inside[:, 1:]
         for s in (0, 1):
             pair = np.exp(alpha[:, :-1, s] + stay[s] + e[:, 1:, s] + beta[:, 1:, s] - z[:, None])
             grad[OFFSETS[-1] + s] = ((pair - ((y[:, 1:] == s) & (y[:, :-1] == s))) * per_chain[:, 1:] * both).sum()
-        grad = grad / len(chains) + 1e-3 * values
+        grad = grad / texts + 1e-3 * values
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
         values = values - 0.1 * (first / (1 - 0.9**r)) / (np.sqrt(second / (1 - 0.999**r)) + 1e-8)
     return Field(values[:-2], values[-2:])
