@@ -28,7 +28,7 @@ from stackloom.session import ship
 CAPACITY, END = 2048, 0
 GROUP_PIECES = 40_000
 #: Words whose ids a worker remembers.
-CACHED_WORDS = 1_500_000
+CACHED_WORDS = 1_000_000
 #: Letters that every normal form keeps, then ASCII marks: two pre-tokens, so the model can be asked for the first alone.
 LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,100})([!-/:-@\[-`{-~]{0,8})")
 #: Byte-level BPE writes a byte that is not a printable character as the next free one from 256 on.
