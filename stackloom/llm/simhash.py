@@ -144,7 +144,11 @@ def near_links(prints: DataFrame, bits: int = BITS, dense: int = DENSE) -> DataF
 
 
 def simhash_components(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows ``doc_id, key, fp, component_id`` for every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable over links."""
+    """Rows ``doc_id, key, fp, root, component_id`` for every row of ``docs(doc_id, text)``.
+
+    ``root`` is the smallest fingerprint reachable over links and names the group; component_id
+    is the group's smallest doc_id, which other groups may share, as all whose ids are null do.
+    """
     ship(docs.sparkSession)
     light = stored(docs.select("doc_id", row_key("doc_id", "text")[0].alias("key"), fingerprints("text").alias("fp")), "simhash-prints")
     classes = light.groupBy("fp").agg(F.min("doc_id").alias("least"))
@@ -152,14 +156,14 @@ def simhash_components(docs: DataFrame, bits: int = BITS) -> DataFrame:
     # A component's smallest doc_id, then per fingerprint.
     merged = classes.join(components, classes.fp == components.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
     best = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = merged.join(best, "root").select("fp", "component_id")
-    return light.join(merged, "fp").select("doc_id", "key", "fp", "component_id")
+    merged = merged.join(best, "root").select("fp", "root", "component_id")
+    return light.join(merged, "fp").select("doc_id", "key", "fp", "root", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is their group's smallest; of repeated rows one."""
+    """One row of ``docs`` from each group, one whose doc_id is the group's smallest; of repeated rows one."""
     marked = simhash_components(docs, bits)
-    chosen = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id").agg(F.min("key").alias("__keep")).select("__keep").distinct()
+    chosen = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("__keep")).select("__keep").distinct()
     keyed = docs.withColumn("__keep", row_key("doc_id", "text")[0])
     kept = keyed.join(stored(chosen, "simhash-kept"), "__keep", "left_semi")
     twice = marked.groupBy("key").count().where("count > 1")

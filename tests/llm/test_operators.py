@@ -303,6 +303,17 @@ def test_simhash(spark, docs, none):
     assert simhash.simhash_components(none).count() == 0
 
 
+def test_simhash_groups_of_one_id(spark):
+    """Groups that share their smallest doc_id, null ones and equal ones, each keep a row."""
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices("abcdefghij", k=3)) + " " + " ".join(str(rng.random()) for _ in range(60)) for _ in range(24)]
+    rows = [(None, t) for t in texts[:12]] + [(7, t) for t in texts[12:20]] + [(8 + i, t) for i, t in enumerate(texts[20:])]
+    rows += [(None, texts[0]), (None, texts[20]), (30, texts[1]), (7, texts[12])]
+    kept = simhash.one_of_each_group(spark.createDataFrame(rows, "doc_id long, text string"))
+    want = [(30 if t == texts[1] else d, t) for d, t in rows[:24]]
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(want, key=key)
+
+
 def test_near_pairs_are_all(spark):
     rng = random.Random(4)
     prints = [rng.getrandbits(64) for _ in range(40)]
