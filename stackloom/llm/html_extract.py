@@ -48,45 +48,79 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 HOLDERS = {"ul", "ol", "dl", "table", "menu"}
 NOISE = {"ad", "ads", "advert", "adverts", "advertisement", "advertising", "banner", "breadcrumb", "breadcrumbs", "comment", "comments", "consent", "cookie", "cookies", "disqus", "gdpr", "login", "menu", "modal", "nav", "navbar", "navigation", "newsletter", "notice", "overlay", "pager", "pagination", "popup", "promo", "promotion", "recommended", "related", "replies", "search", "share", "sharing", "sidebar", "signup", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget"}
 OUTSIDE_NOISE = NOISE | {"footer", "header", "masthead", "contentinfo", "complementary"}
+#: Words that beside one of those above still leave the whole name a name of noise.
+FURNITURE = {"area", "bar", "block", "box", "button", "buttons", "container", "icons", "left", "links", "list", "main", "page", "posts", "right", "section", "site", "slot", "stories", "top", "unit", "wrap", "wrapper"}
+#: First words of names that tell what an element has or lacks, not what it is.
+MODIFIERS = {"has", "is", "no", "not", "with", "without"}
+#: Ids of whole sections that hold what readers wrote.
+REPLIES = {"comments", "disqus", "replies"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 WORDS = re.compile(r"[a-z]+")
 
 
+def named_noise(tag: str, names: list[tuple[str, str]], inside: bool) -> bool:
+    """Whether names (attribute, name) of an element say that it is noise.
+
+    Outside a main element one word does. Inside, the whole name must: ids of headings and
+    sections are often made from their titles, and of those only ``REPLIES`` count.
+    """
+    for attribute, name in names:
+        words = WORDS.findall(name)
+        if not words or words[0] in MODIFIERS:
+            continue
+        if not inside:
+            if not OUTSIDE_NOISE.isdisjoint(words):
+                return True
+        elif attribute == "id" and (tag in HEADINGS or tag == "section"):
+            if tag == "section" and name in REPLIES:
+                return True
+        elif not NOISE.isdisjoint(words) and all(w in NOISE or w in FURNITURE for w in words):
+            return True
+    return False
+
+
 class Element:
     __slots__ = ("tag", "path", "noise", "main", "styled", "children")
 
-    def __init__(self, tag: str, parent: Element | None, words: list[str], hidden: bool):
+    def __init__(self, tag: str, parent: Element | None, names: list[tuple[str, str]], hidden: bool):
         self.tag = tag
+        words = sorted({w for _, name in names for w in WORDS.findall(name)})
         self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else ''}/{tag}.{' '.join(words)}") >> 1
         self.main = tag in MAIN or "main" in words and tag != "body" or bool(parent and parent.main)
         inside = bool(parent and parent.main)
-        noise = tag in NEVER or hidden or not (NOISE if inside else OUTSIDE_NOISE).isdisjoint(words) or tag == "header" and not inside
+        noise = tag in NEVER or hidden or named_noise(tag, names, inside or tag in MAIN) or tag == "header" and not inside
         self.noise = bool(parent and parent.noise) or noise and tag not in ("html", "body")
         self.styled = bool(words) or bool(parent and parent.styled and inside)
         self.children: list[str] = []
 
 
-def attributes(raw: str) -> tuple[list[str], bool]:
-    """(sorted class, id and role words, whether the element is hidden)."""
-    words, hidden = set(), False
+def attributes(raw: str) -> tuple[list[tuple[str, str]], bool]:
+    """(class, id and role names with their attribute, whether the element is hidden)."""
+    names, hidden = [], False
     for name, a, b, c, alone in ATTRIBUTE.findall(raw):
         name, value = (name or alone).lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
-            words.update(WORDS.findall(value))
+            names += [(name, v) for v in value.split()]
         hidden |= name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", "")
-    return sorted(words), hidden
+    return names, hidden
 
 
 def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
-    """(blocks of text, each with the elements above it; all elements) in page order."""
+    """(blocks of text outside noise, each with the elements above it; all elements) in page order."""
     blocks: list[tuple[str, list[Element]]] = []
     every: list[Element] = []
     stack: list[Element] = []
     text: list[str] = []
 
+    def book(run: str) -> None:
+        if not (stack and stack[-1].noise):
+            text.append(run)
+
     def flush() -> None:
+        # An element of noise may have begun since, which the text does not stand in.
         line = " ".join(html.unescape("".join(text)).split())
         if line:
-            blocks.append((line, list(stack)))
+            blocks.append((line, [e for e in stack if not e.noise]))
         text.clear()
 
     def close(at: int) -> None:
@@ -98,9 +132,9 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Elemen
     while at < end:
         m = TOKEN.search(page, at)
         if m is None:
-            text.append(page[at:])
+            book(page[at:])
             break
-        text.append(page[at : m.start()])
+        book(page[at : m.start()])
         at = m.end()
         closing, tag = m[1] or m[4], (m[2] or m[5] or "").lower()
         if not tag:
@@ -113,7 +147,7 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Elemen
                 flush()
             continue
         if tag == "br" or tag == "wbr":
-            text.append(" " if tag == "br" else "")
+            book(" " if tag == "br" else "")
             continue
         if tag in BLOCKS:
             flush()
@@ -152,8 +186,8 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Elemen
 def main_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
     """The blocks that the page's own declarations leave."""
     blocks, every = read_blocks(page)
-    declared = any(above and above[-1].main and not above[-1].noise for _, above in blocks)
-    return [(t, above) for t, above in blocks if not (above and above[-1].noise) and (not declared or above and above[-1].main)], every
+    declared = any(above and above[-1].main for _, above in blocks)
+    return [(t, above) for t, above in blocks if not declared or above and above[-1].main], every
 
 
 def judged(above: list[Element]) -> Element | None:

@@ -171,6 +171,20 @@ def test_html(spark):
     assert html_extract.html_extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_noise_inside_blocks():
+    """Text is booked with the element it stands in, and names of real parts of an article are no noise."""
+
+    def read(page):
+        return [line for line, _ in html_extract.main_blocks(page)[0]]
+
+    assert read("<article><div>Real text <span class=share><div>x</div></span></div></article>") == ["Real text"]
+    assert read("<article><p>Real text <span class=share><div>x</div></span></p></article>") == ["Real text", "x"]  # the div ends the paragraph and its span
+    assert read("<article><p>One <button>Copy</button><span class='ad'>buy</span><i hidden>no</i><b aria-hidden=true>no</b>two &amp; <i>three</i></p></article>") == ["One two & three"]
+    assert read("<article><h2 id=search-history>Search history</h2><section id=related-work><p>Related work</p></section></article>") == ["Search history", "Related work"]
+    assert read("<article class='content has-sidebar'><div class='with-comments'><p>All</p></div></article>") == ["All"]
+    assert read("<article><p>All</p><div class='share-buttons'>a</div><div id='related-posts'>b</div><section id=comments>c</section><p class='ad'>d</p></article>") == ["All"]
+
+
 @pytest.mark.parametrize("window", [35, 8])
 def test_substring(docs, none, window):
     rows = [(r.doc_id, words(r.text)) for r in docs.select("doc_id", "text").collect()]
