@@ -10,11 +10,14 @@ it does and enough pages show that style; a wrapper never takes a good block wit
 
 What a page declares counts first: elements made for menus, forms, notices, adverts, comments
 and the like (by tag or by class, id or role words) are no article; if the page has an article
-or main element, nothing outside is. Plain text flow inside (paragraphs, headings, lists,
-tables without a class) is never removed for being frequent, as articles may share lines.
+or main element, a block outside stays only if enough pages show its style and the tree finds
+style and text important. Plain text flow inside (paragraphs, headings, lists, tables without
+a class) shares its style with the article, so there the content node alone decides: a text
+goes if its own importance is under ``LEAST``. Pages of equal blocks count once, as copies of
+one page say nothing about what its host repeats.
 
 Defined cases: null html is empty text; unclosed, crossed or cut tags end as a browser would
-end them; a null url is a host of its own; repeated pages count each; an empty table gives no
+end them; a null url is a host that is not judged; every page gets a row; an empty table gives no
 rows. Only the named columns are read.
 """
 
@@ -183,11 +186,16 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Elemen
     return blocks, every
 
 
+def outside(above: list[Element], declared: bool) -> bool:
+    """Whether a block stands outside what its page declares as main."""
+    return declared and not (above and above[-1].main)
+
+
 def main_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
     """The blocks that the page's own declarations leave."""
     blocks, every = read_blocks(page)
     declared = any(above and above[-1].main for _, above in blocks)
-    return [(t, above) for t, above in blocks if not declared or above and above[-1].main], every
+    return [(t, above) for t, above in blocks if not outside(above, declared)], every
 
 
 def judged(above: list[Element]) -> Element | None:
@@ -196,40 +204,71 @@ def judged(above: list[Element]) -> Element | None:
     return None if e is None or e.tag in ("html", "body") or e.tag in MAIN or e.main and not e.styled else e
 
 
+def style_of(above: list[Element]) -> int:
+    return above[-1].path if above else 0
+
+
+def content_of(above: list[Element], line: str) -> int:
+    """The content node of a block: its text under its style."""
+    return xxhash.xxh64_intdigest(f"{style_of(above)}/{line}") >> 1
+
+
+def kept_blocks(page: str, low: set[int], high: set[int]) -> list[str]:
+    """The texts that stay: ``low`` are styles and content nodes of low importance, ``high`` styles that enough pages show, of others."""
+    blocks, _ = read_blocks(page)
+    declared = any(above and above[-1].main for _, above in blocks)
+    kept = []
+    for line, above in blocks:
+        e = judged(above)
+        if content_of(above, line) in low or e is not None and e.path in low or outside(above, declared) and (e is None or e.path not in high):
+            continue
+        kept.append(line)
+    return kept
+
+
 def style_tree(pages: DataFrame) -> DataFrame:
-    """Rows ``host, low``: for each host the style paths of low importance. ``pages(host, html)``."""
+    """Rows ``host, low, high``: for each host the styles and content nodes of low importance, and the other styles that enough pages show outside main elements. ``pages(host, html)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                contents, styles = set(), set()
-                for line, above in read_blocks(page or "")[0]:
-                    e = judged(above)
+                blocks = read_blocks(page or "")[0]
+                declared = any(above and above[-1].main for _, above in blocks)
+                same = xxhash.xxh64_intdigest("\0".join(line for line, _ in blocks)) >> 1
+                found = set()
+                for line, above in blocks:
+                    path, e = style_of(above), judged(above)
+                    out = e is not None and outside(above, declared)
+                    found |= {(path, content_of(above, line), None, False), (path, None, None, out)}
                     if e is not None:
-                        contents.add((e.path, xxhash.xxh64_intdigest(line) >> 1))
-                        styles.add((e.path, xxhash.xxh64_intdigest(" ".join(e.children)) >> 1))
-                rows += [(host, p, v, None) for p, v in contents] + [(host, p, None, s) for p, s in styles]
-            columns = list(zip(*rows)) if rows else [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:]]], names=["host", "path", "content", "style"])
-
-    seen = pages.select("host", "html").mapInArrow(run, "host string, path long, content long, style long").groupBy("host", "path", "content", "style").agg(F.count("*").alias("k"))
-    seen = stored(seen, "style-tree")
-    # A page shows one child sequence of a path for each time it has it; the most any way is at least the pages with it.
-    m = F.greatest(F.col("m"), F.col("k"))
-    whole = seen.groupBy("host", "path").agg(F.sum(F.when(F.col("style").isNotNull(), F.col("k"))).alias("m"), F.count("style").alias("l"))
-    parts = seen.join(whole, ["host", "path"])
-    share = F.col("k") / m
-    importance = F.when(m > 1, 1 - F.log("k") / F.log(m)).otherwise(1.0)
-    tree = parts.groupBy("host", "path").agg(
-        F.first("m").alias("m"),
-        F.first("l").alias("l"),
-        (F.sum(F.when(F.col("content").isNotNull(), F.col("k") * importance)) / F.sum(F.when(F.col("content").isNotNull(), F.col("k")))).alias("content"),
-        F.sum(F.when(F.col("style").isNotNull() & (m > 1), -share * F.log(share) / F.log(m)).otherwise(0.0)).alias("entropy"),
+                        found.add((path, None, xxhash.xxh64_intdigest(" ".join(t for t in e.children if t in BLOCKS)) >> 1, False))
+                rows += [(host, same, *f) for f in found]
+            columns = list(zip(*rows)) if rows else [()] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:5]], pa.array(columns[5], pa.bool_())], names=["host", "page", "path", "content", "style", "out"])
+
+    found = pages.where("host is not null").select("host", "html").mapInArrow(run, "host string, page long, path long, content long, style long, out boolean").distinct()
+    # Of a style's rows those with neither content nor style are its pages.
+    seen = stored(found.groupBy("host", "path", "content", "style").agg(F.count("*").alias("k"), F.max("out").alias("out")), "style-tree")
+    content, style, k = F.col("content").isNotNull(), F.col("style").isNotNull(), F.col("k")
+    sums = seen.groupBy("host", "path").agg(
+        F.max(F.when(~content & ~style, k)).alias("m"),
+        F.max("out").alias("out"),
+        F.count("style").alias("l"),
+        *[F.sum(F.when(which, value)).alias(name) for name, which, value in (("texts", content, k), ("text_logs", content, k * F.log(k)), ("styles", style, k), ("style_logs", style, k * F.log(k)))],
     )
+    enough = sums.where(F.col("m") >= LEAST_PAGES)
+    importance = 1 - F.col("text_logs") / F.col("texts") / F.log("m")
+    # A page may show several child sequences of one style, so shares are of all that are shown.
+    entropy = (F.log("styles") - F.col("style_logs") / F.col("styles")) / F.log("m")
     weight = F.pow(F.lit(G), F.col("l"))
-    low = ((1 - weight) * F.col("entropy") + weight * F.col("content") < LEAST) & (F.col("m") >= LEAST_PAGES)
-    return tree.where(low).groupBy("host").agg(F.collect_set("path").alias("low"))
+    least = F.col("styles").isNotNull() & (importance < LEAST) & ((1 - weight) * entropy + weight * importance < LEAST)
+    judgement = enough.select("host", "path", "m", "out", F.coalesce(least, F.lit(False)).alias("low"))
+    styles = judgement.where("low or out").select("host", F.when(F.col("low"), F.col("path")).alias("low"), F.when(~F.col("low"), F.col("path")).alias("high"))
+    repeated = seen.where(content & (k > LEAST_PAGES ** (1 - LEAST))).select("host", "path", "content", "k")
+    texts = repeated.join(judgement.select("host", "path", "m"), ["host", "path"]).where(1 - F.log("k") / F.log("m") < LEAST)
+    both = styles.union(texts.select("host", F.col("content").alias("low"), F.lit(None).cast("long").alias("high")))
+    return both.groupBy("host").agg(F.collect_set("low").alias("low"), F.collect_set("high").alias("high"))
 
 
 def html_extract(pages: DataFrame) -> DataFrame:
@@ -237,17 +276,15 @@ def html_extract(pages: DataFrame) -> DataFrame:
     ship(pages.sparkSession)
     hosted = pages.select("page_id", "url", "html", url_parts(F.col("url"))[0].alias("host"))
     low = stored(style_tree(hosted), "style-low")
-    joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "low")
+    joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "low", "high")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, paths = [], batch.column(3)
+            texts, lows, highs = [], batch.column(3), batch.column(4)
             for i, page in enumerate(batch.column(2).to_pylist()):
-                blocks, _ = main_blocks(page or "")
-                gone = set(paths[i].values.to_pylist()) if paths[i].is_valid else ()
-                kept = [line for line, above in blocks if not gone or (e := judged(above)) is None or e.path not in gone]
-                texts.append("\n\n".join(kept))
+                low, high = (set(x[i].values.to_pylist()) if x[i].is_valid else set() for x in (lows, highs))
+                texts.append("\n\n".join(kept_blocks(page or "", low, high)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
     return joined.mapInArrow(run, f"page_id {kind}, url string, text string")

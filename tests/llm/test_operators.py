@@ -171,6 +171,18 @@ def test_html(spark):
     assert html_extract.html_extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_tree_decides(spark):
+    """Repeated plain text in an article goes, own blocks outside one stay, copies of a page are no repetition."""
+    page = "<body><div class=lead>{0}</div><div class=top>Every page</div><article><h1>Title {1}</h1><p>Own {1}</p><ul><li>Item {1}</li><li>Read more</li></ul><p>Follow us</p></article></body>"
+    rows = [(i, "http://a.org/", page.format(f"Lead {i}", i)) for i in range(12)]
+    rows += [(100 + i, "http://b.org/", page.format("Lead", 0)) for i in range(12)]
+    rows += [(200 + i, "http://c.org/", page.format(f"Lead {i}", i)) for i in range(3)]
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Lead {i}\n\nTitle {i}\n\nOwn {i}\n\nItem {i}" for i in range(12))
+    assert all(got[100 + i] == "Title 0\n\nOwn 0\n\nItem 0\n\nRead more\n\nFollow us" for i in range(12))
+    assert all(got[200 + i] == f"Title {i}\n\nOwn {i}\n\nItem {i}\n\nRead more\n\nFollow us" for i in range(3))
+
+
 def test_html_noise_inside_blocks():
     """Text is booked with the element it stands in, and names of real parts of an article are no noise."""
 
