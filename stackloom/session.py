@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import sys
 import tempfile
 import uuid
@@ -26,14 +27,28 @@ def session(master: str | None = None, **conf: str) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder all executors share (``spark.checkpoint.dir``; a temporary one where it is unset, as in tests)."""
+    """A new path in the folder all executors share, ``spark.checkpoint.dir``.
+
+    Where that is unset, a local session gets a temporary folder; on a cluster, where executors
+    do not share one, it is an error.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="stackloom-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return f"{folder}/stackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_stored(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application; results that still read them must have been written before."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/stackloom-{spark.sparkContext.applicationId}")
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back."""
     path = shared_path(df.sparkSession, name)
