@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.session import ship
+from stackloom.session import shared_path, ship
 
 #: A word: code points outside space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Keys that :func:`join_hot` may send to all executors.
+HOT_KEYS = 1000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -21,13 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or one of our own where that is unset (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="stackloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or the first of ``name_1``, ``name_2``, .. that no column of ``df`` has in any case of letters."""
+    taken, found, i = {c.lower() for c in df.columns}, name, 0
+    while found.lower() in taken:
+        i += 1
+        found = f"{name}_{i}"
+    return found
 
 
 @contextmanager
@@ -45,7 +45,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/stackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = shared_path(spark, name)
     with freed_shuffles(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -56,27 +56,42 @@ def row_key(*columns: str | Column) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+    """``left`` joined with ``right(keys.., rows, ..)`` of one row per key, where ``rows`` says how many rows of ``left`` have the key.
+
+    Of ``total`` rows at most ``most`` keys can have more than ``total / most`` each. These go
+    to the executors, and their rows of ``left`` stay where they are; the other keys are dealt
+    out, none of them with more than ``total / most`` rows. ``how`` is inner or left_semi; a
+    null in a key meets nothing.
+    """
+    heavy = right.where(F.col(rows) > max(total // most, 1))
+    hot = F.broadcast(heavy.drop(rows))  # at most ``most`` rows
+    cold = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(F.col(rows) <= max(total // most, 1)).drop(rows), keys, how)
+    return left.join(hot, keys, how).unionByName(cold)
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """Rows ``(node, component)`` for ``edges(a, b)``: the component is its smallest node.
 
     Alternating large-star and small-star rounds; every round keeps at most as many rows as
-    it got, and minima are aggregated before they are joined, so a node with very many
-    neighbours does not gather them in one task. Nodes without an edge are not returned.
+    it got. Minima are aggregated with map-side sums, and a hub's neighbours get theirs by
+    :func:`join_hot`, so no task gathers them. Nodes without an edge are not returned.
     """
-    spark = edges.sparkSession
     pairs = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
-    if pairs.isEmpty():
+    n = pairs.count()
+    if not n:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
     before = None
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        linked = large.join(least, "a")
+        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")), name)
+        large = stored(join_hot(both.where("b > a"), least, ["a"], "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        n = large.count()
+        least = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        linked = join_hot(large, least, ["a"], "n", n)
         small = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
         pairs = stored(small, name)
         state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before = state
+        before, n = state, state[0]
