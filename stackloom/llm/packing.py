@@ -4,8 +4,9 @@ Documents become token ids and pieces of at most ``capacity`` tokens. A piece go
 sum over gaps of (number of open sequences with that gap) squared becomes smallest, longest
 piece first; a new sequence is opened only where no open one has room.
 
-Pieces are dealt to groups of about ``GROUP_PIECES`` by a hash, and each group is packed by
-one task; a group's few unfilled sequences are the only waste that grouping adds.
+Pieces are dealt to groups of about ``GROUP_PIECES`` by a hash of their place in the table, so
+repeated rows spread, and each group is packed by one task; a group's few unfilled sequences
+are the only waste that grouping adds.
 
 Defined cases: a null text is empty and gives the end token alone; repeated rows are packed
 each; a null doc_id is kept; an empty table gives no rows. Only the named columns are read.
@@ -13,7 +14,7 @@ each; a null doc_id is kept; an empty table gives no rows. Only the named column
 
 from __future__ import annotations
 
-import re
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,18 +23,27 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import stored
+from stackloom.llm.common import stored, unused
+from stackloom.llm.wordhash import U64, Words, chunks, split
 from stackloom.session import ship
 
 CAPACITY, END = 2048, 0
 GROUP_PIECES = 40_000
-#: Words whose ids a worker remembers.
-CACHED_WORDS = 1_000_000
-#: Letters that every normal form keeps, then ASCII marks: two pre-tokens, so the model can be asked for the first alone.
-LETTERS = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]{1,100})([!-/:-@\[-`{-~]{0,8})")
-#: Byte-level BPE writes a byte that is not a printable character as the next free one from 256 on.
-BYTE_CHARS = {b: 256 + i for i, b in enumerate(b for b in range(256) if not (0x21 <= b <= 0x7E or 0xA1 <= b <= 0xAC or 0xAE <= b))}
+#: Pre-tokens whose ids a worker remembers.
+CACHED_UNITS = 1_000_000
+SLOTS = 1 << 21
 VOCABULARY = "word_bpe_49k.json"
+#: What a tokenizer must do for its texts to be cut into pre-tokens here (fixed values): no token crosses white space, letters
+#: run together in lower case, digits stand alone, other marks run together, and an apostrophe may start one with letters.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+LETTER, DIGIT, MARK = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[0x21:0x7F] = MARK
+KIND[0x30:0x3A] = DIGIT
+KIND[0x41:0x5B] = KIND[0x61:0x7B] = KIND[0x80:] = LETTER
+#: Control characters, which the cut below leaves to the tokenizer.
+CONTROL = np.isin(np.arange(256), [*range(0x09), *range(0x0E, 0x20), 0x7F])
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -42,60 +52,161 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
-class WordEncoder:
-    """Little-endian 32-bit ids of a text, word by word.
+def cuts_like_this(description: dict) -> bool:
+    """Whether a tokenizer, as its file describes it, cuts texts as :class:`UnitEncoder` does."""
+    normalizer, pre = description.get("normalizer") or {}, description.get("pre_tokenizer") or {}
+    parts = pre.get("pretokenizers") or [{}]
+    return (
+        normalizer.get("normalizers") == NORMALIZERS
+        and [p.get("type") for p in parts] == ["Split", "ByteLevel"]
+        and parts[0].get("pattern") == {"Regex": PRE_TOKENS}
+        and (parts[0].get("behavior"), parts[0].get("invert")) == ("Removed", True)
+        and not parts[1].get("add_prefix_space")
+        and description.get("post_processor") is None
+        and description.get("truncation") is None
+        and all(t["content"].startswith("<|") and not t["normalized"] and " " not in t["content"] for t in description.get("added_tokens", []))
+    )
 
-    The tokenizer drops white space and never lets a token cross it, so a text's ids are its
-    words' ids one after the other; each new word is encoded once and remembered.
-    """
+
+class TextEncoder:
+    """Ids of whole texts by the tokenizer itself, for any tokenizer."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known, self.marks = Tokenizer.from_file(path), {}, {}
-
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHED_WORDS:
-            self.known.clear()
-        tokenize, rest = self.tokenizer.model.tokenize, []
-        for w in words:
-            found = LETTERS.fullmatch(w.decode("utf-8", "replace"))
-            if found is None:
-                rest.append(w)
-                continue
-            head, tail = found.groups()
-            ids = [t.id for t in tokenize(head.lower().encode().decode("latin-1").translate(BYTE_CHARS))]
-            self.known[w] = np.array(ids, dtype="<u4").tobytes() + (self.mark(tail) if tail else b"")
-        self.one_by_one(rest)
-
-    def mark(self, tail: str) -> bytes:
-        if tail not in self.marks:
-            self.marks[tail] = np.array(self.tokenizer.encode(tail, add_special_tokens=False).ids, dtype="<u4").tobytes()
-        return self.marks[tail]
-
-    def one_by_one(self, words: list[bytes]) -> None:
-        for w, e in zip(words, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in words], add_special_tokens=False)):
-            self.known[w] = np.array(e.ids, dtype="<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        split = [t.encode("utf-8", "replace").split() for t in texts]
-        new = {w for words in split for w in words if w not in self.known}
-        if new:
-            self.learn(new)
-            if any(w not in self.known for words in split for w in words):  # the memory was cleared
-                self.learn({w for words in split for w in words if w not in self.known})
-        known = self.known
-        for words in split:
-            yield b"".join([known[w] for w in words])
-
-
-_encoders: dict[str, WordEncoder] = {}
-
-
-def encoder(path: str) -> WordEncoder:
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, where each text's begin)."""
+        raw = data.tobytes()
+        texts = [raw[a:b].decode("utf-8", "replace") for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+        parts = [np.array(e.ids, dtype="<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return np.concatenate(parts) if parts else np.zeros(0, "<u4"), np.cumsum([0, *map(len, parts)])
+
+
+class UnitEncoder(TextEncoder):
+    """The same ids from remembered pre-tokens, looked up for a whole chunk at once.
+
+    Words of ASCII and Latin-1 letters, digits and marks are cut into pre-tokens by numpy; each
+    new pre-token goes through the tokenizer's model once. Words with anything else are units
+    that the whole tokenizer encodes. A unit is found by a hash and confirmed by its bytes.
+    """
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[int, int] = {}
+        self.slots = np.zeros(SLOTS, np.int32)
+        self.hashes, self.begin, self.size = np.zeros(1, np.uint64), np.zeros(1, np.int64), np.full(1, -1, np.int64)
+        self.id_begin, self.id_count = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.bytes, self.ids = np.zeros(0, np.uint8), np.zeros(0, "<u4")
+
+    def units(self, data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+        """(units of the texts, which of them are whole words for the tokenizer)."""
+        low = data.copy()
+        low[(data >= 0x41) & (data <= 0x5A)] += 0x20
+        kind = KIND[data]
+        words = split(data, offsets)
+        lead = data == 0xC3
+        odd = (data >= 0x80) | CONTROL[data]
+        if len(data):
+            after = lead[:-1] & (data[1:] >= 0x80) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+            odd[:-1] &= ~after
+            odd[1:] &= ~after
+            low[1:][after & (data[1:] < 0x9F)] += 0x20
+            odd[:-1] |= ((data[:-1] == 0x27) & (kind[1:] == LETTER)) | ((data[:-1] == 0x3C) & (data[1:] == 0x7C))
+        starts = kind > 0
+        starts[1:] &= (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        starts[words.start] = True
+        strange = np.unique(np.searchsorted(words.start, np.flatnonzero(odd), side="right") - 1)
+        for a, b in zip(words.start[strange].tolist(), words.end[strange].tolist()):
+            low[a:b] = data[a:b]
+            starts[a + 1 : b] = False
+        start = np.flatnonzero(starts)
+        end = np.empty_like(start)
+        end[:-1] = start[1:]
+        if len(start):
+            end[-1] = words.end[-1]
+            last = np.searchsorted(start, words.start[1:]) - 1  # the last unit of each word ends with it
+            end[last] = words.end[:-1]
+        whole = np.zeros(len(start), bool)
+        whole[np.searchsorted(start, words.start[strange])] = True
+        return Words(low, start, end, np.searchsorted(start, offsets)), whole
+
+    def learn(self, texts: list[str], whole: list[bool]) -> list[list[int]]:
+        """Ids of new units."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        model, plain = self.tokenizer.model.tokenize, [t for t, w in zip(texts, whole) if not w]
+        space = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(" ")[0][0]
+        cut = iter(ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(" ".join(plain))[0][0].split(space) if plain else ())
+        rest = iter(self.tokenizer.encode_batch_fast([t for t, w in zip(texts, whole) if w], add_special_tokens=False))
+        return [next(rest).ids if w else [t.id for t in model(next(cut))] for w in whole]
+
+    def find(self, words: Words, hashes: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The place of each unit, learning those that are new."""
+        slot = (hashes & U64(SLOTS - 1)).astype(np.int64)
+        at = self.slots[slot]
+        missed = np.flatnonzero(self.hashes[at] != hashes)
+        if not len(missed):
+            return at
+        values, first, which = np.unique(hashes[missed], return_index=True, return_inverse=True)
+        places = [self.place.get(h, 0) for h in values.tolist()]
+        fresh = [i for i, p in enumerate(places) if not p]
+        if fresh:
+            rows = missed[first[fresh]]
+            start, end = words.start[rows], words.end[rows]
+            raw = [words.data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist())]
+            ids = self.learn([r.decode("utf-8", "replace") for r in raw], whole[rows].tolist())
+            count = np.array(list(map(len, ids)), np.int64)
+            base = len(self.hashes)
+            for k, i in enumerate(fresh):
+                places[i] = base + k
+            self.place.update(zip(values[fresh].tolist(), range(base, base + len(fresh))))
+            self.hashes = np.concatenate((self.hashes, values[fresh]))
+            self.begin = np.concatenate((self.begin, len(self.bytes) + np.cumsum(end - start) - (end - start)))
+            self.size = np.concatenate((self.size, end - start))
+            self.id_begin = np.concatenate((self.id_begin, len(self.ids) + np.cumsum(count) - count))
+            self.id_count = np.concatenate((self.id_count, count))
+            self.bytes = np.concatenate((self.bytes, np.frombuffer(b"".join(raw), np.uint8)))
+            self.ids = np.concatenate((self.ids, np.array([i for x in ids for i in x], "<u4")))
+        places = np.array(places, np.int32)
+        self.slots[slot[missed]] = places[which]
+        at[missed] = places[which]
+        return at
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.hashes) > CACHED_UNITS:
+            self.clear()
+        words, whole = self.units(data, offsets)
+        at = self.find(words, words.hashes(), whole)
+        size = words.end - words.start
+        same = self.size[at] == size
+        if same.all():
+            same = self.bytes[spread(self.begin[at], size)] == words.data[spread(words.start, size)]
+        if not same.all():  # two units of one hash
+            return super().encode(data, offsets)
+        count = self.id_count[at]
+        return self.ids[spread(self.id_begin[at], count)], np.concatenate(([0], np.cumsum(count)))[words.first]
+
+
+def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """``begin[i], begin[i] + 1, ..`` of ``count[i]`` numbers, one after the other."""
+    ends = np.cumsum(count)
+    return np.repeat(begin - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
+_encoders: dict[str, TextEncoder] = {}
+
+
+def encoder(path: str) -> TextEncoder:
     """One encoder per Python worker."""
     if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
+        with open(path, encoding="utf-8") as f:
+            known = cuts_like_this(json.load(f))
+        _encoders[path] = (UnitEncoder if known else TextEncoder)(path)
     return _encoders[path]
 
 
@@ -109,25 +220,19 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            size = 0
-            begin = 0
-            texts = batch.column(1)
-            lengths = [0 if n is None else n for n in pa.compute.utf8_length(texts).to_pylist()]
-            for i, n in enumerate(lengths):
-                size += n
-                if size > 2_000_000 or i == len(lengths) - 1:
-                    yield from part(enc, batch.column(0).slice(begin, i + 1 - begin), texts.slice(begin, i + 1 - begin))
-                    begin, size = i + 1, 0
-
-    def part(enc: WordEncoder, ids: pa.Array, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+            for i, _, data, offsets in chunks(batch.column(1)):
+                ids, first = enc.encode(data, offsets)
+                yield part(batch.column(0), i, ids, first.tolist())
+
+    def part(doc_ids: pa.Array, i: int, ids: np.ndarray, first: list[int]) -> pa.RecordBatch:
         rows: list[tuple] = []
-        for k, raw in enumerate(enc.encode([t or "" for t in texts.to_pylist()])):
-            raw += tail
+        for k, (a, b) in enumerate(zip(first, first[1:])):
+            raw = ids[a:b].tobytes() + tail
             for p, start in enumerate(range(0, len(raw), 4 * capacity)):
                 cut = raw[start : start + 4 * capacity]
-                rows.append((k, p, start // 4, len(cut) // 4, cut))
-        k, piece, start, length, cut = zip(*rows) if rows else ((),) * 5
-        yield pa.RecordBatch.from_arrays([ids.take(pa.array(k, pa.int32())), *[pa.array(x, f.type) for x, f in zip((piece, start, length, cut), fields)]], names=["doc_id", *fields.names])
+                rows.append((i + k, p, start // 4, len(cut) // 4, cut))
+        k, *columns = zip(*rows)
+        return pa.RecordBatch.from_arrays([doc_ids.take(pa.array(k, pa.int32())), *[pa.array(x, f.type) for x, f in zip(columns, fields)]], names=["doc_id", *fields.names])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, piece int, start long, length long, ids binary")
 
@@ -167,18 +272,19 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES, salt: Column | None = None) -> DataFrame:
-    """``pieces`` (a column ``length`` of at most ``capacity``) plus ``sequence_id`` and gapless ``offset``."""
+    """``pieces`` (a column ``length`` of at most ``capacity``) plus ``sequence_id`` and gapless ``offset`` (columns with these names are replaced)."""
     ship(pieces.sparkSession)
-    pieces = stored(pieces, "pack-pieces")
-    groups = max(1, -(-pieces.count() // group_pieces))
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(*[c for c in pieces.columns if c not in ("length",)]), F.lit(groups)).cast("int") if salt is None else salt)
+    pieces = stored(pieces.drop("sequence_id", "offset"), "pack-pieces")
+    groups, group = max(1, -(-pieces.count() // group_pieces)), unused(pieces, "group")
+    # Of a stored table each row has one place, also if a task runs again.
+    dealt = pieces.withColumn(group, F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)).cast("int") if salt is None else salt)
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         sequence, offset = sum_of_squares(rows["length"].to_numpy(), capacity)
-        return rows.drop(columns="_group").assign(sequence_id=sequence * groups + key[0], offset=offset)
+        return rows.drop(columns=group).assign(sequence_id=sequence * groups + key[0], offset=offset)
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    return dealt.groupBy("_group").applyInPandas(run, f"{kinds}, sequence_id long, offset long")
+    return dealt.groupBy(group).applyInPandas(run, f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(packed: DataFrame) -> DataFrame:
