@@ -11,11 +11,14 @@ Copies share a fingerprint and are one class, so the join is between distinct fi
 
 Defined cases: a null or blank text has fingerprint 0 and links like any other; a null
 doc_id counts as larger than every other one; repeated rows get equal results; an empty
-table gives no rows. Only the named columns are read, extra ones cannot clash.
+table gives no rows. Only the named columns are read; where all of ``docs`` is returned, the
+columns used meanwhile get names that it does not have.
 """
 
 from __future__ import annotations
 
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -23,12 +26,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
-from stackloom.llm.common import connected_components, row_key, stored
+from stackloom.llm.common import connected_components, join_hot, row_key, stored, unused
 from stackloom.session import ship
 
 SHINGLE_WORDS, BITS, SEED = 4, 4, 42
 #: Values on one join key from which they are linked through hubs first.
 DENSE = 64
+#: Most choices of equal parts that a scheme has per start.
+MOST_CHOICES = 32
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
 
@@ -65,14 +70,37 @@ def cut(value: Column, offset: int, length: int) -> Column:
     return F.shiftrightunsigned(value, offset).bitwiseAND(F.lit((1 << length) - 1))
 
 
-def ring_keys(fp: Column, bits: int) -> Column:
-    """Array of ``struct(ring, a, b)``: per start the whole first segment ``a`` and, for one half of the second, its value ``b``."""
-    parts, keys = segments(bits), []
+#: Per scheme: how many segments after the first, into how many parts they are cut, how many parts are equal.
+SCHEMES = ((1, 2, 1), (2, 4, 2), (3, 6, 3))
+
+
+def scheme_for(n: int, bits: int) -> tuple[int, int, int]:
+    """The scheme whose keys are long enough that ``n`` spread fingerprints meet few others by chance.
+
+    From the ring's start ``k`` further segments differ in at most ``k`` bits, so of ``2 k`` parts
+    of them ``k`` are equal. All schemes find the same links.
+    """
+    for scheme in SCHEMES:
+        further, cut_in, equal = scheme
+        if further <= bits and n <= 1 << (int(64 / (bits + 1) * (1 + further * equal / cut_in)) + 1):
+            return scheme
+    return SCHEMES[min(bits, len(SCHEMES)) - 1] if bits else (0, 1, 0)
+
+
+def ring_keys(fp: Column, bits: int, scheme: tuple[int, int, int]) -> Column:
+    """Array of ``struct(ring, a, b)``: per start the whole first segment ``a`` and, for each choice of equal parts of the next ones, their values ``b``."""
+    parts, (further, cut_in, equal), keys = segments(bits), scheme, []
     for i, (offset, length) in enumerate(parts):
-        nxt, size = parts[(i + 1) % len(parts)]
-        half = size // 2
-        for j, (o, n) in enumerate(((nxt, half), (nxt + half, size - half))):
-            keys.append(F.struct(F.lit(2 * i + j).alias("ring"), cut(fp, offset, length).alias("a"), cut(fp, o, n).alias("b")))
+        pieces: list[tuple[int, int]] = []
+        for k in range(1, further + 1):
+            o, n = parts[(i + k) % len(parts)]
+            each = cut_in // further
+            pieces += [(o + n * j // each, n * (j + 1) // each - n * j // each) for j in range(each)]
+        for j, chosen in enumerate(combinations(pieces, equal)):
+            value = F.lit(0).cast("long")
+            for o, n in chosen:
+                value = F.shiftleft(value, n).bitwiseOR(cut(fp, o, n))
+            keys.append(F.struct(F.lit(i * MOST_CHOICES + j).alias("ring"), cut(fp, offset, length).alias("a"), value.alias("b")))
     return F.array(*keys)
 
 
@@ -83,26 +111,27 @@ def chains_fit(ring: Column, difference: Column, bits: int) -> Column:
         ok, total = F.lit(True), F.lit(0)
         for step in range(len(parts)):
             total = total + F.bit_count(cut(difference, *parts[(i + step) % len(parts)]))
-            ok = ok & (total <= step * bits // bits if bits else total <= 0)
-        fits = F.when(F.floor(ring / 2) == i, ok).otherwise(fits)
+            ok = ok & (total <= (step + 1) * bits // len(parts))
+        fits = F.when(F.floor(ring / MOST_CHOICES) == i, ok).otherwise(fits)
     return fits
 
 
-def keyed_prints(prints: DataFrame, bits: int) -> DataFrame:
-    return prints.select("fp", F.explode(ring_keys(F.col("fp"), bits)).alias("k")).select("fp", "k.*")
+def keyed_prints(prints: DataFrame, bits: int, scheme: tuple[int, int, int]) -> DataFrame:
+    return prints.select("fp", F.explode(ring_keys(F.col("fp"), bits, scheme)).alias("k")).select("fp", "k.*")
 
 
-def chosen_pairs(left: DataFrame, right: DataFrame, bits: int, more: Column) -> DataFrame:
+def chosen_pairs(left: DataFrame, right: DataFrame, bits: int, scheme: tuple[int, int, int], more: Column) -> DataFrame:
     """Pairs of ``left(ring, a, b, x)`` and ``right(ring, a, b, y)`` that pass the chains and the full distance."""
     difference = F.col("x").bitwiseXOR(F.col("y"))
     found = left.join(right, ["ring", "a", "b"]).where(more & chains_fit(F.col("ring"), difference, bits) & (F.bit_count(difference) <= bits))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def near_pairs(prints: DataFrame, bits: int = BITS) -> DataFrame:
+def near_pairs(prints: DataFrame, bits: int = BITS, scheme: tuple[int, int, int] | None = None) -> DataFrame:
     """Pairs ``(a, b)``, a < b, of the distinct values in ``prints(fp)`` that differ in at most ``bits`` bits."""
-    keyed = keyed_prints(prints, bits)
-    return chosen_pairs(keyed.withColumnRenamed("fp", "x"), keyed.withColumnRenamed("fp", "y"), bits, F.col("x") < F.col("y"))
+    scheme = scheme or scheme_for(prints.count(), bits)
+    keyed = keyed_prints(prints, bits, scheme)
+    return chosen_pairs(keyed.withColumnRenamed("fp", "x"), keyed.withColumnRenamed("fp", "y"), bits, scheme, F.col("x") < F.col("y"))
 
 
 def hub_links(prints: DataFrame) -> DataFrame:
@@ -124,49 +153,55 @@ def near_links(prints: DataFrame, bits: int = BITS, dense: int = DENSE) -> DataF
     hubs. On their keys only pairs of different groups are then compared, and only those
     outside the key's largest group with all others.
     """
-    key = ["ring", "a", "b"]
-    keyed = stored(keyed_prints(prints, bits), "simhash-keys")
-    crowded = keyed.groupBy(*key).count().where(F.col("count") > dense).select(*key)
-    rows = stored(keyed.join(crowded, key, "left_semi"), "simhash-crowded")
-    if bits < 2 or rows.isEmpty():
-        return near_pairs(prints, bits)
-    rare = keyed.join(crowded, key, "left_anti")
-    pairs = chosen_pairs(rare.withColumnRenamed("fp", "x"), rare.withColumnRenamed("fp", "y"), bits, F.col("x") < F.col("y"))
+    key, scheme = ["ring", "a", "b"], scheme_for(prints.count(), bits)
+    keyed = stored(keyed_prints(prints, bits, scheme), "simhash-keys")
+    crowded = stored(keyed.groupBy(*key).count().where(F.col("count") > dense), "simhash-crowded-keys")
+    if bits < 2 or crowded.isEmpty():
+        return chosen_pairs(keyed.withColumnRenamed("fp", "x"), keyed.withColumnRenamed("fp", "y"), bits, scheme, F.col("x") < F.col("y"))
+    total = keyed.count()
+    rows = stored(join_hot(keyed, crowded, key, "count", total, "left_semi"), "simhash-crowded")
+    total, rare = rows.count(), keyed.join(crowded, key, "left_anti")
+    pairs = chosen_pairs(rare.withColumnRenamed("fp", "x"), rare.withColumnRenamed("fp", "y"), bits, scheme, F.col("x") < F.col("y"))
     hubs = stored(hub_links(rows.select("fp").distinct()), "simhash-hubs")
     groups = connected_components(hubs, "simhash-groups")
-    grouped = rows.join(groups, rows.fp == groups.node, "left").select(*key, "fp", F.coalesce("component", "fp").alias("group"))
-    largest = grouped.groupBy(*key, "group").count().groupBy(*key).agg(F.max_by("group", F.struct("count", "group")).alias("largest"))
-    marked = grouped.join(largest, key)
+    grouped = stored(rows.join(groups, rows.fp == groups.node, "left").select(*key, "fp", F.coalesce("component", "fp").alias("group")), "simhash-grouped")
+    counts = grouped.groupBy(*key, "group").count().groupBy(*key).agg(F.max_by("group", F.struct("count", "group")).alias("largest"), F.sum("count").alias("count"), F.count("*").alias("groups"))
+    several = stored(counts.where("groups > 1").drop("groups"), "simhash-largest")  # keys of one group need no comparison
+    marked = stored(join_hot(grouped, several, key, "count", total), "simhash-marked")
     left = marked.select(*key, F.col("fp").alias("x"), F.col("group").alias("gx"), "largest").where("gx <> largest").drop("largest")
     right = marked.select(*key, F.col("fp").alias("y"), F.col("group").alias("gy"), "largest").withColumn("main", F.col("gy") == F.col("largest")).drop("largest")
-    others = chosen_pairs(left, right, bits, (F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))))
+    others = chosen_pairs(left, right, bits, scheme, (F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))))
     return pairs.union(hubs).union(others).distinct()
 
 
 def simhash_components(docs: DataFrame, bits: int = BITS) -> DataFrame:
-    """Rows ``doc_id, key, fp, root, component_id`` for every row of ``docs(doc_id, text)``.
+    """Rows ``doc_id, key, other, fp, root, component_id`` for every row of ``docs(doc_id, text)``; ``key`` and ``other`` are its ``row_key``.
 
     ``root`` is the smallest fingerprint reachable over links and names the group; component_id
     is the group's smallest doc_id, which other groups may share, as all whose ids are null do.
     """
     ship(docs.sparkSession)
-    light = stored(docs.select("doc_id", row_key("doc_id", "text")[0].alias("key"), fingerprints("text").alias("fp")), "simhash-prints")
-    classes = light.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    key, other = row_key("doc_id", "text")
+    light = stored(docs.select("doc_id", key.alias("key"), other.alias("other"), fingerprints("text").alias("fp")), "simhash-prints")
+    classes = stored(light.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("rows")), "simhash-classes")
     components = connected_components(near_links(classes.select("fp"), bits), "simhash-components")
     # A component's smallest doc_id, then per fingerprint.
-    merged = classes.join(components, classes.fp == components.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least")
-    best = merged.groupBy("root").agg(F.min("least").alias("component_id"))
-    merged = merged.join(best, "root").select("fp", "root", "component_id")
-    return light.join(merged, "fp").select("doc_id", "key", "fp", "root", "component_id")
+    merged = stored(classes.join(components, classes.fp == components.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least", "rows"), "simhash-roots")
+    best = merged.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    merged = stored(join_hot(merged, best, ["root"], "n", merged.count()).select("fp", "root", "rows", "component_id"), "simhash-merged")
+    return join_hot(light, merged, ["fp"], "rows", light.count()).select("doc_id", "key", "other", "fp", "root", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, bits: int = BITS) -> DataFrame:
     """One row of ``docs`` from each group, one whose doc_id is the group's smallest; of repeated rows one."""
-    marked = simhash_components(docs, bits)
-    chosen = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("key").alias("__keep")).select("__keep").distinct()
-    keyed = docs.withColumn("__keep", row_key("doc_id", "text")[0])
-    kept = keyed.join(stored(chosen, "simhash-kept"), "__keep", "left_semi")
-    twice = marked.groupBy("key").count().where("count > 1")
-    once = kept.join(twice.select(F.col("key").alias("__keep")), "__keep", "left_anti")
-    several = kept.join(twice.select(F.col("key").alias("__keep")), "__keep", "left_semi").dropDuplicates(["__keep"])
-    return once.union(several).drop("__keep")
+    marked = stored(simhash_components(docs, bits), "simhash-marked")
+    chosen = marked.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("key", "other")).alias("one"))
+    a, b = unused(docs, "key"), unused(docs, "other")
+    chosen = stored(chosen.select(F.col("one.key").alias(a), F.col("one.other").alias(b)).distinct(), "simhash-kept")
+    keys = row_key("doc_id", "text")
+    kept = docs.withColumns({a: keys[0], b: keys[1]}).join(chosen, [a, b], "left_semi")
+    twice = marked.groupBy("key", "other").count().where("count > 1").select(F.col("key").alias(a), F.col("other").alias(b))
+    # Rows that are there once need no sorting; of the others one is as good as another.
+    once = kept.join(twice, [a, b], "left_anti")
+    several = kept.join(twice, [a, b], "left_semi").dropDuplicates([a, b])
+    return once.union(several).drop(a, b)
