@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 NAME_WIDTH = 15
 HEADER = r"^([\s\S]{15})([\s\S]{15})-(\d+)-(\d+)-(-?\d+)\|([\s\S]*)$"
 SYSTEM, KERNEL_GROUP = "SYSTEM", "[kernel]"
-EXIT_TASK = "<exit task>"
+EXIT_TASK, ERR_COMM = "<exit task>", "<err read comm>"
 
 
 def generate_metadata(comm: Column, group_comm: Column, cgroup_id: Column, cpu: Column, pid: Column, env: Column) -> Column:
@@ -46,6 +46,12 @@ def select_env(environ: Column, keys: list[str], is_kthread: Column | None = Non
     return found if is_kthread is None else F.when(is_kthread, F.lit(SYSTEM)).otherwise(found)
 
 
+def process_name(name: Column, readable: Column | None = None) -> Column:
+    """The name of a process; a marker where it has ended, another where its name cannot be read."""
+    ended = F.coalesce(name, F.lit(EXIT_TASK))
+    return ended if readable is None else F.when(readable, ended).otherwise(F.lit(ERR_COMM))
+
+
 def group_name(group_comm: Column, is_kthread: Column) -> Column:
     return F.when(is_kthread, F.lit(KERNEL_GROUP)).otherwise(group_comm)
 
@@ -72,10 +78,7 @@ def export_labels(env: bool = True, group: bool = True, pid: bool = False, threa
 
 
 def viewer_labels(env: bool = False, cgroup: bool = False, cpu: bool = False, group: bool = False, pid: bool = False, comm: bool = False) -> Column:
-    """Labels in viewer order: env, ``CGID n``, ``CPU %4d``, then ``group:pid``, pid, group, and the thread name.
-
-    With only the thread name asked for, that is the one process label.
-    """
+    """Labels in viewer order: env, ``CGID n``, ``CPU %4d``, then ``group:pid``, the pid alone, or (with the name but no pid) the thread's name; ``comm`` adds the thread's name once more."""
     parts = [F.col("env")] if env else []
     if cgroup:
         parts.append(F.concat(F.lit("CGID "), F.col("cgroup_id").cast("string")))
@@ -86,7 +89,7 @@ def viewer_labels(env: bool = False, cgroup: bool = False, cpu: bool = False, gr
     elif pid:
         parts.append(F.col("pid").cast("string"))
     elif group:
-        parts.append(F.col("group_comm"))
+        parts.append(F.col("comm"))
     if comm:
         parts.append(F.col("comm"))
     return F.array(*parts) if parts else F.array().cast("array<string>")

@@ -6,20 +6,29 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions.frames import LOST_STRING
+from stackloom.session import stored
 
 
-def dense_ids(df: DataFrame, column: str, name: str, prefix: int = 4) -> DataFrame:
-    """Distinct values of a string column with ids from 1 in value order.
+def numbered(df: DataFrame, name: str, order: list[str] | None = None) -> DataFrame:
+    """``df`` with ids from 1 without gaps, in ``order`` if that is given.
 
-    Values are numbered within buckets of a common prefix; bucket sizes, one row per prefix,
-    give the offsets, so no task orders all values.
+    Rows are dealt to ranges and sorted there; ids count within a range from one offset per
+    range, so no task orders all rows and a common prefix makes no hot group.
     """
-    values = df.select(column).distinct().withColumn("_p", F.substring(column, 1, prefix))
-    sizes = values.groupBy("_p").agg(F.count("*").alias("_n"))
-    before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    numbered = values.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(column)))
-    return numbered.join(offsets, "_p").select(column, (F.col("_r") + F.col("_before")).cast("long").alias(name))
+    if order:
+        df = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = stored(df.withColumn("_at", F.monotonically_increasing_id()), "numbered")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    sizes = held.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    joined = held.join(F.broadcast(offsets), part == F.col("_part"))  # one row per partition
+    return joined.select(*df.columns, (row + F.col("_before") + 1).cast("long").alias(name))
+
+
+def dense_ids(df: DataFrame, column: str, name: str) -> DataFrame:
+    """Distinct values of a column with ids from 1 in value order."""
+    return numbered(df.select(column).distinct(), name, [column])
 
 
 def intern_strings(stacks: DataFrame) -> DataFrame:
@@ -27,18 +36,32 @@ def intern_strings(stacks: DataFrame) -> DataFrame:
     return dense_ids(stacks.select(F.explode(F.array_prepend("frames", F.col("meta"))).alias("str")), "str", "sid")
 
 
+def intern_stacks(stacks: DataFrame) -> DataFrame:
+    """Distinct ``stacks(meta, frames)`` with ``ids_id`` from 1; equality is on the whole list."""
+    return numbered(stacks.select("meta", "frames").distinct(), "ids_id", ["meta", "frames"])
+
+
 def encode_stacks(stacks: DataFrame, strings: DataFrame) -> DataFrame:
-    """Distinct ``stacks(meta, frames)`` as ``stack_hash, sids``; each distinct stack is encoded once."""
-    distinct = stacks.select("meta", "frames").distinct().withColumn("stack_hash", F.xxhash64("meta", "frames"))
-    parts = distinct.select("stack_hash", F.posexplode(F.array_prepend("frames", F.col("meta"))).alias("pos", "str"))
-    return parts.join(strings, "str").groupBy("stack_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda x: x["sid"]).alias("sids"))
+    """``stacks(ids_id, meta, frames)``, one row per id, as ``ids_id, sids``."""
+    parts = stacks.select("ids_id", F.posexplode(F.array_prepend("frames", F.col("meta"))).alias("pos", "str"))
+    return parts.join(strings, "str").groupBy("ids_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda x: x["sid"]).alias("sids"))
+
+
+def store_keys(*frames: DataFrame) -> list[str]:
+    """Which of ``host, store_id`` all frames have: ids and record numbers hold only within them."""
+    return [k for k in ("host", "store_id") if all(k in f.columns for f in frames)]
 
 
 def decode_stacks(encoded: DataFrame, strings: DataFrame, lost: str = "export") -> DataFrame:
-    """``encoded(stack_hash, sids)`` plus ``parts``, the strings in order; a lost id shows a marker (``export``) or is skipped (``viewer``)."""
-    parts = encoded.select("stack_hash", F.posexplode("sids").alias("pos", "sid")).join(strings, "sid", "left" if lost == "export" else "inner")
+    """``host, store_id, ids_id, parts`` for ``encoded(.., ids_id, sids)`` and ``strings(.., sid, str)``: the strings in order.
+
+    Where both have ``host`` and ``store_id``, ids are looked up within the same store. A lost id
+    shows a marker (``export``) or is skipped (``viewer``). Each stack is decoded once.
+    """
+    keys = store_keys(encoded, strings)
+    parts = encoded.select(*keys, "ids_id", F.posexplode("sids").alias("pos", "sid")).join(strings, [*keys, "sid"], "left" if lost == "export" else "inner")
     text = F.coalesce("str", F.lit(LOST_STRING))
-    return parts.groupBy("stack_hash").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("str")))), lambda x: x["str"]).alias("parts"))
+    return parts.groupBy(*keys, "ids_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("str")))), lambda x: x["str"]).alias("parts"))
 
 
 def dictionary_delta(new: DataFrame, old: DataFrame, key: str = "str") -> DataFrame:

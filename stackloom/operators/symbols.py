@@ -2,15 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: A symbol table up to this many rows is sent to all executors; larger ones are joined by sorting.
-BROADCAST_ROWS = 1_000_000
+from stackloom.operators.dictionary import numbered
 
 
 def symbol_text(ip: Column, addr: Column, sym: Column) -> Column:
@@ -40,39 +35,49 @@ def floor_join(points: DataFrame, table: DataFrame, point: str, start: str, keys
     return joined.select(*keys, F.col("_at").alias(point), *[row[c].alias(c) for c in extra])
 
 
-def resolve(ips: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``ip, symbol`` for distinct ``ips(ip)`` and ``symbols(addr, sym)``; of one address the last symbol counts.
+def last_of_address(symbols: DataFrame) -> DataFrame:
+    """One row per ``addr``: the one of the greatest ``line_no``, or of the greatest name where lines are not numbered."""
+    return symbols.groupBy("addr").agg((F.max_by("sym", "line_no") if "line_no" in symbols.columns else F.max("sym")).alias("sym"))
 
-    A table of checked size is searched in sorted arrays on the executors, a larger one by :func:`floor_join`.
-    """
-    if symbols.count() <= BROADCAST_ROWS:
-        held = symbols.orderBy("addr").toPandas()
-        addr, sym = held["addr"].to_numpy(np.int64), held["sym"].to_numpy(object)
-
-        def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for part in parts:
-                ip = part["ip"].to_numpy(np.int64)
-                at = np.searchsorted(addr, ip, side="right") - 1
-                yield pd.DataFrame({"ip": ip, "addr": [int(addr[i]) if i >= 0 else None for i in at], "sym": [sym[i] if i >= 0 else None for i in at]}).astype({"addr": "Int64"})
-
-        found = ips.select("ip").distinct().mapInPandas(run, "ip long, addr long, sym string")
-    else:
-        found = floor_join(ips.select("ip").distinct(), symbols.select("addr", "sym"), "ip", "addr")
+
+def resolve(ips: DataFrame, symbols: DataFrame) -> DataFrame:
+    """``ip, symbol`` for distinct ``ips(ip)`` and ``symbols(addr, sym, line_no?)``; of one address the last symbol counts."""
+    found = floor_join(ips.select("ip").distinct(), last_of_address(symbols), "ip", "addr")
     return found.select("ip", symbol_text(F.col("ip"), F.col("addr"), F.col("sym")).alias("symbol"))
 
 
 def half_open_intervals(table: DataFrame, start: str, keys: list[str] | None = None) -> DataFrame:
-    """``table`` plus ``stop``: the next start, or open (null) for the last."""
-    return table.withColumn("stop", F.lead(start).over(Window.partitionBy(*(keys or [F.lit(0)])).orderBy(start)))
+    """``table`` plus ``stop``: the next start (of the same ``keys``), or open (null) for the last.
+
+    Rows are numbered in order over ranges and joined with the next number, so no task orders a whole key.
+    """
+    order = [*(keys or []), start]
+    rows = numbered(table, "_n", order)
+    after = rows.select((F.col("_n") - 1).alias("_n"), *[F.col(k).alias(f"_{k}") for k in keys or []], F.col(start).alias("stop"))
+    same = F.lit(True)
+    for k in keys or []:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    return rows.join(after, "_n", "left").select(*table.columns, F.when(same, F.col("stop")).alias("stop"))
+
+
+def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: str, stop: str) -> DataFrame:
+    """``points`` with the row of ``intervals`` that holds them, ``start <= point < stop`` (null: no end); no match gives nulls."""
+    found = floor_join(points, intervals, point, start)
+    inside = F.col(stop).isNull() | (F.col(point) < F.col(stop))
+    return found.select(point, *[F.when(inside, F.col(c)).alias(c) for c in intervals.columns])
 
 
-def closed_interval_join(points: DataFrame, intervals: DataFrame, point: str, width: int) -> DataFrame:
+def closed_interval_join(points: DataFrame, intervals: DataFrame, point: str) -> DataFrame:
     """``points`` with the narrowest of the closed ``intervals(first, last, ..)`` that hold them; ties go to the smaller first, then map_id.
 
-    Both sides meet in bins of ``width``; an interval is in each bin it touches.
+    An interval lies in at most two cells of the power of two above its length, whatever that
+    is; a point is looked up once for each length class that occurs, at most 64.
     """
-    binned = intervals.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("first") / width), F.floor(F.col("last") / width))))
-    found = points.withColumn("_bin", F.floor(F.col(point) / width)).join(binned, "_bin").where((F.col("first") <= F.col(point)) & (F.col(point) <= F.col("last")))
+    levelled = intervals.withColumn("_level", F.length(F.bin(F.col("last") - F.col("first"))))
+    cells = F.array_distinct(F.array(F.expr("shiftright(first, _level)"), F.expr("shiftright(last, _level)")))
+    levels = F.broadcast(levelled.select("_level").distinct())  # at most 64 rows
+    placed = points.crossJoin(levels).withColumn("_cell", F.expr(f"shiftright({point}, _level)"))
+    found = placed.join(levelled.withColumn("_cell", F.explode(cells)), ["_level", "_cell"]).where((F.col("first") <= F.col(point)) & (F.col(point) <= F.col("last")))
     best = F.min(F.struct((F.col("last") - F.col("first")).alias("width"), "first", "map_id", "last")).alias("b")
     return found.groupBy(point).agg(best).select(point, "b.map_id", "b.first", "b.last")
 
@@ -86,7 +91,7 @@ def generations(samples: DataFrame, exits: DataFrame) -> DataFrame:
 
 def snapshot_changes(snapshots: DataFrame, order: str, keys: list[str], content: list[str]) -> DataFrame:
     """Per key and snapshot whether its content differs from the one before; compares order-free digests."""
-    digests = snapshots.groupBy(*keys, order).agg(F.bit_xor(F.xxhash64(*content)).alias("_d"), F.count("*").alias("_n"))
+    digests = snapshots.groupBy(*keys, order).agg(F.sum(F.xxhash64(*content).cast("decimal(38,0)")).alias("_d"), F.count("*").alias("_n"))
     before = Window.partitionBy(*keys).orderBy(order)
     same = (F.lag("_d").over(before) == F.col("_d")) & (F.lag("_n").over(before) == F.col("_n"))
     return digests.select(*keys, order, F.col("_n").alias("n_symbols"), (~F.coalesce(same, F.lit(False))).alias("changed"))

@@ -24,8 +24,8 @@ def j1s(spark, d):
 
 @query("j2_half_open_intervals", with_views(", t as (select addr, least(addr + 500, coalesce(lead(addr) over (order by addr), addr + 500)) as stop, sym from symbols) select ip, case when ip < stop then sym end as sym from ips asof left join t on ip >= addr", "ips", "symbols"))
 def j2(spark, d):
-    found = sym.floor_join(ips(spark, d), symbols(spark, d).withColumn("stop", F.col("addr") + 500), "ip", "addr")
-    return found.select("ip", F.when(F.col("ip") < F.col("stop"), F.col("sym")).alias("sym"))
+    table_ = sym.half_open_intervals(symbols(spark, d), "addr").withColumn("stop", F.least("stop", F.col("addr") + 500))
+    return sym.interval_join(ips(spark, d), table_, "ip", "addr", "stop").select("ip", "sym")
 
 
 POINTS = ", points as (select distinct l_orderkey + l_linenumber as p from lineitem)"
@@ -34,7 +34,7 @@ POINTS = ", points as (select distinct l_orderkey + l_linenumber as p from linei
 @query("j3_closed_intervals", with_views(POINTS + ", hit as (select p, map_id, first, last, row_number() over (partition by p order by last - first, first, map_id) as r from points join maps on p between first and last) select cast(p as bigint) as p, map_id, first, last from hit where r = 1", "maps"))
 def j3(spark, d):
     points = table(spark, d, "lineitem").select((F.col("l_orderkey") + F.col("l_linenumber")).cast("long").alias("p")).distinct()
-    return sym.closed_interval_join(points, maps(spark, d), "p", 64)
+    return sym.closed_interval_join(points, maps(spark, d), "p")
 
 
 @query("j4_address_module", with_views(", m as (select cast(l_partkey as bigint) % 5 as pid, 0 as z), q as (select distinct ip % 3 as pid, ip from ips), t as (select addr % 2000 // 1000 as pid, addr, sym from symbols) select q.pid, ip, coalesce(case when ip < addr + 900 then sym end, 'anon exec segment') as module from q asof left join t on q.pid = t.pid and ip >= addr", "ips", "symbols").replace("m as (select cast(l_partkey as bigint) % 5 as pid, 0 as z), ", ""))

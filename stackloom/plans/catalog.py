@@ -21,7 +21,7 @@ def query(name: str, sql: str | None = None) -> Callable:
 
 
 def load() -> None:
-    from stackloom.plans import address, aggregate, decode, history, stream, timeline  # noqa: F401
+    from stackloom.plans import address, aggregate, decode, history, stores, stream, timeline  # noqa: F401
 
 
 load()

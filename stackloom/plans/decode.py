@@ -30,15 +30,17 @@ def d1(spark, d):
     return dictionary.intern_strings(with_meta(spark, d))
 
 
-@query("d2_intern_stacks", with_views(METAS + " select array_to_string(list_prepend(meta, frames), ';') as stack, count(*) as uses from metas group by 1", "samples"))
+@query("d2_intern_stacks", with_views(METAS + ", uses as (select meta, frames, count(*) as uses from metas group by 1, 2) select array_to_string(list_prepend(meta, frames), ';') as stack, uses, cast(row_number() over (order by meta, frames) as bigint) as ids_id from uses", "samples"))
 def d2(spark, d):
-    return with_meta(spark, d).groupBy("meta", "frames").agg(F.count("*").alias("uses")).select(stack_text(F.array_prepend("frames", F.col("meta"))).alias("stack"), "uses")
+    s = with_meta(spark, d)
+    uses = s.groupBy("meta", "frames").agg(F.count("*").alias("uses"))
+    return uses.join(dictionary.intern_stacks(s), ["meta", "frames"]).select(stack_text(F.array_prepend("frames", F.col("meta"))).alias("stack"), "uses", "ids_id")
 
 
 def encoded(spark, d):
     s = with_meta(spark, d)
     strings = dictionary.intern_strings(s)
-    return dictionary.encode_stacks(s, strings), strings
+    return dictionary.encode_stacks(dictionary.intern_stacks(s), strings), strings
 
 
 @query("d3_decode_stacks", with_views(METAS + " select distinct array_to_string(list_prepend(meta, frames), ';') as stack from metas", "samples"))
@@ -123,8 +125,13 @@ def m5(spark, d):
 
 @query("m6_process_name", with_views(" select sample_id, coalesce(c_name, '<exit task>') as name from samples left join (select c_custkey, min(c_name) as c_name from customer group by 1) c on c_custkey = pid", "samples"))
 def m6(spark, d):
-    names = table(spark, d, "customer").groupBy(F.col("c_custkey").cast("long").alias("pid")).agg(F.min("c_name").alias("name"))
-    return samples(spark, d).join(names, "pid", "left").select("sample_id", F.coalesce("name", F.lit(metadata.EXIT_TASK)).alias("name"))
+    names = table(spark, d, "customer").groupBy(F.col("c_custkey").cast("long").alias("pid")).agg(F.min("c_name").alias("c_name"))
+    return samples(spark, d).join(names, "pid", "left").select("sample_id", metadata.process_name(F.col("c_name")).alias("name"))
+
+
+@query("m6_process_name_unreadable", with_views(" select sample_id, case when k % 4 = 0 then '<err read comm>' when pid % 3 = 0 then '<exit task>' else comm end as name from samples", "samples"))
+def m6u(spark, d):
+    return samples(spark, d).select("sample_id", metadata.process_name(F.when(F.col("pid") % 3 != 0, F.col("comm")), F.col("k") % 4 != 0).alias("name"))
 
 
 @query("m7_export_labels", with_views(" select sample_id, env || ';' || group_comm || ':' || pid || ';' || comm as label from samples", "samples"))
@@ -137,6 +144,17 @@ def m8(spark, d):
     return samples(spark, d).select("sample_id", stack_text(metadata.viewer_labels(env=True, cgroup=True, cpu=True, group=True, pid=True, comm=True)).alias("label"))
 
 
+TOGGLES = ("env", "cgroup", "cpu", "group", "pid", "comm")
+
+
+@query("m8_viewer_toggles", with_views(", t as (select unnest(range(0, 64)) as t), one as (select env, cgroup_id, cpu, group_comm, pid, comm, count(*) as n from samples group by all) select t as toggles, array_to_string(list_filter([case when t & 1 > 0 then env end, case when t & 2 > 0 then 'CGID ' || cgroup_id end, case when t & 4 > 0 then 'CPU ' || lpad(cast(cpu as varchar), 4, ' ') end, case when t & 16 > 0 and t & 8 > 0 then group_comm || ':' || pid when t & 16 > 0 then pid::varchar when t & 8 > 0 then comm end, case when t & 32 > 0 then comm end], lambda x: x is not null), ';') as label, cast(sum(n) as bigint) as n from one, t group by 1, 2", "samples"))
+def m8t(spark, d):
+    s = samples(spark, d).groupBy("env", "cgroup_id", "cpu", "group_comm", "pid", "comm").agg(F.count("*").alias("n"))
+    each = [F.struct(F.lit(t).cast("long").alias("toggles"), stack_text(metadata.viewer_labels(**{name: bool(t >> i & 1) for i, name in enumerate(TOGGLES)})).alias("label")) for t in range(64)]
+    rows = s.select("n", F.explode(F.array(*each)).alias("t")).select("t.toggles", "t.label", "n")
+    return rows.groupBy("toggles", "label").agg(F.sum("n").cast("long").alias("n"))
+
+
 @query("f1_viewer_filters", with_views(" select sample_id from samples where cpu in (0, 1, 2, 3) and env = 'pod-2' and group_comm <> 'app3'", "samples"))
 def f1(spark, d):
     chosen = filters.ViewerFilter().set("cpu 0-3").set("pod pod-2").set("commv app3")
@@ -159,6 +177,14 @@ def f4(spark, d):
     return cpuset.format_cpu_set(samples(spark, d), ["pid"])
 
 
+@query("f5_filter_commands", with_views(" select sample_id from samples where cpu in (0, 1, 2, 3) and group_comm <> 'app3' and pid <> 17", "samples"))
+def f5(spark, d):
+    chosen = filters.ViewerFilter()
+    for command in ("cpu 0-3", "pod pod-2", "commv app3", "pidv 17"):
+        chosen = chosen.set(command)
+    return samples(spark, d).where(chosen.unset("pod").condition()).select("sample_id")
+
+
 @query("f6_kernel_only", with_views(" select sample_id from samples where array_to_string(frames, ';') like '%\\_[k]%' escape '\\'", "samples"))
 def f6(spark, d):
     return samples(spark, d).where(frames.has_kernel(F.col("frames"))).select("sample_id")
@@ -213,6 +239,19 @@ def n2(spark, d):
     return table(spark, d, "part").select("p_partkey", frames.strip_templates(raw).alias("name"))
 
 
+@query("n2_strip_templates_deep", "select p_partkey, case when p_partkey % 2 = 0 then 'a::b' || p_name else repeat('a<', 20) || p_name || repeat('>', 19) end as name from part")
+def n2d(spark, d):
+    deep = F.concat(F.repeat(F.lit("a<"), 20), "p_name", F.repeat(F.lit(">"), 19))
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(deep, F.lit(">::b"), "p_name")).otherwise(deep)
+    return table(spark, d, "part").select("p_partkey", frames.strip_templates(raw).alias("name"))
+
+
+@query("n3_strip_templates_plain", "select p_partkey, case when p_partkey % 2 = 0 then p_name || 'd>e' else 'operator' end as name from part")
+def n3(spark, d):
+    raw = F.when(F.col("p_partkey") % 2 == 0, F.concat("p_name", F.lit("<b<c>>d>e"))).otherwise(F.concat(F.lit("operator<<"), "p_name"))
+    return table(spark, d, "part").select("p_partkey", frames.strip_templates_plain(raw).alias("name"))
+
+
 @query("n4_collapse_hex", "select p_partkey, case when p_partkey % 2 = 0 then '<...> [' || p_brand || ']' else '0xZZ ' || p_brand end as frame from part")
 def n4(spark, d):
     raw = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.lit(" 0x"), F.lower(F.hex("p_partkey")), F.lit(" lost ["), "p_brand", F.lit("] more"))).otherwise(F.concat(F.lit("0xZZ "), "p_brand"))
@@ -227,7 +266,7 @@ def n5(spark, d):
 @query("n6_normalize_frame", with_views(" select sample_id, array_to_string(frames, ';') || case when k % 2 = 0 then ';<...> [libc.so.6]' else ';<# IRQOFF SAMPLE ON CPU <...> #>' end as stack from samples", "samples"))
 def n6(spark, d):
     extra = F.when(F.col("k") % 2 == 0, F.concat(F.lit("  0x"), F.lower(F.hex("k")), F.lit(" [libc.so.6]"))).otherwise(F.concat(F.lit("<# IRQOFF SAMPLE ON CPU "), F.col("cpu").cast("string"), F.lit(" #> ")))
-    return samples(spark, d).select("sample_id", stack_text(F.transform(F.concat("frames", F.array(extra)), frames.normalize_frame)).alias("stack"))
+    return samples(spark, d).select("sample_id", stack_text(F.transform(F.concat("frames", F.array(extra)), lambda f: frames.normalize_frame(f))).alias("stack"))
 
 
 @query("n7_render_user_frame", "select p_partkey, case when p_partkey % 4 = 0 then p_name when p_partkey % 4 = 1 then p_name || ' [/lib/' || p_brand || ']' when p_partkey % 4 = 2 then '0x' || lower(to_hex(p_partkey)) || ' [' || p_brand || ']' else '0x' || lower(to_hex(p_partkey)) || ' [anon exec segment]' end as frame from part")
@@ -267,11 +306,21 @@ def n12(spark, d):
     return samples(spark, d).select("sample_id", frames.null_default(F.when(F.col("k") % 2 == 0, F.lit("null")).otherwise(F.col("env"))).alias("env"))
 
 
-@query("n1_demangle")
+@query("n1_demangle", "select p_partkey, case when p_partkey % 7 = 0 then 'ns::' || n || '+12' when p_partkey % 7 = 1 then n || ' [lib.so]' when p_partkey % 7 = 2 then 'std::' || n || '::find' when p_partkey % 7 = 3 then n || '::~' || n when p_partkey % 7 = 4 then 'ns::' || n || '::operator<<' when p_partkey % 7 = 5 then '_Zq' || n else n end as name from (select p_partkey, 'n_' || regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') as n from part)")
 def n1(spark, d):
-    parts = table(spark, d, "part").select("p_brand").distinct().withColumn("name", F.regexp_replace("p_brand", "[^A-Za-z0-9]", "_"))
-    symbol = F.concat(F.lit("_ZN2ns"), F.length("name").cast("string"), "name", F.lit("EPKci"))
-    return parts.select(symbol.alias("symbol"), frames.demangle(symbol).alias("demangled"))
+    parts = table(spark, d, "part").withColumn("n", F.concat(F.lit("n_"), F.regexp_replace("p_name", "[^A-Za-z0-9]", "_")))
+    n = F.concat(F.length("n").cast("string"), F.col("n"))
+    kinds = [
+        F.concat(F.lit("_ZN2ns"), n, F.lit("EPKci+12")),
+        F.concat(F.lit("_Z"), n, F.lit("IiSt6vectorIiSaIiEEEvT_RKT0_ [lib.so]")),
+        F.concat(F.lit("_ZNKSt"), n, F.lit("IcLi3EE4findERKS0_")),
+        F.concat(F.lit("_ZN"), n, F.lit("D2Ev")),
+        F.concat(F.lit("_ZN2ns"), n, F.lit("lsERSoN2ns1aIbEE")),
+        F.concat(F.lit("_Zq"), "n"),
+        F.col("n"),
+    ]
+    symbol = F.element_at(F.array(*kinds), (F.col("p_partkey") % 7 + 1).cast("int"))
+    return parts.select("p_partkey", frames.demangle(symbol).alias("name"))
 
 
 @query("s9_folded_lines", with_views(" select array_to_string(list_concat([env, group_comm], frames), ';') || '; ' || cast(sum(cnt) as bigint) as value from samples group by env, group_comm, frames", "samples"))
@@ -282,11 +331,10 @@ def s9(spark, d):
 @query("j5_fact_dictionary_join", with_views(METAS + ", facts as (select meta, frames, cast(sum(cnt) as bigint) as n from metas group by meta, frames) select meta, array_to_string(frames, ';') as stack, n from facts", "samples"))
 def j5(spark, d):
     s = with_meta(spark, d)
-    strings = dictionary.intern_strings(s)
-    stacks = dictionary.decode_stacks(dictionary.encode_stacks(s, strings), strings)
-    facts = s.groupBy(F.xxhash64("meta", "frames").alias("stack_hash")).agg(F.sum("cnt").cast("long").alias("n"))
-    joined = facts.join(stacks, "stack_hash")
-    return joined.select(F.col("parts")[0].alias("meta"), stack_text(F.slice("parts", F.lit(2), F.size("parts"))).alias("stack"), "n")
+    strings, stacks = dictionary.intern_strings(s), dictionary.intern_stacks(s)
+    parts = dictionary.decode_stacks(dictionary.encode_stacks(stacks, strings), strings)
+    facts = s.groupBy("meta", "frames").agg(F.sum("cnt").cast("long").alias("n")).join(stacks, ["meta", "frames"]).select("ids_id", "n")
+    return facts.join(parts, "ids_id").select(F.col("parts")[0].alias("meta"), stack_text(F.slice("parts", F.lit(2), F.size("parts"))).alias("stack"), "n")
 
 
 @query("j6_semi_anti_join", with_views(" select (select count(*) from samples where pid in (select c_custkey from customer)) as known, (select count(*) from samples where pid not in (select c_custkey from customer)) as unknown", "samples"))

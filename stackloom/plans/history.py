@@ -11,13 +11,15 @@ from stackloom.sources.views import samples, stores, with_views
 
 @query("r8_union_of_stores", with_views(" select array_to_string(frames, ';') as stack, count(distinct host) as hosts, cast(sum(cnt) as bigint) as samples from samples group by 1", "samples"))
 def r8(spark, d):
-    s = samples(spark, d).select("host", "frames", "cnt")
-    parts = [s.where(F.col("host") == h) for h in ("h0", "h1", "h2", "h3")]
-    whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
-    sums = whole.groupBy("frames", "host").agg(F.sum("cnt").alias("cnt")).groupBy("frames").agg(F.count("*").alias("hosts"), F.sum("cnt").cast("long").alias("samples"))
+    sums = samples(spark, d).groupBy("frames", "host").agg(F.sum("cnt").alias("cnt")).groupBy("frames").agg(F.count("*").alias("hosts"), F.sum("cnt").cast("long").alias("samples"))
     return sums.select(F.array_join("frames", ";").alias("stack"), "hosts", "samples")
 
 
+@query("r11_store_names", with_views(" select sample_id, 'cpa_' || strftime(ts, '%y%m%d') || case when k % 2 = 0 then '_start_' || strftime(ts, '%H%M%S') else '' end as name from samples", "samples"))
+def r11(spark, d):
+    return samples(spark, d).select("sample_id", history.store_name(F.col("ts"), F.col("ts"), F.col("k") % 2 == 0).alias("name"))
+
+
 @query("r9_day_retention", with_views(", d as (select cast(ts as date) as day, count(*) as n from samples group by 1) select strftime(day, '%Y-%m-%d') as day, n, day < (select max(day) from d) - 7 as expired from d", "samples"))
 def r9(spark, d):
     days = samples(spark, d).groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"))

@@ -41,12 +41,57 @@ def t3(spark, d):
 
 @query("t4_record_at", with_views(RECORDS_MS + " select coalesce((select min(record_idx) from r where end_ms >= 100000000), (select max(record_idx) from r)) as record_idx", "records"))
 def t4(spark, d):
-    return records_ms(spark, d).agg(F.coalesce(F.min(F.when(F.col("end_ms") >= 100000000, F.col("record_idx"))), F.max("record_idx")).alias("record_idx"))
+    return timeline.record_at(records_ms(spark, d), 100_000_000)
 
 
 @query("t5_range_end", with_views(RECORDS_MS + " select count(*) filter (where start_ms < 100000000) as range_end from r", "records"))
 def t5(spark, d):
-    return records_ms(spark, d).agg(F.count_if(F.col("start_ms") < 100000000).alias("range_end"))
+    return timeline.range_end(records_ms(spark, d), 100_000_000)
+
+
+#: Records of several stores with the same names on several hosts.
+BY_STORE = "with r as (select 'h' || cast(o_custkey % 4 as varchar) as host, 'cpa_' || cast(o_custkey // 4 % 10 as varchar) as store_id, row_number() over (partition by o_custkey % 4, o_custkey // 4 % 10 order by o_orderkey) as record_idx, o_orderkey as start_ms, o_orderkey + o_orderkey % 3 as end_ms, o_orderkey % 2 as entry_len from orders)"
+
+
+def store_records(spark, d):
+    from pyspark.sql import Window
+
+    number = F.floor(F.col("o_custkey") / 4) % 10
+    keyed = table(spark, d, "orders").select(F.concat(F.lit("h"), (F.col("o_custkey") % 4).cast("string")).alias("host"), F.concat(F.lit("cpa_"), number.cast("string")).alias("store_id"), F.col("o_orderkey").cast("long").alias("start_ms"))
+    index = F.row_number().over(Window.partitionBy("host", "store_id").orderBy("start_ms")).cast("long")
+    return keyed.select("host", "store_id", index.alias("record_idx"), "start_ms", (F.col("start_ms") + F.col("start_ms") % 3).alias("end_ms"), (F.col("start_ms") % 2).alias("entry_len"))
+
+
+@query("s7_clean_records_by_host", BY_STORE + " select host, store_id, record_idx, cast(start_ms as bigint) as start_ms, cast(end_ms as bigint) as end_ms from (select *, max(record_idx) over (partition by host, store_id) as last from r) where record_idx < last and not (entry_len = 0 and start_ms = end_ms)")
+def s7h(spark, d):
+    return timeline.clean_records(store_records(spark, d)).drop("entry_len")
+
+
+@query("t4_record_at_by_store", BY_STORE + " select host, store_id, coalesce(min(record_idx) filter (where end_ms >= 5000), max(record_idx)) as record_idx from r group by 1, 2")
+def t4s(spark, d):
+    return timeline.record_at(store_records(spark, d), 5000)
+
+
+@query("t6_select_range_by_store", BY_STORE + ", b as (select host, store_id, coalesce(min(record_idx) filter (where end_ms >= 5000), max(record_idx)) as a, count(*) filter (where start_ms < 9000) as z from r group by 1, 2) select host, store_id, record_idx, cast(start_ms as bigint) as start_ms, cast(end_ms as bigint) as end_ms from r join b using (host, store_id) where record_idx >= a and record_idx < greatest(z, a + 1)")
+def t6s(spark, d):
+    return timeline.select_range(store_records(spark, d), 9000, 5000).drop("entry_len")
+
+
+@query("t8_time_range_by_store", BY_STORE + " select host, store_id, cast(min_by(start_ms, record_idx) as bigint) as first_ms, cast(max_by(end_ms, record_idx) as bigint) as last_ms, count(*) as n_records, cast(max_by(end_ms, record_idx) - min_by(start_ms, record_idx) as bigint) as duration_ms from r group by 1, 2")
+def t8s(spark, d):
+    return timeline.time_range(store_records(spark, d))
+
+
+@query("t2_parse_range", with_views(RECORDS_MS + " select * from r where record_idx >= 27 and record_idx < 56", "records"))
+def t2(spark, d):
+    return timeline.select_range(records_ms(spark, d), *timefmt.parse_range("55:33:20..27:46:40"))
+
+
+@query("t9_shift_window", with_views(RECORDS_MS + " select * from r where record_idx >= 55 and record_idx < 84", "records"))
+def t9(spark, d):
+    r = records_ms(spark, d)
+    span = r.agg(F.min("start_ms").alias("a"), F.max("end_ms").alias("b")).first()
+    return timeline.select_range(r, *timeline.shift_window(100_000_000, 200_000_000, span.a, span.b, True))
 
 
 @query("t6_select_range", with_views(RECORDS_MS + " select * from r where record_idx >= 27 and record_idx < 56", "records"))
@@ -85,10 +130,17 @@ def t12(spark, d):
     return samples(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
 
 
-@query("t13_format_duration", with_views(" select sample_id, case when k < 100 then k || 'ms' else printf('%.2fs', k * 64 / 1000.0::double) end as text from samples where k * 64 < 60000", "samples"))
+@query("t13_format_duration", with_views(" select sample_id, case when k < 100 then k || 'ms' when k * 640 < 60000 then printf('%.2fs', k * 640 / 1000.0::double) else printf('%.1fs', k * 640 / 1000.0::double) end as text from samples", "samples"))
 def t13(spark, d):
-    ms = F.when(F.col("k") < 100, F.col("k")).otherwise(F.col("k") * 64)
-    return samples(spark, d).where("k * 64 < 60000").select("sample_id", timefmt.format_duration(ms).alias("text"))
+    ms = F.when(F.col("k") < 100, F.col("k")).otherwise(F.col("k") * 640)
+    return samples(spark, d).select("sample_id", timefmt.format_duration(ms).alias("text"))
+
+
+@query("t11_record_times", with_views(", c as (select sample_id, host, epoch_us(ts) // 1000 % 86400000 as now_ms, epoch_us(ts) * 1000 as ns, cast(ts as date) as day from samples), a as (select *, first_value(now_ms) over w as a_ms, first_value(ns) over w as a_ns from c window w as (partition by host, day order by ns, sample_id)) select sample_id, cast(case when a_ms + (ns - a_ns) // 1000000 < 86400000 then a_ms + (ns - a_ns) // 1000000 else now_ms end as bigint) as record_ms from a", "samples"))
+def t11r(spark, d):
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    s = samples(spark, d).select("sample_id", "host", (F.floor(us / 1000) % 86400000).cast("long").alias("now_ms"), (us * 1000).alias("ns"))
+    return timeline.record_times(s, ["host"]).select("sample_id", "record_ms")
 
 
 CURVE = f", c as (select date_trunc('hour', ts) as record_ts, sum(cnt) as a, sum(case when comm = 'error' then cnt else 0 end) as s from samples where cpu < 2 group by 1), curve as (select cast(record_idx as bigint) as record_idx, round(coalesce(a, 0) / {FREQ * RECORD_INTERVAL}.0::double, 9) as cpu, round(coalesce(s, 0) / {FREQ * RECORD_INTERVAL}.0::double, 9) as sys from records left join c using (record_ts))"

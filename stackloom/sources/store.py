@@ -2,23 +2,32 @@
 
 A store holds ``conf`` (``key: value`` lines), ``strmap`` (``<string> <id>``), ``idsmap``
 (``<sid>;<sid>; <id>``) and ``stack.bin`` (binary records); the last three may be zstd frames,
-many in a row, the last one cut. Files are streamed, one task each. ``store_id`` is the
-directory's name, ``host`` the name of the directory above.
+many in a row, the last one cut. ``store_id`` is the directory's name, ``host`` the name of the
+directory above.
+
+:func:`load_stores` reads any file system that Spark reads; a file is one row of one task there,
+so it may have up to 2 GB. :class:`StoreSource` streams files of any size, but only from folders
+that the executors can open as files, as the writers of the binary files need them too.
 """
 
 from __future__ import annotations
 
 import io
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stackloom.functions.frames import LOST_STRING
+from stackloom.functions.timefmt import DAY_MS
 from stackloom.operators.history import store_time
+from stackloom.session import stored
 
 FILES = ("conf", "strmap", "idsmap", "stack.bin")
 ZSTD = b"\x28\xb5\x2f\xfd"
@@ -40,9 +49,11 @@ def discover_stores(spark: SparkSession, root: str) -> DataFrame:
     return whole.select("host", "store_id", store_time(F.col("store_id")).alias("created"), "bytes")
 
 
-def read_conf(spark: SparkSession, path: str) -> DataFrame:
+def read_conf(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """``host, store_id, raw, cpu_num, freq, record_interval``: split at the first colon, the last of a repeated key counts."""
-    lines = located(spark.read.text(path).select("value", F.col("_metadata.file_path").alias("path"))).withColumn("_n", F.monotonically_increasing_id())
+    # A conf is one row, as a file is, so the order of its lines is known.
+    whole = located((reader or spark.read).option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("path")))
+    lines = whole.select("host", "store_id", F.posexplode(F.split("value", "\r?\n")).alias("_n", "value"))
     parts = F.split("value", ":", 2)
     pairs = lines.where(F.col("value").contains(":")).select("host", "store_id", "_n", F.trim(parts[0]).alias("k"), F.trim(parts[1]).alias("v")).where("k <> ''")
     last = pairs.groupBy("host", "store_id", "k").agg(F.max_by("v", "_n").alias("v"))
@@ -161,19 +172,93 @@ def read_stack_bin(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
                 if held:
                     yield pd.concat(held)
 
-    rows = _contents(spark, path, "stack.bin").mapInPandas(run, "host string, store_id string, record_idx int, start_ms long, end_ms long, ids_id long, count long")
+    schema = "host string, store_id string, record_idx int, start_ms long, end_ms long, ids_id long, count long"
+    rows = stored(_contents(spark, path, "stack.bin").mapInPandas(run, schema), "stack-bin")  # files are walked once for both results
     records = rows.where("ids_id = -1").select("host", "store_id", "record_idx", "start_ms", "end_ms", F.col("count").alias("entry_len"))
     return records, rows.where("ids_id <> -1").select("host", "store_id", "record_idx", F.col("ids_id").cast("int").alias("ids_id"), "count")
 
 
+@dataclass
+class Stores:
+    """Tables of any number of stores; ids and record numbers hold within ``host, store_id``."""
+
+    conf: DataFrame
+    strmap: DataFrame
+    idsmap: DataFrame
+    records: DataFrame
+    counts: DataFrame
+
+
+def load_stores(spark: SparkSession, path: str) -> Stores:
+    """All stores below ``path`` (a folder of hosts, of stores, or one store; globs are allowed)."""
+    conf = spark.read.option("pathGlobFilter", "conf").option("recursiveFileLookup", "true")
+    return Stores(read_conf(spark, path, conf), read_strmap(spark, path), read_idsmap(spark, path), *read_stack_bin(spark, path))
+
+
 def record_bytes(start_ms: int, end_ms: int, entries: list[tuple[int, int]]) -> bytes:
     return HEAD + np.array([start_ms, end_ms, len(entries)], "<u8").tobytes() + np.array(entries, ENTRY).tobytes() + FOOT
 
 
+def with_guards(records: DataFrame) -> DataFrame:
+    """``records`` plus a guard after each store's last record: no entries, start and end at its end. None is written after 24 hours."""
+    last = records.groupBy("host", "store_id").agg(F.max("record_idx").alias("record_idx"), F.max_by("end_ms", "record_idx").alias("end_ms")).where(F.col("end_ms") < DAY_MS)
+    kinds = {f.name: f.dataType for f in records.schema}
+    guard = {"record_idx": F.col("record_idx") + 1, "start_ms": F.col("end_ms"), "entry_len": F.lit(0)}
+    return records.unionByName(last.select(*[guard.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in records.columns]))
+
+
+def _write_files(rows: DataFrame, path: str, file: str, encode: Callable[[pd.DataFrame], Iterator[bytes]], zstd: bool) -> DataFrame:
+    """One file per store; ``encode`` gives its pieces, each a zstd frame of its own if wanted. A repeated task replaces the file."""
+    folder = path.removeprefix("file://")
+
+    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        import os
+
+        import zstandard
+
+        os.makedirs(f"{folder}/{key[0]}/{key[1]}", exist_ok=True)
+        name = f"{folder}/{key[0]}/{key[1]}/{file}"
+        with open(f"{name}.{os.getpid()}", "wb") as f:
+            for piece in encode(part):
+                f.write(zstandard.ZstdCompressor().compress(piece) if zstd else piece)
+            size = f.tell()
+        os.replace(f.name, name)
+        return pd.DataFrame({"host": [key[0]], "store_id": [key[1]], "bytes": [size]})
+
+    return rows.groupBy("host", "store_id").applyInPandas(run, "host string, store_id string, bytes long")
+
+
+def _encode_lines(part: pd.DataFrame) -> Iterator[bytes]:
+    lines = part.sort_values("at")["line"]
+    for i in range(0, len(lines), 1000):
+        yield "".join(f"{x}\n" for x in lines.iloc[i : i + 1000]).encode()
+
+
+def _encode_records(part: pd.DataFrame) -> Iterator[bytes]:
+    for (_, start, end), rows in part.sort_values(["record_idx", "ids_id"]).groupby(["record_idx", "start_ms", "end_ms"]):
+        rows = rows.dropna(subset=["ids_id"])
+        yield record_bytes(start, end, list(zip(rows["ids_id"].astype(int), rows["count"].astype(int))))
+
+
+def write_stores(stores: Stores, path: str, zstd: bool = True) -> None:
+    """The four files of each store below ``path/host/store_id``, a folder that executors can open; one task per file."""
+    keys = ["host", "store_id"]
+    conf = stores.conf.select(*keys, F.posexplode(conf_pairs(F.col("raw"))).alias("at", "line"))
+    strings = stores.strmap.select(*keys, F.col("sid").alias("at"), F.concat("str", F.lit(" "), F.col("sid").cast("string")).alias("line"))
+    stacks = stores.idsmap.select(*keys, F.col("ids_id").alias("at"), F.concat(F.array_join(F.col("sids").cast("array<string>"), ";"), F.lit("; "), F.col("ids_id").cast("string")).alias("line"))
+    records = stores.records.select(*keys, "record_idx", "start_ms", "end_ms").join(stores.counts.select(*keys, "record_idx", "ids_id", "count"), [*keys, "record_idx"], "left")
+    for rows, file, encode, packed in ((conf, "conf", _encode_lines, False), (strings, "strmap", _encode_lines, zstd), (stacks, "idsmap", _encode_lines, zstd), (records, "stack.bin", _encode_records, zstd)):
+        _write_files(rows, path, file, encode, packed).write.format("noop").mode("overwrite").save()
+
+
+def conf_pairs(raw: Column) -> Column:
+    """The lines of the known keys of a conf map, in fixed order."""
+    return F.filter(F.array(*[F.concat(F.lit(f"{k}: "), F.try_element_at(raw, F.lit(k))) for k in CONF_KEYS]), lambda x: x.isNotNull())
+
+
 def conf_lines(conf: DataFrame) -> DataFrame:
     """``value``: the known keys of ``conf(raw)`` in fixed order."""
-    pairs = F.filter(F.array(*[F.concat(F.lit(f"{k}: "), F.try_element_at("raw", F.lit(k))) for k in CONF_KEYS]), lambda x: x.isNotNull())
-    return conf.select(F.explode(pairs).alias("value"))
+    return conf.select(F.explode(conf_pairs(F.col("raw"))).alias("value"))
 
 
 def write_tables(strmap: DataFrame, idsmap: DataFrame, records: DataFrame, counts: DataFrame, path: str) -> None:
@@ -182,6 +267,18 @@ def write_tables(strmap: DataFrame, idsmap: DataFrame, records: DataFrame, count
         df.write.mode("append").partitionBy("host").parquet(f"{path}/{name}")
 
 
+def append_tables(stores: Stores, path: str) -> None:
+    """Adds what the tables at ``path`` do not hold yet: of dictionaries new ids, of records and counts new records. A repeated call adds nothing."""
+    keys = ["host", "store_id"]
+    for name, df, own in (("strmap", stores.strmap, "sid"), ("idsmap", stores.idsmap, "ids_id"), ("stack_counts", stores.counts, "record_idx"), ("records", stores.records, "record_idx")):
+        try:
+            old = df.sparkSession.read.parquet(f"{path}/{name}").select(*keys, own).distinct()
+        except AnalysisException:  # nothing written yet
+            old = None
+        new = df if old is None else df.join(old, [*keys, own], "left_anti")
+        stored(new, f"append-{name}").write.mode("append").partitionBy("host").parquet(f"{path}/{name}")
+
+
 def split_store(records: DataFrame, counts: DataFrame, idsmap: DataFrame, strmap: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(strmap, idsmap, stack_counts)`` of the chosen ``records`` with fresh compact ids per store.
 
@@ -226,10 +323,13 @@ class StoreReader(DataSourceReader):
         found = [p for p in sorted(glob.glob(self.path)) if all(os.path.exists(f"{p}/{f}") for f in FILES)]
         return [InputPartition(p) for p in found]
 
-    def read(self, partition: InputPartition):
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        """A batch per record, so that a file of any size passes through."""
         import os
 
+        name = os.path.basename(partition.value)
         with open(f"{partition.value}/stack.bin", "rb") as f:
             for i, start, end, entries in walk_records(plain(f)):
-                for e in entries:
-                    yield os.path.basename(partition.value), i, start, end, int(e["id"]), int(e["n"])
+                n = len(entries)
+                columns = [pa.array([name] * n, pa.string()), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, start)), pa.array(np.full(n, end)), pa.array(entries["id"].astype(np.int32)), pa.array(entries["n"].astype(np.int64))]
+                yield pa.RecordBatch.from_arrays(columns, names=["store_id", "record_idx", "start_ms", "end_ms", "ids_id", "count"])

@@ -43,6 +43,10 @@ def parse_kallsyms(lines: DataFrame) -> DataFrame:
     return lines.where(F.col("value").rlike(shape)).select(F.conv(F.regexp_extract("value", shape, 1), 16, 10).cast(ADDRESS).alias("addr"), F.regexp_extract("value", shape, 2).alias("kind"), F.regexp_extract("value", shape, 3).alias("sym"))
 
 
+def read_kallsyms(spark: SparkSession, path: str) -> DataFrame:
+    return parse_kallsyms(spark.read.text(path))
+
+
 def parse_proc_maps(lines: DataFrame, permissions: str = "x") -> DataFrame:
     """``lines(.., line_no, value)`` to ``.., line_no, start, stop, perm, path`` for rows with any of the permissions."""
     shape = r"^([0-9a-f]+)-([0-9a-f]+) (\S+) \S+ \S+ \S+\s*(.*)$"

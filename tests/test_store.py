@@ -55,7 +55,7 @@ def test_dictionaries_and_records(spark, minimal):
     assert timeline.clean_records(records).count() == 1
     m = strings.where("sid = 1").select(parse_metadata(F.col("str")).alias("m")).first().m
     assert (m.pid, int(m.cgroup_id), m.env, m.comm, m.group_comm) == (42, 0, "pod-x", "comm", "group")
-    decoded = decode_stacks(ids.select(F.col("ids_id").alias("stack_hash"), "sids"), strings.select("sid", "str").where("sid <> 3")).where("stack_hash = 10").first()
+    decoded = decode_stacks(ids, strings.where("sid <> 3")).where("ids_id = 10").first()
     assert decoded.parts == [META, "foo_[k]", "<# STRMAP LOST ID #>"]
 
 
