@@ -98,8 +98,8 @@ def snapshot_changes(snapshots: DataFrame, order: str, keys: list[str], content:
 
 
 def off_cpu(switches: DataFrame) -> DataFrame:
-    """``event_id, tid, blocked_us``: a switch-in right after a switch-out of the thread."""
-    w = Window.partitionBy("tid").orderBy("ts", "event_id")
+    """``event_id, tid, blocked_us``: a switch-in right after a switch-out of the thread (of its host, if there is one)."""
+    w = Window.partitionBy(*[k for k in ("host", "tid") if k in switches.columns]).orderBy("ts", "event_id")
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     paired = switches.withColumn("_us", us).withColumn("_kind", F.lag("kind").over(w)).withColumn("_out", F.lag("_us").over(w))
     return paired.where("kind = 'in' and _kind = 'out' and _us > _out").select("event_id", "tid", (F.col("_us") - F.col("_out")).alias("blocked_us"))

@@ -41,14 +41,46 @@ def w7(spark, d):
 
 @query("w3_clamped_buckets", with_views(", m as (select host, epoch_us(ts) // 1000 as ms, comm as stack, cnt from samples), t as (select host, max(ms) // 1000 - 10 as top from m group by host) select host, cast(ms // 1000 * 1000 as bigint) as start_ms, stack, cast(sum(cnt) as bigint) as count from m join t using (host) where ms // 1000 < top group by 1, 2, 3", "samples"))
 def w3(spark, d):
-    stream = sample_stream(spark, d).select("host", F.floor(F.unix_micros("ts") / 1000).cast("long").alias("record_ms"), "stack", "cnt")
-    return collected(spark, buckets.clamped_counts(stream), buckets.OUT_SCHEMA).select("host", "start_ms", "stack", "count")
+    return buckets.only_buckets(collected(spark, buckets.clamped_counts(wheel_input(sample_stream(spark, d))), buckets.OUT_SCHEMA)).select("host", "start_ms", "stack", "count")
+
+
+def wheel_input(stream):
+    return stream.select("host", F.floor(F.unix_micros("ts") / 1000).cast("long").alias("record_ms"), "stack", "cnt")
+
+
+def in_turns(spark, parts):
+    """What the wheel emits when the parts arrive one after the other, each as a run of the same stream."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", buckets.ROCKSDB)
+    path = shared_path(spark, "turns")
+    for part in parts:
+        part.write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(part.schema).parquet(f"{path}/in")
+        buckets.run_once(buckets.clamped_counts(stream), f"{path}/out", f"{path}/checkpoint")
+    return spark.read.schema(buckets.OUT_SCHEMA).parquet(f"{path}/out")
+
+
+def wheel_samples(spark, d):
+    return samples(spark, d).select("sample_id", "host", F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 1000).cast("long").alias("record_ms"), F.col("comm").alias("stack"), "cnt")
+
+
+LATE = ", m as (select host, epoch_us(ts) // 1000 as ms, sample_id % 10 = 0 as late, comm as stack, cnt from samples), t as (select host, coalesce(max(ms) filter (where not late) // 1000 - 10, 0) as oldest, max(ms) // 1000 - 10 as top from m group by host), c as (select host, case when late then greatest(ms // 1000, oldest) else ms // 1000 end as sec, late and ms // 1000 < oldest as is_clamped, stack, cnt, oldest, top from m join t using (host))"
+
+
+@query("w3_late_rows", with_views(LATE + " select host, cast(sec * 1000 as bigint) as start_ms, stack, cast(sum(cnt) as bigint) as count from c where sec < top group by 1, 2, 3", "samples"))
+def w3l(spark, d):
+    """A tenth of the samples comes after all others, most of them late."""
+    s, late = wheel_samples(spark, d), F.col("sample_id") % 10 == 0
+    emitted = in_turns(spark, [s.where(~late).drop("sample_id"), s.where(late).drop("sample_id")])
+    return buckets.only_buckets(emitted).groupBy("host", "start_ms", "stack").agg(F.sum("count").cast("long").alias("count"))
 
 
 @query("w5_flush_all", with_views(" select host, strftime(date_trunc('second', ts), '%Y-%m-%d %H:%M:%S') as start, comm as stack, cast(sum(cnt) as bigint) as count from samples group by 1, 2, 3", "samples"))
 def w5(spark, d):
-    s = samples(spark, d)
-    return s.groupBy("host", F.date_format(F.date_trunc("second", "ts"), "yyyy-MM-dd HH:mm:ss").alias("start"), F.col("comm").alias("stack")).agg(F.sum("cnt").cast("long").alias("count"))
+    """Everything is emitted once a control row of each host asks for it."""
+    s = wheel_samples(spark, d).drop("sample_id")
+    control = s.select("host").distinct().select("host", F.lit(None).cast("long").alias("record_ms"), F.lit(None).cast("string").alias("stack"), F.lit(None).cast("long").alias("cnt"))
+    rows = buckets.only_buckets(in_turns(spark, [s, control]))
+    return rows.select("host", F.date_format(F.timestamp_millis("start_ms"), "yyyy-MM-dd HH:mm:ss").alias("start"), "stack", "count")
 
 
 def collected(spark, stream, schema):
@@ -71,7 +103,7 @@ def w9(spark, d):
     return collected(spark, pairing.off_cpu_stream(switches), pairing.OFF_SCHEMA)
 
 
-@query("w10_wheel_statistics", with_views(", m as (select host, epoch_us(ts) // 1000 as ms, cnt from samples), t as (select host, max(ms) // 1000 - 10 as top from m group by host) select host, count(distinct ms // 1000) as flushed, cast(sum(cnt) as bigint) as weight, cast(0 as bigint) as clamped from m join t using (host) where ms // 1000 < top group by 1", "samples"))
+@query("w10_wheel_statistics", with_views(LATE + " select host, count(distinct sec) filter (where sec < top) as flushed, cast(coalesce(sum(cnt) filter (where is_clamped), 0) as bigint) as clamped, count(distinct sec) filter (where sec >= top) as pending, cast(coalesce(sum(cnt) filter (where sec >= top), 0) as bigint) as pending_weight from c group by host", "samples"))
 def w10(spark, d):
-    stream = sample_stream(spark, d).select("host", F.floor(F.unix_micros("ts") / 1000).cast("long").alias("record_ms"), "stack", "cnt")
-    return buckets.wheel_statistics(collected(spark, buckets.clamped_counts(stream), buckets.OUT_SCHEMA))
+    s, late = wheel_samples(spark, d), F.col("sample_id") % 10 == 0
+    return buckets.wheel_statistics(in_turns(spark, [s.where(~late).drop("sample_id"), s.where(late).drop("sample_id")]))

@@ -2,7 +2,8 @@
 
 :func:`second_counts` is the built-in watermark aggregation, which drops late rows.
 :func:`clamped_counts` keeps them: a row older than the oldest open second is added to that
-second. It is keyed by host, and input is summed per host, second and stack before.
+second. It is keyed by host, and each batch is summed per second and stack before it meets the
+state.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 HOLD_S = 10
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-OUT_SCHEMA = "host string, start_ms bigint, end_ms bigint, stack string, count bigint, clamped bigint"
+OUT_SCHEMA = "host string, start_ms bigint, end_ms bigint, stack string, count bigint, clamped bigint, flushed bigint, pending bigint, pending_weight bigint, batch bigint"
 
 
 def second_counts(samples: DataFrame, hold: str = "10 seconds", seconds: int = 1) -> DataFrame:
@@ -26,104 +27,81 @@ def second_counts(samples: DataFrame, hold: str = "10 seconds", seconds: int = 1
     return samples.withWatermark("ts", hold).groupBy("host", w.alias("w"), "stack").agg(F.sum("cnt").alias("count")).select("host", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "stack", "count")
 
 
-class SecondWheel:
-    """The rule by itself: add, flush up to a time, flush all."""
-
-    def __init__(self, hold_s: int = HOLD_S):
-        self.hold, self.open, self.max_ms, self.oldest, self.clamped, self.flushed = hold_s or HOLD_S, {}, 0, 0, 0, 0
-
-    def add(self, ms: int, stack: object, count: int) -> None:
-        second = ms // 1000
-        if second < self.oldest:
-            second = self.oldest
-            self.clamped += count
-        bucket = self.open.setdefault(second, {})
-        bucket[stack] = bucket.get(stack, 0) + count
-        self.max_ms = max(self.max_ms, ms)
-
-    def flush(self, now_ms: int = 0) -> list[tuple[int, int, dict]]:
-        """Seconds before ``max(seen, now) - hold``."""
-        limit = max(self.max_ms, now_ms) // 1000 - self.hold
-        self.oldest = max(self.oldest, limit)
-        return self._out([s for s in self.open if s < limit])
-
-    def flush_all(self) -> list[tuple[int, int, dict]]:
-        return self._out(list(self.open))
-
-    def _out(self, seconds: list[int]) -> list[tuple[int, int, dict]]:
-        self.flushed += len(seconds)
-        return [(s * 1000, s * 1000 + 1000, self.open.pop(s)) for s in sorted(seconds)]
-
-    def pending(self) -> tuple[int, int]:
-        return len(self.open), sum(n for b in self.open.values() for n in b.values())
-
-
 class ClampingProcessor(StatefulProcessor):
-    """State per host: open (second, stack) counts, and (greatest time, oldest open second, clamped weight).
+    """State per host: open (second, stack) counts, and (greatest time, oldest open second, clamped weight, flushed seconds, batches).
 
-    With ``idle_ms`` a host that sends nothing for so long is flushed as if its clock had gone on.
+    A batch is summed per second and stack before it meets the state. With ``idle_ms`` a host
+    that sends nothing for so long is flushed as if its clock had gone on.
     """
 
-    def __init__(self, idle_ms: int = 0):
-        self.idle_ms = idle_ms
+    def __init__(self, idle_ms: int = 0, hold_s: int = HOLD_S):
+        self.idle_ms, self.hold_s = idle_ms, hold_s
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         key = StructType([StructField("sec", LongType()), StructField("stack", StringType())])
         self.counts = handle.getMapState("counts", key, StructType([StructField("n", LongType())]))
-        self.marks = handle.getValueState("marks", StructType([StructField("max_ms", LongType()), StructField("oldest", LongType()), StructField("clamped", LongType())]))
+        self.marks = handle.getValueState("marks", StructType([StructField(n, LongType()) for n in ("max_ms", "oldest", "clamped", "flushed", "batches")]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
-        max_ms, oldest, clamped = self.marks.get() if self.marks.exists() else (0, 0, 0)
-        flush_all = False
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        max_ms, oldest, clamped, flushed, batches = self.marks.get() if self.marks.exists() else (0, 0, 0, 0, 0)
+        flush_all, sums = False, {}
         for part in rows:
-            for ms, stack, count in zip(part["record_ms"], part["stack"], part["cnt"]):
-                if stack is None:  # a control row: emit everything
-                    flush_all = True
-                    continue
-                second = int(ms) // 1000
-                if second < oldest:
-                    second, clamped = oldest, clamped + int(count)
-                at = (second, stack)
-                before = self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0
-                self.counts.updateValue(at, (before + int(count),))
-                max_ms = max(max_ms, int(ms))
-        limit = max_ms // 1000 - HOLD_S
-        self.marks.update((max_ms, max(oldest, limit), clamped))
+            control, times = part["stack"].isna(), part["record_ms"].dropna()
+            flush_all |= bool((control & part["record_ms"].isna()).any())
+            max_ms = max(max_ms, int(times.max()) if len(times) else 0)
+            part = part[~control]
+            second = (part["record_ms"] // 1000).astype("int64")
+            clamped += int(part["cnt"][second < oldest].sum())
+            for at, n in part.groupby([second.clip(lower=oldest), part["stack"]])["cnt"].sum().items():
+                sums[at] = sums.get(at, 0) + int(n)
+        for (second, stack), n in sums.items():
+            at = (int(second), stack)
+            self.counts.updateValue(at, ((self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0) + n,))
         if self.idle_ms:
             for timer in list(self.handle.listTimers()):
                 self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timer_values.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self.emitted(key, None if flush_all else limit, clamped)
-
-    def handleExpiredTimer(self, key, timer_values, expired_timer_info) -> Iterator[pd.DataFrame]:
-        max_ms, oldest, clamped = self.marks.get()
-        limit = (max_ms + self.idle_ms) // 1000 - HOLD_S
-        self.marks.update((max_ms, max(oldest, limit), clamped))
-        yield self.emitted(key, limit, clamped)
-
-    def emitted(self, key, limit: int | None, clamped: int) -> pd.DataFrame:
-        """The open seconds before ``limit``, or all, which are then closed."""
-        out = [(key[0], at[0] * 1000, at[0] * 1000 + 1000, at[1], value[0], clamped) for at, value in list(self.counts.iterator()) if limit is None or at[0] < limit]
-        for row in out:
-            self.counts.removeKey((row[1] // 1000, row[3]))
-        return pd.DataFrame(out, columns=["host", "start_ms", "end_ms", "stack", "count", "clamped"])
+            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
+        yield self.emitted(key, max_ms, max_ms // 1000 - self.hold_s, oldest, clamped, flushed, batches, flush_all)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        max_ms, *rest = self.marks.get()
+        yield self.emitted(key, max_ms, (max_ms + self.idle_ms) // 1000 - self.hold_s, *rest, False)
+
+    def emitted(self, key, max_ms: int, limit: int, oldest: int, clamped: int, flushed: int, batches: int, flush_all: bool) -> pd.DataFrame:
+        """The open seconds before ``limit``, or all, which are then closed, and a row of statistics. Flushing all does not move the oldest open second."""
+        rows = [(at[0], at[1], value[0]) for at, value in list(self.counts.iterator())]
+        closed = [r for r in rows if flush_all or r[0] < limit]
+        for second, stack, _ in closed:
+            self.counts.removeKey((second, stack))
+        flushed, batches = flushed + len({r[0] for r in closed}), batches + 1
+        self.marks.update((max_ms, max(oldest, limit), clamped, flushed, batches))
+        open_ = [r for r in rows if not flush_all and r[0] >= limit]
+        out = [(key[0], s * 1000, s * 1000 + 1000, stack, n, clamped, None, None, None, batches) for s, stack, n in closed]
+        out.append((key[0], None, None, None, None, clamped, flushed, len({r[0] for r in open_}), sum(r[2] for r in open_), batches))
+        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")]).astype({c.split()[0]: "Int64" for c in OUT_SCHEMA.split(", ") if c.endswith("bigint")})
 
     def close(self) -> None:
         pass
 
 
-def clamped_counts(samples: DataFrame, idle_ms: int = 0) -> DataFrame:
-    """Emitted buckets of ``samples(host, record_ms, stack, cnt)``, late rows clamped. Needs the RocksDB state store.
+def clamped_counts(samples: DataFrame, idle_ms: int = 0, hold_s: int = HOLD_S) -> DataFrame:
+    """Emitted buckets of ``samples(host, record_ms, stack, cnt)``, late rows clamped, and after each batch a row of statistics. Needs the RocksDB state store.
 
-    A row with a null stack asks for everything open of its host.
+    A row without a stack is a control row: with a time it moves the host's clock, without one it
+    asks for everything open of its host.
     """
-    return samples.groupBy("host").transformWithStateInPandas(ClampingProcessor(idle_ms), OUT_SCHEMA, "append", "ProcessingTime" if idle_ms else "none")
+    return samples.groupBy("host").transformWithStateInPandas(ClampingProcessor(idle_ms, hold_s), OUT_SCHEMA, "append", "ProcessingTime" if idle_ms else "none")
+
+
+def only_buckets(emitted: DataFrame) -> DataFrame:
+    return emitted.where("stack is not null").select("host", "start_ms", "end_ms", "stack", "count")
 
 
-def wheel_statistics(buckets: DataFrame) -> DataFrame:
-    """Per host flushed seconds, their weight, and the weight clamped so far, from emitted buckets."""
-    return buckets.groupBy("host").agg(F.count_distinct("start_ms").alias("flushed"), F.sum("count").cast("long").alias("weight"), F.max("clamped").alias("clamped"))
+def wheel_statistics(emitted: DataFrame) -> DataFrame:
+    """Per host flushed seconds, clamped weight, and the seconds and weight still open, after its last batch."""
+    last = emitted.where("stack is null").groupBy("host").agg(F.max_by(F.struct("flushed", "clamped", "pending", "pending_weight"), "batch").alias("s"))
+    return last.select("host", "s.*")
 
 
 def append_batch(path: str):

@@ -1,6 +1,7 @@
 """Streams that pair a row with the one before it: IRQ-off gaps per CPU, off-CPU times per thread.
 
-A key's rows of one micro-batch are put in time order; the state holds the last row only.
+A key's rows of one micro-batch are put in time order; the state holds the last row only. The
+reader's ``maxFilesPerTrigger`` bounds a micro-batch.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ class GapProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.last = handle.getValueState("last", StructType([StructField("us", LongType())]))
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last = self.last.get()[0] if self.last.exists() else None
         out = []
         for row in pd.concat(list(rows)).sort_values(["ts_us", "tick_id"]).itertuples():
@@ -60,7 +61,7 @@ class OffCpuProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.out = handle.getValueState("out", StructType([StructField("us", LongType())]), self.ttl_ms)
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer_values) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         began = self.out.get()[0] if self.out.exists() else None
         found = []
         for row in pd.concat(list(rows)).sort_values(["ts_us", "event_id"]).itertuples():
@@ -68,7 +69,7 @@ class OffCpuProcessor(StatefulProcessor):
                 began = row.ts_us
             elif began is not None:
                 if row.ts_us > began:
-                    found.append((row.event_id, key[0], row.ts_us - began))
+                    found.append((row.event_id, key[-1], row.ts_us - began))
                 began = None
         if began is None:
             self.out.clear()
@@ -81,8 +82,9 @@ class OffCpuProcessor(StatefulProcessor):
 
 
 def off_cpu_stream(switches: DataFrame, ttl_ms: int | None = None) -> DataFrame:
-    """``event_id, tid, blocked_us`` for ``switches(event_id, tid, ts_us, kind)``.
+    """``event_id, tid, blocked_us`` for ``switches(host?, event_id, tid, ts_us, kind)``; thread ids hold within a host.
 
     A stream that never ends should set ``ttl_ms``; a run over what there is cannot, as it would wait for the time to pass.
     """
-    return switches.groupBy("tid").transformWithStateInPandas(OffCpuProcessor(ttl_ms), OFF_SCHEMA, "append", "ProcessingTime" if ttl_ms else "none")
+    keys = [k for k in ("host", "tid") if k in switches.columns]
+    return switches.groupBy(*keys).transformWithStateInPandas(OffCpuProcessor(ttl_ms), OFF_SCHEMA, "append", "ProcessingTime" if ttl_ms else "none")

@@ -5,7 +5,6 @@ from pyspark.sql import functions as F
 
 from stackloom.functions import cpuset, frames, metadata, timefmt
 from stackloom.operators import filters, history, timeline
-from stackloom.streaming.buckets import SecondWheel
 
 
 def one(spark, column):
@@ -33,6 +32,7 @@ def test_times(spark):
 
 def test_templates_and_names(spark):
     cases = {"foo<int>(double)": "foo(double)", "std::vector<int, std::allocator<int> >": "std::vector", "operator<<": "operator<<", "operator>": "operator>"}
+    cases |= {"a<" * 30 + ">" * 30 + "b": "ab", "a<" * 30 + ">" * 29: "a<" * 30 + ">" * 29, "f<a>(b<c>>": "f<a>(b<c>>"}
     for raw, want in cases.items():
         assert one(spark, frames.strip_templates(F.lit(raw))) == want
     assert frames.strip_plain("a<b>c>d") == "ac>d"
@@ -70,17 +70,51 @@ def test_windows():
     assert timeline.chart_bounds(0, 0, 100, 600) == (0, 100)
 
 
-def test_wheel():
-    w = SecondWheel()
-    w.add(1000, 1, 3), w.add(2000, 2, 4)
-    assert w.flush(11_000) == []
-    assert w.flush(12_000) == [(1000, 2000, {1: 3})]
-    w.add(1500, 1, 5), w.add(2500, 2, 7)
-    assert w.clamped == 5
-    assert w.flush(13_000) == [(2000, 3000, {1: 5, 2: 11})]
-    w.add(4000, 1, 9)
-    assert w.flush_all() == [(4000, 5000, {1: 9})]
-    assert w.pending() == (0, 0) and w.flushed == 3
+WHEEL = "host string, record_ms long, stack string, cnt long"
+
+
+def emitted_in_turns(spark, turns):
+    from stackloom.plans.stream import in_turns
+
+    return in_turns(spark, [spark.createDataFrame([("h", *r) for r in rows], WHEEL) for rows in turns])
+
+
+def test_wheel(spark):
+    """Late samples go to the oldest open second; clock rows flush, a control row flushes all."""
+    turns = [[(1000, "1", 3), (2000, "2", 4), (11_000, None, None)], [(12_000, None, None)], [(1500, "1", 5), (2500, "2", 7)], [(13_000, None, None)], [(4000, "1", 9)], [(None, None, None)]]
+    rows = emitted_in_turns(spark, turns)
+    found = {}
+    for r in rows.where("stack is not null").collect():
+        found.setdefault((r.batch, r.start_ms, r.end_ms), {})[r.stack] = r["count"]
+    assert found == {(2, 1000, 2000): {"1": 3}, (4, 2000, 3000): {"1": 5, "2": 11}, (6, 4000, 5000): {"1": 9}}
+    from stackloom.streaming.buckets import wheel_statistics
+
+    last = wheel_statistics(rows).first()
+    assert (last.clamped, last.flushed, last.pending, last.pending_weight) == (5, 3, 0, 0)
+
+
+def test_idle_host_is_flushed(spark, tmp_path):
+    """With no more input, a processing-time timer moves the clock."""
+    import time
+
+    from stackloom.streaming import buckets
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", buckets.ROCKSDB)
+    spark.createDataFrame([("h", 5000, "a", 2), ("h", 6000, "b", 1)], WHEEL).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = buckets.clamped_counts(spark.readStream.schema(WHEEL).parquet(str(tmp_path / "in")), idle_ms=2000, hold_s=1)
+    running = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="500 milliseconds").start()
+    try:
+        for _ in range(120):
+            time.sleep(0.5)
+            if running.exception():
+                raise running.exception()
+            done = running.lastProgress and spark.read.schema(buckets.OUT_SCHEMA).parquet(str(tmp_path / "out")).where("stack = 'b'").count()
+            if done:
+                break
+    finally:
+        running.stop()
+    rows = spark.read.schema(buckets.OUT_SCHEMA).parquet(str(tmp_path / "out")).where("stack is not null").collect()
+    assert {(r.start_ms, r.stack, r["count"]) for r in rows} == {(5000, "a", 2), (6000, "b", 1)}
 
 
 def test_history(spark):
