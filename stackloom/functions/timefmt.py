@@ -61,4 +61,5 @@ def format_unit(value: Column, units: list[str], step: int) -> Column:
     return out
 
 
+#: Unit names (fixed values).
 TIME_UNITS, BYTE_UNITS = ["ns", "us", "ms", "s"], ["B", "KB", "MB", "GB", "TB", "PB"]

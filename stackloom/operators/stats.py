@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Upper edges of latency bins, and the factor of a period from which a gap counts (fixed values).
 LATENCY_EDGES_US = (1, 4, 16, 64, 256, 512, 1024, 2048, 4096)
 GAP_FACTOR = 1.1
 
@@ -46,7 +47,7 @@ def drop_threshold(queued: Column, quota: Column) -> Column:
 
 
 def generator(value: Column) -> Column:
-    """A 15-bit number from an id by the linear congruential step."""
+    """A 15-bit number from an id by the linear congruential step (multiplier, increment and mask are fixed values)."""
     return F.shiftright((value * 1103515245 + 12345) % 4294967296, 16).bitwiseAND(F.lit(32767)).cast("long")
 
 
