@@ -29,9 +29,9 @@ from stackloom.session import ship
 
 CAPACITY, END = 2048, 0
 GROUP_PIECES = 40_000
-#: Pre-tokens whose ids a worker remembers.
-CACHED_UNITS = 1_000_000
-SLOTS = 1 << 21
+#: Pre-tokens whose ids a worker remembers, and text bytes encoded at once.
+CACHED_UNITS = 250_000
+CHUNK_BYTES, SLOTS = 1 << 18, 1 << 20
 VOCABULARY = "word_bpe_49k.json"
 #: What a tokenizer must do for its texts to be cut into pre-tokens here (fixed values): no token crosses white space, letters
 #: run together in lower case, digits stand alone, other marks run together, and an apostrophe may start one with letters.
@@ -220,7 +220,7 @@ def token_pieces(docs: DataFrame, path: str | None = None, capacity: int = CAPAC
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for batch in batches:
-            for i, _, data, offsets in chunks(batch.column(1)):
+            for i, _, data, offsets in chunks(batch.column(1), CHUNK_BYTES):
                 ids, first = enc.encode(data, offsets)
                 yield part(batch.column(0), i, ids, first.tolist())
 
