@@ -1,23 +1,27 @@
 """HTML extraction: the main text of a page, by a style tree merged from all pages of its host.
 
-Each page is read into blocks of text, each with the path of element styles (tag, class and
-id words) above it. The pages of a host form one tree of styles. A content node (a block's
-text) that ``k`` of the ``m`` pages with that style have has importance
-``1 - log k / log m``; a style node has, from the ``l`` child sequences it shows,
-``(1 - G**l) * entropy + G**l * mean content importance`` (base ``m`` entropy). A branch is
-noise if it and all below it stay under ``LEAST``, so a block goes if the innermost style above
-it does and enough pages show that style; a wrapper never takes a good block with it.
-
-What a page declares counts first: elements made for menus, forms, notices, adverts, comments
-and the like (by tag or by class, id or role words) are no article; if the page has an article
-or main element, a block outside stays only if enough pages show its style and the tree finds
-style and text important. Plain text flow inside (paragraphs, headings, lists, tables without
-a class) shares its style with the article, so there the content node alone decides: a text
-goes if its own importance is under ``LEAST``. Pages of equal blocks count once, as copies of
-one page say nothing about what its host repeats.
+A page is read into blocks of text. Each text stands in an element whose *style* is the path of
+tags, class, id and role words above it. The pages of a host form one tree of styles, in which
+a node's importance decides: texts under nodes of less than ``LEAST`` go.
+
+What is measured of a style that ``m`` different pages show: its content importance, the mean
+of ``1 - log k / log m`` over its texts (content nodes) that ``k`` pages show; and from the ``l``
+child sequences it shows ``(1 - G**l) * entropy + G**l * content importance`` (base ``m``
+entropy). The importance weighs that with what is expected of a style of which no page tells
+anything, as if ``EXPECTED`` pages had told it: 1 in what a page declares as its main element
+or in a page that declares none, 0 outside. Names that declare an element a menu, form,
+notice, advert, comment and the like (tag, or class, id or role words) are a feature of the
+style that multiplies its importance by ``DECLARED``. A content node is judged the same way by
+its own ``1 - log k / log m``, so a text that many pages repeat goes where others of its style stay.
+
+Pages count as different by their first heading in the main element (without one by all their
+texts), so copies and near copies of an article are one page and repeat nothing.
+
+Node ids are 64-bit hashes that include the host. Scripts, styles and other elements without
+rendered text are never read.
 
 Defined cases: null html is empty text; unclosed, crossed or cut tags end as a browser would
-end them; a null url is a host that is not judged; every page gets a row; an empty table gives no
+end them; a null url is a host like any other; every page gets a row; an empty table gives no
 rows. Only the named columns are read.
 """
 
@@ -29,15 +33,17 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import stored
+from stackloom.llm.common import row_key, stored
 from stackloom.llm.url_filter import url_parts
 from stackloom.session import ship
 
-#: Weight of child styles, least importance, and least pages of a host that must show a style before it is judged.
-G, LEAST, LEAST_PAGES = 0.9, 0.3, 8
+#: Weight of child styles, least importance, pages that the expectation stands for, and the factor of declared noise.
+G, LEAST, EXPECTED, DECLARED = 0.9, 0.35, 6, 0.2
+#: Nodes of low importance up to this number go to the executors; more are joined to the pages.
+SENT_NODES = 1_000_000
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z:-]+)")
@@ -83,18 +89,15 @@ def named_noise(tag: str, names: list[tuple[str, str]], inside: bool) -> bool:
 
 
 class Element:
-    __slots__ = ("tag", "path", "noise", "main", "styled", "children")
+    __slots__ = ("tag", "words", "parent", "noise", "main", "children", "path")
 
     def __init__(self, tag: str, parent: Element | None, names: list[tuple[str, str]], hidden: bool):
-        self.tag = tag
-        words = sorted({w for _, name in names for w in WORDS.findall(name)})
-        self.path = xxhash.xxh64_intdigest(f"{parent.path if parent else ''}/{tag}.{' '.join(words)}") >> 1
-        self.main = tag in MAIN or "main" in words and tag != "body" or bool(parent and parent.main)
-        inside = bool(parent and parent.main)
-        noise = tag in NEVER or hidden or named_noise(tag, names, inside or tag in MAIN) or tag == "header" and not inside
-        self.noise = bool(parent and parent.noise) or noise and tag not in ("html", "body")
-        self.styled = bool(words) or bool(parent and parent.styled and inside)
-        self.children: list[str] = []
+        self.tag, self.parent, self.children, self.path = tag, parent, [], 0
+        self.words = " ".join(sorted({w for _, name in names for w in WORDS.findall(name)})) if names else ""
+        inside = parent is not None and parent.main
+        self.main = inside or tag in MAIN or tag != "body" and "main" in self.words.split()
+        noise = tag in NEVER or hidden or bool(names) and named_noise(tag, names, inside or tag in MAIN) or tag == "header" and not inside
+        self.noise = parent is not None and parent.noise or noise and tag not in ("html", "body")
 
 
 def attributes(raw: str) -> tuple[list[tuple[str, str]], bool]:
@@ -108,28 +111,32 @@ def attributes(raw: str) -> tuple[list[tuple[str, str]], bool]:
     return names, hidden
 
 
-def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
-    """(blocks of text outside noise, each with the elements above it; all elements) in page order."""
-    blocks: list[tuple[str, list[Element]]] = []
+def read_blocks(page: str) -> tuple[list[list[tuple[Element | None, str]]], list[Element]]:
+    """(blocks in page order, each a list of texts with the element they stand in; all elements).
+
+    A text stands in the innermost block element, or in an inline element that is declared noise.
+    """
+    blocks: list[list[tuple[Element | None, str]]] = []
     every: list[Element] = []
     stack: list[Element] = []
-    text: list[str] = []
+    # Of each open element the one that its texts stand in.
+    holders: list[Element | None] = [None]
+    text: list[tuple[Element | None, str]] = []
 
     def book(run: str) -> None:
-        if not (stack and stack[-1].noise):
-            text.append(run)
+        if run:
+            text.append((holders[-1], html.unescape(run) if "&" in run else run))
 
     def flush() -> None:
-        # An element of noise may have begun since, which the text does not stand in.
-        line = " ".join(html.unescape("".join(text)).split())
-        if line:
-            blocks.append((line, [e for e in stack if not e.noise]))
+        if any(not run.isspace() for _, run in text):
+            blocks.append(text.copy())
         text.clear()
 
     def close(at: int) -> None:
         if any(e.tag in BLOCKS for e in stack[at:]):
             flush()
         del stack[at:]
+        del holders[at + 1 :]
 
     at, end = 0, len(page)
     while at < end:
@@ -168,8 +175,9 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Elemen
                     close(k)
         if tag in ("html", "head", "body") and any(e.tag == tag for e in stack):
             continue
-        element = Element(tag, stack[-1] if stack else None, *attributes(m[3] or m[6] or ""))
-        if stack:
+        raw = m[3] or m[6] or ""
+        element = Element(tag, stack[-1] if stack else None, *(attributes(raw) if raw else ([], False)))
+        if stack and tag in BLOCKS:
             stack[-1].children.append(tag)
         if tag in VOID:
             if tag in BLOCKS:
@@ -180,111 +188,122 @@ def read_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Elemen
             stop = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
             at = stop.end() if stop else end
             continue
-        if not (m[3] or m[6] or "").rstrip().endswith("/"):
+        if not raw.rstrip().endswith("/"):
             stack.append(element)
+            holders.append(element if tag in BLOCKS or element.noise and not (holders[-1] and holders[-1].noise) else holders[-1])
     flush()
     return blocks, every
 
 
-def outside(above: list[Element], declared: bool) -> bool:
-    """Whether a block stands outside what its page declares as main."""
-    return declared and not (above and above[-1].main)
+def digest(text: str) -> int:
+    return xxhash.xxh64_intdigest(text) >> 1
 
 
-def main_blocks(page: str) -> tuple[list[tuple[str, list[Element]]], list[Element]]:
-    """The blocks that the page's own declarations leave."""
+def read_page(page: str, host: str | None) -> tuple[list[tuple[int, int, int, str]], dict[int, tuple[int, bool, bool]], int]:
+    """A page as (texts ``block, style, content, text``; the styles that hold texts: ``children, noise, outside``; what tells it from other pages)."""
     blocks, every = read_blocks(page)
-    declared = any(above and above[-1].main for _, above in blocks)
-    return [(t, above) for t, above in blocks if not outside(above, declared)], every
-
-
-def judged(above: list[Element]) -> Element | None:
-    """The element whose importance decides on a block: the innermost one above it, unless that is plain text flow of a main element."""
-    e = above[-1] if above else None
-    return None if e is None or e.tag in ("html", "body") or e.tag in MAIN or e.main and not e.styled else e
-
-
-def style_of(above: list[Element]) -> int:
-    return above[-1].path if above else 0
-
-
-def content_of(above: list[Element], line: str) -> int:
-    """The content node of a block: its text under its style."""
-    return xxhash.xxh64_intdigest(f"{style_of(above)}/{line}") >> 1
+    declared = any(e is not None and e.main and not e.noise for block in blocks for e, _ in block)
+    root = digest(f"{host}/{declared}")
+    for e in every:
+        e.path = digest(f"{e.parent.path if e.parent else root}/{e.tag}.{e.words}")
+    texts, styles, heading = [], {}, None
+    for number, block in enumerate(blocks):
+        own: dict[Element | None, str] = {}
+        for e, run in block:
+            own[e] = own[e] + run if e in own else run
+        contents = {}
+        for e, run in own.items():
+            style, line = e.path if e else root, " ".join(run.split())
+            contents[e] = style, digest(f"{style}/{line}")
+            if line:
+                outside = declared and not (e and e.main)
+                styles[style] = digest(" ".join(e.children)) if e else 0, bool(e and e.noise), outside
+                if heading is None and e and e.tag in HEADINGS and not outside and not e.noise:
+                    heading = digest(line)
+        if len(own) == 1:
+            texts.append((number, *contents[e], line))
+        else:
+            texts += [(number, *contents[e], run) for e, run in block]
+    return texts, styles, digest(" ".join(str(t[2]) for t in texts)) if heading is None else heading
+
+
+def read_pages(pages: DataFrame) -> DataFrame:
+    """``page_id, url, key, other, page, styles, texts`` for ``pages(page_id, url, html)``: everything that later steps need of the pages."""
+    key, other = row_key("page_id", "url", "html")
+    kind = pages.schema["page_id"].dataType.simpleString()
+    style = pa.struct([("style", pa.int64()), ("children", pa.int64()), ("noise", pa.bool_()), ("outside", pa.bool_())])
+    text = pa.struct([("block", pa.int32()), ("style", pa.int64()), ("content", pa.int64()), ("text", pa.string())])
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            page, styles, texts = [], [], []
+            for host, source in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
+                found, shown, which = read_page(source or "", host)
+                page.append(which)
+                styles.append([dict(zip(("style", "children", "noise", "outside"), (k, *v))) for k, v in shown.items()])
+                texts.append([dict(zip(("block", "style", "content", "text"), t)) for t in found])
+            arrays = [pa.array(page, pa.int64()), pa.array(styles, pa.list_(style)), pa.array(texts, pa.list_(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *arrays], names=["page_id", "url", "key", "other", "page", "styles", "texts"])
+
+    rows = pages.select("page_id", "url", key.alias("key"), other.alias("other"), url_parts(F.col("url"))[0].alias("host"), "html")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, key long, other long, page long, styles array<struct<style: long, children: long, noise: boolean, outside: boolean>>, texts array<struct<block: int, style: long, content: long, text: string>>")
+
+
+def importances(read: DataFrame, declared: float = DECLARED) -> DataFrame:
+    """``node, importance`` of every style and of every content node that more than one page shows."""
+    styles = read.select("page", F.explode("styles").alias("s")).select("page", "s.*")
+    shown = styles.groupBy("page", "style", "children").agg(F.max("noise").alias("noise"), F.max("outside").alias("outside"))
+    shown = shown.groupBy("style", "children").agg(F.count("*").alias("k"), F.max("noise").alias("noise"), F.max("outside").alias("outside"))
+    pages = styles.select("page", "style").distinct().groupBy("style").agg(F.count("*").alias("m"))
+    k = F.col("k")
+    shown = shown.groupBy("style").agg(F.count("*").alias("l"), F.sum("k").alias("sequences"), F.sum(k * F.log(k)).alias("sequence_logs"), F.max("noise").alias("noise"), F.max("outside").alias("outside"))
+    texts = read.select("page", F.explode(F.transform("texts", lambda t: F.struct(t["style"].alias("style"), t["content"].alias("content")))).alias("t")).select("page", "t.*").distinct()
+    contents = texts.groupBy("style", "content").agg(F.count("*").alias("k"))
+    sums = contents.groupBy("style").agg(F.sum("k").alias("texts"), F.sum(k * F.log(k)).alias("text_logs"))
+    # One row per style; a site has as many as its templates have elements.
+    tree = stored(pages.join(shown, "style").join(sums, "style"), "style-tree")
+    m, base = F.col("m"), F.when(F.col("m") > 1, F.log("m"))
+    content = F.coalesce(1 - F.col("text_logs") / F.col("texts") / base, F.lit(1.0))
+    entropy = F.coalesce((F.log("sequences") - F.col("sequence_logs") / F.col("sequences")) / base, F.lit(1.0))
+    weight = F.pow(F.lit(G), F.col("l"))
+    expected, factor = F.when(F.col("outside"), 0.0).otherwise(1.0), F.when(F.col("noise"), declared).otherwise(1.0)
 
-def kept_blocks(page: str, low: set[int], high: set[int]) -> list[str]:
-    """The texts that stay: ``low`` are styles and content nodes of low importance, ``high`` styles that enough pages show, of others."""
-    blocks, _ = read_blocks(page)
-    declared = any(above and above[-1].main for _, above in blocks)
-    kept = []
-    for line, above in blocks:
-        e = judged(above)
-        if content_of(above, line) in low or e is not None and e.path in low or outside(above, declared) and (e is None or e.path not in high):
-            continue
-        kept.append(line)
-    return kept
+    def judged(measured: Column) -> Column:
+        return factor * (EXPECTED * expected + m * measured) / (EXPECTED + m)
 
+    of_styles = tree.select(F.col("style").alias("node"), judged((1 - weight) * entropy + weight * content).alias("importance"))
+    repeated = contents.where("k > 1").join(tree.select("style", "m", "noise", "outside"), "style")
+    return of_styles.union(repeated.select(F.col("content").alias("node"), judged(F.coalesce(1 - F.log("k") / base, F.lit(1.0))).alias("importance")))
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """Rows ``host, low, high``: for each host the styles and content nodes of low importance, and the other styles that enough pages show outside main elements. ``pages(host, html)``."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows: list[tuple] = []
-            for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                blocks = read_blocks(page or "")[0]
-                declared = any(above and above[-1].main for _, above in blocks)
-                same = xxhash.xxh64_intdigest("\0".join(line for line, _ in blocks)) >> 1
-                found = set()
-                for line, above in blocks:
-                    path, e = style_of(above), judged(above)
-                    out = e is not None and outside(above, declared)
-                    found |= {(path, content_of(above, line), None, False), (path, None, None, out)}
-                    if e is not None:
-                        found.add((path, None, xxhash.xxh64_intdigest(" ".join(t for t in e.children if t in BLOCKS)) >> 1, False))
-                rows += [(host, same, *f) for f in found]
-            columns = list(zip(*rows)) if rows else [()] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), *[pa.array(c, pa.int64()) for c in columns[1:5]], pa.array(columns[5], pa.bool_())], names=["host", "page", "path", "content", "style", "out"])
-
-    found = pages.where("host is not null").select("host", "html").mapInArrow(run, "host string, page long, path long, content long, style long, out boolean").distinct()
-    # Of a style's rows those with neither content nor style are its pages.
-    seen = stored(found.groupBy("host", "path", "content", "style").agg(F.count("*").alias("k"), F.max("out").alias("out")), "style-tree")
-    content, style, k = F.col("content").isNotNull(), F.col("style").isNotNull(), F.col("k")
-    sums = seen.groupBy("host", "path").agg(
-        F.max(F.when(~content & ~style, k)).alias("m"),
-        F.max("out").alias("out"),
-        F.count("style").alias("l"),
-        *[F.sum(F.when(which, value)).alias(name) for name, which, value in (("texts", content, k), ("text_logs", content, k * F.log(k)), ("styles", style, k), ("style_logs", style, k * F.log(k)))],
-    )
-    enough = sums.where(F.col("m") >= LEAST_PAGES)
-    importance = 1 - F.col("text_logs") / F.col("texts") / F.log("m")
-    # A page may show several child sequences of one style, so shares are of all that are shown.
-    entropy = (F.log("styles") - F.col("style_logs") / F.col("styles")) / F.log("m")
-    weight = F.pow(F.lit(G), F.col("l"))
-    least = F.col("styles").isNotNull() & (importance < LEAST) & ((1 - weight) * entropy + weight * importance < LEAST)
-    judgement = enough.select("host", "path", "m", "out", F.coalesce(least, F.lit(False)).alias("low"))
-    styles = judgement.where("low or out").select("host", F.when(F.col("low"), F.col("path")).alias("low"), F.when(~F.col("low"), F.col("path")).alias("high"))
-    repeated = seen.where(content & (k > LEAST_PAGES ** (1 - LEAST))).select("host", "path", "content", "k")
-    texts = repeated.join(judgement.select("host", "path", "m"), ["host", "path"]).where(1 - F.log("k") / F.log("m") < LEAST)
-    both = styles.union(texts.select("host", F.col("content").alias("low"), F.lit(None).cast("long").alias("high")))
-    return both.groupBy("host").agg(F.collect_set("low").alias("low"), F.collect_set("high").alias("high"))
+def joined_texts(texts: list[dict], low: set[int]) -> str:
+    """The texts of no low node: those of one block follow each other, blocks are joined by an empty line."""
+    blocks: dict[int, str] = {}
+    for t in texts:
+        if t["style"] not in low and t["content"] not in low:
+            blocks[t["block"]] = blocks.get(t["block"], "") + t["text"]
+    lines = (" ".join(b.split()) for b in blocks.values())
+    return "\n\n".join(line for line in lines if line)
 
 
-def html_extract(pages: DataFrame) -> DataFrame:
+def html_extract(pages: DataFrame, declared: float = DECLARED, sent: int = SENT_NODES) -> DataFrame:
     """Rows ``page_id, url, text`` for ``pages(page_id, url, html)``; blocks are joined by an empty line."""
     ship(pages.sparkSession)
-    hosted = pages.select("page_id", "url", "html", url_parts(F.col("url"))[0].alias("host"))
-    low = stored(style_tree(hosted), "style-low")
-    joined = hosted.join(low, "host", "left").select("page_id", "url", "html", "low", "high")
+    read = stored(read_pages(pages), "style-pages")
+    low = stored(importances(read, declared).where(F.col("importance") < LEAST).select("node"), "style-low")
     kind = pages.schema["page_id"].dataType.simpleString()
+    if low.count() <= sent:
+        everywhere, own = frozenset(low.toArrow().column("node").to_pylist()), F.array().cast("array<bigint>")
+        rows = read.select("page_id", "url", "texts", own.alias("low"))
+    else:
+        # Of each page the low ones among its own nodes.
+        everywhere, nodes = frozenset(), read.select("key", "other", F.explode(F.array_distinct(F.concat("texts.style", "texts.content"))).alias("node")).distinct()
+        mine = nodes.join(low, "node", "left_semi").groupBy("key", "other").agg(F.collect_set("node").alias("low"))
+        rows = read.join(mine, ["key", "other"], "left").select("page_id", "url", "texts", "low")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, lows, highs = [], batch.column(3), batch.column(4)
-            for i, page in enumerate(batch.column(2).to_pylist()):
-                low, high = (set(x[i].values.to_pylist()) if x[i].is_valid else set() for x in (lows, highs))
-                texts.append("\n\n".join(kept_blocks(page or "", low, high)))
+            texts = [joined_texts(t, everywhere if not own else set(own)) for t, own in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], names=["page_id", "url", "text"])
 
-    return joined.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, text string")
