@@ -11,8 +11,10 @@ from stackloom.session import shared_path, ship
 
 #: A word: code points outside space and 0x09-0x0D.
 WORD = r"[^\x20\x09-\x0D]+"
-#: Keys that :func:`join_hot` may send to all executors.
-HOT_KEYS = 1000
+#: Keys that :func:`join_hot` may send to all executors, and the parts that each is cut into.
+HOT_KEYS, HOT_PARTS = 1000, 100
+#: Rows of an intermediate table of edges that one task writes.
+TASK_ROWS = 100_000
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -41,13 +43,13 @@ def freed_shuffles(spark: SparkSession):
         spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """``df`` written once as Parquet in the shared folder and read back, so that a lost executor costs no recomputation."""
     spark = df.sparkSession
     ship(spark)
     path = shared_path(spark, name)
     with freed_shuffles(spark):
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -56,18 +58,22 @@ def row_key(*columns: str | Column) -> tuple[Column, Column]:
     return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner", most: int = HOT_KEYS) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
     """``left`` joined with ``right(keys.., rows, ..)`` of one row per key, where ``rows`` says how many rows of ``left`` have the key.
 
-    Of ``total`` rows at most ``most`` keys can have more than ``total / most`` each. These go
-    to the executors, and their rows of ``left`` stay where they are; the other keys are dealt
-    out, none of them with more than ``total / most`` rows. ``how`` is inner or left_semi; a
-    null in a key meets nothing.
+    Of ``total`` rows at most ``HOT_KEYS`` keys can have more than ``total / HOT_KEYS`` each.
+    These keys are sent to the rows of ``left``, which are dealt out by them and by a hash of
+    the row to ``HOT_PARTS`` parts; the key's row of ``right`` goes to each. So no task gets a
+    large share, and ``left`` is read and shuffled once. ``how`` is inner or left_semi; a null
+    in a key meets nothing.
     """
-    heavy = right.where(F.col(rows) > max(total // most, 1))
-    hot = F.broadcast(heavy.drop(rows))  # at most ``most`` rows
-    cold = left.join(F.broadcast(heavy.select(*keys)), keys, "left_anti").join(right.where(F.col(rows) <= max(total // most, 1)).drop(rows), keys, how)
-    return left.join(hot, keys, how).unionByName(cold)
+    part, hot = unused(left.join(right.limit(0), keys, "inner"), "part"), unused(left, "hot")
+    most = max(total // HOT_KEYS, 1)
+    heavy = right.where(F.col(rows) > most).select(*keys, F.lit(True).alias(hot))
+    own = F.when(F.col(hot), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(HOT_PARTS))).otherwise(0).cast("long")
+    dealt = left.join(F.broadcast(heavy), keys, "left").withColumn(part, own).drop(hot)  # at most HOT_KEYS rows
+    parts = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(rows) > most, HOT_PARTS - 1).otherwise(0).cast("long")))
+    return dealt.join(right.withColumn(part, parts).drop(rows), [*keys, part], how).drop(part)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -81,17 +87,21 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     n = pairs.count()
     if not n:
         return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-    before = None
+
+    def kept(df: DataFrame) -> DataFrame:
+        return stored(df.coalesce(max(1, -(-n // TASK_ROWS))), name)  # few rows need few tasks
+
     while True:
         both = pairs.union(pairs.select("b", "a"))
-        least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")), name)
-        large = stored(join_hot(both.where("b > a"), least, ["a"], "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct(), name)
+        least = kept(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"), F.count_if(F.col("b") > F.col("a")).alias("n")))
+        large = kept(join_hot(both.where("b > a"), least, ["a"], "n", n).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         n = large.count()
-        least = stored(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), name)
+        least = kept(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")))
         linked = join_hot(large, least, ["a"], "n", n)
         small = linked.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b"))).distinct()
-        pairs = stored(small, name)
-        state = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if state == before:
+        pairs = kept(small)
+        n = pairs.count()
+        # Done if the edges are stars: no node has two roots, and no root has one.
+        nodes = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        if nodes.where("n > 1").isEmpty() and pairs.select("b").distinct().join(nodes, F.col("b") == nodes["a"], "left_semi").isEmpty():
             return pairs.select(F.col("a").alias("node"), F.col("b").alias("component"))
-        before, n = state, state[0]
