@@ -61,6 +61,16 @@ def unparseable_policy(meta_ok: Column, condition: Column, mode: str) -> Column:
     return F.when(meta_ok, condition).otherwise(F.lit(mode != "tree"))
 
 
+def not_idle(pid: Column) -> Column:
+    """Samples of the idle task, process 0, are skipped."""
+    return pid != 0
+
+
+def counted(count: Column) -> Column:
+    """Entries without a count are skipped."""
+    return count != 0
+
+
 def capture_filter(pid: int = 0, comm: str = "", tid: str = "tid", tgid: str = "pid") -> Column:
     """Kept if neither is set, or the pid equals thread or process id, or the name is equal."""
     if not pid and not comm:

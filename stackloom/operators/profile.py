@@ -9,7 +9,7 @@ from stackloom.functions.frames import without_hash
 from stackloom.functions.metadata import parse_metadata
 from stackloom.operators import flame, timeline
 from stackloom.operators.dictionary import decode_stacks
-from stackloom.operators.filters import unparseable_policy
+from stackloom.operators.filters import counted, unparseable_policy
 from stackloom.sources.store import Stores
 
 KEYS = ["host", "store_id"]
@@ -17,7 +17,7 @@ KEYS = ["host", "store_id"]
 
 def stack_sums(counts: DataFrame, records: DataFrame) -> DataFrame:
     """``host, store_id, ids_id, cnt``: entries of the given records summed per stack, before any dictionary is joined."""
-    kept = counts.where("count <> 0").join(records.select(*KEYS, "record_idx"), [*KEYS, "record_idx"], "left_semi")
+    kept = counts.where(counted(F.col("count"))).join(records.select(*KEYS, "record_idx"), [*KEYS, "record_idx"], "left_semi")
     return kept.groupBy(*KEYS, "ids_id").agg(F.sum("count").alias("cnt"))
 
 

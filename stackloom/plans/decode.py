@@ -212,12 +212,12 @@ def f9(spark, d):
 
 @query("f10_idle_skip", with_views(" select cpu, count(*) as n from samples where pid <> 0 group by cpu", "samples"))
 def f10(spark, d):
-    return samples(spark, d).where("pid <> 0").groupBy("cpu").agg(F.count("*").alias("n"))
+    return samples(spark, d).where(filters.not_idle(F.col("pid"))).groupBy("cpu").agg(F.count("*").alias("n"))
 
 
 @query("f11_zero_counts", with_views(" select comm, cast(sum(k) as bigint) as weight, count(*) as n from samples where k <> 0 group by comm", "samples"))
 def f11(spark, d):
-    return samples(spark, d).where("k <> 0").groupBy("comm").agg(F.sum("k").cast("long").alias("weight"), F.count("*").alias("n"))
+    return samples(spark, d).where(filters.counted(F.col("k"))).groupBy("comm").agg(F.sum("k").cast("long").alias("weight"), F.count("*").alias("n"))
 
 
 @query("f12_contains_ordered", with_views(" select sample_id from samples where array_to_string(frames, ';') like '%main%;%handler\\_1%' escape '\\'", "samples"))
