@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import row_key, stored
+from stackloom.llm.common import join_hot, row_key, stored, unused
 from stackloom.llm.wordhash import U64, Words, WindowHash, chunks, sliding_min, split
 from stackloom.session import ship
 
@@ -133,27 +133,33 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ship(docs.sparkSession)
     k1, k2 = row_key("doc_id", "text")
     keyed = docs.select(k1.alias("k1"), k2.alias("k2"), "text")
+    if not 4 <= window <= 255:
+        raise ValueError("window must be 4 to 255 words")
     # Level 1: repeated anchors.
-    repeated = stored(anchor_hashes(docs, window).groupBy("anchor").count().where("count > 1").select("anchor"), "substring-anchors")
-    alive = stored(anchor_rows(keyed, window).join(repeated, "anchor", "left_semi"), "substring-alive")
+    repeated = stored(anchor_hashes(docs, window).groupBy("anchor").count().where("count > 1"), "substring-anchors")
+    total = repeated.agg(F.sum("count")).first()[0] or 0
+    alive = stored(join_hot(anchor_rows(keyed, window), repeated, ["anchor"], "count", total, "left_semi"), "substring-alive")
     contexts = stored(alive.groupBy("anchor", "context", "sides").agg(F.count("*").alias("copies"), F.min(F.struct("k1", "k2", "place")).alias("one")), "substring-contexts")
-    settled = alive.join(contexts.where("copies > 1").select("anchor", "context"), ["anchor", "context"], "left_semi")
+    many = contexts.where("copies > 1").groupBy("anchor", "context").agg(F.sum("copies").alias("copies"))  # sides differ only where hashes collide
+    settled = join_hot(alive, many, ["anchor", "context"], "copies", total, "left_semi")
     settled = settled.select("k1", "k2", (F.shiftright("place", 16) - F.shiftright("place", 8).bitwiseAND(F.lit(255))).alias("first"), F.col("place").bitwiseAND(F.lit(255)).alias("n"))
 
     # Level 2: twice the length, around anchors of contexts that stand alone, and of those they may partly equal.
-    single = contexts.where("copies = 1").select("anchor").distinct()
-    open_ = contexts.join(single, "anchor", "left_semi")
+    alone = contexts.groupBy("anchor").agg(F.count("*").alias("n"), F.count_if(F.col("copies") == 1).alias("alone")).where("alone > 0").drop("alone")
+    open_ = stored(join_hot(contexts, alone, ["anchor"], "n", contexts.count(), "left_semi"), "substring-open")
+    n = open_.count()
     sides = open_.select("anchor", "copies", F.explode(F.array(F.struct(F.lit(0).alias("side"), F.shiftright("sides", 32).alias("value")), F.struct(F.lit(1).alias("side"), F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF)).alias("value")))).alias("s")).select("anchor", "copies", "s.*").where("value <> 0")
-    doubled = sides.groupBy("anchor", "side", "value").agg(F.sum("copies").alias("copies")).where("copies > 1").select("anchor", "side", "value")
-    ending = open_.withColumn("side", F.lit(0)).withColumn("value", F.shiftright("sides", 32)).join(doubled, ["anchor", "side", "value"], "left_semi")
-    starting = open_.withColumn("side", F.lit(1)).withColumn("value", F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))).join(doubled, ["anchor", "side", "value"], "left_semi")
+    doubled = stored(sides.groupBy("anchor", "side", "value").agg(F.sum("copies").alias("copies"), F.count("*").alias("n")).where("copies > 1").drop("copies"), "substring-doubled")
+    ending = join_hot(open_.withColumn("value", F.shiftright("sides", 32)), doubled.where("side = 0").drop("side"), ["anchor", "value"], "n", n, "left_semi")
+    starting = join_hot(open_.withColumn("value", F.col("sides").bitwiseAND(F.lit(0xFFFFFFFF))), doubled.where("side = 1").drop("side"), ["anchor", "value"], "n", n, "left_semi")
     chosen = ending.unionByName(starting).select("anchor", "context", "copies", "one").distinct()
 
     # Level 3: the full windows of what is left.
     places = chosen.groupBy("one.k1", "one.k2").agg(F.collect_list(F.struct("one.place", "copies")).alias("places"))
     windows = stored(listed_windows(keyed.join(places, ["k1", "k2"]), window), "substring-windows")
-    full = windows.groupBy("anchor", "hash").agg(F.sum("copies").alias("copies")).where("copies > 1").select("anchor", "hash")
-    alone = windows.where("copies = 1").join(full, ["anchor", "hash"], "left_semi").select("k1", "k2", F.col("start").alias("first"), F.lit(1).cast("long").alias("n"))
+    single = stored(windows.where("copies = 1"), "substring-single")
+    full = windows.groupBy("anchor", "hash").agg(F.sum("copies").alias("copies"), F.count_if(F.col("copies") == 1).alias("rows")).where("copies > 1 and rows > 0")
+    alone = join_hot(single, full.drop("copies"), ["anchor", "hash"], "rows", single.count(), "left_semi").select("k1", "k2", F.col("start").alias("first"), F.lit(1).cast("long").alias("n"))
     spans = settled.unionByName(alone).groupBy("k1", "k2").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
     return stored(spans, "substring-spans")
 
@@ -177,9 +183,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, digest: bool = False,
     ship(docs.sparkSession)
     names = [c for c in docs.columns if c not in ("text", *counts)]
     k1, k2 = row_key("doc_id", "text")
-    spans = repeated_spans(docs.select("doc_id", "text"), window).select(F.col("k1").alias("__k1"), F.col("k2").alias("__k2"), F.col("spans.first").alias("__first"), F.col("spans.n").alias("__n"))
-    keyed = docs.select(*names, "text", k1.alias("__k1"), k2.alias("__k2"))
-    joined = keyed.join(spans, ["__k1", "__k2"], "left").select(*names, "text", "__first", "__n")
+    a, b, first, n_ = (unused(docs, c) for c in ("k1", "k2", "first", "n"))
+    spans = repeated_spans(docs.select("doc_id", "text"), window).select(F.col("k1").alias(a), F.col("k2").alias(b), F.col("spans.first").alias(first), F.col("spans.n").alias(n_))
+    joined = docs.select(*names, "text", k1.alias(a), k2.alias(b)).join(spans, [a, b], "left").select(*names, "text", first, n_)
     out = "kept_sha256" if digest else "text"
     kinds = [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in names]
     w = len(names)
