@@ -16,6 +16,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from stackloom.llm.common import join_hot, stored
+
 #: The rules of the standard query.
 RULES = [
     ("com", "/", "allow"),
@@ -71,7 +73,9 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     if not bounds.labels:
         return judged.select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict"))
 
-    expressions = judged.where("host <> ''").select("host", "path").distinct().select(
+    # Urls without a host meet no rule; of the others each (host, path) is judged once.
+    places = stored(judged.where("host <> ''").groupBy("host", "path").agg(F.count("*").alias("urls")), "url-places")
+    expressions = places.select(
         "host", "path", F.explode(host_suffixes(F.col("host"), bounds.labels)).alias("h"), path_prefixes(F.col("path"), bounds.longest, bounds.odd).alias("ps")
     )
     expressions = expressions.select("host", "path", F.explode(F.transform("ps", lambda p: F.concat("h", F.lit("\t"), p))).alias("expression"))
@@ -85,6 +89,7 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
         ).alias("ranked"),
     )
     best = expressions.join(keyed, "short").where("digest = rule_digest").groupBy("host", "path").agg(F.max("ranked").alias("best"))
-    return judged.join(best, ["host", "path"], "left").select(
-        "page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict")
-    )
+    ruled = stored(places.join(best, ["host", "path"], "left"), "url-ruled")
+    named = join_hot(judged.where("host <> ''"), ruled, ["host", "path"], "urls", ruled.agg(F.sum("urls")).first()[0] or 0)
+    named = named.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))
+    return named.unionByName(judged.where("host = ''").select("*", F.lit(None).cast("string").alias("rule"), F.lit(default).alias("verdict")))
