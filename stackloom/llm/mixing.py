@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import WORD, stored
+from stackloom.llm.common import WORD, stored, unused
 
 #: Weights of the sources in code point order, repeating; share of all sizes that the mix has; most times that a source is taken.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
@@ -108,18 +108,19 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     """``docs`` as the mix has it: one row for each full pass over a document and one for a cut pass, which keeps its first words joined by one space. Columns as in ``docs``; ``n_chars``, if there, is renewed for cut rows."""
-    taken = mix(docs, **options).select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    same = Window.partitionBy("__key", "__id")
+    id_, key, size, words, nth, turn = names = [unused(docs, n) for n in ("id", "key", "size", "taken", "nth", "pass")]
+    taken = mix(docs, **options).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "key", "size", "taken"), names)])
+    same = Window.partitionBy(key, id_)
     # Equal rows get their amounts one by one: number them on both sides.
-    taken = taken.withColumn("__nth", F.row_number().over(same.orderBy("__taken")))
-    rows = docs.withColumn("__key", F.xxhash64("doc_id", "source", "text")).withColumn("__id", F.col("doc_id"))
-    rows = rows.withColumn("__nth", F.row_number().over(same.orderBy(F.lit(0))))
-    both = rows.alias("r").join(taken.alias("t"), F.col("r.__key").eqNullSafe(F.col("t.__key")) & F.col("r.__id").eqNullSafe(F.col("t.__id")) & (F.col("r.__nth") == F.col("t.__nth")))
-    both = both.select("r.*", "t.__size", "t.__taken")
-    passes = F.when(F.col("__size") == 0, F.lit(1)).otherwise(F.ceil(F.col("__taken") / F.col("__size")))
-    both = both.where(passes > 0).withColumn("__pass", F.explode(F.sequence(F.lit(1), passes.cast("int"))))
-    left = F.col("__taken") - (F.col("__pass") - 1) * F.col("__size")
-    cut = (F.col("__size") > 0) & (left < F.col("__size"))
+    taken = taken.withColumn(nth, F.row_number().over(same.orderBy(words)))
+    rows = docs.withColumns({key: F.xxhash64("doc_id", "source", "text"), id_: F.col("doc_id")})
+    rows = rows.withColumn(nth, F.row_number().over(same.orderBy(F.lit(0))))
+    both = rows.alias("r").join(taken.alias("t"), F.col(f"r.{key}").eqNullSafe(F.col(f"t.{key}")) & F.col(f"r.{id_}").eqNullSafe(F.col(f"t.{id_}")) & (F.col(f"r.{nth}") == F.col(f"t.{nth}")))
+    both = both.select("r.*", f"t.{size}", f"t.{words}")
+    passes = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.ceil(F.col(words) / F.col(size)))
+    both = both.where(passes > 0).withColumn(turn, F.explode(F.sequence(F.lit(1), passes.cast("int"))))
+    left = F.col(words) - (F.col(turn) - 1) * F.col(size)
+    cut = (F.col(size) > 0) & (left < F.col(size))
     text = F.when(cut, F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.greatest(left, F.lit(1)).cast("int")), " ")).otherwise(F.col("text"))
-    out = [text.alias("text") if c == "text" else F.when(cut, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
+    out = [text.alias("text") if c == "text" else F.when(cut, F.length(text)).otherwise(F.col("n_chars")).cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in docs.columns]
     return both.select(*out)
