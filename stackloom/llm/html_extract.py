@@ -289,7 +289,7 @@ def joined_texts(texts: list[dict], low: set[int]) -> str:
 def html_extract(pages: DataFrame, declared: float = DECLARED, sent: int = SENT_NODES) -> DataFrame:
     """Rows ``page_id, url, text`` for ``pages(page_id, url, html)``; blocks are joined by an empty line."""
     ship(pages.sparkSession)
-    read = stored(read_pages(pages), "style-pages")
+    read = stored(read_pages(pages), "style-pages", "zstd")
     low = stored(importances(read, declared).where(F.col("importance") < LEAST).select("node"), "style-low")
     kind = pages.schema["page_id"].dataType.simpleString()
     if low.count() <= sent:
