@@ -5,8 +5,8 @@ per term and, through a vector per term, one per pair of terms, so that two term
 can say what neither says alone.
 
 Training reads a bounded sample: at most ``sample`` labelled texts of each class, the first
-in the order of a hash of their id. The terms kept are the ``features`` with the largest
-chi-square. Scoring covers every word of every text.
+in the order of a hash of their id, one row of each id. All terms are kept whose chi-square
+would be reached by chance once in 10,000. Scoring covers every word of every text.
 
 Defined cases: null and empty texts get the score of a text without known terms; without
 labels of both classes every score is the share of toxic labels (0 without labels); a null
@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import stored
+from stackloom.llm.common import stored, unused
 from stackloom.llm.wordhash import U64, Words, chunks, split
 from stackloom.session import ship
 
-SAMPLE, FEATURES, FACTORS, ROUNDS = 2000, 2048, 8, 400
+SAMPLE, FACTORS, ROUNDS, DECAY, CHI_SQUARE = 2000, 8, 400, (1e-4, 1e-2), 15.14
 THRESHOLD, FOLDS, HELD_OUT = 0.7, 3, 1
 #: Byte lengths of the prefixes that are terms beside the whole word.
-PREFIXES = (4, 5, 6, 8)
+PREFIXES = (4, 5, 6, 7, 8)
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 #: What separates terms: ASCII other than letters and digits.
@@ -87,30 +87,39 @@ def constant(positive: int, total: int) -> Machine:
     return Machine(np.zeros(0, np.uint64), float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))), np.zeros(0), np.zeros((0, FACTORS)))
 
 
-def fit(hashes: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS) -> Machine:
+def fit(hashes: np.ndarray, rows: list[np.ndarray], labels: np.ndarray, factors: int = FACTORS, rounds: int = ROUNDS, decay: tuple[float, float] = DECAY) -> Machine:
     """A machine over the sorted term ``hashes`` from each text's places in them and its label; both classes weigh the same."""
     n1 = int(labels.sum())
     n0 = len(labels) - n1
-    x = np.zeros((len(rows), len(hashes)), dtype=np.float32)
-    for i, places in enumerate(rows):
-        x[i, places] = 1
-    y, weight = labels.astype(np.float32), np.where(labels > 0, 0.5 / n1, 0.5 / n0).astype(np.float32)
+    ends = np.cumsum([len(r) for r in rows])
+    starts = np.concatenate(([0], ends[:-1]))
+    term = np.concatenate(rows) if len(rows) else np.zeros(0, np.int64)
+    row, n = np.repeat(np.arange(len(rows)), ends - starts), len(hashes)
+
+    def summed(x: np.ndarray) -> np.ndarray:
+        """Sums over each text's terms."""
+        c = np.concatenate((np.zeros((1, *x.shape[1:])), np.cumsum(x, axis=0)))
+        return c[ends] - c[starts]
+
+    y, weight = labels.astype(float), np.where(labels > 0, 0.5 / n1, 0.5 / n0)
     rng = np.random.default_rng(7)
-    values = [np.zeros(1, np.float32), np.zeros(len(hashes), np.float32), rng.normal(0, 0.01, (len(hashes), factors)).astype(np.float32)]
+    values = [np.zeros(1), np.zeros(n), rng.normal(0, 0.01, (n, factors))]
     first, second = [np.zeros_like(p) for p in values], [np.zeros_like(p) for p in values]
     for t in range(1, rounds + 1):
         bias, w, v = values
-        s = x @ v
-        z = bias + x @ w + 0.5 * ((s * s).sum(1) - x @ (v * v).sum(1))
+        seen = v[term]
+        s = summed(seen)
+        z = bias + summed(w[term]) + 0.5 * ((s * s).sum(1) - summed((seen * seen).sum(1)))
         g = weight * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y)
-        back = x.T @ g
-        grads = [np.array([g.sum()], np.float32), back + 1e-5 * w, x.T @ (g[:, None] * s) - v * back[:, None] + 1e-2 * v]
+        back = np.bincount(term, g[row], minlength=n)
+        pairs = np.stack([np.bincount(term, (g * s[:, f])[row], minlength=n) for f in range(factors)], axis=1)
+        grads = [np.array([g.sum()]), back + decay[0] * w, pairs - v * back[:, None] + decay[1] * v]
         for i, grad in enumerate(grads):
             first[i] = 0.9 * first[i] + 0.1 * grad
             second[i] = 0.999 * second[i] + 0.001 * grad * grad
             values[i] = values[i] - 0.05 * (first[i] / (1 - 0.9**t)) / (np.sqrt(second[i] / (1 - 0.999**t)) + 1e-8)
     bias, w, v = values
-    return Machine(hashes, float(bias[0]), w.astype(np.float64), v.astype(np.float64))
+    return Machine(hashes, float(bias[0]), w, v)
 
 
 def fold(doc_id: Column) -> Column:
@@ -123,7 +132,7 @@ def chi_square(d1: Column, d0: Column, n1: int, n0: int) -> Column:
     return F.pow(d1 * (n0 - d0) - d0 * (n1 - d1), 2.0) * (n1 + n0) / F.greatest(F.lit(1.0), (d1 + d0) * (n1 - d1 + n0 - d0) * n1 * n0)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: int = FEATURES, **options) -> Machine:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, **options) -> Machine:
     """A machine from ``docs(doc_id, text)`` and ``labels(doc_id, toxic)``, learning only from rows outside the held-out fold.
 
     The terms are counted and chosen in Spark; the driver gets the chosen ones alone.
@@ -132,7 +141,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     known = labels.where(F.col("toxic").isin(0, 1) & (fold(F.col("doc_id")) != HELD_OUT)).select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     order = [F.xxhash64(F.lit(3), "doc_id"), "doc_id"]
     chosen = known.where("toxic = 1").orderBy(*order).limit(sample).union(known.where("toxic = 0").orderBy(*order).limit(sample))
-    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("toxic", "text")  # at most 2 * sample ids
+    texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")  # at most 2 * sample ids
+    texts = texts.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text")).select("toxic", "text")  # one row of each
 
     def distinct(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,9 +161,9 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, features: in
     n1, n0 = size.get(1, 0), size.get(0, 0)
     if not n1 or not n0:
         return constant(n1, n1 + n0)
-    counts = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("d1"), F.count("*").alias("d")).where("d >= 3")
-    ranked = counts.select("term", chi_square(F.col("d1"), F.col("d") - F.col("d1"), n1, n0).alias("chi")).where("chi >= 10.83")
-    best = ranked.orderBy(F.desc("chi"), "term").limit(features).select("term").toArrow().column("term").to_numpy().view(np.uint64)
+    counts = found.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("d1"), F.count("*").alias("d"))
+    ranked = counts.select("term", chi_square(F.col("d1"), F.col("d") - F.col("d1"), n1, n0).alias("chi")).where(F.col("chi") >= CHI_SQUARE)
+    best = ranked.select("term").toArrow().column("term").to_numpy().view(np.uint64)
     hashes = np.sort(best)
 
     def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,10 +189,10 @@ def score(docs: DataFrame, machine: Machine, column: str = "score") -> DataFrame
             scores = [machine.score(data, offsets) for _, _, data, offsets in chunks(batch.column(at))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.concatenate(scores) if scores else np.zeros(0))], names=[*names, column])
 
-    return docs.mapInArrow(run, f"{kinds}, {column} double")
+    return docs.mapInArrow(run, f"{kinds}, `{column}` double")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
-    scored = score(docs, train(docs, labels), "__toxicity")
-    return scored.where(F.col("__toxicity") < threshold).drop("__toxicity")
+    column = unused(docs, "toxicity")
+    return score(docs, train(docs, labels), column).where(F.col(column) < threshold).drop(column)
