@@ -196,7 +196,7 @@ def s16(spark, d):
 @query("s17_data_source", with_views(HOURS + " select st.store_id, cast(record_idx as bigint) as record_idx, cast(sum(cnt) as bigint) as n from st join hours using (host, store_id, hour) group by 1, 2", "samples"))
 def s17(spark, d):
     spark.dataSource.register(store.StoreSource)
-    rows = spark.read.format("profile_store").load(f"{written(spark, d).removeprefix('file://')}/*/*")
+    rows = spark.read.format("profile_store").load(f"{written(spark, d)}/*/*")
     return rows.groupBy("store_id", F.col("record_idx").cast("long").alias("record_idx")).agg(F.sum("count").cast("long").alias("n"))
 
 

@@ -13,6 +13,7 @@ that the executors can open as files, as the writers of the binary files need th
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -207,9 +208,14 @@ def with_guards(records: DataFrame) -> DataFrame:
     return records.unionByName(last.select(*[guard.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in records.columns]))
 
 
+def as_file(path: str) -> str:
+    """A path without the scheme of local files, as ``open`` takes it."""
+    return re.sub(r"^file:(//)?(?=/)", "", path)
+
+
 def _write_files(rows: DataFrame, path: str, file: str, encode: Callable[[pd.DataFrame], Iterator[bytes]], zstd: bool) -> DataFrame:
     """One file per store; ``encode`` gives its pieces, each a zstd frame of its own if wanted. A repeated task replaces the file."""
-    folder = path.removeprefix("file://")
+    folder = as_file(path)
 
     def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         import os
@@ -309,7 +315,7 @@ class StoreSource(DataSource):
         return "store_id string, record_idx int, start_ms bigint, end_ms bigint, ids_id int, count bigint"
 
     def reader(self, schema) -> DataSourceReader:
-        return StoreReader(self.options["path"])
+        return StoreReader(as_file(self.options["path"]))
 
 
 class StoreReader(DataSourceReader):
