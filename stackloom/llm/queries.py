@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stackloom.llm import embedding_dedup, html_extract, license_scan, mixing, packing, quality, simhash, substring_dedup, toxicity, url_filter
+from stackloom.llm import embedding_dedup, filter_audit, html_extract, license_scan, mixing, packing, pieces, quality, simhash, substring_dedup, toxicity, url_filter, whitening
 from stackloom.llm.common import table
 
 
@@ -59,6 +59,22 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, fit = whitening.whiten(table(spark, sf_dir, "embeddings"))
+    each = rows.select("vec_id", F.posexplode("whitened").alias("place", "whitened"), F.col("deviation").cast("long").alias("deviation"))
+    explained = F.array(*map(F.lit, fit.explained.tolist())).cast("array<double>")
+    return each.select("vec_id", (F.col("place") + 1).alias("component"), F.lit(fit.n).cast("long").alias("n"), "deviation", "whitened", F.get(explained, F.col("place")).alias("explained"), F.lit(whitening.identity_error(rows)).cast("double").alias("identity_error"))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    both = pieces.decode(pieces.encode(table(spark, sf_dir, "documents")))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -72,6 +88,9 @@ QUERIES = {
         op8_quality_rules,
         op9_toxicity,
         op10_simhash_dedup,
+        op11_filter_audit,
+        op12_embedding_whitening,
+        op13_sentencepiece,
     )
 }
 
@@ -109,4 +128,36 @@ kept as (
   where not exists (select 1 from covered c where c.k = x.k and c.p = x.p) group by d.k)
 select d.doc_id, cast(len(d.words) as bigint) as n_words, cast(coalesce(g.n, 0) as bigint) as n_removed, sha256(coalesce(kept.t, '')) as kept_sha256
 from docs d left join gone g using (k) left join kept using (k)""",
+    "op11_filter_audit": r"""
+with docs as (
+  select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words,
+    min(doc_id) over (partition by coalesce(text, '')) as least from documents),
+marks as (select doc_id, bool_or(quality = 1) as good, bool_or(toxic = 1) as toxic from labels group by doc_id),
+judged as (
+  select part, coalesce(good, false) as good, coalesce(toxic, false) as toxic,
+    len(words) < 50 as fa, 100 * len(list_distinct(words)) < 65 * len(words) as fb,
+    100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 5 * length(t) as fc, regexp_matches(t, '[#$%&*|]') as fd,
+    coalesce(d.doc_id > least, false) as fe from docs d left join marks m on m.doc_id = d.doc_id),
+sets as (
+  select part, (if(fa, 'A', '') || if(fb, 'B', '') || if(fc, 'C', '') || if(fd, 'D', '') || if(fe, 'E', '')) as failed,
+    count(*) as n, count(*) filter (good) as good, count(*) filter (toxic) as toxic from judged group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select a.x || b.x || c.x || d.x || e.x as o from letters a, letters b, letters c, letters d, letters e
+  where len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps as (select o, unnest(range(1, 6)) as step from orders),
+outcomes as (
+  select part, o as filter_order, step, substr(o, step, 1) as f, failed, n, good, toxic,
+    translate(failed, substr(o, 1, step - 1), '') <> failed as before, contains(failed, substr(o, step, 1)) as fails
+  from sets cross join steps),
+sums as (
+  select part, filter_order, step, f,
+    sum(if(not before and not fails, n, 0)) as kept, sum(if(not before and fails, n, 0)) as removed,
+    sum(if(before and fails, n, 0)) as redundant, sum(if(failed = f, n, 0)) as unique_fails,
+    sum(if(not before and fails, good, 0)) as good_lost, sum(if(not before and fails, toxic, 0)) as toxic_lost
+  from outcomes group by all)
+select part, filter_order, cast(step as integer) as step, cast(kept as bigint) as kept, cast(removed as bigint) as removed,
+  cast(redundant as bigint) as redundant, cast(unique_fails as bigint) as unique_fails, cast(good_lost as bigint) as good_lost,
+  cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley
+from sums""",
 }
