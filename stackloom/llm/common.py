@@ -54,11 +54,16 @@ def stored(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
 
 
 def row_key(*columns: str | Column) -> tuple[Column, Column]:
-    """128 bits that stand for the values of ``columns``, nulls included; equal rows have equal keys."""
-    return F.xxhash64(*columns), F.xxhash64(F.lit(0x5EED), *columns)
+    """128 bits that stand for the values of ``columns``, nulls included; equal rows have equal keys.
+
+    The hash passes over nulls, so each value comes with whether it is one.
+    """
+    values = [F.col(c) if isinstance(c, str) else c for c in columns]
+    marked = [x for c in values for x in (c.isNull(), c)]
+    return F.xxhash64(*marked), F.xxhash64(F.lit(0x5EED), *marked)
 
 
-def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner") -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, total: int, how: str = "inner", stored_left: bool = False) -> DataFrame:
     """``left`` joined with ``right(keys.., rows, ..)`` of one row per key, where ``rows`` says how many rows of ``left`` have the key.
 
     Of ``total`` rows at most ``HOT_KEYS`` keys can have more than ``total / HOT_KEYS`` each.
@@ -66,11 +71,16 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], rows: str, tota
     the row to ``HOT_PARTS`` parts; the key's row of ``right`` goes to each. So no task gets a
     large share, and ``left`` is read and shuffled once. ``how`` is inner or left_semi; a null
     in a key meets nothing.
+
+    Equal rows have one hash. Where ``left`` may have many of them it must be a table from
+    :func:`stored`, as it is read: with ``stored_left`` rows are dealt by their place in it,
+    which is the same when a task runs again.
     """
     part, hot = unused(left.join(right.limit(0), keys, "inner"), "part"), unused(left, "hot")
     most = max(total // HOT_KEYS, 1)
     heavy = right.where(F.col(rows) > most).select(*keys, F.lit(True).alias(hot))
-    own = F.when(F.col(hot), F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in left.columns]), F.lit(HOT_PARTS))).otherwise(0).cast("long")
+    row = F.monotonically_increasing_id() if stored_left else F.xxhash64(*[F.col(f"`{c}`") for c in left.columns])
+    own = F.when(F.col(hot), F.pmod(row, F.lit(HOT_PARTS))).otherwise(0).cast("long")
     dealt = left.join(F.broadcast(heavy), keys, "left").withColumn(part, own).drop(hot)  # at most HOT_KEYS rows
     parts = F.explode(F.sequence(F.lit(0).cast("long"), F.when(F.col(rows) > most, HOT_PARTS - 1).otherwise(0).cast("long")))
     return dealt.join(right.withColumn(part, parts).drop(rows), [*keys, part], how).drop(part)

@@ -8,7 +8,7 @@ gives how many of all orders use an edge; an edge's removals times that number,
 filter's edges, is the filter's Shapley value times the number of orders. What one order does
 at one step is read from the same edges.
 
-Documents are judged where they are read. Copies are found by a digest of the text with the
+Documents are judged where they are read, and equal rows are counted. Copies are found by a digest of the text with the
 smallest id per digest, summed on the map side; only digests and ids are shuffled, hot ones
 are dealt out by ``join_hot``. From there on everything has one row per part and set of
 failures.
@@ -54,7 +54,7 @@ def failure_counts(docs: DataFrame, labels: DataFrame, letters: str = LETTERS) -
     """Rows ``part, failed, docs, good, toxic``: documents of each part and set of failures, and how many of them are labelled so."""
     digest = F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256))
     judged = docs.select("doc_id", F.coalesce("source", F.lit("")).alias("part"), failure_set(text_failures(F.col("text")), letters).alias("failed"), digest.alias("digest"))
-    judged = stored(judged, "audit-judged")
+    judged = stored(judged.groupBy(*judged.columns).agg(F.count("*").alias("rows")), "audit-judged")
     total = judged.count()
     copied = judged.where("doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.count("*").alias("n")).where("most > least").drop("most")
     repeats = judged.groupBy("doc_id").agg(F.count("*").alias("times")).where("times > 1")
@@ -76,8 +76,8 @@ def failure_counts(docs: DataFrame, labels: DataFrame, letters: str = LETTERS) -
 
     zero = F.lit(0).cast("long")
     labelled = stored(join_hot(judged, marked, ["doc_id"], "times", total), "audit-labelled")
-    everything = moved(judged, docs=F.count("*")).select("part", "failed", "docs", zero.alias("good"), zero.alias("toxic"))
-    some = moved(labelled, good=F.sum("good"), toxic=F.sum("toxic")).select("part", "failed", zero.alias("docs"), "good", "toxic")
+    everything = moved(judged, docs=F.sum("rows")).select("part", "failed", "docs", zero.alias("good"), zero.alias("toxic"))
+    some = moved(labelled, good=F.sum(F.col("good") * F.col("rows")), toxic=F.sum(F.col("toxic") * F.col("rows"))).select("part", "failed", zero.alias("docs"), "good", "toxic")
     return everything.union(some).groupBy("part", "failed").agg(*[F.sum(c).alias(c) for c in ("docs", "good", "toxic")])
 
 

@@ -64,7 +64,9 @@ class Notices:
         window = self.block * self.blocks
         need = [(math.ceil(CONTAINED * len(s)), len(s)) for s in self.sets]
         least = min(k / (max(window, k) + t - k) for k, t in need)
-        self.bands = 1 if least >= 1 else min(len(FACTORS), math.ceil(math.log(MISSED) / math.log(1 - least)))
+        self.bands = 1 if least >= 1 else math.ceil(math.log(MISSED) / math.log(1 - least))
+        if self.bands > len(FACTORS):
+            raise ValueError(f"a containment of {CONTAINED} needs {self.bands} bands to miss less than {MISSED}; there are {len(FACTORS)}")
         # Per band the notices' values, and which of 65,536 slots they fall in.
         values = np.stack([[(s * f).min() for s in self.sets] for f in FACTORS[: self.bands]])
         self.order = values.argsort(1)

@@ -8,8 +8,9 @@ from the line's start, around again for repeats. A seeded order makes any run of
 seeded random selection.
 
 A shard is a hash bucket of one source. Shards are many enough that each holds at most about
-``SHARD_ROWS`` documents, so no task orders a whole source. Quotas are found near the
-standard divisor, so blocks are never listed.
+``SHARD_ROWS`` documents, so no task orders a whole source. Equal rows are counted first and
+their number is divided over the shards, where they stand together as one entry. Quotas are
+found near the standard divisor, so blocks are never listed.
 
 Defined cases: null text has size 0; a null source is a source of its own, last in order;
 repeated rows count each for itself; sources of size 0 get target 0; quotients that tie go
@@ -21,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import WORD, stored, unused
+from stackloom.llm.common import WORD, row_key, stored, unused
 
 #: Weights of the sources in code point order, repeating; share of all sizes that the mix has; most times that a source is taken.
 WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
@@ -82,27 +83,33 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
 
     ``taken`` is how many words the mix takes of the document, repeats counted; ``key`` hashes doc_id, source and text.
     """
-    sized = docs.select("doc_id", "source", F.xxhash64("doc_id", "source", "text").alias("key"), word_count(F.col("text")).alias("size"))
-    sized = stored(sized, "mix-sizes")
-    sources = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    sized = docs.select("doc_id", "source", row_key("doc_id", "source", "text")[0].alias("key"), word_count(F.col("text")).alias("size"))
+    sized = stored(sized.groupBy("doc_id", "source", "key", "size").agg(F.count("*").alias("rows")), "mix-sizes")
+    sources = sized.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.sum("rows").alias("rows"))
     targets = stored(capped_targets(sources, weights, share, most).withColumn("shards", F.ceil(F.col("rows") / SHARD_ROWS)), "mix-targets")
     whole = targets.agg(F.sum("target").alias("target"), F.min(F.when(F.col("target") > 0, F.col("target"))).alias("least")).first()
     block = max(1, min(LARGEST_BLOCK, int((whole.least or 0) // BLOCKS_OF_SMALLEST)))
     blocks = round((whole.target or 0) / block)
 
     by_source = sainte_lague(targets.select("source", "target", F.lit(0).alias("all"), F.lit(blocks).cast("long").alias("seats")), ["all"], [F.col("source").isNull(), F.col("source")], "target", "seats")
-    laid = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", F.pmod(F.xxhash64(F.lit(seed), "key"), F.col("t.shards")).alias("shard"))
-    cells = laid.groupBy("source", "shard").agg(F.sum("size").alias("line"))
+    laid = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.*", "t.source_size", "t.target", "t.shards")
+    # Equal rows are divided over as many shards as they can fill, from the one that their hash names.
+    parts = F.least("rows", "shards")
+    laid = laid.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).withColumn("copies", F.floor(F.col("rows") / parts) + (F.col("part") < F.col("rows") % parts).cast("long"))
+    laid = laid.withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "key") % F.col("shards") + F.col("part"), F.col("shards")))
+    cells = laid.groupBy("source", "shard").agg(F.sum(F.col("size") * F.col("copies")).alias("line"))
     cells = cells.alias("c").join(by_source.alias("s"), F.col("c.source").eqNullSafe(F.col("s.source"))).select("c.source", "c.shard", "c.line", F.col("s.quota").alias("seats"))
     cells = sainte_lague(cells, ["source"], [F.col("shard")], "line", "seats").select("source", "shard", "line", "quota")
 
     line = Window.partitionBy("source", "shard").orderBy(F.xxhash64(F.lit(seed + 1), "key"), "key", "doc_id", "size")
-    laid = laid.withColumn("start", F.sum("size").over(line.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
+    whole = F.col("size") * F.col("copies")
+    laid = laid.withColumn("start", F.sum(whole).over(line.rowsBetween(Window.unboundedPreceding, 0)) - whole)
     joined = laid.alias("d").join(cells.alias("c"), F.col("d.source").eqNullSafe(F.col("c.source")) & (F.col("d.shard") == F.col("c.shard")))
     words = F.least(F.col("quota") * block, most * F.col("line"))
     rounds = F.when(F.col("line") > 0, F.floor(words / F.col("line"))).otherwise(0)
     rest = words - rounds * F.col("line")
-    taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least("size", rest - F.col("start")))
+    joined = joined.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    taken = F.col("size") * rounds + F.greatest(F.lit(0), F.least("size", rest - F.col("start") - F.col("copy") * F.col("size")))
     return joined.select("d.doc_id", "d.key", "d.source", "d.size", "d.source_size", "d.target", taken.cast("long").alias("taken"))
 
 
@@ -113,7 +120,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = Window.partitionBy(key, id_)
     # Equal rows get their amounts one by one: number them on both sides.
     taken = taken.withColumn(nth, F.row_number().over(same.orderBy(words)))
-    rows = docs.withColumns({key: F.xxhash64("doc_id", "source", "text"), id_: F.col("doc_id")})
+    rows = docs.withColumns({key: row_key("doc_id", "source", "text")[0], id_: F.col("doc_id")})
     rows = rows.withColumn(nth, F.row_number().over(same.orderBy(F.lit(0))))
     both = rows.alias("r").join(taken.alias("t"), F.col(f"r.{key}").eqNullSafe(F.col(f"t.{key}")) & F.col(f"r.{id_}").eqNullSafe(F.col(f"t.{id_}")) & (F.col(f"r.{nth}") == F.col(f"t.{nth}")))
     both = both.select("r.*", f"t.{size}", f"t.{words}")

@@ -189,7 +189,7 @@ def simhash_components(docs: DataFrame, bits: int = BITS) -> DataFrame:
     merged = stored(classes.join(components, classes.fp == components.node, "left").select("fp", F.coalesce("component", "fp").alias("root"), "least", "rows"), "simhash-roots")
     best = merged.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
     merged = stored(join_hot(merged, best, ["root"], "n", merged.count()).select("fp", "root", "rows", "component_id"), "simhash-merged")
-    return join_hot(light, merged, ["fp"], "rows", light.count()).select("doc_id", "key", "other", "fp", "root", "component_id")
+    return join_hot(light, merged, ["fp"], "rows", light.count(), stored_left=True).select("doc_id", "key", "other", "fp", "root", "component_id")
 
 
 def one_of_each_group(docs: DataFrame, bits: int = BITS) -> DataFrame:
