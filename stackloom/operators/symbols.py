@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.functions.metadata import process_name
 from stackloom.operators.dictionary import numbered
 
 
@@ -13,12 +14,40 @@ def symbol_text(ip: Column, addr: Column, sym: Column) -> Column:
     return F.when(addr.isNull(), hexed).otherwise(F.concat(sym, F.lit("_[k]+"), (ip - addr).cast("string")))
 
 
+#: Blocks that one window orders to carry values over them, as a power of two; and the microseconds of a time block, as one.
+TOP_BITS, TIME_BITS = 20, 26
+
+
+def carried_on(column: str, how: str, w: Window) -> Column:
+    """The sum of the earlier values (``sum``), or the last one that is not null (``last``)."""
+    return F.sum(column).over(w) if how == "sum" else F.last(column, ignorenulls=True).over(w)
+
+
+def earlier_blocks(blocks: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """``blocks(keys.., _block, _value)`` to ``keys.., _block, _earlier``: what the blocks before it carry on.
+
+    Blocks are put in groups of a million; a window orders the blocks of one group, another one
+    the groups of a key. So a key with many blocks, as a busy host's sparse addresses or a long
+    history of one process make, is no single window.
+    """
+    top = F.floor(F.col("_block") / (1 << TOP_BITS)).cast("long")
+    until = (Window.unboundedPreceding, -1)
+    near = carried_on("_value", how, Window.partitionBy(*keys, "_top").orderBy("_block").rowsBetween(*until))
+    placed = blocks.withColumn("_top", top).withColumn("_near", near)
+    whole = F.sum("_value") if how == "sum" else F.max_by("_value", F.when(F.col("_value").isNotNull(), F.col("_block")))
+    tops = blocks.withColumn("_top", top).groupBy(*keys, "_top").agg(whole.alias("_value"))
+    tops = tops.select(*keys, "_top", carried_on("_value", how, Window.partitionBy(*keys).orderBy("_top").rowsBetween(*until)).alias("_far"))
+    earlier = F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0)) if how == "sum" else F.coalesce("_near", "_far")
+    return placed.join(tops, [*keys, "_top"]).select(*keys, "_block", earlier.alias("_earlier"))
+
+
 def floor_join(points: DataFrame, table: DataFrame, point: str, start: str, keys: list[str] | None = None, block: int = 1 << 20) -> DataFrame:
-    """``points`` plus the columns of the row of ``table`` with the greatest ``start`` at or below ``point``.
+    """``points`` plus the columns of the row of ``table`` with the greatest ``start`` at or below ``point``, of the same ``keys``.
 
-    Points and rows are put in address blocks. Within a block a window carries the last row
+    Points and rows are put in blocks of numbers. Within a block a window carries the last row
     forward; a block's points below its first row take the last row of an earlier block, found
-    among one row per block.
+    among one row per block. Distinct points make a block no larger than ``block`` rows of
+    each. Points with a null key or number have no row and are not returned.
     """
     keys = keys or []
     extra = [c for c in table.columns if c not in keys]
@@ -27,23 +56,61 @@ def floor_join(points: DataFrame, table: DataFrame, point: str, start: str, keys
     events = events.unionByName(table.select(*keys, F.col(start).alias("_at"), F.lit(0).alias("_is_point"), held.alias("_row"))).withColumn("_block", F.floor(F.col("_at") / block))
     inside = Window.partitionBy(*keys, "_block").orderBy("_at", "_is_point").rowsBetween(Window.unboundedPreceding, 0)
     carried = events.withColumn("_row", F.last("_row", ignorenulls=True).over(inside))
-    lasts = events.groupBy(*keys, "_block").agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_at"))).alias("_last"))
-    before = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    lasts = lasts.withColumn("_last", F.last("_last", ignorenulls=True).over(before))
-    joined = carried.where("_is_point = 1").join(lasts, [*keys, "_block"])
-    row = F.coalesce("_row", "_last")
+    lasts = events.groupBy(*keys, "_block").agg(F.max_by("_row", F.when(F.col("_row").isNotNull(), F.col("_at"))).alias("_value"))
+    joined = carried.where("_is_point = 1").join(earlier_blocks(lasts, keys, "last"), [*keys, "_block"])
+    row = F.coalesce("_row", "_earlier")
     return joined.select(*keys, F.col("_at").alias(point), *[row[c].alias(c) for c in extra])
 
 
-def last_of_address(symbols: DataFrame) -> DataFrame:
-    """One row per ``addr``: the one of the greatest ``line_no``, or of the greatest name where lines are not numbered."""
-    return symbols.groupBy("addr").agg((F.max_by("sym", "line_no") if "line_no" in symbols.columns else F.max("sym")).alias("sym"))
+def last_of_address(symbols: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """One row per ``addr`` (of the same ``keys``): the one of the greatest ``line_no``, or of the greatest name where lines are not numbered."""
+    return symbols.groupBy(*keys or [], "addr").agg((F.max_by("sym", "line_no") if "line_no" in symbols.columns else F.max("sym")).alias("sym"))
+
+
+def resolve(ips: DataFrame, symbols: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """``keys.., ip, symbol`` for distinct ``ips(keys.., ip)`` and ``symbols(keys.., addr, sym, line_no?)``; of one address the last symbol counts.
+
+    Addresses of different hosts do not compare, so tables of many hosts need ``keys=["host"]``.
+    """
+    keys = keys or []
+    found = floor_join(ips.select(*keys, "ip").distinct(), last_of_address(symbols, keys), "ip", "addr", keys)
+    return found.select(*keys, "ip", symbol_text(F.col("ip"), F.col("addr"), F.col("sym")).alias("symbol"))
+
+
+def snapshot_versions(snapshots: DataFrame, order: str, keys: list[str], content: list[str]) -> DataFrame:
+    """``keys.., valid_from``: the snapshots whose content differs from the one before of the same keys."""
+    return snapshot_changes(snapshots, order, keys, content).where("changed").select(*keys, F.col(order).alias("valid_from"))
 
 
-def resolve(ips: DataFrame, symbols: DataFrame) -> DataFrame:
-    """``ip, symbol`` for distinct ``ips(ip)`` and ``symbols(addr, sym, line_no?)``; of one address the last symbol counts."""
-    found = floor_join(ips.select("ip").distinct(), last_of_address(symbols), "ip", "addr")
-    return found.select("ip", symbol_text(F.col("ip"), F.col("addr"), F.col("sym")).alias("symbol"))
+def resolve_at(points: DataFrame, snapshots: DataFrame) -> DataFrame:
+    """``host, at, ip, valid_from, symbol`` for distinct ``points(host, at, ip)`` and ``snapshots(host, taken, addr, sym, line_no?)``.
+
+    A symbol table holds from the snapshot that brought it until one with other content. Each
+    time finds its host's table, then each address its symbol in that table; both are as-of
+    joins in blocks, with the host in every key. Addresses are looked up once per table, not
+    once per time. A time before the host's first snapshot has no table (``valid_from`` is
+    null) and its addresses stay numbers.
+    """
+    points = points.select("host", "at", "ip").distinct()
+    versions = snapshot_versions(snapshots, "taken", ["host"], ["addr", "sym"])
+    times = floor_join(points.select("host", "at").distinct(), versions, "at", "valid_from", ["host"], 1 << TIME_BITS)
+    placed = points.join(times, ["host", "at"])
+    table = snapshots.join(versions, [snapshots.host == versions.host, snapshots.taken == versions.valid_from], "left_semi").withColumnRenamed("taken", "valid_from")
+    keys = ["host", "valid_from"]
+    found = resolve(placed.where("valid_from is not null"), table, keys)
+    joined = placed.join(found, [*keys, "ip"], "left")
+    return joined.select("host", "at", "ip", "valid_from", F.coalesce("symbol", symbol_text(F.col("ip"), F.lit(None), F.lit(None))).alias("symbol"))
+
+
+def process_names(samples: DataFrame, names: DataFrame) -> DataFrame:
+    """``host, pid, at, comm`` for distinct ``samples(host, pid, at)``: the name that ``names(host, pid, valid_from, comm)`` gives the process at that time.
+
+    A name holds until the process has the next one. A process without a name yet shows the
+    marker of an ended one, a name that could not be read (null) the other marker.
+    """
+    points = samples.select("host", "pid", "at").distinct()
+    found = floor_join(points, names.select("host", "pid", "valid_from", "comm"), "at", "valid_from", ["host", "pid"], 1 << TIME_BITS)
+    return found.select("host", "pid", "at", process_name(F.when(F.col("valid_from").isNotNull(), F.coalesce("comm", F.lit(""))), F.col("valid_from").isNull() | F.col("comm").isNotNull()).alias("comm"))
 
 
 def half_open_intervals(table: DataFrame, start: str, keys: list[str] | None = None) -> DataFrame:
@@ -82,11 +149,24 @@ def closed_interval_join(points: DataFrame, intervals: DataFrame, point: str) ->
     return found.groupBy(point).agg(best).select(point, "b.map_id", "b.first", "b.last")
 
 
+def time_block(us: Column) -> Column:
+    return F.floor(us / (1 << TIME_BITS)).cast("long")
+
+
 def generations(samples: DataFrame, exits: DataFrame) -> DataFrame:
-    """``sample_id, generation``: the number of exits of the pid strictly before the sample."""
+    """``sample_id, generation``: the number of exits of the pid strictly before the sample.
+
+    Exits are counted within about a minute of a process; earlier minutes give their number,
+    so a busy process is cut over tasks.
+    """
     events = samples.select("host", "pid", "ts", F.lit(1).alias("is_sample"), "sample_id").unionByName(exits.select("host", "pid", F.col("exit_ts").alias("ts"), F.lit(0).alias("is_sample"), F.lit(None).cast("long").alias("sample_id")))
-    w = Window.partitionBy("host", "pid").orderBy("ts", F.desc("is_sample")).rowsBetween(Window.unboundedPreceding, 0)
-    return events.withColumn("generation", F.sum(1 - F.col("is_sample")).over(w).cast("long")).where("is_sample = 1").select("sample_id", "generation")
+    events = events.withColumn("_block", time_block(F.unix_micros(F.col("ts").cast("timestamp"))))
+    keys = ["host", "pid"]
+    w = Window.partitionBy(*keys, "_block").orderBy("ts", F.desc("is_sample")).rowsBetween(Window.unboundedPreceding, 0)
+    counted = events.withColumn("_inside", F.sum(1 - F.col("is_sample")).over(w)).where("is_sample = 1")
+    blocks = events.groupBy(*keys, "_block").agg(F.sum(1 - F.col("is_sample")).alias("_value"))
+    joined = counted.join(earlier_blocks(blocks, keys, "sum"), [*keys, "_block"])
+    return joined.select("sample_id", (F.col("_inside") + F.col("_earlier")).cast("long").alias("generation"))
 
 
 def snapshot_changes(snapshots: DataFrame, order: str, keys: list[str], content: list[str]) -> DataFrame:
@@ -98,11 +178,20 @@ def snapshot_changes(snapshots: DataFrame, order: str, keys: list[str], content:
 
 
 def off_cpu(switches: DataFrame) -> DataFrame:
-    """``event_id, tid, blocked_us``: a switch-in right after a switch-out of the thread (of its host, if there is one)."""
-    w = Window.partitionBy(*[k for k in ("host", "tid") if k in switches.columns]).orderBy("ts", "event_id")
+    """``event_id, tid, blocked_us``: a switch-in right after a switch-out of the thread (of its host, if there is one).
+
+    Rows are paired within about a minute of a thread; the first row of a minute is paired with
+    the last one of an earlier minute, so a busy thread is cut over tasks.
+    """
+    keys = [k for k in ("host", "tid") if k in switches.columns]
     us = F.unix_micros(F.col("ts").cast("timestamp"))
-    paired = switches.withColumn("_us", us).withColumn("_kind", F.lag("kind").over(w)).withColumn("_out", F.lag("_us").over(w))
-    return paired.where("kind = 'in' and _kind = 'out' and _us > _out").select("event_id", "tid", (F.col("_us") - F.col("_out")).alias("blocked_us"))
+    rows = switches.withColumn("_us", us).withColumn("_block", time_block(us)).withColumn("_row", F.struct("kind", "_us"))
+    w = Window.partitionBy(*keys, "_block").orderBy("ts", "event_id")
+    paired = rows.withColumn("_before", F.lag("_row").over(w))
+    lasts = rows.groupBy(*keys, "_block").agg(F.max_by("_row", F.struct("_us", "event_id")).alias("_value"))
+    joined = paired.join(earlier_blocks(lasts, keys, "last"), [*keys, "_block"]).withColumn("_out", F.coalesce("_before", "_earlier"))
+    found = joined.where("kind = 'in' and _out.kind = 'out' and _us > _out._us")
+    return found.select("event_id", "tid", (F.col("_us") - F.col("_out._us")).alias("blocked_us"))
 
 
 def merge_maps(lines: DataFrame) -> DataFrame:

@@ -58,6 +58,43 @@ def j8(spark, d):
     return sym.snapshot_changes(versions, "version", ["host"], ["addr", "sym"])
 
 
+#: Four hosts' symbol tables at four times, six days apart: the second equals the first, odd hosts have other names from the third on, the fourth lacks some addresses.
+SNAPSHOTS = ", t0 as (select min(ts) as t0 from samples), snapshots as (select 'h' || h as host, t0 + to_days((1 + v * 6)::integer) as taken, addr + h * 100 as addr, sym || case when v >= 2 and h % 2 = 1 then '#2' else '' end as sym from symbols, t0, range(0, 4) a(h), range(0, 4) b(v) where not (v = 3 and addr % 7000 = 0)), points as (select distinct host, ts, (sample_id % 1500) * 1000 + k * 13 as ip from samples), versions as (select distinct host, taken from snapshots)"
+
+
+def snapshots(spark, d):
+    first = samples(spark, d).agg(F.min("ts").alias("t0"))  # one row
+    host, version = (F.explode(F.sequence(F.lit(0), F.lit(3))) for _ in range(2))
+    rows = symbols(spark, d).crossJoin(F.broadcast(first)).withColumn("h", host).withColumn("v", version).where(~((F.col("v") == 3) & (F.col("addr") % 7000 == 0)))
+    taken = F.unix_micros(F.col("t0").cast("timestamp")) + (F.col("v") * 6 + 1).cast("long") * 86_400_000_000
+    name = F.when((F.col("v") >= 2) & (F.col("h") % 2 == 1), F.concat("sym", F.lit("#2"))).otherwise(F.col("sym"))
+    return rows.select(F.concat(F.lit("h"), F.col("h").cast("string")).alias("host"), taken.alias("taken"), (F.col("addr") + F.col("h") * 100).alias("addr"), name.alias("sym"))
+
+
+def timed_ips(spark, d):
+    return samples(spark, d).select("host", F.unix_micros(F.col("ts").cast("timestamp")).alias("at"), (F.col("sample_id") % 1500 * 1000 + F.col("k") * 13).alias("ip"))
+
+
+@query("j8_symbols_at_time", with_views(SNAPSHOTS + ", placed as (select p.*, v.taken from points p asof left join versions v on p.host = v.host and p.ts >= v.taken) select p.host, epoch_us(p.ts) as at, p.ip, case when s.addr is null then '0x' || lower(to_hex(p.ip)) || '_[k]' else sym || '_[k]+' || (p.ip - s.addr) end as symbol from placed p asof left join snapshots s on p.host = s.host and p.taken = s.taken and p.ip >= s.addr", "samples", "symbols"))
+def j8_at(spark, d):
+    return sym.resolve_at(timed_ips(spark, d), snapshots(spark, d)).select("host", "at", "ip", "symbol")
+
+
+@query("j1_symbols_of_hosts", with_views(SNAPSHOTS + ", p as (select distinct host, ip from points), s as (select * from snapshots where taken = (select min(taken) from versions)) select p.host, p.ip, case when addr is null then '0x' || lower(to_hex(p.ip)) || '_[k]' else sym || '_[k]+' || (p.ip - addr) end as symbol from p asof left join s on p.host = s.host and p.ip >= s.addr", "samples", "symbols"))
+def j1_hosts(spark, d):
+    table_ = snapshots(spark, d)
+    first = table_.agg(F.min("taken").alias("first"))  # one row
+    return sym.resolve(timed_ips(spark, d), table_.join(F.broadcast(first), F.col("taken") == F.col("first")), ["host"])
+
+
+@query("m6_names_by_lifetime", with_views(", names as (select host, pid, exit_ts as valid_from, case when pid % 4 = 0 then null else 'run-' || (epoch_us(exit_ts) % 1000) end as comm from exits), n as (select host, pid, valid_from, any_value(comm) as comm from names group by 1, 2, 3), p as (select distinct host, pid, ts from samples) select p.host, p.pid, epoch_us(ts) as at, case when valid_from is null then '<exit task>' else coalesce(comm, '<err read comm>') end as comm from p asof left join n on p.host = n.host and p.pid = n.pid and p.ts >= n.valid_from", "samples", "exits"))
+def m6_lifetime(spark, d):
+    """Each exit of a process is followed by one of another name."""
+    us = F.unix_micros(F.col("exit_ts").cast("timestamp"))
+    names = exits(spark, d).select("host", "pid", us.alias("valid_from"), F.when(F.col("pid") % 4 != 0, F.concat(F.lit("run-"), (us % 1000).cast("string"))).alias("comm"))
+    return sym.process_names(samples(spark, d).select("host", "pid", F.unix_micros(F.col("ts").cast("timestamp")).alias("at")), names)
+
+
 @query("s15_merge_maps", "with l as (select o_custkey % 4 as host, o_custkey as pid, o_orderkey as line_no, o_totalprice::bigint as start, o_totalprice::bigint + 100 as stop, o_orderstatus as perm, o_orderpriority as path from orders), f as (select *, case when lag(perm) over w = perm and lag(path) over w = path then 0 else 1 end as new from l window w as (partition by host, pid order by line_no)), i as (select *, sum(new) over (partition by host, pid order by line_no rows unbounded preceding) as island from f) select cast(host as bigint) as host, cast(pid as bigint) as pid, min(line_no) as start, max(line_no) + 1 as stop, any_value(perm) as perm, any_value(path) as path from i group by host, pid, island")
 def s15(spark, d):
     o = table(spark, d, "orders")

@@ -53,7 +53,7 @@ def discover_stores(spark: SparkSession, root: str) -> DataFrame:
 def read_conf(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """``host, store_id, raw, cpu_num, freq, record_interval``: split at the first colon, the last of a repeated key counts."""
     # A conf is one row, as a file is, so the order of its lines is known.
-    whole = located((reader or spark.read).option("wholetext", "true").text(path).select("value", F.col("_metadata.file_path").alias("path")))
+    whole = located((reader or spark.read).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
     lines = whole.select("host", "store_id", F.posexplode(F.split("value", "\r?\n")).alias("_n", "value"))
     parts = F.split("value", ":", 2)
     pairs = lines.where(F.col("value").contains(":")).select("host", "store_id", "_n", F.trim(parts[0]).alias("k"), F.trim(parts[1]).alias("v")).where("k <> ''")

@@ -28,9 +28,8 @@ def parse_folded(lines: DataFrame) -> DataFrame:
 
 
 def read_folded(spark: SparkSession, path: str) -> DataFrame:
-    """Invalid UTF-8 is replaced, not refused."""
-    raw = spark.read.format("binaryFile").load(path).select(F.explode(F.split(F.make_valid_utf8(F.col("content").cast("string")), "\n")).alias("value"))
-    return parse_folded(raw.where("value <> ''"))
+    """Lines of files that Spark splits; invalid UTF-8 is replaced, not refused."""
+    return parse_folded(spark.read.text(path).select(F.make_valid_utf8("value").alias("value")).where("value <> ''"))
 
 
 def write_folded(lines: DataFrame, path: str) -> None:
@@ -38,13 +37,22 @@ def write_folded(lines: DataFrame, path: str) -> None:
 
 
 def parse_kallsyms(lines: DataFrame) -> DataFrame:
-    """``lines(value)`` to ``addr, kind, sym``; malformed lines are skipped."""
+    """``lines(.., value)`` to ``.., addr, kind, sym``; malformed lines are skipped."""
     shape = r"^([0-9a-f]+) (\S) (\S+)"
-    return lines.where(F.col("value").rlike(shape)).select(F.conv(F.regexp_extract("value", shape, 1), 16, 10).cast(ADDRESS).alias("addr"), F.regexp_extract("value", shape, 2).alias("kind"), F.regexp_extract("value", shape, 3).alias("sym"))
+    rest = [c for c in lines.columns if c != "value"]
+    return lines.where(F.col("value").rlike(shape)).select(*rest, F.conv(F.regexp_extract("value", shape, 1), 16, 10).cast(ADDRESS).alias("addr"), F.regexp_extract("value", shape, 2).alias("kind"), F.regexp_extract("value", shape, 3).alias("sym"))
 
 
 def read_kallsyms(spark: SparkSession, path: str) -> DataFrame:
-    return parse_kallsyms(spark.read.text(path))
+    """``host, file, line_no, addr, kind, sym`` of listings in folders named by host.
+
+    A listing is as large as a kernel has symbols, whatever the number of hosts, so a file is one
+    row and its lines have numbers: of one address the last line counts.
+    """
+    names = F.split("path", "/")
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = files.select(F.element_at(names, -2).alias("host"), F.element_at(names, -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
+    return parse_kallsyms(lines)
 
 
 def parse_proc_maps(lines: DataFrame, permissions: str = "x") -> DataFrame:
