@@ -68,6 +68,27 @@ def dictionary_delta(new: DataFrame, old: DataFrame, key: str = "str") -> DataFr
     return new.select(key).distinct().join(old, key, "left_anti")
 
 
+def merge_ids(new: DataFrame, old: DataFrame, value: str, name: str, keys: list[str] | None = None) -> DataFrame:
+    """``keys.., value, name, is_new`` for distinct ``new(keys.., value)``: values that ``old(keys.., value, name)`` has keep their id.
+
+    Others get ids from the greatest stored one on, in value order, so ids do not change from
+    interval to interval, only appended rows differ, and a repeated run finds everything stored.
+    With ``keys`` ids count within them; without, new values are numbered over ranges.
+    """
+    keys = keys or []
+    values = new.select(*keys, value).distinct()
+    known = values.join(old.select(*keys, value, name), [*keys, value], "left")
+    fresh = known.where(F.col(name).isNull()).select(*keys, value)
+    top = old.groupBy(*keys).agg(F.max(name).alias("_top"))
+    if keys:
+        # As many rows to a window as a key has values in one interval that were not there before.
+        ranked = fresh.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(value))).join(top, keys, "left")
+    else:
+        ranked = numbered(fresh, "_n", [value]).crossJoin(F.broadcast(top))  # one row
+    fresh = ranked.select(*keys, value, (F.col("_n") + F.coalesce("_top", F.lit(0))).cast(old.schema[name].dataType).alias(name), F.lit(True).alias("is_new"))
+    return known.where(F.col(name).isNotNull()).withColumn("is_new", F.lit(False)).unionByName(fresh)
+
+
 def string_bytes(column: Column) -> Column:
     return F.sum(F.octet_length(column)).cast("long")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import cpuset, frames, metadata
 from stackloom.operators import dictionary, filters, flame
 from stackloom.plans.catalog import query
+from stackloom.session import stored
 from stackloom.sources.views import samples, table, ticks, with_views
 
 META_SQL = "substr(rpad(comm, 15, ' '), 1, 15) || substr(rpad(group_comm, 15, ' '), 1, 15) || '-' || cgroup_id || '-' || cpu || '-' || pid || '|' || env"
@@ -79,6 +80,18 @@ def d6(spark, d):
     return dictionary.dictionary_delta(parts.where("not is_old"), parts.where("is_old"))
 
 
+@query("d6_stable_ids", with_views(METAS.replace("metas as", "all_metas as") + ", x as (select s, min(late) as late from (select unnest(list_prepend(meta, frames)) as s, sample_id % 10 >= 7 as late from all_metas) group by s) select s as str, row_number() over (order by late, s) as sid, late as is_new from x", "samples"))
+def d6_stable(spark, d):
+    """Seven tenths of the samples make a dictionary; the rest adds to it."""
+    s, late = with_meta(spark, d), F.col("sample_id") % 10 >= 7
+    strings = s.select(late.alias("late"), F.explode(F.array_prepend("frames", F.col("meta"))).alias("str"))
+    first = stored(dictionary.dense_ids(strings.where("not late"), "str", "sid"), "first-ids")
+    added = dictionary.merge_ids(strings.where("late"), first, "str", "sid").where("is_new")
+    again = dictionary.merge_ids(strings, first.unionByName(added.drop("is_new")), "str", "sid")
+    assert again.where("is_new").isEmpty()  # a repeated run finds everything stored
+    return first.withColumn("is_new", F.lit(False)).unionByName(added)
+
+
 @query("d7_dictionary_size", with_views(METAS + ", strs as (select distinct unnest(list_prepend(meta, frames)) as str from metas), stacks as (select distinct list_prepend(meta, frames) as p from metas) select cast((select sum(octet_length(encode(str))) from strs) as bigint) as string_bytes, cast((select sum(len(p) * 4) from stacks) as bigint) as list_bytes", "samples"))
 def d7(spark, d):
     s = with_meta(spark, d)

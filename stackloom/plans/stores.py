@@ -15,7 +15,8 @@ from stackloom.operators import flame, profile, timeline
 from stackloom.plans.catalog import query
 from stackloom.plans.decode import METAS, stack_text, with_meta
 from stackloom.session import shared_path, stored
-from stackloom.sources import store, text
+from stackloom.sources import frames, store, text
+from stackloom.sources import tables as store_tables
 from stackloom.sources.views import CPU_NUM, FREQ, RECORD_INTERVAL, samples, table, with_views
 
 KEYS = ["host", "store_id"]
@@ -134,11 +135,33 @@ def s10(spark, d):
     late = F.col("record_idx") >= 12
     for new in (~late, late):  # two intervals: the second appends what the first has not written
         records, counts = s.records.where(new), s.counts.where(new)
-        store.append_tables(store.Stores(s.conf, s.strmap, s.idsmap, records, counts), path)
-    counts, stacks = spark.read.parquet(f"{path}/stack_counts"), spark.read.parquet(f"{path}/idsmap")
+        for _ in range(2):  # a repeated call adds nothing
+            store_tables.append_tables(store.Stores(s.conf, s.strmap, s.idsmap, records, counts), path, "late" if new is late else "early")
+    whole = store_tables.read_tables(spark, path)
+    counts, stacks = whole.counts, whole.idsmap
     return counts.groupBy(*KEYS).agg(F.sum("count").cast("long").alias("n")).join(stacks.groupBy(*KEYS).agg(F.count("*").alias("stacks")), KEYS).select(*KEYS, "stacks", "n")
 
 
+@query("s10_interval_sink", with_views(HOURS + f" select host, store_id, cast(record_idx as bigint) as record_idx, cast(hour * {HOUR} as bigint) as start_ms, array_to_string(list_prepend(meta, frames), ';') as stack, cast(sum(cnt) as bigint) as n from st join hours using (host, store_id, hour) group by 1, 2, 3, 4, 5", "samples"))
+def s10i(spark, d):
+    """Hourly buckets come as a stream, twelve hours of all days in a batch; a batch is also sent twice."""
+    path = shared_path(spark, "interval-sink")
+    s = with_meta(spark, d).withColumn("store_id", F.concat(F.lit("cpa_"), F.date_format("ts", "yyMMdd"))).withColumn("hour", F.hour("ts"))
+    start = (F.col("hour") * HOUR).cast("long")
+    hours = s.groupBy(*KEYS, start.alias("start_ms"), (start + HOUR).alias("end_ms"), "meta", "frames").agg(F.sum("cnt").alias("count"))
+    buckets = stored(hours, "hour-buckets")
+    for i in range(2):
+        buckets.where(F.floor(F.col("start_ms") / (12 * HOUR)) == i).coalesce(1).write.mode("append").parquet(f"{path}/feed")
+        stream = spark.readStream.schema(buckets.schema).parquet(f"{path}/feed")
+        sink = store_tables.interval_sink(f"{path}/tables")
+        stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    sink(buckets, 1)
+    whole = store_tables.read_tables(spark, f"{path}/tables")
+    stacks = profile.decoded(whole.idsmap.select(*KEYS, "ids_id", F.lit(0).alias("cnt")), whole, "export").select(*KEYS, "ids_id", stack_text(F.array_prepend("frames", F.col("raw"))).alias("stack"))
+    rows = whole.counts.join(whole.records, [*KEYS, "record_idx"]).join(stacks, [*KEYS, "ids_id"])
+    return rows.select(*KEYS, F.col("record_idx").cast("long").alias("record_idx"), "start_ms", "stack", F.col("count").alias("n"))
+
+
 @query("s11_split_store", with_views(HOURS + " select host, store_id, array_to_string(list_prepend(meta, frames), ';') as stack, cast(sum(cnt) as bigint) as n from st join hours using (host, store_id, hour) where record_idx between 3 and 7 group by 1, 2, 3", "samples"))
 def s11(spark, d):
     s = loaded(spark, d)
@@ -193,11 +216,19 @@ def s16(spark, d):
     return parts.select("sample_id", *[F.array_join(F.col(f"c.{c}").cast("array<string>"), ";").alias(n) for c, n in (("kernel", "kernel"), ("user", "user_part"))])
 
 
-@query("s17_data_source", with_views(HOURS + " select st.store_id, cast(record_idx as bigint) as record_idx, cast(sum(cnt) as bigint) as n from st join hours using (host, store_id, hour) group by 1, 2", "samples"))
+@query("s17_data_source", with_views(HOURS + " select st.host, st.store_id, cast(record_idx as bigint) as record_idx, cast(sum(cnt) as bigint) as n from st join hours using (host, store_id, hour) group by 1, 2, 3", "samples"))
 def s17(spark, d):
-    spark.dataSource.register(store.StoreSource)
-    rows = spark.read.format("profile_store").load(f"{written(spark, d)}/*/*")
-    return rows.groupBy("store_id", F.col("record_idx").cast("long").alias("record_idx")).agg(F.sum("count").cast("long").alias("n"))
+    rows = frames.read_stores(spark, f"{written(spark, d)}/*/*")
+    return rows.groupBy(*KEYS, F.col("record_idx").cast("long").alias("record_idx")).agg(F.sum("count").cast("long").alias("n"))
+
+
+@query("s17_pruned_by_index", with_views(HOURS + f" select st.host, st.store_id, cast(record_idx as bigint) as record_idx, cast(sum(cnt) as bigint) as n from st join hours using (host, store_id, hour) where host in ('h0', 'h1') and hour between 6 and 8 group by 1, 2, 3", "samples"))
+def s17i(spark, d):
+    """Three hours of two hosts, one with packed and one with plain files; other chunks are not opened."""
+    path, index = written(spark, d), shared_path(spark, "frame-index")
+    frames.write_index(spark, path, index)
+    rows = frames.read_stores(spark, path, index).where(f"host in ('h0', 'h1') and start_ms >= {6 * HOUR} and end_ms <= {9 * HOUR}")
+    return rows.groupBy(*KEYS, F.col("record_idx").cast("long").alias("record_idx")).agg(F.sum("count").cast("long").alias("n"))
 
 
 FOLDED = " select env || ';' || group_comm || ';' || array_to_string(frames, ';') || ';' as stack, cast(sum(cnt) as bigint) as samples from st join {records} using (host, store_id, hour) where {condition} group by 1"

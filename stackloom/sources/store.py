@@ -5,30 +5,28 @@ A store holds ``conf`` (``key: value`` lines), ``strmap`` (``<string> <id>``), `
 many in a row, the last one cut. ``store_id`` is the directory's name, ``host`` the name of the
 directory above.
 
-:func:`load_stores` reads any file system that Spark reads; a file is one row of one task there,
-so it may have up to 2 GB. :class:`StoreSource` streams files of any size, but only from folders
-that the executors can open as files, as the writers of the binary files need them too.
+:func:`load_stores` and :func:`write_stores` use Spark's own readers and writers, so they work on
+any file system that Spark knows. Files of up to ``SPLIT_BYTES`` are one row of one task each;
+larger ones are cut at the marks of records or frames and read by many tasks. The data sources
+in ``stackloom.sources.frames`` read ranges of files through an index instead.
 """
 
 from __future__ import annotations
 
 import io
-import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from stackloom.functions.frames import LOST_STRING
 from stackloom.functions.timefmt import DAY_MS
 from stackloom.operators.history import store_time
-from stackloom.session import stored
+from stackloom.session import shared_path, stored
 
 FILES = ("conf", "strmap", "idsmap", "stack.bin")
 ZSTD = b"\x28\xb5\x2f\xfd"
@@ -37,6 +35,10 @@ HEAD, FOOT = b"\xfa\xfb", b"\xfc\xfd"
 ENTRY = np.dtype([("id", "<u4"), ("n", "<u8")])
 CONF_KEYS = ("cpu_num", "freq", "record_interval", "kernel_version", "hostname", "mode", "env", "version")
 BATCH_ENTRIES = 1 << 17
+#: Files above this size are cut into pieces; lines or bytes of records that one zstd frame holds when written.
+SPLIT_BYTES, FRAME_LINES, FRAME_BYTES = 1 << 26, 1000, 1 << 20
+#: A zstd frame that decoders skip, but for its content of one byte, with which Spark's text writer ends a row.
+SKIPPED = b"\x50\x2a\x4d\x18\x01\x00\x00\x00"
 
 
 def located(df: DataFrame, path: str = "path") -> DataFrame:
@@ -102,11 +104,60 @@ class _Forgiving(io.RawIOBase):
         return len(part)
 
 
-def _contents(spark: SparkSession, path: str, file: str) -> DataFrame:
-    return located(spark.read.format("binaryFile").option("pathGlobFilter", file).option("recursiveFileLookup", "true").load(path)).select("host", "store_id", "content")
+def files(spark: SparkSession, path: str, file: str) -> DataFrame:
+    """``path, length`` of all files of that name below ``path``."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", file).option("recursiveFileLookup", "true").load(path)
 
 
-def _lines(spark: SparkSession, path: str, file: str) -> DataFrame:
+def _contents(spark: SparkSession, path: str, file: str, odd: list[str] = ()) -> DataFrame:
+    """Whole files as rows: those that are not cut, and those in ``odd``, which cannot be."""
+    small = (F.col("length") <= SPLIT_BYTES) | F.col("path").isin(list(odd))
+    return located(files(spark, path, file).where(small)).select("host", "store_id", "content")
+
+
+#: What the last piece of a block may be: a record like all others, one that only the end of a file may follow, or nothing that is a record.
+GOES_ON, ENDS, ODD = 0, 1, 2
+
+
+def frame_content(value: bytes) -> tuple[bytes, int]:
+    """(content of a zstd frame without its mark, what may follow): a cut frame ends its file, and what is no frame, as a mark by chance makes, is odd."""
+    import zstandard
+
+    reader = zstandard.ZstdDecompressor().decompressobj()
+    try:
+        data = reader.decompress(ZSTD + value)
+    except zstandard.ZstdError:
+        return b"", ODD
+    if not reader.eof:
+        return data, ENDS
+    return data, GOES_ON if not reader.unused_data or reader.unused_data == SKIPPED + b"\n" else ODD
+
+
+def starts_as_zstd(spark: SparkSession, path: str) -> bool:
+    """By the first four bytes, which the driver reads through Spark's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = place.getFileSystem(spark._jsc.hadoopConfiguration()).open(place)
+    try:
+        return stream.readInt() == int.from_bytes(ZSTD, "big")
+    finally:
+        stream.close()
+
+
+def _cut(spark: SparkSession, paths: list[str], mark: bytes) -> DataFrame:
+    """``path, block, value``: the bytes between marks of the files, in order within a block; blocks are Spark's splits."""
+    text = spark.read.option("lineSep", mark.decode("latin-1")).option("encoding", "ISO-8859-1").text(paths)
+    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+
+
+def _large(spark: SparkSession, path: str, file: str) -> dict[bool, list[str]]:
+    """Paths of the files to cut, by whether they are zstd: only their names and first bytes reach the driver."""
+    out: dict[bool, list[str]] = {True: [], False: []}
+    for r in files(spark, path, file).where(F.col("length") > SPLIT_BYTES).select("path").collect():
+        out[starts_as_zstd(spark, r.path)].append(r.path)
+    return out
+
+
+def _whole_lines(spark: SparkSession, path: str, file: str, odd: list[str] = ()) -> DataFrame:
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             for host, store, content in part.itertuples(index=False):
@@ -119,14 +170,45 @@ def _lines(spark: SparkSession, path: str, file: str) -> DataFrame:
                 if lines:
                     yield pd.DataFrame({"host": host, "store_id": store, "line_no": range(i + 1 - len(lines), i + 1), "line": lines})
 
-    return _contents(spark, path, file).mapInPandas(run, "host string, store_id string, line_no long, line string")
+    rows = _contents(spark, path, file, odd).mapInPandas(run, "host string, store_id string, line_no long, line string")
+    return rows.select("host", "store_id", F.struct(F.lit(0).cast("long").alias("block"), F.col("line_no").alias("row")).alias("at"), "line")
+
+
+def _lines(spark: SparkSession, path: str, file: str) -> DataFrame:
+    """``host, store_id, at, line``; ``at`` grows with the place in the file."""
+    large, odd, parts = _large(spark, path, file), [], []
+    at = F.struct("block", F.monotonically_increasing_id().alias("row")).alias("at")
+    if large[False]:
+        rows = _cut(spark, large[False], b"\n")
+        parts.append(located(rows).select("host", "store_id", at, F.rtrim(F.make_valid_utf8(F.col("value").cast("string")), F.lit("\r")).alias("line")))
+    if large[True]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for path_, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+                    content, after = frame_content(value) if value else (b"", GOES_ON)
+                    lines = content.split(b"\n")
+                    last = lines.pop()
+                    found = [line.decode("utf-8", "replace").rstrip("\r") for line in lines] + ([last.decode("utf-8", "replace")] if last else [])
+                    found += [None] * (after if not last else after - 1)  # a cut frame counts as an open line, what is no frame as two
+                    yield pa.RecordBatch.from_arrays([pa.array([path_] * len(found), pa.string()), pa.array([block] * len(found), pa.int64()), pa.array(found, pa.string()), pa.array([False] * len(lines) + [True] * (len(found) - len(lines)), pa.bool_())], names=["path", "block", "line", "open"])
+
+        rows = stored(_cut(spark, large[True], ZSTD).mapInArrow(run, "path string, block long, line string, open boolean"), "store-lines")
+        # A line that no line end closes is the last of its file, or frames do not end with lines there.
+        rows = rows.withColumn("at", at)
+        last = rows.groupBy("path").agg(F.max("at").alias("last"), F.max(F.when(F.col("open"), F.col("at"))).alias("first_open"), F.count_if("open").alias("n"))
+        odd = [r.path for r in last.where("n > 1 or (n = 1 and first_open <> last)").select("path").collect()]
+        parts.append(located(rows.where(~F.col("path").isin(odd))).select("host", "store_id", "at", "line"))
+    out = _whole_lines(spark, path, file, odd)
+    for part in parts:
+        out = out.unionByName(part)
+    return out
 
 
 def read_strmap(spark: SparkSession, path: str) -> DataFrame:
     """``host, store_id, sid, str``: split at the last space; bad ids are skipped, of one id the last line counts."""
     shape = r"^([\s\S]*) (\d+)$"
-    rows = _lines(spark, path, "strmap").where(F.col("line").rlike(shape)).select("host", "store_id", "line_no", F.regexp_extract("line", shape, 2).try_cast("int").alias("sid"), F.regexp_extract("line", shape, 1).alias("str"))
-    return rows.where("sid is not null").groupBy("host", "store_id", "sid").agg(F.max_by("str", "line_no").alias("str"))
+    rows = _lines(spark, path, "strmap").where(F.col("line").rlike(shape)).select("host", "store_id", "at", F.regexp_extract("line", shape, 2).try_cast("int").alias("sid"), F.regexp_extract("line", shape, 1).alias("str"))
+    return rows.where("sid is not null").groupBy("host", "store_id", "sid").agg(F.max_by("str", "at").alias("str"))
 
 
 def read_idsmap(spark: SparkSession, path: str) -> DataFrame:
@@ -134,8 +216,8 @@ def read_idsmap(spark: SparkSession, path: str) -> DataFrame:
     shape = r"^(.*) (\d+)$"
     rows = _lines(spark, path, "idsmap").where(F.col("line").rlike(shape))
     sids = F.transform(F.filter(F.split(F.regexp_extract("line", shape, 1), ";"), lambda x: x != ""), lambda x: x.try_cast("int"))
-    rows = rows.select("host", "store_id", "line_no", F.regexp_extract("line", shape, 2).try_cast("int").alias("ids_id"), sids.alias("sids")).where("ids_id is not null and size(sids) > 0")
-    return rows.groupBy("host", "store_id", "ids_id").agg(F.max_by("sids", "line_no").alias("sids"))
+    rows = rows.select("host", "store_id", "at", F.regexp_extract("line", shape, 2).try_cast("int").alias("ids_id"), sids.alias("sids")).where("ids_id is not null and size(sids) > 0")
+    return rows.groupBy("host", "store_id", "ids_id").agg(F.max_by("sids", "at").alias("sids"))
 
 
 def walk_records(data: io.BufferedIOBase) -> Iterator[tuple[int, int, int, np.ndarray]]:
@@ -155,28 +237,143 @@ def walk_records(data: io.BufferedIOBase) -> Iterator[tuple[int, int, int, np.nd
         index += 1
 
 
-def read_stack_bin(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """``(records, stack_counts)``: ``host, store_id, record_idx, start_ms, end_ms, entry_len`` and ``.., record_idx, ids_id, count``."""
+ROW_SCHEMA = pa.schema([("record_idx", pa.int64()), ("start_ms", pa.int64()), ("end_ms", pa.int64()), ("ids_id", pa.int64()), ("count", pa.int64())])
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for host, store, content in part.itertuples(index=False):
+
+def entry_rows(records: list[tuple[int, int, int, np.ndarray]]) -> list[pa.Array]:
+    """Columns of :data:`ROW_SCHEMA`: for each record a row of its own, with id -1 and the number of entries, then its entries."""
+    sizes = [len(r[3]) + 1 for r in records]
+    ids = [x for r in records for x in (np.array([-1]), r[3]["id"].astype(np.int64))]
+    counts = [x for r in records for x in (np.array([len(r[3])]), r[3]["n"].astype(np.int64))]
+    return [pa.array(np.repeat(np.array([r[k] for r in records], np.int64), sizes)) for k in range(3)] + [pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in (ids, counts)]
+
+
+def _walked(spark: SparkSession, path: str, odd: list[str]) -> DataFrame:
+    """Whole files, each walked by one task: ``host, store_id, record_idx, .., count`` as in :func:`entry_rows`."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, store, content in zip(*(c.to_pylist() for c in batch.columns)):
                 held, size = [], 0
-                for i, start, end, entries in walk_records(plain(io.BytesIO(content))):
-                    ids = np.concatenate(([-1], entries["id"].astype(np.int64)))  # a row of its own for the record
-                    counts = np.concatenate(([len(entries)], entries["n"].astype(np.int64)))
-                    held.append(pd.DataFrame({"host": host, "store_id": store, "record_idx": i, "start_ms": start, "end_ms": end, "ids_id": ids, "count": counts}))
-                    size += len(ids)
+                for record in walk_records(plain(io.BytesIO(content))):
+                    held.append(record)
+                    size += len(record[3]) + 1
                     if size > BATCH_ENTRIES:
-                        yield pd.concat(held)
+                        yield named(host, store, held)
                         held, size = [], 0
-                if held:
-                    yield pd.concat(held)
+                yield named(host, store, held)
+
+    def named(host: str, store: str, records: list) -> pa.RecordBatch:
+        columns = entry_rows(records)
+        n = len(columns[0])
+        return pa.RecordBatch.from_arrays([pa.array([host] * n, pa.string()), pa.array([store] * n, pa.string()), *columns], names=["host", "store_id", *ROW_SCHEMA.names])
 
-    schema = "host string, store_id string, record_idx int, start_ms long, end_ms long, ids_id long, count long"
-    rows = stored(_contents(spark, path, "stack.bin").mapInPandas(run, schema), "stack-bin")  # files are walked once for both results
-    records = rows.where("ids_id = -1").select("host", "store_id", "record_idx", "start_ms", "end_ms", F.col("count").alias("entry_len"))
-    return records, rows.where("ids_id <> -1").select("host", "store_id", "record_idx", F.col("ids_id").cast("int").alias("ids_id"), "count")
+    return _contents(spark, path, "stack.bin", odd).mapInArrow(run, "host string, store_id string, record_idx long, start_ms long, end_ms long, ids_id long, count long")
+
+
+def piece_records(value: bytes, packed: bool, first: bool) -> tuple[list[tuple[int, int, np.ndarray]], int]:
+    """(records of one piece of a cut file, what may follow).
+
+    A piece of a plain file lies between an end mark with the next record's mark; ``first`` is
+    the one at the file's start. A piece of a packed file is a frame without its mark.
+    """
+    if packed:
+        if not value:
+            return [], GOES_ON if first else ODD
+        data, after = frame_content(value)
+        found, at = [], 0
+        while data[at : at + 2] == HEAD and len(data) >= at + 26:
+            start, end, n = np.frombuffer(data, "<u8", 3, at + 2).tolist()
+            stop = at + 26 + n * ENTRY.itemsize
+            if data[stop : stop + 2] != FOOT:
+                break
+            found.append((start, end, np.frombuffer(data, ENTRY, n, at + 26)))
+            at = stop + 2
+        rest = data[at:]
+        cut = len(rest) < 26 or len(rest) < 28 + ENTRY.itemsize * int(np.frombuffer(rest, "<u8", 1, 18)[0])
+        return found, after if not rest or after == ODD else ENDS if rest[:2] == HEAD[: len(rest)] and cut else ODD
+    if first:
+        if value[:2] != HEAD[: len(value)]:
+            return [], ODD
+        value = value[2:]
+    if len(value) < 24:
+        return [], ENDS
+    start, end, n = np.frombuffer(value, "<u8", 3).tolist()
+    more = len(value) - 24 - n * ENTRY.itemsize
+    if more < 2 and more != 0:
+        return [], ENDS
+    if more > 2 or more == 2 and value[-2:] != FOOT:
+        return [], ODD
+    return [(start, end, np.frombuffer(value, ENTRY, n, 24))], ENDS if more else GOES_ON
+
+
+def _pieced(spark: SparkSession, paths: list[str], packed: bool) -> tuple[DataFrame | None, list[str]]:
+    """(rows of the cut files, paths of those that cannot be cut).
+
+    Record numbers count within a block and are moved by the records of earlier blocks. Marks
+    can also stand inside a record by chance, or a record can lie in two frames; then a piece
+    is no record, and its file is left to be read whole.
+    """
+    if not paths:
+        return None, []
+    names = ["path", "block", *ROW_SCHEMA.names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place, n, ends, held, size = None, 0, GOES_ON, [], 0
+
+        def rows() -> pa.RecordBatch:
+            columns = entry_rows(held)
+            k = len(columns[0])
+            return pa.RecordBatch.from_arrays([pa.array([place[0]] * k, pa.string()), pa.array([place[1]] * k, pa.int64()), *columns], names=names)
+
+        def closing() -> pa.RecordBatch:  # a row with id -2: records of the block, and how it ends
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*place, n, 0, 0, -2, ends), (pa.string(), *[pa.int64()] * 6))], names=names)
+
+        for batch in batches:
+            for path, block, value in zip(*(c.to_pylist() for c in batch.columns)):
+                if (path, block) != place:
+                    if place:
+                        yield rows()
+                        yield closing()
+                    place, n, ends, held, size, first = (path, block), 0, GOES_ON, [], 0, block == 0
+                found, after = piece_records(value, packed, first)
+                ends = ODD if ends != GOES_ON else after  # nothing may follow an end
+                first = False
+                for start, end, entries in found:
+                    held.append((n, start, end, entries))
+                    n, size = n + 1, size + len(entries) + 1
+                if size > BATCH_ENTRIES:
+                    yield rows()
+                    held, size = [], 0
+        if place:
+            yield rows()
+            yield closing()
+
+    mark = ZSTD if packed else FOOT + HEAD
+    found = stored(_cut(spark, paths, mark).mapInArrow(run, "path string, block long, record_idx long, start_ms long, end_ms long, ids_id long, count long"), "stack-pieces")
+    w = Window.partitionBy("path").orderBy("block")  # one row per block of a file
+    blocks = found.where("ids_id = -2").select("path", "block", "record_idx", F.col("count").alias("ends"))
+    blocks = blocks.select("path", "block", "ends", F.coalesce(F.sum("record_idx").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.lead("block").over(w).isNull().alias("last"))
+    blocks = stored(blocks, "stack-blocks")
+    odd = [r.path for r in blocks.where(f"ends = {ODD} or (ends = {ENDS} and not last)").select("path").distinct().collect()]
+    rows = found.where(F.col("ids_id") > -2).where(~F.col("path").isin(odd)).join(blocks.select("path", "block", "before"), ["path", "block"])
+    rows = located(rows.withColumn("record_idx", F.col("record_idx") + F.col("before")))
+    return rows.select("host", "store_id", *ROW_SCHEMA.names), odd
+
+
+def read_stack_bin(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """``(records, stack_counts)``: ``host, store_id, record_idx, start_ms, end_ms, entry_len`` and ``.., record_idx, ids_id, count``."""
+    large, parts, odd = _large(spark, path, "stack.bin"), [], []
+    for packed, paths in large.items():
+        rows, left = _pieced(spark, paths, packed)
+        parts += [] if rows is None else [rows]
+        odd += left
+    rows = _walked(spark, path, odd)
+    for part in parts:
+        rows = rows.unionByName(part)
+    rows = stored(rows, "stack-bin")  # files are read once for both results
+    index = F.col("record_idx").cast("int").alias("record_idx")
+    records = rows.where("ids_id = -1").select("host", "store_id", index, "start_ms", "end_ms", F.col("count").alias("entry_len"))
+    return records, rows.where("ids_id <> -1").select("host", "store_id", index, F.col("ids_id").cast("int").alias("ids_id"), "count")
 
 
 @dataclass
@@ -208,53 +405,107 @@ def with_guards(records: DataFrame) -> DataFrame:
     return records.unionByName(last.select(*[guard.get(c, F.col(c)).cast(kinds[c]).alias(c) for c in records.columns]))
 
 
-def as_file(path: str) -> str:
-    """A path without the scheme of local files, as ``open`` takes it."""
-    return re.sub(r"^file:(//)?(?=/)", "", path)
+def packed_rows(rows: DataFrame, zstd: bool) -> DataFrame:
+    """``rows(host, store_id, file, at, piece)``, dealt by file and sorted, as ``.., at, value``: what Spark's text writer makes the file's bytes of.
 
+    The writer ends a row with a line feed. Of a plain file the pieces are lines without theirs;
+    of a packed one a value is a frame of several pieces, followed by one that decoders skip, whose
+    content is that line feed. A task holds one frame at a time.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import zstandard
 
-def _write_files(rows: DataFrame, path: str, file: str, encode: Callable[[pd.DataFrame], Iterator[bytes]], zstd: bool) -> DataFrame:
-    """One file per store; ``encode`` gives its pieces, each a zstd frame of its own if wanted. A repeated task replaces the file."""
-    folder = as_file(path)
-
-    def run(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        import os
+        held, size, place = [], 0, None
 
-        import zstandard
+        def frame() -> pa.RecordBatch:
+            value = zstandard.ZstdCompressor().compress(b"".join(held)) + SKIPPED
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((*place, value), (*[pa.string()] * 3, pa.int64(), pa.binary()))], names=["host", "store_id", "file", "at", "value"])
 
-        os.makedirs(f"{folder}/{key[0]}/{key[1]}", exist_ok=True)
-        name = f"{folder}/{key[0]}/{key[1]}/{file}"
-        with open(f"{name}.{os.getpid()}", "wb") as f:
-            for piece in encode(part):
-                f.write(zstandard.ZstdCompressor().compress(piece) if zstd else piece)
-            size = f.tell()
-        os.replace(f.name, name)
-        return pd.DataFrame({"host": [key[0]], "store_id": [key[1]], "bytes": [size]})
+        for batch in batches:
+            for host, store, file, at, piece in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and ((host, store, file) != place[:3] or size >= FRAME_BYTES or len(held) >= FRAME_LINES):
+                    yield frame()
+                    held, size = [], 0
+                if not held:
+                    place = (host, store, file, at)
+                held.append(piece)
+                size += len(piece)
+        if held:
+            yield frame()
 
-    return rows.groupBy("host", "store_id").applyInPandas(run, "host string, store_id string, bytes long")
+    rows = rows.select("host", "store_id", "file", "at", "piece")
+    return rows.mapInArrow(run, "host string, store_id string, file string, at long, value binary") if zstd else rows.withColumnRenamed("piece", "value")
 
 
-def _encode_lines(part: pd.DataFrame) -> Iterator[bytes]:
-    lines = part.sort_values("at")["line"]
-    for i in range(0, len(lines), 1000):
-        yield "".join(f"{x}\n" for x in lines.iloc[i : i + 1000]).encode()
+def written_records(records: DataFrame, counts: DataFrame) -> DataFrame:
+    """``host, store_id, record_idx, raw``: each record's bytes, its entries in order of their ids."""
+    keys = ["host", "store_id", "record_idx"]
+    entries = counts.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("ids_id").cast("long").alias("id"), F.col("count").alias("n")))).alias("entries"))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            raw = []
+            for start, end, own in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)):
+                table = np.zeros(len(own) if own.is_valid else 0, ENTRY)
+                if len(table):
+                    table["id"], table["n"] = (own.values.field(k).to_numpy() for k in ("id", "n"))
+                raw.append(HEAD + np.array([start, end, len(table)], "<u8").tobytes() + table.tobytes() + FOOT)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(raw, pa.binary())], names=[*keys, "raw"])
 
-def _encode_records(part: pd.DataFrame) -> Iterator[bytes]:
-    for (_, start, end), rows in part.sort_values(["record_idx", "ids_id"]).groupby(["record_idx", "start_ms", "end_ms"]):
-        rows = rows.dropna(subset=["ids_id"])
-        yield record_bytes(start, end, list(zip(rows["ids_id"].astype(int), rows["count"].astype(int))))
+    return records.select(*keys, "start_ms", "end_ms").join(entries, keys, "left").mapInArrow(run, "host string, store_id string, record_idx int, raw binary")
 
 
 def write_stores(stores: Stores, path: str, zstd: bool = True) -> None:
-    """The four files of each store below ``path/host/store_id``, a folder that executors can open; one task per file."""
+    """The four files of each store below ``path/host/store_id``, on any file system that Spark writes.
+
+    Spark's text writer makes the files in a folder beside them, one task per file with its rows
+    sorted and streamed; its committer sees to lost and repeated tasks. Only when all are there
+    the driver renames them into place. If the job fails, nothing is left.
+    """
     keys = ["host", "store_id"]
+    spark = stores.conf.sparkSession
     conf = stores.conf.select(*keys, F.posexplode(conf_pairs(F.col("raw"))).alias("at", "line"))
     strings = stores.strmap.select(*keys, F.col("sid").alias("at"), F.concat("str", F.lit(" "), F.col("sid").cast("string")).alias("line"))
     stacks = stores.idsmap.select(*keys, F.col("ids_id").alias("at"), F.concat(F.array_join(F.col("sids").cast("array<string>"), ";"), F.lit("; "), F.col("ids_id").cast("string")).alias("line"))
-    records = stores.records.select(*keys, "record_idx", "start_ms", "end_ms").join(stores.counts.select(*keys, "record_idx", "ids_id", "count"), [*keys, "record_idx"], "left")
-    for rows, file, encode, packed in ((conf, "conf", _encode_lines, False), (strings, "strmap", _encode_lines, zstd), (stacks, "idsmap", _encode_lines, zstd), (records, "stack.bin", _encode_records, zstd)):
-        _write_files(rows, path, file, encode, packed).write.format("noop").mode("overwrite").save()
+    records = written_records(stores.records, stores.counts).select(*keys, F.col("record_idx").alias("at"), F.col("raw").alias("piece"))
+
+    def lines(df: DataFrame, ended: bool) -> DataFrame:
+        return df.select(*keys, "at", F.concat("line", F.lit("\n" if ended else "")).cast("binary").alias("piece"))
+
+    staged = f"{path}/.writing-{shared_path(spark, 'x').rpartition('-')[2]}"
+    jobs = [(lines(conf, False), "conf", False, "\n"), (lines(strings, zstd), "strmap", zstd, "\n"), (lines(stacks, zstd), "idsmap", zstd, "\n")]
+    # A plain record's last byte is what the writer ends the row with.
+    jobs.append((records if zstd else records.withColumn("piece", F.expr("substring(piece, 1, length(piece) - 1)")), "stack.bin", zstd, "\n" if zstd else FOOT[-1:].decode("latin-1")))
+    try:
+        for rows, file, packed, end in jobs:
+            order = [*keys, "file", "at"]
+            dealt = rows.withColumn("file", F.lit(file)).withColumn("at", F.col("at").cast("long")).repartition(*keys).sortWithinPartitions(*order)
+            values = packed_rows(dealt, packed).sortWithinPartitions(*order).select(*keys, "file", F.col("value").cast("string").alias("value"))
+            values.write.partitionBy(*keys, "file").option("lineSep", end).option("encoding", "ISO-8859-1").mode("append").text(staged)
+        _put_in_place(spark, staged, path)
+    finally:
+        place = spark._jvm.org.apache.hadoop.fs.Path(staged)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def _put_in_place(spark: SparkSession, staged: str, path: str) -> None:
+    """Renames ``staged/host=../store_id=../file=../part-..`` to ``path/host/store_id/file``; replaces files that are there."""
+    from urllib.parse import unquote
+
+    jvm = spark._jvm
+    place = jvm.org.apache.hadoop.fs.Path(staged)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    found = fs.listFiles(place, True)
+    while found.hasNext():
+        at = found.next().getPath()
+        if not at.getName().startswith("part-"):
+            continue
+        host, store, file = (unquote(p.partition("=")[2]) for p in at.getParent().toString().rsplit("/", 3)[1:])
+        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{host}/{store}/{file}")
+        fs.mkdirs(target.getParent())
+        fs.delete(target, False)
+        if not fs.rename(at, target):
+            raise OSError(f"cannot rename {at.toString()} to {target.toString()}")
 
 
 def conf_pairs(raw: Column) -> Column:
@@ -273,18 +524,6 @@ def write_tables(strmap: DataFrame, idsmap: DataFrame, records: DataFrame, count
         df.write.mode("append").partitionBy("host").parquet(f"{path}/{name}")
 
 
-def append_tables(stores: Stores, path: str) -> None:
-    """Adds what the tables at ``path`` do not hold yet: of dictionaries new ids, of records and counts new records. A repeated call adds nothing."""
-    keys = ["host", "store_id"]
-    for name, df, own in (("strmap", stores.strmap, "sid"), ("idsmap", stores.idsmap, "ids_id"), ("stack_counts", stores.counts, "record_idx"), ("records", stores.records, "record_idx")):
-        try:
-            old = df.sparkSession.read.parquet(f"{path}/{name}").select(*keys, own).distinct()
-        except AnalysisException:  # nothing written yet
-            old = None
-        new = df if old is None else df.join(old, [*keys, own], "left_anti")
-        stored(new, f"append-{name}").write.mode("append").partitionBy("host").parquet(f"{path}/{name}")
-
-
 def split_store(records: DataFrame, counts: DataFrame, idsmap: DataFrame, strmap: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """``(strmap, idsmap, stack_counts)`` of the chosen ``records`` with fresh compact ids per store.
 
@@ -299,43 +538,3 @@ def split_store(records: DataFrame, counts: DataFrame, idsmap: DataFrame, strmap
     listed = listed.withColumn("new_id", F.row_number().over(Window.partitionBy(*keys).orderBy("ids_id")))
     renumbered = kept.join(listed.select(*keys, "ids_id", "new_id"), [*keys, "ids_id"]).select(*keys, "record_idx", F.col("new_id").alias("ids_id"), "count")
     return strings.select(*keys, F.col("new_sid").alias("sid"), "str"), listed.select(*keys, F.col("new_id").alias("ids_id"), "sids"), renumbered
-
-
-class StoreSource(DataSource):
-    """``spark.read.format("profile_store").load(path)``: the entries of one store's records, one partition per store directory.
-
-    The path must be readable as a file by the executors; :func:`read_stack_bin` reads any Spark file system.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "profile_store"
-
-    def schema(self) -> str:
-        return "store_id string, record_idx int, start_ms bigint, end_ms bigint, ids_id int, count bigint"
-
-    def reader(self, schema) -> DataSourceReader:
-        return StoreReader(as_file(self.options["path"]))
-
-
-class StoreReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
-
-    def partitions(self) -> list[InputPartition]:
-        import glob
-        import os
-
-        found = [p for p in sorted(glob.glob(self.path)) if all(os.path.exists(f"{p}/{f}") for f in FILES)]
-        return [InputPartition(p) for p in found]
-
-    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        """A batch per record, so that a file of any size passes through."""
-        import os
-
-        name = os.path.basename(partition.value)
-        with open(f"{partition.value}/stack.bin", "rb") as f:
-            for i, start, end, entries in walk_records(plain(f)):
-                n = len(entries)
-                columns = [pa.array([name] * n, pa.string()), pa.array(np.full(n, i, np.int32)), pa.array(np.full(n, start)), pa.array(np.full(n, end)), pa.array(entries["id"].astype(np.int32)), pa.array(entries["n"].astype(np.int64))]
-                yield pa.RecordBatch.from_arrays(columns, names=["store_id", "record_idx", "start_ms", "end_ms", "ids_id", "count"])

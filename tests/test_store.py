@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from stackloom.functions.metadata import parse_metadata
 from stackloom.operators import timeline
 from stackloom.operators.dictionary import decode_stacks
-from stackloom.sources import store, text
+from stackloom.sources import frames, store, text
 
 META = f"{'comm':<15}{'group':<15}-0-0-42|pod-x"
 
@@ -60,8 +60,8 @@ def test_dictionaries_and_records(spark, minimal):
 
 
 def test_data_source(spark, minimal):
-    spark.dataSource.register(store.StoreSource)
-    rows = spark.read.format("profile_store").load(f"{minimal}/hosta/*").collect()
+    rows = frames.read_stores(spark, f"{minimal}/hosta/*").collect()
+    assert {r.host for r in rows} == {"hosta"}
     assert {(r.store_id, r.ids_id, r["count"]) for r in rows} == {("cpa_251216", 10, 100), ("cpa_251216_start_123456", 10, 1)}
 
 
