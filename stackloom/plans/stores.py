@@ -14,9 +14,10 @@ from stackloom.functions import metadata
 from stackloom.operators import flame, profile, timeline
 from stackloom.plans.catalog import query
 from stackloom.plans.decode import METAS, stack_text, with_meta
-from stackloom.session import shared_path, stored
+from stackloom.session import exists, shared_path, stored
 from stackloom.sources import frames, store, text
 from stackloom.sources import tables as store_tables
+from stackloom.streaming import buckets
 from stackloom.sources.views import CPU_NUM, FREQ, RECORD_INTERVAL, samples, table, with_views
 
 KEYS = ["host", "store_id"]
@@ -46,10 +47,10 @@ def zstd_host() -> Column:
 
 
 def written(spark, d) -> str:
-    """A folder with the stores; made once per application and input."""
+    """A folder with the stores; made once per application and input, and again if it has been removed."""
     made = written.__dict__.setdefault("made", {})
     key = spark.sparkContext.applicationId, d
-    if key not in made:
+    if key not in made or not exists(spark, made[key]):
         path, whole = shared_path(spark, "stores"), tables(spark, d)
         for packed in (True, False):
             part = [df.where(zstd_host() if packed else ~zstd_host()) for df in (whole.conf, whole.strmap, whole.idsmap, whole.records, whole.counts)]
@@ -192,6 +193,23 @@ def s13(spark, d):
     return spark.read.schema(stream.schema).parquet(f"{path}/out").groupBy("host", "comm").agg(F.count("*").alias("n"), F.sum("weight").cast("long").alias("weight"))
 
 
+@query("s13_tail_stores", with_views(HOURS + " select st.host, st.store_id, cast(record_idx as bigint) as record_idx, cast(sum(cnt) as bigint) as n, count(distinct (meta, frames)) as entries from st join hours using (host, store_id, hour) group by 1, 2, 3", "samples"))
+def s13t(spark, d):
+    """A stream over store folders that grow between two runs: the records of half a day, then of all of it."""
+    path, whole = shared_path(spark, "growing"), tables(spark, d)
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", buckets.ROCKSDB)
+    records = stored(whole.records.where("entry_len > 0"), "growing-records")
+    for until in (12, 24):
+        part = records.where(F.col("start_ms") < until * HOUR)
+        counts = whole.counts.join(part.select(*KEYS, "record_idx"), [*KEYS, "record_idx"], "left_semi")
+        store.write_stores(store.Stores(whole.conf, whole.strmap, whole.idsmap, part, counts), f"{path}/stores", zstd=False)
+        run = frames.tail_stores(spark, f"{path}/stores").writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/checkpoint").start()
+        run.processAllAvailable()
+        run.stop()
+    rows = spark.read.parquet(f"{path}/out")
+    return rows.groupBy(*KEYS, F.col("record_idx").cast("long").alias("record_idx")).agg(F.sum("count").cast("long").alias("n"), F.count("*").alias("entries"))
+
+
 @query("s14_read_kallsyms", "select cast(18446744071562067968 + p_partkey * 4096::hugeint as varchar) as addr, case when p_partkey % 2 = 0 then 'T' else 't' end as kind, 'sym_' || p_partkey as sym from part where p_partkey % 5 <> 0")
 def s14(spark, d):
     path = shared_path(spark, "kallsyms")

@@ -41,6 +41,11 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{folder}/stackloom-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
 def drop_stored(spark: SparkSession) -> None:
     """Removes all intermediate tables of this application; results that still read them must have been written before."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

@@ -11,9 +11,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQueryListener
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 HOLD_S = 10
@@ -30,12 +30,16 @@ def second_counts(samples: DataFrame, hold: str = "10 seconds", seconds: int = 1
 class ClampingProcessor(StatefulProcessor):
     """State per host: open (second, stack) counts, and (greatest time, oldest open second, clamped weight, flushed seconds, batches).
 
-    A batch is summed per second and stack before it meets the state. With ``idle_ms`` a host
-    that sends nothing for so long is flushed as if its clock had gone on.
+    A second is closed when it lies more than the hold before ``max(greatest time seen, clock)``.
+    The clock is the host's wall clock in record time: what a control row says, and with
+    ``clock_offset_ms`` also the processing time less that offset (0 for samples stamped with
+    the epoch), which a timer compares again every ``tick_ms`` while seconds are open. So an idle
+    host is flushed without rows of its own. A batch is summed per second and stack before it
+    meets the state.
     """
 
-    def __init__(self, idle_ms: int = 0, hold_s: int = HOLD_S):
-        self.idle_ms, self.hold_s = idle_ms, hold_s
+    def __init__(self, tick_ms: int = 0, hold_s: int = HOLD_S, clock_offset_ms: int | None = None):
+        self.tick_ms, self.hold_s, self.clock_offset_ms = tick_ms, hold_s, clock_offset_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -43,6 +47,10 @@ class ClampingProcessor(StatefulProcessor):
         self.counts = handle.getMapState("counts", key, StructType([StructField("n", LongType())]))
         self.marks = handle.getValueState("marks", StructType([StructField(n, LongType()) for n in ("max_ms", "oldest", "clamped", "flushed", "batches")]))
 
+    def now(self, timerValues) -> int:
+        """The wall clock in record time, or 0 where only rows move it."""
+        return timerValues.getCurrentProcessingTimeInMs() - self.clock_offset_ms if self.tick_ms and self.clock_offset_ms is not None else 0
+
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         max_ms, oldest, clamped, flushed, batches = self.marks.get() if self.marks.exists() else (0, 0, 0, 0, 0)
         flush_all, sums = False, {}
@@ -58,18 +66,25 @@ class ClampingProcessor(StatefulProcessor):
         for (second, stack), n in sums.items():
             at = (int(second), stack)
             self.counts.updateValue(at, ((self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0) + n,))
-        if self.idle_ms:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
-        yield self.emitted(key, max_ms, max_ms // 1000 - self.hold_s, oldest, clamped, flushed, batches, flush_all)
+        yield self.emitted(key, max_ms, max(max_ms, self.now(timerValues)), oldest, clamped, flushed, batches, flush_all)
+        self.wait(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         max_ms, *rest = self.marks.get()
-        yield self.emitted(key, max_ms, (max_ms + self.idle_ms) // 1000 - self.hold_s, *rest, False)
+        yield self.emitted(key, max_ms, max(max_ms, self.now(timerValues)), *rest, False)
+        self.wait(timerValues)
 
-    def emitted(self, key, max_ms: int, limit: int, oldest: int, clamped: int, flushed: int, batches: int, flush_all: bool) -> pd.DataFrame:
-        """The open seconds before ``limit``, or all, which are then closed, and a row of statistics. Flushing all does not move the oldest open second."""
+    def wait(self, timerValues) -> None:
+        """One timer, as long as seconds are open."""
+        if self.tick_ms:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            if next(iter(self.counts.keys()), None) is not None:
+                self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.tick_ms)
+
+    def emitted(self, key, max_ms: int, clock_ms: int, oldest: int, clamped: int, flushed: int, batches: int, flush_all: bool) -> pd.DataFrame:
+        """The open seconds before the clock's less the hold, or all, which are then closed, and a row of statistics. Flushing all does not move the oldest open second."""
+        limit = clock_ms // 1000 - self.hold_s
         rows = [(at[0], at[1], value[0]) for at, value in list(self.counts.iterator())]
         closed = [r for r in rows if flush_all or r[0] < limit]
         for second, stack, _ in closed:
@@ -85,13 +100,64 @@ class ClampingProcessor(StatefulProcessor):
         pass
 
 
-def clamped_counts(samples: DataFrame, idle_ms: int = 0, hold_s: int = HOLD_S) -> DataFrame:
+def clamped_counts(samples: DataFrame, tick_ms: int = 0, hold_s: int = HOLD_S, clock_offset_ms: int | None = None) -> DataFrame:
     """Emitted buckets of ``samples(host, record_ms, stack, cnt)``, late rows clamped, and after each batch a row of statistics. Needs the RocksDB state store.
 
     A row without a stack is a control row: with a time it moves the host's clock, without one it
-    asks for everything open of its host.
+    asks for everything open of its host. With ``tick_ms`` the wall clock moves it as well, see
+    :class:`ClampingProcessor`.
+    """
+    return samples.groupBy("host").transformWithStateInPandas(ClampingProcessor(tick_ms, hold_s, clock_offset_ms), OUT_SCHEMA, "append", "ProcessingTime" if tick_ms else "none")
+
+
+def clock_rows(hosts: DataFrame, now_ms: int) -> DataFrame:
+    """Control rows that tell each of ``hosts(host)`` the wall clock, for a feed that carries its own clock."""
+    none = F.lit(None)
+    return hosts.select("host", F.lit(now_ms).cast("long").alias("record_ms"), none.cast("string").alias("stack"), none.cast("long").alias("cnt"))
+
+
+#: What :func:`observed` counts per micro-batch.
+METRICS = ("buckets", "weight", "batches", "pending", "pending_weight")
+
+
+def observed(emitted: DataFrame, name: str = "wheel") -> DataFrame:
+    """``emitted`` with metrics that Spark gathers as rows pass: emitted buckets and weight, and what is still open of the hosts that this batch touched."""
+    is_bucket = F.col("stack").isNotNull()
+    return emitted.observe(
+        name,
+        F.count_if(is_bucket).alias("buckets"),
+        F.coalesce(F.sum(F.when(is_bucket, F.col("count"))), F.lit(0)).cast("long").alias("weight"),
+        F.count_if(~is_bucket).alias("batches"),
+        F.coalesce(F.sum("pending"), F.lit(0)).cast("long").alias("pending"),
+        F.coalesce(F.sum("pending_weight"), F.lit(0)).cast("long").alias("pending_weight"),
+    )
+
+
+class MetricsListener(StreamingQueryListener):
+    """Keeps the observed metrics of each micro-batch; add it by ``spark.streams.addListener``.
+
+    ``rows`` has one tuple ``(run, batch, *METRICS)`` per micro-batch, a few numbers each.
     """
-    return samples.groupBy("host").transformWithStateInPandas(ClampingProcessor(idle_ms, hold_s), OUT_SCHEMA, "append", "ProcessingTime" if idle_ms else "none")
+
+    def __init__(self, name: str = "wheel"):
+        self.name, self.rows, self.ended = name, [], set()
+
+    def onQueryStarted(self, event) -> None:
+        pass
+
+    def onQueryProgress(self, event) -> None:
+        row = event.progress.observedMetrics.get(self.name)
+        if row is not None:
+            self.rows.append((str(event.progress.runId), event.progress.batchId, *[row[m] for m in METRICS]))
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.add(str(event.runId))
+
+    def stored(self, spark: SparkSession) -> DataFrame:
+        return spark.createDataFrame(self.rows, "run string, batch long, " + ", ".join(f"{m} long" for m in METRICS))
 
 
 def only_buckets(emitted: DataFrame) -> DataFrame:
@@ -104,15 +170,8 @@ def wheel_statistics(emitted: DataFrame) -> DataFrame:
     return last.select("host", "s.*")
 
 
-def append_batch(path: str):
-    """A ``foreachBatch`` function that writes each micro-batch to a folder of its own, so that a repeated one replaces itself."""
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-
-    return write
-
-
-def run_once(stream: DataFrame, output: str, checkpoint: str) -> None:
-    """Runs a stream over all input there is and ends."""
-    stream.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+def run_once(stream: DataFrame, output: str, checkpoint: str) -> str:
+    """Runs a stream over all input there is and ends; its run id."""
+    query = stream.writeStream.format("parquet").option("path", output).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return str(query.runId)

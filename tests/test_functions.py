@@ -1,5 +1,8 @@
 """Golden values of functions, windows and the bucket wheel."""
 
+import random
+
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -94,14 +97,14 @@ def test_wheel(spark):
 
 
 def test_idle_host_is_flushed(spark, tmp_path):
-    """With no more input, a processing-time timer moves the clock."""
+    """With no more input, the wall clock goes on: it stands at six seconds when the samples come."""
     import time
 
     from stackloom.streaming import buckets
 
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", buckets.ROCKSDB)
     spark.createDataFrame([("h", 5000, "a", 2), ("h", 6000, "b", 1)], WHEEL).coalesce(1).write.parquet(str(tmp_path / "in"))
-    stream = buckets.clamped_counts(spark.readStream.schema(WHEEL).parquet(str(tmp_path / "in")), idle_ms=2000, hold_s=1)
+    stream = buckets.clamped_counts(spark.readStream.schema(WHEEL).parquet(str(tmp_path / "in")), tick_ms=500, hold_s=1, clock_offset_ms=int(time.time() * 1000) - 6000)
     running = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "checkpoint")).trigger(processingTime="500 milliseconds").start()
     try:
         for _ in range(120):
@@ -117,6 +120,71 @@ def test_idle_host_is_flushed(spark, tmp_path):
     assert {(r.start_ms, r.stack, r["count"]) for r in rows} == {(5000, "a", 2), (6000, "b", 1)}
 
 
+def test_observed_metrics_are_the_states_rows(spark):
+    from stackloom.plans.stream import in_turns
+    from stackloom.streaming import buckets
+
+    rng = random.Random(5)
+    parts = [spark.createDataFrame([(rng.choice("ab"), rng.randrange(t * 9000, t * 9000 + 12000), rng.choice("xy"), rng.randint(1, 4)) for _ in range(80)], WHEEL).coalesce(1) for t in range(3)]
+    listener = buckets.MetricsListener()
+    spark.streams.addListener(listener)
+    rows = in_turns(spark, parts, listener).collect()
+    spark.streams.removeListener(listener)
+    held = [r for r in listener.stored(spark).orderBy("batch").collect() if r.batches]
+    assert len(held) == 3
+    for r, batch in zip(held, (1, 2, 3)):
+        own = [x for x in rows if x.batch == batch]
+        closed, state = [x for x in own if x.stack is not None], [x for x in own if x.stack is None]
+        assert (r.buckets, r.weight, r.batches) == (len(closed), sum(x["count"] for x in closed), len(state))
+        assert (r.pending, r.pending_weight) == (sum(x.pending for x in state), sum(x.pending_weight for x in state))
+
+
+def test_pairs_of_a_busy_key_in_chunks(monkeypatch):
+    """Rows of one key in unordered parts against a plain loop, with the state carried over batches."""
+    from stackloom.streaming import pairing
+
+    class Value:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+        def clear(self):
+            self.held = None
+
+    monkeypatch.setattr(pairing, "CHUNK_ROWS", 7)
+    rng = random.Random(6)
+    ticks = [(i, t, rng.random() < 0.2) for i, t in enumerate(sorted(rng.sample(range(10_000), 90)))]
+    gaps, off = pairing.GapProcessor(40), pairing.OffCpuProcessor()
+    gaps.last, off.out = Value(), Value()
+    found, blocked = [], []
+    for begin in (0, 31, 60):
+        own = rng.sample(ticks[begin : begin + (31, 29, 30)[(0, 31, 60).index(begin)]], k=(31, 29, 30)[(0, 31, 60).index(begin)])
+        frames = [pd.DataFrame(own[i : i + 11], columns=["tick_id", "ts_us", "throttled"]) for i in range(0, len(own), 11)]
+        for part in gaps.handleInputRows(("h", 0), iter(frames), None):
+            found += part.itertuples(index=False, name=None)
+        for part in off.handleInputRows(("h", 5), iter([f.rename(columns={"tick_id": "event_id", "throttled": "is_out"}) for f in frames]), None):
+            blocked += part.itertuples(index=False, name=None)
+    last, want, began, pairs = None, [], None, []
+    for i, t, flag in ticks:
+        if flag:
+            last, began = None, t
+            continue
+        if last is not None and (t - last) * 10 > 11 * 40:
+            want.append((i, "h", 0, t - last - 40))
+        last = t
+        if began is not None and t > began:
+            pairs.append((i, 5, t - began))
+        began = None
+    assert found == want and blocked == pairs
+
+
 def test_history(spark):
     days = spark.createDataFrame([(f"cpa_2512{d}",) for d in range(16, 25)], "name string").withColumn("day", F.to_date(history.store_time(F.col("name"))))
     plan = history.retention_plan(days, "day", F.to_date(F.lit("2025-12-24")), 7)
