@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from stackloom.functions import itanium
+
 KERNEL_MARK = "_[k]"
 MARKER = r"^<#.*#>$"
 LOST_STRING = "<# STRMAP LOST ID #>"
@@ -147,189 +149,11 @@ def strip_templates_plain(texts: pd.Series) -> pd.Series:
     return texts.map(strip_plain, na_action="ignore")
 
 
-#: Codes of the C++ ABI for names (fixed values): one-letter types, standard abbreviations, operators.
-BUILTIN = "vwbcahstijlmxynofdegz"
-ABBREVIATIONS = {"St": "std", "Sa": "std::allocator", "Sb": "std::basic_string", "Ss": "std::basic_string", "Si": "std::basic_istream", "So": "std::basic_ostream", "Sd": "std::basic_iostream"}
-OPERATORS = {
-    "nw": " new", "na": " new[]", "dl": " delete", "da": " delete[]", "aw": " co_await", "ps": "+", "ng": "-", "ad": "&", "de": "*", "co": "~", "pl": "+", "mi": "-", "ml": "*", "dv": "/", "rm": "%", "an": "&", "or": "|", "eo": "^",
-    "aS": "=", "pL": "+=", "mI": "-=", "mL": "*=", "dV": "/=", "rM": "%=", "aN": "&=", "oR": "|=", "eO": "^=", "ls": "<<", "rs": ">>", "lS": "<<=", "rS": ">>=", "eq": "==", "ne": "!=", "lt": "<", "gt": ">", "le": "<=", "ge": ">=", "ss": "<=>",
-    "nt": "!", "aa": "&&", "oo": "||", "pp": "++", "mm": "--", "cm": ",", "pm": "->*", "pt": "->", "cl": "()", "ix": "[]",
-}
-
-
-class NameReader:
-    """Reads the name of a mangled symbol; template arguments are read over, as they are not shown. Raises ValueError for what it does not know."""
-
-    def __init__(self, text: str, at: int):
-        self.text, self.at = text, at
-
-    def take(self, wanted: str = "") -> str:
-        """The next character, which must be one of ``wanted`` if that is given."""
-        c = self.text[self.at : self.at + 1]
-        if not c or wanted and c not in wanted:
-            raise ValueError(self.at)
-        self.at += 1
-        return c
-
-    def next(self, *starts: str) -> bool:
-        return self.text.startswith(starts, self.at)
-
-    def source_name(self) -> str:
-        m = re.compile(r"\d+").match(self.text, self.at)
-        if not m:
-            raise ValueError(self.at)
-        start, self.at = m.end(), m.end() + int(m[0])
-        if self.at > len(self.text):
-            raise ValueError(self.at)
-        name = self.text[start : self.at]
-        while self.next("B") and self.text[self.at + 1 : self.at + 2].isdigit():
-            self.at += 1
-            name += f"[abi:{self.source_name()}]"
-        return "(anonymous namespace)" if name.startswith("_GLOBAL__N") else name
-
-    def part(self, before: list[str]) -> str:
-        """One component of a name."""
-        code = self.text[self.at : self.at + 2]
-        if code[:1].isdigit():
-            return self.source_name()
-        if code[:1] == "L":
-            self.at += 1
-            return self.source_name()
-        if code in OPERATORS:
-            self.at += 2
-            return f"operator{OPERATORS[code]}"
-        if code[:1] in ("C", "D") and code[1:] and code[1:] in "012345" and before:
-            self.at += 2
-            own = before[-1].rpartition("::")[2]
-            return f"~{own}" if code[0] == "D" else own
-        raise ValueError(self.at)
-
-    def name(self) -> str:
-        parts: list[str] = []
-        nested = self.next("N")
-        if nested:
-            self.at += 1
-            while self.next("r", "V", "K", "R", "O"):
-                self.at += 1
-        while True:
-            if self.next("I") and parts:
-                if parts[-1].startswith("operator") and ("<" in parts[-1] or ">" in parts[-1]):
-                    raise ValueError(self.at)  # its brackets would count as those of arguments
-                self.arguments()
-            elif self.next("S") and not parts:
-                parts.append(self.abbreviation())
-                if not nested and parts[0] == "std":
-                    parts.append(self.part(parts))
-            elif nested and self.next("E") and parts:
-                self.at += 1
-                break
-            elif parts and not nested:
-                break
-            else:
-                parts.append(self.part(parts))
-        return "::".join(parts)
-
-    def abbreviation(self) -> str:
-        code = self.text[self.at : self.at + 2]
-        if code not in ABBREVIATIONS:
-            raise ValueError(self.at)  # back references are not resolved
-        self.at += 2
-        return ABBREVIATIONS[code]
-
-    def arguments(self) -> None:
-        self.take("IJ")
-        while not self.next("E"):
-            self.argument()
-        self.at += 1
-
-    def argument(self) -> None:
-        if self.next("L"):
-            self.at += 1
-            if self.next("_Z"):
-                raise ValueError(self.at)
-            self.type()
-            m = re.compile(r"n?\w*?E").match(self.text, self.at)
-            if not m:
-                raise ValueError(self.at)
-            self.at = m.end()
-        elif self.next("J", "I"):
-            self.arguments()
-        else:
-            self.type()
-
-    def type(self) -> None:
-        """Reads over a type."""
-        while self.next("P", "R", "O", "K", "V", "C", "G", "r"):
-            self.at += 1
-        c = self.text[self.at : self.at + 1]
-        if c == "S" and not self.next(*ABBREVIATIONS):
-            m = re.compile(r"S[0-9A-Z]*_").match(self.text, self.at)
-            if not m:
-                raise ValueError(self.at)
-            self.at = m.end()
-        elif c == "T":
-            m = re.compile(r"T\d*_").match(self.text, self.at)
-            if not m:
-                raise ValueError(self.at)
-            self.at = m.end()
-        elif c == "D" and self.text[self.at + 1 : self.at + 2] in "fdehisuanc":
-            self.at += 2
-            return
-        elif self.next("Dp"):
-            self.at += 2
-            return self.type()
-        elif c == "F":
-            self.at += 1
-            while not self.next("E"):
-                self.type()
-            self.at += 1
-            return
-        elif c == "A":
-            m = re.compile(r"A\d*_").match(self.text, self.at)
-            if not m:
-                raise ValueError(self.at)
-            self.at = m.end()
-            return self.type()
-        elif c == "M":
-            self.at += 1
-            self.type()
-            return self.type()
-        elif c and c in BUILTIN:
-            self.at += 1
-            return
-        elif c == "N" or c == "S" or c.isdigit():
-            start = self.at
-            if self.next("NS") and not self.text.startswith(tuple(ABBREVIATIONS), start + 1):
-                m = re.compile(r"NS[0-9A-Z]*_").match(self.text, start)
-                if not m:
-                    raise ValueError(start)
-                self.at = m.end()
-                while not self.next("E"):
-                    self.arguments() if self.next("I") else self.part(["x"])
-                self.at += 1
-            else:
-                self.name()
-        else:
-            raise ValueError(self.at)
-        if self.next("I"):
-            self.arguments()
-
-
 def demangle_name(symbol: str) -> str:
-    """The C++ name at the start of ``symbol`` without parameters and template arguments, the rest kept; what cannot be read stays unchanged."""
-    m = re.match(r"[A-Za-z0-9_.$]+", symbol)
-    if not m or not m[0].startswith("_Z"):
-        return symbol
-    reader = NameReader(m[0], 2)
-    try:
-        name = reader.name()
-        while reader.at < len(m[0]):  # parameters must be readable, or the name may be another one
-            if reader.next("."):
-                return symbol
-            reader.type()
-    except (ValueError, IndexError):
-        return symbol
-    return name + symbol[len(m[0]) :]
+    """The C++ name at the start of ``symbol`` without parameters and template arguments, the rest kept; what is no such name stays unchanged."""
+    token = re.match(r"[A-Za-z0-9_.$]*", symbol)[0]
+    name = itanium.name_of(token)
+    return symbol if name is None else strip_safe(name) + symbol[len(token) :]
 
 
 @F.pandas_udf(StringType())

@@ -319,20 +319,34 @@ def n12(spark, d):
     return samples(spark, d).select("sample_id", frames.null_default(F.when(F.col("k") % 2 == 0, F.lit("null")).otherwise(F.col("env"))).alias("env"))
 
 
-@query("n1_demangle", "select p_partkey, case when p_partkey % 7 = 0 then 'ns::' || n || '+12' when p_partkey % 7 = 1 then n || ' [lib.so]' when p_partkey % 7 = 2 then 'std::' || n || '::find' when p_partkey % 7 = 3 then n || '::~' || n when p_partkey % 7 = 4 then 'ns::' || n || '::operator<<' when p_partkey % 7 = 5 then '_Zq' || n else n end as name from (select p_partkey, 'n_' || regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') as n from part)")
+#: Mangled names by their part's key: text before the part's own name with its length, text after it, and what is shown (``N`` is the name).
+MANGLED = [
+    ("_ZN2ns", "EPKci+12", "ns::N+12"),
+    ("_Z", "IiSt6vectorIiSaIiEEEvT_RKT0_ [lib.so]", "N [lib.so]"),
+    ("_ZNKSt", "IcLi3EE4findERKS0_", "std::N::find"),
+    ("_ZN", "D2Ev", "N::~N"),
+    ("_ZN2ns", "lsERSoN2ns1aIbEE", "ns::N::operator<<"),
+    ("_Zq", "", None),
+    ("", "", "N"),
+    ("_ZZN2ns", "EiENKUliRKS_E0_clEiS0_", "ns::N(int)::{lambda(int, ns const&)#2}::operator()"),
+    ("_ZTV", "", "vtable for N"),
+    ("_ZN", "cvT_IPKcEEv", "N::operator char const*"),
+    ("_ZN2ns", "Ei.isra.0", "ns::N"),
+    ("_ZThn8_N", "D1Ev", "non-virtual thunk to N::~N()"),
+    ("_ZN", "C1ERKS_+4", "N::N+4"),
+    ("_Z", "I" + "P" * 3000 + "iEvv", None),
+    ("_ZGVZN12_GLOBAL__N_1", "EvE5count", "guard variable for (anonymous namespace)::N()::count"),
+    ("_ZN", "IXadL_Z3barvEEE3bazEv", "N::baz"),
+    ("_ZNSt8functionIFv", "EE4swapERS1_", "std::function::swap"),
+]
+
+
+@query("n1_demangle", "with p as (select p_partkey, 'n_' || regexp_replace(p_name, '[^A-Za-z0-9]', '_', 'g') as n from part), k as (select *, p_partkey % " + str(len(MANGLED)) + " as kind from p) select p_partkey, case kind " + " ".join(f"when {i} then replace('{shown}', 'N', n)" if shown is not None else f"when {i} then '{before}' || len(n) || n || '{after}'" for i, (before, after, shown) in enumerate(MANGLED)) + " end as name from k")
 def n1(spark, d):
     parts = table(spark, d, "part").withColumn("n", F.concat(F.lit("n_"), F.regexp_replace("p_name", "[^A-Za-z0-9]", "_")))
-    n = F.concat(F.length("n").cast("string"), F.col("n"))
-    kinds = [
-        F.concat(F.lit("_ZN2ns"), n, F.lit("EPKci+12")),
-        F.concat(F.lit("_Z"), n, F.lit("IiSt6vectorIiSaIiEEEvT_RKT0_ [lib.so]")),
-        F.concat(F.lit("_ZNKSt"), n, F.lit("IcLi3EE4findERKS0_")),
-        F.concat(F.lit("_ZN"), n, F.lit("D2Ev")),
-        F.concat(F.lit("_ZN2ns"), n, F.lit("lsERSoN2ns1aIbEE")),
-        F.concat(F.lit("_Zq"), "n"),
-        F.col("n"),
-    ]
-    symbol = F.element_at(F.array(*kinds), (F.col("p_partkey") % 7 + 1).cast("int"))
+    sized = F.concat(F.length("n").cast("string"), F.col("n"))
+    kinds = [F.concat(F.lit(before), sized if before else F.col("n"), F.lit(after)) for before, after, _ in MANGLED]
+    symbol = F.element_at(F.array(*kinds), (F.col("p_partkey") % len(MANGLED) + 1).cast("int"))
     return parts.select("p_partkey", frames.demangle(symbol).alias("name"))
 
 

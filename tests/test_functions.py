@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from stackloom.functions import cpuset, frames, metadata, timefmt
+from stackloom.functions import cpuset, frames, itanium, metadata, timefmt
 from stackloom.operators import filters, history, timeline
 
 
@@ -14,6 +14,60 @@ def one(spark, column):
     return spark.range(1).select(column.alias("x")).first().x
 
 
+#: Symbols and their names without function parameters, as a public demangler shows them (checked values).
+NAMES = {
+    "_ZZN3fooEvENKUlvE_clEv": "foo()::{lambda()#1}::operator()",
+    "_ZN1AcviEv": "A::operator int",
+    "_ZTV3foo": "vtable for foo",
+    "_ZThn8_N3fooD1Ev": "non-virtual thunk to foo::~foo()",
+    "_ZN3foo3barEi.isra.0": "foo::bar",
+    "_Z1fIiEvT_": "f<int>",
+    "_ZStlsISt11char_traitsIcEERSt13basic_ostreamIcT_ES5_PKc": "std::operator<< <std::char_traits<char> >",
+    "_Z1fDTplfp_fp_E": "f",
+    "_ZN1AcvT_IiEEv": "A::operator int<int>",
+    "_ZGVZ4mainE1x": "guard variable for main::x",
+    "_ZNKSt6vectorIiSaIiEE4sizeEv": "std::vector<int, std::allocator<int> >::size",
+    "_ZN3fooIXadL_Z3barvEEE3bazEv": "foo<&(bar())>::baz",
+    "_ZN12_GLOBAL__N_13fooEv": "(anonymous namespace)::foo",
+    "_ZZN3fooEiENUt_C1Ev": "foo(int)::{unnamed type#1}::foo",
+    "_ZZN1A1fEiENKUlT_E_clIiEEDaS1_": "A::f(int)::{lambda(auto:1)#1}::operator()<int>",
+    "_ZGTtNSt11logic_errorC1EPKc": "transaction clone for std::logic_error::logic_error(char const*)",
+    "_ZTSFN1AEPS_RKS_E": "typeinfo name for A (A*, A const&)",
+    "_ZTIPFvRA3_iE": "typeinfo for void (*)(int (&) [3])",
+    "_ZTIM1AKFivE": "typeinfo for int (A::*)() const",
+    "_ZNSsC1Ev": "std::basic_string<char, std::char_traits<char>, std::allocator<char> >::basic_string",
+    "_ZNSs4findEc": "std::string::find",
+}
+
+
+def test_names_of_the_abi():
+    for symbol, name in NAMES.items():
+        assert itanium.name_of(symbol) == name, symbol
+    for odd in ("", "_Z", "_ZXX", "plain", "_ZN", "_ZNE", "_Z99x", "_ZS5_", "_ZN1AIE", "_ZT"):
+        assert itanium.name_of(odd) is None, odd
+
+
+@pytest.mark.parametrize("deep", ["_Z1fI" + "A_" * 10_000 + "iEvv", "_Z1fI" + "Dp" * 10_000 + "iEvv", "_Z1f" + "I" * 10_000, "_ZN" + "1aI" * 10_000 + "E", "_Z1fIX" + "nt" * 10_000 + "Lb1EEEvv", "_Z" + "Z1fv" * 10_000, "_ZTI" + "P" * 10_000 + "i", "_Z1fI" + "F" * 10_000 + "vE" * 10_000])
+def test_deep_names_stay(deep):
+    assert frames.demangle_name(deep) == deep
+
+
+def test_names_of_a_library():
+    """Every symbol of the C++ library against the system's demangler, where both are there."""
+    import glob
+    import shutil
+    import subprocess
+
+    found = glob.glob("/usr/lib/*/libstdc++.so.6")
+    if not found or not shutil.which("c++filt") or not shutil.which("nm"):
+        pytest.skip("no library or no demangler")
+    lines = subprocess.run(["nm", "-D", found[0]], capture_output=True, text=True).stdout.splitlines()
+    symbols = sorted({line.split()[-1].split("@")[0] for line in lines if "_Z" in line})
+    shown = subprocess.run(["c++filt", "-p", "-i"], input="\n".join(symbols) + "\n", capture_output=True, text=True).stdout.split("\n")
+    wrong = [s for s, name in zip(symbols, shown) if (itanium.name_of(s) or s) != name]
+    assert len(symbols) > 1000 and not wrong, wrong[:5]
+
+
 def test_cpu_set(spark):
     assert cpuset.parse_cpu_set("0-2, 7,9-8") == {0, 1, 2, 7, 8, 9}
     assert cpuset.parse_cpu_set("9-8,x", swap=False) == set() and cpuset.parse_cpu_set("all") is None
