@@ -73,6 +73,26 @@ def cut_root(path: Column) -> Column:
     return F.when(at > 0, F.substr(path, at + 5)).otherwise(path)
 
 
+#: Why unwinding stopped, where a stack shows it, and a kernel address that stands for a frame already restored (fixed values).
+STOP_REASONS = {"process_exit": "<# PROCESS EXIT #>", "language": "<# DROP BY LANG TYPE #>"}
+RESTORED = "<#ALREADY RESTORE#>"
+
+
+def sample_markers(pressure: Column, is_irqoff: Column, cpu: Column, is_offcpu: Column, state: Column) -> Column:
+    """The markers between a stack's header and its frames, in order: load shedding (``full``, ``high`` or null), IRQ-off, off-CPU with the thread's state."""
+    shed = F.when(pressure == "full", F.lit("<# PRESSURE FULL DROP SAMPLE #>")).when(pressure == "high", F.lit("<# PRESSURE HIGH DROP SAMPLE #>"))
+    irqoff = F.when(is_irqoff, F.concat(F.lit("<# IRQOFF SAMPLE ON CPU "), cpu.cast("string"), F.lit(" #>")))
+    offcpu = F.when(is_offcpu, F.concat(F.lit("<# OFFCPU SAMPLE: ("), state, F.lit(") #>")))
+    return F.array_compact(F.array(shed, irqoff, offcpu))
+
+
+def user_part(user: Column, unwinds_user: Column, stop_reason: Column) -> Column:
+    """Leaf-first user frames with the reason that unwinding stopped, if a stack shows it; none of kernel threads, shed samples and pods that are not unwound."""
+    shown = F.create_map(*[F.lit(x) for pair in STOP_REASONS.items() for x in pair])
+    reason = F.array_compact(F.array(F.try_element_at(shown, stop_reason)))
+    return F.when(unwinds_user, F.concat(user, reason)).otherwise(F.array().cast("array<string>"))
+
+
 def assemble_stack(meta: Column, markers: Column, user: Column, kernel: Column, kernel_mode: Column) -> Column:
     """Header, markers, user and kernel frames root-first; in kernel mode without frames a drop marker stands for the kernel part."""
     kernel = F.slice(kernel, 1, MAX_DEPTH)

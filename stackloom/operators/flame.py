@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from stackloom.session import stored
+
 SEPARATOR = ";"
 
 
@@ -13,21 +15,40 @@ def folded_stacks(df: DataFrame, path: Column, count: str = "cnt") -> DataFrame:
     return df.groupBy(F.concat(F.array_join(path, SEPARATOR), F.lit(SEPARATOR)).alias("stack")).agg(F.sum(count).cast("long").alias("samples"))
 
 
-def flame_tree(df: DataFrame, path: Column, count: str = "cnt") -> DataFrame:
-    """``depth, path, name, parent, value``: each prefix of a path gets the path's count; the root is depth 0.
+def prefix_key(path: Column, depth: Column) -> Column:
+    """128 bits that stand for the first ``depth`` frames, so that frames may hold any text and a shuffle carries no paths."""
+    prefix = F.slice(path, F.lit(1), depth)
+    return F.struct(F.xxhash64(depth, prefix).alias("a"), F.xxhash64(F.lit(0x5EED), depth, prefix).alias("b"))
+
+
+def flame_nodes(df: DataFrame, path: Column, count: str = "cnt") -> tuple[DataFrame, DataFrame]:
+    """``(nodes, stacks)``: ``depth, key, up, name, value, below, stack`` and ``stack, p``.
 
+    Each prefix of a path gets the path's count; the root is depth 0. ``up`` is the parent's key,
+    ``below`` how deep the tree goes at or under the node, ``stack`` one of the stacks through it.
     Counts are summed per whole path before the prefixes are made, which keeps the second sum small.
     """
     sums = df.groupBy(path.alias("p")).agg(F.sum(count).alias("v"))
-    levels = sums.select("p", "v", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("depth"))
-    nodes = levels.select("depth", F.slice("p", F.lit(1), F.col("depth")).alias("p"), "v").groupBy("depth", "p").agg(F.sum("v").cast("long").alias("value"))
-    return nodes.select(
-        F.col("depth").cast("long").alias("depth"),
-        F.array_join("p", SEPARATOR).alias("path"),
-        F.coalesce(F.get("p", F.col("depth").cast("int") - 1), F.lit("root")).alias("name"),
-        F.when(F.col("depth") > 0, F.array_join(F.slice("p", F.lit(1), F.greatest(F.col("depth") - 1, F.lit(0))), SEPARATOR)).alias("parent"),
-        "value",
-    )
+    stacks = stored(sums.withColumn("stack", F.monotonically_increasing_id()), "flame-stacks")
+    levels = stacks.select("p", "v", "stack", F.explode(F.sequence(F.lit(0), F.size("p"))).alias("depth"))
+    above = F.when(F.col("depth") > 0, prefix_key(F.col("p"), F.col("depth") - 1))
+    keyed = levels.select("depth", prefix_key(F.col("p"), F.col("depth")).alias("key"), above.alias("up"), F.coalesce(F.get("p", F.col("depth") - 1), F.lit("root")).alias("name"), "v", F.size("p").alias("size"), "stack")
+    nodes = keyed.groupBy("key").agg(F.min("depth").cast("long").alias("depth"), F.first("up").alias("up"), F.first("name").alias("name"), F.sum("v").cast("long").alias("value"), F.max("size").cast("long").alias("below"), F.min("stack").alias("stack"))
+    return nodes, stacks.select("stack", "p")
+
+
+def with_paths(nodes: DataFrame, stacks: DataFrame) -> DataFrame:
+    """``nodes`` plus their ``path`` and their ``parent``'s as text, each cut from one stack."""
+    def upto(d: Column) -> Column:
+        return F.array_join(F.slice("p", F.lit(1), F.greatest(d, F.lit(0)).cast("int")), SEPARATOR)
+
+    joined = nodes.join(stacks, "stack")
+    return joined.withColumn("path", upto(F.col("depth"))).withColumn("parent", F.when(F.col("depth") > 0, upto(F.col("depth") - 1))).drop("p", "stack")
+
+
+def flame_tree(df: DataFrame, path: Column, count: str = "cnt") -> DataFrame:
+    """``depth, path, name, parent, value`` of all nodes, and their ``key``, ``up`` and ``below`` as in :func:`flame_nodes`."""
+    return with_paths(*flame_nodes(df, path, count)).select("depth", "path", "name", "parent", "value", "key", "up", "below")
 
 
 def node_metrics(tree: DataFrame, freq: int, seconds: float, cpus: int) -> DataFrame:
@@ -41,20 +62,33 @@ def node_metrics(tree: DataFrame, freq: int, seconds: float, cpus: int) -> DataF
 
 def children_order(tree: DataFrame) -> DataFrame:
     """Rank of each node below its parent: value descending, then name."""
-    return tree.where("depth > 0").withColumn("rank", F.row_number().over(Window.partitionBy("depth", "parent").orderBy(F.desc("value"), "name")).cast("long"))
+    return tree.where("depth > 0").withColumn("rank", F.row_number().over(Window.partitionBy("up").orderBy(F.desc("value"), "name")).cast("long"))
+
+
+def over_ancestors(nodes: DataFrame, column: str) -> DataFrame:
+    """``key, total``: the sum of ``column`` over each of ``nodes(key, up, ..)`` and all nodes above it; none for a node with one above it missing.
+
+    Pointers double: a round adds what the node pointed to has summed and takes over its
+    pointer, so a tree of depth ``d`` takes ``log2(d)`` rounds of one join.
+    """
+    state = stored(nodes.select("key", "up", F.col(column).cast("long").alias("total")), "flame-lift")
+    while not state.where("up is not null").isEmpty():
+        onto = state.select(F.col("key").alias("at"), F.col("up").alias("next"), F.col("total").alias("more"))
+        moved = state.where("up is not null").join(onto, F.col("up") == F.col("at")).select("key", F.col("next").alias("up"), (F.col("total") + F.col("more")).alias("total"))
+        state = stored(state.where("up is null").union(moved), "flame-lift")
+    return state.select("key", "total")
 
 
-def prefixes(tree: DataFrame) -> DataFrame:
-    """Each node with every node above it and itself: ``path, depth, up`` (the prefix)."""
-    parts = F.split("path", SEPARATOR)
-    return tree.where("depth > 0").select("path", "depth", F.explode(F.transform(F.sequence(F.lit(1), F.col("depth").cast("int")), lambda d: F.array_join(F.slice(parts, F.lit(1), d), SEPARATOR))).alias("up"))
+def below_root(nodes: DataFrame) -> DataFrame:
+    """Nodes whose pointers end at the first level."""
+    return nodes.withColumn("up", F.when(F.col("depth") > 1, F.col("up")))
 
 
 def hot_path(tree: DataFrame) -> DataFrame:
-    """Nodes all of whose prefixes are the first child: one per level, without recursion."""
-    ranked = children_order(tree)
-    ranks = prefixes(tree).join(ranked.select(F.col("path").alias("up"), "rank"), "up").groupBy("path", "depth").agg(F.max("rank").alias("worst"))
-    return ranks.where("worst = 1").join(ranked.select("path", "name", "value"), "path").select("depth", "path", "name", "value")
+    """The node of the largest value at each level below the one before it: those that are first below their parent, as is every node above them."""
+    first = stored(children_order(tree).where("rank = 1").select("key", "up", "depth", "path", "name", "value"), "flame-first")
+    chain = over_ancestors(below_root(first).withColumn("one", F.lit(1)), "one")
+    return first.join(chain, "key", "left_semi").select("depth", "path", "name", "value")
 
 
 def zoom(tree: DataFrame, path: str) -> DataFrame:
@@ -63,17 +97,17 @@ def zoom(tree: DataFrame, path: str) -> DataFrame:
 
 def siblings(tree: DataFrame) -> DataFrame:
     """The neighbours of each node in its parent's order, wrapping round."""
-    w = Window.partitionBy("depth", "parent").orderBy("rank")
+    w = Window.partitionBy("up").orderBy("rank")
     every = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return children_order(tree).select("depth", "path", "name", F.coalesce(F.lag("name").over(w), F.last("name").over(every)).alias("previous"), F.coalesce(F.lead("name").over(w), F.first("name").over(every)).alias("next"))
 
 
 def layout(tree: DataFrame) -> DataFrame:
-    """Left edge and width of each node in sample units."""
-    w = Window.partitionBy("depth", "parent").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    own = children_order(tree).withColumn("shift", F.coalesce(F.sum("value").over(w), F.lit(0)))
-    edges = prefixes(tree).join(own.select(F.col("path").alias("up"), "shift"), "up").groupBy("path").agg(F.sum("shift").cast("long").alias("left_edge"))
-    return own.join(edges, "path").select("depth", "path", "left_edge", F.col("value").alias("width"))
+    """Left edge and width of each node in sample units: its parent's left edge and the values of the siblings before it."""
+    w = Window.partitionBy("up").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
+    own = stored(children_order(tree).withColumn("shift", F.coalesce(F.sum("value").over(w), F.lit(0))), "flame-own")
+    edges = over_ancestors(below_root(own), "shift")
+    return own.join(edges, "key").select("depth", "path", F.col("total").alias("left_edge"), F.col("value").alias("width"))
 
 
 def folded_lines(folded: DataFrame) -> DataFrame:

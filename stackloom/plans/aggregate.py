@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stackloom.functions import frames, metadata
 from stackloom.operators import flame, stats
 from stackloom.plans.catalog import query
+from stackloom.session import stored
 from stackloom.sources.views import CPU_NUM, FREQ, records, samples, table, ticks, with_views
 
 SECONDS = 720 * 3600
@@ -45,12 +46,12 @@ def a2(spark, d):
 
 @query("a3_flame_tree", with_views(TREE + " select depth, path, name, parent, value from tree", "samples"))
 def a3(spark, d):
-    return tree(spark, d)
+    return tree(spark, d).drop("key", "up", "below")
 
 
 @query("a4_caller_view", with_views(TREE.replace(PATH_SQL, f"list_reverse({PATH_SQL})") + " select depth, path, name, parent, value from tree", "samples"))
 def a4(spark, d):
-    return flame.flame_tree(samples(spark, d), F.reverse(path()))
+    return flame.flame_tree(samples(spark, d), F.reverse(path())).drop("key", "up", "below")
 
 
 @query("a5_node_metrics", with_views(TREE + f", r as (select greatest(max(value), 1) as root from tree where depth = 0) select depth, path, name, value, round(value / {FREQ}.0::double, 6) as core_seconds, round(value / {FREQ}.0::double / {SECONDS}.0::double, 9) as cores, round(value / root::double * 100, 6) as view_pct, round(value / {FREQ}.0::double / {SECONDS}.0::double / {CPU_NUM}.0::double * 100, 9) as all_pct from tree, r", "samples"))
@@ -63,6 +64,12 @@ def a6(spark, d):
     return tree(spark, d).agg(F.count("*").alias("nodes"), F.max("depth").alias("max_depth"))
 
 
+@query("a6_depth_under_node", with_views(TREE + " select t.depth, t.path, max(u.depth) - t.depth as deeper from tree t join tree u on t.depth = 0 or u.path = t.path or starts_with(u.path, t.path || ';') where t.depth <= 2 group by 1, 2", "samples"))
+def a6u(spark, d):
+    """How many levels lie under each of the upper nodes."""
+    return tree(spark, d).where("depth <= 2").select("depth", "path", (F.col("below") - F.col("depth")).alias("deeper"))
+
+
 PERIOD_US = 60_000_000
 
 
@@ -91,14 +98,31 @@ def a12(spark, d):
     return out.withColumn("per_s", F.round(F.col("n") / F.lit(86400.0), 9))
 
 
-@query("a13_lost_events", with_views(" select host, cpu, cast(sum(k % 4) as bigint) as lost from samples group by host, cpu", "samples"))
+@query("a13_lost_events", with_views(" select host, cpu, cast(sum(k % 4) as bigint) as lost, count(*) as reports, 'lost ' || cast(sum(k % 4) as bigint) || ' events on CPU #' || cpu as warning from samples where k % 4 > 0 and comm <> 'signup' group by host, cpu", "samples"))
 def a13(spark, d):
-    return samples(spark, d).groupBy("host", "cpu").agg(F.sum(F.col("k") % 4).cast("long").alias("lost"))
+    return stats.lost_events(samples(spark, d).where("comm <> 'signup'").select("host", "cpu", (F.col("k") % 4).alias("lost")))
 
 
-@query("a14_unwind_methods", with_views(" select count(*) as total, count(*) filter (where k % 3 = 0) as dwarf, count(*) filter (where k % 3 = 1) as fp_better from samples", "samples"))
+@query("a14_unwind_methods", with_views(", x as (select host, len(list_filter(frames, lambda f: not contains(f, '_[k]'))) as dwarf, k % 6 as fp from samples where env <> 'SYSTEM') select host, count(*) + count(*) filter (where fp > dwarf) as total, count(*) as dwarf, count(*) filter (where fp > dwarf) as fp_better from x group by host", "samples"))
 def a14(spark, d):
-    return samples(spark, d).agg(F.count("*").alias("total"), F.count_if(F.col("k") % 3 == 0).alias("dwarf"), F.count_if(F.col("k") % 3 == 1).alias("fp_better"))
+    levels = samples(spark, d).select("host", metadata.should_unwind_user(F.col("env"), True, [f"pod-{i}" for i in range(7)]).alias("unwinds_user"), F.size(F.filter("frames", lambda f: ~f.contains("_[k]"))).alias("dwarf_levels"), (F.col("k") % 6).alias("fp_levels"))
+    return stats.unwind_counters(levels)
+
+
+@query("a16_sketches_rolled_up", with_views(", e as (select host, count(distinct array_to_string(" + PATH_SQL + ", ';')) as stacks, count(*) as n from samples group by host) select host, n, stacks, true as stacks_near, true as quantiles_near from e", "samples"))
+def a16s(spark, d):
+    """Sketches per host and day merged per host, beside exact counts: distinct stacks within 4 %, the ranks of quantiles within 3 %."""
+    s = samples(spark, d).select("host", F.date_trunc("day", "ts").alias("day"), F.array_join(path(), ";").alias("stack"), "diff_ns")
+    ranks = (0.5, 0.9, 0.99)
+    daily = stored(stats.sketched(s, ["host", "day"], F.col("stack"), F.col("diff_ns")), "daily-sketches")
+    near = stats.rolled_up(daily, ["host"], ranks)
+    exact = s.groupBy("host").agg(F.count_distinct("stack").alias("stacks"))
+    both = near.join(exact, "host")
+    # The true rank of an estimated quantile lies between the shares below it and up to it.
+    ranked = s.join(near.select("host", "quantiles"), "host")
+    held = [(F.avg((F.col("diff_ns") < F.col("quantiles")[i]).cast("double")) <= r + 0.03) & (F.avg((F.col("diff_ns") <= F.col("quantiles")[i]).cast("double")) >= r - 0.03) for i, r in enumerate(ranks)]
+    quantiles = ranked.groupBy("host").agg((held[0] & held[1] & held[2]).alias("quantiles_near"))
+    return both.join(quantiles, "host").select("host", "n", "stacks", (F.abs(F.col("distinct") - F.col("stacks")) <= 0.04 * F.col("stacks")).alias("stacks_near"), "quantiles_near")
 
 
 @query("a15_deeper_stack", with_views(" select sample_id, case when k % 2 = 0 then array_to_string(frames, ';') else array_to_string(list_concat(['start'], frames), ';') end as stack from samples", "samples"))
@@ -161,7 +185,7 @@ def r2e(spark, d):
 
 @query("r3_children_order", with_views(RANKED + " select depth, path, name, parent, value, rank from ranked", "samples"))
 def r3(spark, d):
-    return flame.children_order(tree(spark, d))
+    return flame.children_order(tree(spark, d)).drop("key", "up", "below")
 
 
 @query("r4_hot_path", with_views(RANKED + ", ups as (select path, depth, array_to_string(string_split(path, ';')[1:u], ';') as up from (select path, depth, unnest(range(1, depth + 1)) as u from ranked)), w as (select u.path, u.depth, max(r.rank) as worst from ups u join ranked r on r.path = u.up group by 1, 2) select w.depth, w.path, r.name, r.value from w join ranked r using (path) where worst = 1", "samples"))

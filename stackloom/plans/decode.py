@@ -297,6 +297,22 @@ def n8(spark, d):
     return with_meta(spark, d).select("sample_id", stack_text(frames.assemble_stack(F.col("meta"), markers, user, kernel, F.col("k") % 2 == 0)).alias("stack"))
 
 
+MARKED = ", x as (select *, case when k % 7 = 0 then 'full' when k % 7 = 1 then 'high' end as pressure, k % 3 = 0 as irqoff, k % 4 = 0 as offcpu, case when k % 2 = 0 then 'D' else 'S' end as state, case when k % 5 = 0 then '<# PROCESS EXIT #>' when k % 5 = 1 then '<# DROP BY LANG TYPE #>' end as reason, env = 'SYSTEM' or pid % 2 = 0 as unwound from metas)"
+
+
+@query("n8_all_markers", with_views(METAS + MARKED + " select sample_id, array_to_string(list_filter([meta, case pressure when 'full' then '<# PRESSURE FULL DROP SAMPLE #>' when 'high' then '<# PRESSURE HIGH DROP SAMPLE #>' end, case when irqoff then '<# IRQOFF SAMPLE ON CPU ' || cpu || ' #>' end, case when offcpu then '<# OFFCPU SAMPLE: (' || state || ') #>' end] || case when pressure is null and unwound then [reason] || list_reverse(list_filter(frames, lambda f: not contains(f, '_[k]'))) else [] end || case when not contains(array_to_string(frames, ';'), '_[k]') then ['kernel_drop_stack_[k]'] else list_filter(frames, lambda f: contains(f, '_[k]')) end, lambda f: f is not null), ';') as stack from x", "samples"))
+def n8_markers(spark, d):
+    """Every kind of marker, stop reasons of those unwound, load shedding and pods that are not unwound."""
+    k, none = F.col("k"), F.lit(None).cast("string")
+    pressure = F.when(k % 7 == 0, F.lit("full")).when(k % 7 == 1, F.lit("high")).otherwise(none)
+    markers = frames.sample_markers(pressure, k % 3 == 0, F.col("cpu"), k % 4 == 0, F.when(k % 2 == 0, F.lit("D")).otherwise(F.lit("S")))
+    unwound = pressure.isNull() & ((F.col("env") == "SYSTEM") | (F.col("pid") % 2 == 0))
+    reason = F.when(k % 5 == 0, F.lit("process_exit")).when(k % 5 == 1, F.lit("language")).otherwise(F.lit("truncated"))
+    user = frames.user_part(F.filter("frames", lambda f: ~f.contains("_[k]")), unwound, reason)
+    kernel = F.filter("frames", lambda f: f.contains("_[k]"))
+    return with_meta(spark, d).select("sample_id", stack_text(frames.assemble_stack(F.col("meta"), markers, user, kernel, F.lit(True))).alias("stack"))
+
+
 @query("n9_parse_procstack", with_views(" select sample_id, array_to_string(list_reverse(frames), ';') as stack from samples", "samples"))
 def n9(spark, d):
     text = F.array_join(F.transform("frames", lambda f: F.concat(F.lit("[<0>] "), f)), "\n")
