@@ -14,8 +14,10 @@ notice, advert, comment and the like (tag, or class, id or role words) are a fea
 style that multiplies its importance by ``DECLARED``. A content node is judged the same way by
 its own ``1 - log k / log m``, so a text that many pages repeat goes where others of its style stay.
 
-Pages count as different by their first heading in the main element (without one by all their
-texts), so copies and near copies of an article are one page and repeat nothing.
+Copies and near copies of an article are one page and repeat nothing. Pages with one first
+heading in the main element are near copies if at least ``ALIKE`` of what they show there stands
+on most of them; where pages with one heading share less, as articles under a common title do,
+each is a page of its own. Equal pages are one, and pages without a heading differ by their texts.
 
 Node ids are 64-bit hashes that include the host. Scripts, styles and other elements without
 rendered text are never read.
@@ -36,12 +38,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stackloom.llm.common import row_key, stored
+from stackloom.llm.common import join_hot, row_key, stored
 from stackloom.llm.url_filter import url_parts
 from stackloom.session import ship
 
 #: Weight of child styles, least importance, pages that the expectation stands for, and the factor of declared noise.
 G, LEAST, EXPECTED, DECLARED = 0.9, 0.35, 6, 0.2
+#: Share of their main content nodes that stands on most pages of one heading if these are near copies.
+ALIKE = 0.5
 #: Nodes of low importance up to this number go to the executors; more are joined to the pages.
 SENT_NODES = 1_000_000
 
@@ -199,8 +203,8 @@ def digest(text: str) -> int:
     return xxhash.xxh64_intdigest(text) >> 1
 
 
-def read_page(page: str, host: str | None) -> tuple[list[tuple[int, int, int, str]], dict[int, tuple[int, bool, bool]], int]:
-    """A page as (texts ``block, style, content, text``; the styles that hold texts: ``children, noise, outside``; what tells it from other pages)."""
+def read_page(page: str, host: str | None) -> tuple[list[tuple[int, int, int, str]], dict[int, tuple[int, bool, bool]], int | None, int]:
+    """A page as (texts ``block, style, content, text``; the styles that hold texts: ``children, noise, outside``; its first main heading; all its texts)."""
     blocks, every = read_blocks(page)
     declared = any(e is not None and e.main and not e.noise for block in blocks for e, _ in block)
     root = digest(f"{host}/{declared}")
@@ -219,16 +223,16 @@ def read_page(page: str, host: str | None) -> tuple[list[tuple[int, int, int, st
                 outside = declared and not (e and e.main)
                 styles[style] = digest(" ".join(e.children)) if e else 0, bool(e and e.noise), outside
                 if heading is None and e and e.tag in HEADINGS and not outside and not e.noise:
-                    heading = digest(line)
+                    heading = digest(f"{host}/{line}")
         if len(own) == 1:
             texts.append((number, *contents[e], line))
         else:
             texts += [(number, *contents[e], run) for e, run in block]
-    return texts, styles, digest(" ".join(str(t[2]) for t in texts)) if heading is None else heading
+    return texts, styles, heading, digest(" ".join(str(t[2]) for t in texts))
 
 
 def read_pages(pages: DataFrame) -> DataFrame:
-    """``page_id, url, key, other, page, styles, texts`` for ``pages(page_id, url, html)``: everything that later steps need of the pages."""
+    """``page_id, url, key, other, heading, own, styles, texts`` for ``pages(page_id, url, html)``: everything that later steps need of the pages."""
     key, other = row_key("page_id", "url", "html")
     kind = pages.schema["page_id"].dataType.simpleString()
     style = pa.struct([("style", pa.int64()), ("children", pa.int64()), ("noise", pa.bool_()), ("outside", pa.bool_())])
@@ -236,21 +240,46 @@ def read_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            page, styles, texts = [], [], []
+            heading, own, styles, texts = [], [], [], []
             for host, source in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist()):
-                found, shown, which = read_page(source or "", host)
-                page.append(which)
+                found, shown, title, whole = read_page(source or "", host)
+                heading.append(title)
+                own.append(whole)
                 styles.append([dict(zip(("style", "children", "noise", "outside"), (k, *v))) for k, v in shown.items()])
                 texts.append([dict(zip(("block", "style", "content", "text"), t)) for t in found])
-            arrays = [pa.array(page, pa.int64()), pa.array(styles, pa.list_(style)), pa.array(texts, pa.list_(text))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *arrays], names=["page_id", "url", "key", "other", "page", "styles", "texts"])
+            arrays = [pa.array(heading, pa.int64()), pa.array(own, pa.int64()), pa.array(styles, pa.list_(style)), pa.array(texts, pa.list_(text))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], *arrays], names=["page_id", "url", "key", "other", "heading", "own", "styles", "texts"])
 
     rows = pages.select("page_id", "url", key.alias("key"), other.alias("other"), url_parts(F.col("url"))[0].alias("host"), "html")
-    return rows.mapInArrow(run, f"page_id {kind}, url string, key long, other long, page long, styles array<struct<style: long, children: long, noise: boolean, outside: boolean>>, texts array<struct<block: int, style: long, content: long, text: string>>")
+    return rows.mapInArrow(run, f"page_id {kind}, url string, key long, other long, heading long, own long, styles array<struct<style: long, children: long, noise: boolean, outside: boolean>>, texts array<struct<block: int, style: long, content: long, text: string>>")
 
 
-def importances(read: DataFrame, declared: float = DECLARED) -> DataFrame:
+def told_apart(read: DataFrame) -> DataFrame:
+    """``heading`` of the headings whose pages are no near copies of each other.
+
+    Of the main content nodes that different pages of a heading show, counted once per page,
+    less than ``ALIKE`` stand on more than half of these pages.
+    """
+    plain = F.transform(F.filter("styles", lambda s: ~s["noise"] & ~s["outside"]), lambda s: s["style"])
+    main = F.array_distinct(F.transform(F.filter("texts", lambda t: F.array_contains(F.col("plain"), t["style"])), lambda t: t["content"]))
+    pages = read.where("heading is not null").withColumn("plain", plain).select("heading", "own", main.alias("main"))
+    shown = pages.select("heading", "own", F.explode("main").alias("content")).distinct().groupBy("heading", "content").agg(F.count("*").alias("k"))
+    sizes = pages.select("heading", "own").distinct().groupBy("heading").agg(F.count("*").alias("g")).where("g > 1")
+    shares = shown.groupBy("heading", "k").agg((F.count("*") * F.col("k")).alias("n")).join(sizes, "heading")
+    return shares.groupBy("heading").agg((F.sum(F.when(2 * F.col("k") > F.col("g"), F.col("n")).otherwise(0)) / F.sum("n")).alias("alike")).where(F.col("alike") < ALIKE).select("heading")
+
+
+def with_page(read: DataFrame, sent: int = SENT_NODES) -> DataFrame:
+    """``read`` plus ``page``, which near copies share."""
+    apart = stored(told_apart(read).withColumn("apart", F.lit(True)), "style-apart")
+    few = apart.count() <= sent
+    joined = read.join(F.broadcast(apart) if few else apart, "heading", "left")
+    return joined.withColumn("page", F.when(F.col("heading").isNull() | F.col("apart"), F.col("own")).otherwise(F.col("heading"))).drop("apart")
+
+
+def importances(read: DataFrame, declared: float = DECLARED, sent: int = SENT_NODES) -> DataFrame:
     """``node, importance`` of every style and of every content node that more than one page shows."""
+    read = with_page(read, sent)
     styles = read.select("page", F.explode("styles").alias("s")).select("page", "s.*")
     shown = styles.groupBy("page", "style", "children").agg(F.max("noise").alias("noise"), F.max("outside").alias("outside"))
     shown = shown.groupBy("style", "children").agg(F.count("*").alias("k"), F.max("noise").alias("noise"), F.max("outside").alias("outside"))
@@ -258,7 +287,7 @@ def importances(read: DataFrame, declared: float = DECLARED) -> DataFrame:
     k = F.col("k")
     shown = shown.groupBy("style").agg(F.count("*").alias("l"), F.sum("k").alias("sequences"), F.sum(k * F.log(k)).alias("sequence_logs"), F.max("noise").alias("noise"), F.max("outside").alias("outside"))
     texts = read.select("page", F.explode(F.transform("texts", lambda t: F.struct(t["style"].alias("style"), t["content"].alias("content")))).alias("t")).select("page", "t.*").distinct()
-    contents = texts.groupBy("style", "content").agg(F.count("*").alias("k"))
+    contents = stored(texts.groupBy("style", "content").agg(F.count("*").alias("k")), "style-contents")
     sums = contents.groupBy("style").agg(F.sum("k").alias("texts"), F.sum(k * F.log(k)).alias("text_logs"))
     # One row per style; a site has as many as its templates have elements.
     tree = stored(pages.join(shown, "style").join(sums, "style"), "style-tree")
@@ -272,7 +301,9 @@ def importances(read: DataFrame, declared: float = DECLARED) -> DataFrame:
         return factor * (EXPECTED * expected + m * measured) / (EXPECTED + m)
 
     of_styles = tree.select(F.col("style").alias("node"), judged((1 - weight) * entropy + weight * content).alias("importance"))
-    repeated = contents.where("k > 1").join(tree.select("style", "m", "noise", "outside"), "style")
+    several = contents.where("k > 1")
+    told = several.groupBy("style").agg(F.count("*").alias("rows")).join(tree.select("style", "m", "noise", "outside"), "style")
+    repeated = join_hot(several, stored(told, "style-told"), ["style"], "rows", several.count())
     return of_styles.union(repeated.select(F.col("content").alias("node"), judged(F.coalesce(1 - F.log("k") / base, F.lit(1.0))).alias("importance")))
 
 
@@ -290,7 +321,7 @@ def html_extract(pages: DataFrame, declared: float = DECLARED, sent: int = SENT_
     """Rows ``page_id, url, text`` for ``pages(page_id, url, html)``; blocks are joined by an empty line."""
     ship(pages.sparkSession)
     read = stored(read_pages(pages), "style-pages", "zstd")
-    low = stored(importances(read, declared).where(F.col("importance") < LEAST).select("node"), "style-low")
+    low = stored(importances(read, declared, sent).where(F.col("importance") < LEAST).select("node"), "style-low")
     kind = pages.schema["page_id"].dataType.simpleString()
     if low.count() <= sent:
         everywhere, own = frozenset(low.toArrow().column("node").to_pylist()), F.array().cast("array<bigint>")

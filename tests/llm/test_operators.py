@@ -230,8 +230,17 @@ def test_html_tree_decides(spark):
 def brute_importance(pages, declared=html_extract.DECLARED):
     """Importance of each style and repeated content node of (host, html) pages, in plain Python."""
     shown, texts, facts = defaultdict(lambda: defaultdict(set)), defaultdict(lambda: defaultdict(set)), {}
+    groups = defaultdict(dict)  # of each heading the main content nodes of its different pages
     for host, page in pages:
-        found, styles, which = html_extract.read_page(page or "", host)
+        found, styles, heading, own = html_extract.read_page(page or "", host)
+        groups[heading][own] = {t[2] for t in found if not styles.get(t[1], (0, True, True))[1] and not styles.get(t[1], (0, True, True))[2]}
+    near = {}
+    for heading, own in groups.items():
+        k = Counter(c for main in own.values() for c in main)
+        near[heading] = len(own) < 2 or not k or sum(n for n in k.values() if 2 * n > len(own)) / sum(k.values()) >= 0.5
+    for host, page in pages:
+        found, styles, heading, own = html_extract.read_page(page or "", host)
+        which = heading if heading is not None and near[heading] else own
         for style, (children, noise, outside) in styles.items():
             shown[style][children].add(which)
             facts[style] = noise, outside
@@ -278,6 +287,20 @@ def test_html_importance_is_brute_force(spark, sf_dir):
             assert "".join(text.split()) == "".join(html.unescape(re.sub("<[^>]*>", "", article[i])).split())
 
 
+def test_html_pages_of_one_heading(spark):
+    """Articles under a common title are different pages; near copies of one article are one."""
+    page = "<body><main><h1>Daily news</h1><p>Own {0}</p><p>More of {0}</p><p>And {0}</p><p>Subscribe today</p></main></body>"
+    rows = [(i, "http://a.org/", page.format(i)) for i in range(60)] + [(60 + i, "http://a.org/", page.format(0)) for i in range(40)]
+    near = "<body><main><h1>One story</h1>{}</main></body>"
+    lines = [f"<p>Line {k} of the story</p>" for k in range(12)]
+    rows += [(100 + i, "http://b.org/", near.format("".join(f"<p>Changed {i}</p>" if k == i % 12 else x for k, x in enumerate(lines)))) for i in range(60)]
+    got = {r.page_id: r.text for r in html_extract.html_extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"Own {i}\n\nMore of {i}\n\nAnd {i}" or got[i] == f"Daily news\n\nOwn {i}\n\nMore of {i}\n\nAnd {i}" for i in range(60))
+    assert {got[60 + i] for i in range(40)} == {got[0]}
+    for i in range(60):
+        assert got[100 + i].split("\n\n") == ["One story", *(f"Changed {i}" if k == i % 12 else f"Line {k} of the story" for k in range(12))]
+
+
 def test_html_long_and_clashing(spark):
     page = "<article>" + "<div>" * 3000 + "deep" + "</div>" * 3000 + "<p>x&amp" + "<b>y</b>" * 50_000 + "&am<i>p;</i></article>"
     table = spark.createDataFrame([(1, "http://a.org/", page, "t", 1, 2)], "page_id long, url string, html string, text string, low int, page int")
