@@ -36,6 +36,8 @@ DENSE = 64
 MOST_CHOICES = 32
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Columns of a key, and rows of one key whose comparison with all its rows is one task's.
+KEY, PART_ROWS = ["ring", "a", "b"], 2000
 
 
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
@@ -120,10 +122,10 @@ def keyed_prints(prints: DataFrame, bits: int, scheme: tuple[int, int, int]) ->
     return prints.select("fp", F.explode(ring_keys(F.col("fp"), bits, scheme)).alias("k")).select("fp", "k.*")
 
 
-def chosen_pairs(left: DataFrame, right: DataFrame, bits: int, scheme: tuple[int, int, int], more: Column) -> DataFrame:
+def chosen_pairs(left: DataFrame, right: DataFrame, bits: int, scheme: tuple[int, int, int], more: Column, keys: list[str] = KEY) -> DataFrame:
     """Pairs of ``left(ring, a, b, x)`` and ``right(ring, a, b, y)`` that pass the chains and the full distance."""
     difference = F.col("x").bitwiseXOR(F.col("y"))
-    found = left.join(right, ["ring", "a", "b"]).where(more & chains_fit(F.col("ring"), difference, bits) & (F.bit_count(difference) <= bits))
+    found = left.join(right, keys).where(more & chains_fit(F.col("ring"), difference, bits) & (F.bit_count(difference) <= bits))
     return found.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
@@ -153,7 +155,7 @@ def near_links(prints: DataFrame, bits: int = BITS, dense: int = DENSE) -> DataF
     hubs. On their keys only pairs of different groups are then compared, and only those
     outside the key's largest group with all others.
     """
-    key, scheme = ["ring", "a", "b"], scheme_for(prints.count(), bits)
+    key, scheme = KEY, scheme_for(prints.count(), bits)
     keyed = stored(keyed_prints(prints, bits, scheme), "simhash-keys")
     crowded = stored(keyed.groupBy(*key).count().where(F.col("count") > dense), "simhash-crowded-keys")
     if bits < 2 or crowded.isEmpty():
@@ -166,11 +168,14 @@ def near_links(prints: DataFrame, bits: int = BITS, dense: int = DENSE) -> DataF
     groups = connected_components(hubs, "simhash-groups")
     grouped = stored(rows.join(groups, rows.fp == groups.node, "left").select(*key, "fp", F.coalesce("component", "fp").alias("group")), "simhash-grouped")
     counts = grouped.groupBy(*key, "group").count().groupBy(*key).agg(F.max_by("group", F.struct("count", "group")).alias("largest"), F.sum("count").alias("count"), F.count("*").alias("groups"))
-    several = stored(counts.where("groups > 1").drop("groups"), "simhash-largest")  # keys of one group need no comparison
+    parts = F.ceil(F.col("count") / PART_ROWS).cast("long")
+    several = stored(counts.where("groups > 1").select(*key, "largest", "count", parts.alias("parts")), "simhash-largest")  # keys of one group need no comparison
     marked = stored(join_hot(grouped, several, key, "count", total), "simhash-marked")
-    left = marked.select(*key, F.col("fp").alias("x"), F.col("group").alias("gx"), "largest").where("gx <> largest").drop("largest")
-    right = marked.select(*key, F.col("fp").alias("y"), F.col("group").alias("gy"), "largest").withColumn("main", F.col("gy") == F.col("largest")).drop("largest")
-    others = chosen_pairs(left, right, bits, scheme, (F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))))
+    # The left rows of a large key are dealt to parts, and its right rows go to each, so no task compares a whole key.
+    left = marked.select(*key, F.col("fp").alias("x"), F.col("group").alias("gx"), "largest", F.pmod(F.xxhash64("fp"), F.col("parts")).alias("part")).where("gx <> largest").drop("largest")
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
+    right = marked.select(*key, F.col("fp").alias("y"), F.col("group").alias("gy"), (F.col("group") == F.col("largest")).alias("main"), every)
+    others = chosen_pairs(left, right, bits, scheme, (F.col("gx") != F.col("gy")) & (F.col("main") | (F.col("x") < F.col("y"))), [*key, "part"])
     return pairs.union(hubs).union(others).distinct()
 
 

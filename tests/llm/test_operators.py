@@ -546,6 +546,51 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
 
 
+def test_machine_is_brute_force(docs):
+    """Scores from the sum over all pairs of a text's known terms, one by one."""
+    def hashed(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return toxicity.terms(raw, np.array([0, len(raw)]))[1].tolist()
+
+    rng = np.random.default_rng(4)
+    texts = ["", "idiot", "Such an IDIOT, you idiots!", "the weather is fine", "fine idiots are idiotic " * 300, "x\ty\nz"]
+    known = sorted({h for w in ("idiot", "idiots", "idiotic", "fine", "you", "weather", "x") for h in hashed(w)})
+    machine = toxicity.Machine(np.array(known, np.uint64), -0.3, rng.normal(size=len(known)), rng.normal(size=(len(known), 3)))
+    raw = [t.encode() for t in texts]
+    got = machine.score(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    for text, score in zip(texts, got):
+        words_ = re.findall("[a-z0-9]+", text.lower())
+        at = sorted({known.index(h) for w in words_ for h in hashed(w) if h in known})
+        z = machine.bias + sum(machine.w[i] for i in at) + sum(float(machine.v[i] @ machine.v[j]) for k, i in enumerate(at) for j in at[k + 1 :])
+        assert score == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-12)
+
+
+def test_fit_follows_the_gradient():
+    """One step of training moves every parameter against the numeric gradient of the weighted log loss."""
+    hashes = np.arange(1, 5, dtype=np.uint64)
+    rows, labels = [np.array([0, 1]), np.array([1, 2]), np.array([0, 3]), np.array([2, 3, 1])], np.array([1, 0, 1, 0])
+    start, one = (toxicity.fit(hashes, rows, labels, factors=2, rounds=n, decay=(0.0, 0.0)) for n in (0, 1))
+
+    def loss(bias, w, v):
+        total = 0.0
+        for r, y in zip(rows, labels):
+            z = bias + w[r].sum() + sum(v[i] @ v[j] for k, i in enumerate(r) for j in r[k + 1 :])
+            total += 0.25 * (math.log1p(math.exp(-z)) if y else math.log1p(math.exp(z)))
+        return total
+
+    def slope(change):
+        return (loss(*change(1e-5)) - loss(*change(-1e-5))) / 2e-5
+
+    for i in range(4):
+        g = slope(lambda e: (start.bias, start.w + e * (np.arange(4) == i), start.v))
+        assert abs(g) < 1e-9 or (one.w[i] - start.w[i]) * g < 0
+        for f in range(2):
+            step = np.zeros((4, 2))
+            step[i, f] = 1
+            g = slope(lambda e: (start.bias, start.w, start.v + e * step))
+            assert abs(g) < 1e-7 or (one.v[i, f] - start.v[i, f]) * g < 0
+
+
 def test_simhash(spark, docs, none):
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     long = next(t for _, t in rows if t and len(t) > 3000)
@@ -593,7 +638,8 @@ def test_near_pairs_are_all(spark, scheme):
     assert got == want and len(want) > 100
 
 
-def test_crowded_keys_lose_no_link(spark):
+def test_crowded_keys_lose_no_link(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "PART_ROWS", 10)
     rng = random.Random(6)
     centre, prints = rng.getrandbits(64), set()
     for _ in range(300):
