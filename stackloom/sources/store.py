@@ -14,6 +14,7 @@ in ``stackloom.sources.frames`` read ranges of files through an index instead.
 from __future__ import annotations
 
 import io
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -41,6 +42,16 @@ SPLIT_BYTES, FRAME_LINES, FRAME_BYTES = 1 << 26, 1000, 1 << 20
 SKIPPED = b"\x50\x2a\x4d\x18\x01\x00\x00\x00"
 
 
+def file_path() -> Column:
+    """The file of a row as it is named; Spark's own column has it as part of a URI."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
+
+def literal(path: str) -> str:
+    """A path as it is, without patterns."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
 def located(df: DataFrame, path: str = "path") -> DataFrame:
     return df.withColumn("store_id", F.element_at(F.split(path, "/"), -2)).withColumn("host", F.element_at(F.split(path, "/"), -3)).withColumn("file", F.element_at(F.split(path, "/"), -1))
 
@@ -55,7 +66,7 @@ def discover_stores(spark: SparkSession, root: str) -> DataFrame:
 def read_conf(spark: SparkSession, path: str, reader: DataFrameReader | None = None) -> DataFrame:
     """``host, store_id, raw, cpu_num, freq, record_interval``: split at the first colon, the last of a repeated key counts."""
     # A conf is one row, as a file is, so the order of its lines is known.
-    whole = located((reader or spark.read).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path")))
+    whole = located((reader or spark.read).text(path, wholetext=True).select("value", file_path().alias("path")))
     lines = whole.select("host", "store_id", F.posexplode(F.split("value", "\r?\n")).alias("_n", "value"))
     parts = F.split("value", ":", 2)
     pairs = lines.where(F.col("value").contains(":")).select("host", "store_id", "_n", F.trim(parts[0]).alias("k"), F.trim(parts[1]).alias("v")).where("k <> ''")
@@ -145,8 +156,8 @@ def starts_as_zstd(spark: SparkSession, path: str) -> bool:
 
 def _cut(spark: SparkSession, paths: list[str], mark: bytes) -> DataFrame:
     """``path, block, value``: the bytes between marks of the files, in order within a block; blocks are Spark's splits."""
-    text = spark.read.option("lineSep", mark.decode("latin-1")).option("encoding", "ISO-8859-1").text(paths)
-    return text.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
+    text = spark.read.option("lineSep", mark.decode("latin-1")).option("encoding", "ISO-8859-1").text([literal(p) for p in paths])
+    return text.select(file_path().alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").cast("binary").alias("value"))
 
 
 def _large(spark: SparkSession, path: str, file: str) -> dict[bool, list[str]]:

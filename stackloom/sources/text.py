@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from stackloom.functions.frames import markers_are_roots
 from stackloom.functions.metadata import parse_metadata
+from stackloom.sources.store import file_path
 
 #: Markers in a raw address list, as unsigned 64-bit numbers (fixed values): what follows is kernel, or user.
 KERNEL_CONTEXT, USER_CONTEXT = 18446744073709551488, 18446744073709551104
@@ -50,7 +51,7 @@ def read_kallsyms(spark: SparkSession, path: str) -> DataFrame:
     row and its lines have numbers: of one address the last line counts.
     """
     names = F.split("path", "/")
-    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", file_path().alias("path"))
     lines = files.select(F.element_at(names, -2).alias("host"), F.element_at(names, -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line_no", "value"))
     return parse_kallsyms(lines)
 

@@ -89,6 +89,21 @@ def test_odd_files_are_read_as_a_whole(spark, tmp_path, small_splits, packed, ca
     assert (rows, n) == (entries(want), len(want))
 
 
+@pytest.mark.parametrize("packed", [False, True])
+def test_hosts_of_any_name(spark, tmp_path, small_splits, packed):
+    names = ["h 1=x+y", "h%41", "h[2]", "h{3}", "é"]
+    records = records_of(9, 30)
+    mark = int.from_bytes(store.FOOT + store.HEAD, "little")
+    for i, name in enumerate(names):  # every second file cannot be cut
+        own = [*records, (40_000, 41_000, [(1, mark), (2, int.from_bytes(store.ZSTD, "little"))])] if i % 2 else records
+        put(tmp_path / "s" / name / "cpa_251216", own, packed)
+    whole = store.load_stores(spark, f"{tmp_path}/s")
+    assert sorted(r.host for r in whole.conf.collect()) == sorted(names)
+    for df in (whole.strmap, whole.idsmap, whole.records):
+        assert sorted(r.host for r in df.select("host").distinct().collect()) == sorted(names)
+    assert {r.host: r["count"] for r in whole.records.groupBy("host").count().collect()} == {n: 30 + i % 2 for i, n in enumerate(names)}
+
+
 def made(spark, records, hosts=("h1", "h 2=x")):
     keys = [(h, s) for h in hosts for s in ("cpa_251216", "cpa_251217")]
     conf = spark.createDataFrame([(*k, {"cpu_num": "8", "freq": "49"}) for k in keys], "host string, store_id string, raw map<string,string>")
