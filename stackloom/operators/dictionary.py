@@ -64,6 +64,18 @@ def decode_stacks(encoded: DataFrame, strings: DataFrame, lost: str = "export")
     return parts.groupBy(*keys, "ids_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("str")))), lambda x: x["str"]).alias("parts"))
 
 
+def lost_stacks(counts: DataFrame, idsmap: DataFrame, weight: str = "count") -> DataFrame:
+    """``state, stacks, n, weight`` for ``known`` and ``lost``: entries of ``counts(.., ids_id, weight)`` with and without a stack in the dictionary.
+
+    Entries are summed per stack before they meet the dictionary; within stores where both have their keys.
+    """
+    keys = [*store_keys(counts, idsmap), "ids_id"]
+    sums = counts.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(weight).alias("weight"))
+    found = sums.join(idsmap.select(*keys).distinct().withColumn("_known", F.lit(True)), keys, "left")
+    state = F.when(F.col("_known"), "known").otherwise("lost")
+    return found.groupBy(state.alias("state")).agg(F.count("*").alias("stacks"), F.sum("n").alias("n"), F.sum("weight").cast("long").alias("weight"))
+
+
 def dictionary_delta(new: DataFrame, old: DataFrame, key: str = "str") -> DataFrame:
     return new.select(key).distinct().join(old, key, "left_anti")
 

@@ -30,6 +30,12 @@ def decoded(sums: DataFrame, stores: Stores, mode: str = "viewer") -> DataFrame:
     return rows.select(*KEYS, "ids_id", "cnt", "raw", F.col("_m.ok").alias("meta_ok"), *[F.col(f"_m.{c}").alias(c) for c in ("comm", "group_comm", "cgroup_id", "cpu", "pid", "env")], frames.alias("frames"))
 
 
+def over_hosts(samples: DataFrame, frames: str = "frames", count: str = "cnt") -> DataFrame:
+    """``frames, hosts, samples``: stacks of many hosts as one profile, each summed per host before, and on how many hosts each occurs."""
+    sums = samples.groupBy(frames, "host").agg(F.sum(count).alias("_n"))
+    return sums.groupBy(frames).agg(F.count("*").alias("hosts"), F.sum("_n").cast("long").alias("samples"))
+
+
 def folded_profile(stores: Stores, labels: Column, start_ms: int | None = None, end_ms: int | None = None, condition: Column | None = None, mode: str = "viewer") -> DataFrame:
     """``stack, samples`` over all stores: clean, choose a range of each, sum, decode, filter, and sum the stacks with their ``labels`` before them."""
     records = timeline.clean_records(stores.records, mode)

@@ -56,6 +56,29 @@ def trend_buckets(curve: DataFrame, index: str, value: str, n: Column, width: in
     return curve.groupBy(F.floor(F.col(index) * width / n).cast("long").alias("bucket")).agg(F.max(value).alias("peak"))
 
 
+def deeper_stack(frame_pointers: Column, call_frames: Column) -> Column:
+    """The stack by frame pointers if it has more levels than the one by call frame information, else that one."""
+    return F.when(F.size(frame_pointers) > F.size(call_frames), frame_pointers).otherwise(call_frames)
+
+
+def totals(samples: DataFrame, column: str | Column, count: str = "cnt") -> DataFrame:
+    """``column, samples, share`` per value of a dimension, shares of all samples."""
+    sums = samples.groupBy(column).agg(F.sum(count).cast("long").alias("samples"))
+    total = sums.agg(F.sum("samples").alias("_total"))
+    return sums.crossJoin(F.broadcast(total)).withColumn("share", F.col("samples") / F.col("_total")).drop("_total")  # one row
+
+
+def totals_by_frame(samples: DataFrame, frames: str = "frames", count: str = "cnt") -> DataFrame:
+    """``frame, samples``; a frame counts once per stack. Samples are summed per stack before frames are listed."""
+    stacks = samples.groupBy(frames).agg(F.sum(count).alias("_n"))
+    return stacks.select("_n", F.explode(F.array_distinct(frames)).alias("frame")).groupBy("frame").agg(F.sum("_n").cast("long").alias("samples"))
+
+
+def distinct_stacks(samples: DataFrame, path: Column, keys: list[str] | None = None) -> DataFrame:
+    """``keys.., stacks``: how many different labelled stacks there are, exactly."""
+    return samples.groupBy(*keys or []).agg(F.count_distinct(path).alias("stacks"))
+
+
 def lost_events(reports: DataFrame) -> DataFrame:
     """``host, cpu, lost, reports, warning`` for ``reports(host, cpu, lost)``: what each CPU has lost, with the recorder's warning; CPUs that lost nothing are not listed."""
     sums = reports.where("lost > 0").groupBy("host", "cpu").agg(F.sum("lost").cast("long").alias("lost"), F.count("*").alias("reports"))

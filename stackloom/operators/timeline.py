@@ -94,6 +94,24 @@ def record_times(samples: DataFrame, keys: list[str], now_ms: str = "now_ms", ns
     return timed.withColumn("record_ms", F.when((F.col("_ms") >= 0) & (F.col("_ms") < DAY_MS), F.col("_ms")).otherwise(F.col(now_ms))).drop("_back", "_run", "_ms")
 
 
+def ms_of_day(ts: Column) -> Column:
+    """Milliseconds since the local midnight of a time, as records count them."""
+    return F.timestamp_diff("MILLISECOND", F.date_trunc("DAY", ts), ts)
+
+
+def day_spans(samples: DataFrame, ts: str = "ts", keys: list[str] | None = None) -> DataFrame:
+    """``keys.., day, n, first_ms, last_ms``: how samples fall into the stores of their days, which begin anew at midnight."""
+    ms = ms_of_day(F.col(ts))
+    return samples.groupBy(*keys or [], F.date_format(ts, "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
+
+
+def anchored_ms(samples: DataFrame, keys: list[str], us: str = "us") -> DataFrame:
+    """``samples`` plus ``record_ms`` from the first sample of each key and the microseconds since it, without windows: for feeds whose clocks do not go back."""
+    first = samples.groupBy(*keys).agg(F.min(us).alias("_first"))
+    ms = F.floor(F.col("_first") / 1000) + F.floor((F.col(us) - F.col("_first")) / 1000)
+    return samples.join(first, keys).withColumn("record_ms", ms.cast("long")).drop("_first")
+
+
 def union_records(records: DataFrame, created: DataFrame) -> DataFrame:
     """``host, record_idx, start_ms, end_ms, .., store_id``: the records of each host's stores as one history.
 

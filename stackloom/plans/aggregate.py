@@ -128,25 +128,22 @@ def a16s(spark, d):
 @query("a15_deeper_stack", with_views(" select sample_id, case when k % 2 = 0 then array_to_string(frames, ';') else array_to_string(list_concat(['start'], frames), ';') end as stack from samples", "samples"))
 def a15(spark, d):
     fp = F.when(F.col("k") % 2 == 0, F.slice("frames", 1, 2)).otherwise(F.concat(F.array(F.lit("start")), "frames"))
-    return samples(spark, d).select("sample_id", F.array_join(F.when(F.size(fp) > F.size("frames"), fp).otherwise(F.col("frames")), ";").alias("stack"))
+    return samples(spark, d).select("sample_id", F.array_join(stats.deeper_stack(fp, F.col("frames")), ";").alias("stack"))
 
 
 @query("a16_distinct_stacks", with_views(" select count(distinct array_to_string(" + PATH_SQL + ", ';')) as stacks from samples", "samples"))
 def a16(spark, d):
-    return samples(spark, d).agg(F.count_distinct(path()).alias("stacks"))
+    return stats.distinct_stacks(samples(spark, d), path())
 
 
 @query("a17_totals_by_env", with_views(" select env, cast(sum(cnt) as bigint) as samples, round(sum(cnt) / sum(sum(cnt)) over ()::double, 9) as share from samples group by env", "samples"))
 def a17(spark, d):
-    sums = samples(spark, d).groupBy("env").agg(F.sum("cnt").cast("long").alias("samples"))
-    total = sums.agg(F.sum("samples").alias("total"))
-    return sums.crossJoin(F.broadcast(total)).select("env", "samples", F.round(F.col("samples") / F.col("total"), 9).alias("share"))  # one row
+    return stats.totals(samples(spark, d), "env").withColumn("share", F.round("share", 9))
 
 
 @query("a17_totals_by_frame", with_views(" select frame, cast(sum(cnt) as bigint) as samples from (select cnt, unnest(list_distinct(frames)) as frame from samples) group by frame", "samples"))
 def a17f(spark, d):
-    stacks = samples(spark, d).groupBy("frames").agg(F.sum("cnt").alias("cnt"))
-    return stacks.select("cnt", F.explode(F.array_distinct("frames")).alias("frame")).groupBy("frame").agg(F.sum("cnt").cast("long").alias("samples"))
+    return stats.totals_by_frame(samples(spark, d))
 
 
 @query("a18_marker_statistics", with_views(" select case when k % 4 = 0 then '<# OFFCPU #>' else '<# IRQOFF SAMPLE ON CPU ' || cpu || ' #>' end as marker, cast(sum(cnt) as bigint) as samples from samples where k % 4 in (0, 1) group by 1", "samples"))

@@ -68,8 +68,8 @@ def d4v(spark, d):
 def d5(spark, d):
     s = samples(spark, d)
     known = s.where("k % 5 <> 0").select("k").distinct()
-    found = s.join(known, "k", "left_semi").withColumn("state", F.lit("known")).unionByName(s.join(known, "k", "left_anti").withColumn("state", F.lit("lost")))
-    return found.groupBy("state").agg(F.count("*").alias("n"), F.sum("cnt").cast("long").alias("weight"))
+    report = dictionary.lost_stacks(s.withColumnRenamed("k", "ids_id").select("ids_id", "cnt"), known.withColumnRenamed("k", "ids_id"), "cnt")
+    return report.select("state", "n", "weight")
 
 
 @query("d6_dictionary_delta", with_views(METAS + ", strs as (select distinct ts < (select min(ts) + interval 15 day from samples) as is_old, unnest(list_prepend(meta, frames)) as str from metas) select distinct str from strs where not is_old and str not in (select str from strs where is_old)", "samples"))

@@ -4,15 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from stackloom.operators import history
+from stackloom.operators import history, profile
 from stackloom.plans.catalog import query
 from stackloom.sources.views import samples, stores, with_views
 
 
 @query("r8_union_of_stores", with_views(" select array_to_string(frames, ';') as stack, count(distinct host) as hosts, cast(sum(cnt) as bigint) as samples from samples group by 1", "samples"))
 def r8(spark, d):
-    sums = samples(spark, d).groupBy("frames", "host").agg(F.sum("cnt").alias("cnt")).groupBy("frames").agg(F.count("*").alias("hosts"), F.sum("cnt").cast("long").alias("samples"))
-    return sums.select(F.array_join("frames", ";").alias("stack"), "hosts", "samples")
+    return profile.over_hosts(samples(spark, d)).select(F.array_join("frames", ";").alias("stack"), "hosts", "samples")
 
 
 @query("r11_store_names", with_views(" select sample_id, 'cpa_' || strftime(ts, '%y%m%d') || case when k % 2 = 0 then '_start_' || strftime(ts, '%H%M%S') else '' end as name from samples", "samples"))

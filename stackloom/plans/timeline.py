@@ -120,14 +120,12 @@ def t10(spark, d):
 @query("t11_record_ms", with_views(", a as (select host, min(ts) as first from samples group by host) select sample_id, epoch_us(first) // 1000 + (epoch_us(ts) - epoch_us(first)) // 1000 as record_ms from samples join a using (host)", "samples"))
 def t11(spark, d):
     s = samples(spark, d).withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
-    anchor = s.groupBy("host").agg(F.min("us").alias("first_us"))
-    return s.join(anchor, "host").select("sample_id", (F.floor(F.col("first_us") / 1000) + F.floor((F.col("us") - F.col("first_us")) / 1000)).cast("long").alias("record_ms"))
+    return timeline.anchored_ms(s, ["host"]).select("sample_id", "record_ms")
 
 
 @query("t12_day_split", with_views(" select strftime(ts, '%Y-%m-%d') as day, count(*) as n, min((epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000) as first_ms, max((epoch_us(ts) - epoch_us(date_trunc('day', ts))) // 1000) as last_ms from samples group by 1", "samples"))
 def t12(spark, d):
-    ms = F.expr("timestampdiff(MILLISECOND, date_trunc('DAY', ts), ts)")
-    return samples(spark, d).groupBy(F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("n"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
+    return timeline.day_spans(samples(spark, d))
 
 
 @query("t13_format_duration", with_views(" select sample_id, case when k < 100 then k || 'ms' when k * 640 < 60000 then printf('%.2fs', k * 640 / 1000.0::double) else printf('%.1fs', k * 640 / 1000.0::double) end as text from samples", "samples"))
