@@ -29,6 +29,8 @@ WEIGHTS, SHARE, MOST = (3.0, 1.0, 2.0), 1.5, 2
 #: Documents in a shard, on average, and the least and most tokens of a block.
 SHARD_ROWS, LARGEST_BLOCK, BLOCKS_OF_SMALLEST = 10_000, 1024, 1000
 SEED = 17
+#: Equal rows that one window numbers.
+SAME_ROWS = 10_000
 
 
 def word_count(text: Column) -> Column:
@@ -113,15 +115,50 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, most: i
     return joined.select("d.doc_id", "d.key", "d.source", "d.size", "d.source_size", "d.target", taken.cast("long").alias("taken"))
 
 
+def numbered_within(rows: DataFrame, keys: list[str], nth: str) -> DataFrame:
+    """``rows`` plus their number, from 1, among those of the same ``keys``, of which few may have very many rows.
+
+    Rows are stored and counted per part of that table; a window orders one key's rows of one
+    part, another one the parts of a key.
+    """
+    at, part, before = unused(rows, "at"), unused(rows, "part"), unused(rows, "before")
+    held = stored(rows.withColumn(at, F.monotonically_increasing_id()), "mix-hot").withColumn(part, F.shiftright(at, 33))
+    sizes = held.groupBy(*keys, part).agg(F.count("*").alias(before))
+    ends = F.sum(before).over(Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(*keys, part, F.coalesce(ends, F.lit(0)).alias(before))
+    own = held.withColumn(nth, F.row_number().over(Window.partitionBy(*keys, part).orderBy(at)))
+    same = [F.col(f"h.{k}").eqNullSafe(F.col(f"o.{k}")) for k in [*keys, part]]
+    joined = own.alias("h").join(offsets.alias("o"), same)
+    return joined.select(*[F.col(f"h.`{c}`") for c in rows.columns], (F.col(f"h.{nth}") + F.col(f"o.{before}")).cast("int").alias(nth))
+
+
+def numbered_rows(rows: DataFrame, keys: list[str], nth: str, hot: DataFrame | None, order: Column) -> DataFrame:
+    """``rows`` plus their number among those of the same ``keys``; ``hot(keys..)`` names the few with very many rows."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    if hot is None:
+        return rows.withColumn(nth, F.row_number().over(w))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+    few = rows.alias("l").join(F.broadcast(hot.alias("r")), same, "left_anti").withColumn(nth, F.row_number().over(w))
+    many = rows.alias("l").join(F.broadcast(hot.alias("r")), same, "left_semi")
+    return few.unionByName(numbered_within(many, keys, nth))
+
+
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` as the mix has it: one row for each full pass over a document and one for a cut pass, which keeps its first words joined by one space. Columns as in ``docs``; ``n_chars``, if there, is renewed for cut rows."""
+    """``docs`` as the mix has it: one row for each full pass over a document and one for a cut pass, which keeps its first words joined by one space. Columns as in ``docs``; ``n_chars``, if there, is renewed for cut rows.
+
+    Equal rows get their amounts one by one, numbered on both sides. Those with more than
+    ``SAME_ROWS`` equals, or a thousandth of all rows if that is more, are at most 1,000 kinds.
+    """
     id_, key, size, words, nth, turn = names = [unused(docs, n) for n in ("id", "key", "size", "taken", "nth", "pass")]
-    taken = mix(docs, **options).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "key", "size", "taken"), names)])
-    same = Window.partitionBy(key, id_)
-    # Equal rows get their amounts one by one: number them on both sides.
-    taken = taken.withColumn(nth, F.row_number().over(same.orderBy(words)))
+    taken = stored(mix(docs, **options).select(*[F.col(c).alias(n) for c, n in zip(("doc_id", "key", "size", "taken"), names)]), "mix-taken")
+    most = max(SAME_ROWS, taken.count() // 1000)
+    hot = stored(taken.groupBy(key, id_).count().where(F.col("count") > most).select(key, id_), "mix-same")
+    hot = None if hot.isEmpty() else hot
+    taken = numbered_rows(taken, [key, id_], nth, hot, F.col(words))
     rows = docs.withColumns({key: row_key("doc_id", "source", "text")[0], id_: F.col("doc_id")})
-    rows = rows.withColumn(nth, F.row_number().over(same.orderBy(F.lit(0))))
+    rows = numbered_rows(rows, [key, id_], nth, hot, F.lit(0))
     both = rows.alias("r").join(taken.alias("t"), F.col(f"r.{key}").eqNullSafe(F.col(f"t.{key}")) & F.col(f"r.{id_}").eqNullSafe(F.col(f"t.{id_}")) & (F.col(f"r.{nth}") == F.col(f"t.{nth}")))
     both = both.select("r.*", f"t.{size}", f"t.{words}")
     passes = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.ceil(F.col(words) / F.col(size)))

@@ -43,6 +43,16 @@ def test_equal_rows_are_divided(spark, monkeypatch):
         assert abs(sum(r.taken for r in own) - own[0].target) < 0.01 * own[0].target + 2
     sizes = Counter(r.taken for r in got if r.doc_id == "same")
     assert len(sizes) > 1  # some copies are taken more often than others, none is lost
+    def mixed(limit):
+        monkeypatch.setattr(mixing, "SAME_ROWS", limit)
+        frame = docs.withColumn("n", F.monotonically_increasing_id() % 5).withColumn("at", F.lit(1))
+        out = mixing.mixed_documents(frame.repartition(6))
+        assert out.columns == frame.columns
+        return Counter((r.doc_id, r.text, r.source) for r in out.collect())
+
+    whole, parts = mixed(10**6), mixed(100)  # in one window, and over parts
+    assert whole == parts
+    assert sum(n * len((t or "").split()) for (_, t, _), n in parts.items()) == sum(r.taken for r in got)
     counts = filter_audit.failure_counts(docs, spark.createDataFrame([("same", 0, 1)], "doc_id string, quality int, toxic int")).collect()
     assert sum(r.docs for r in counts) == len(rows) and sum(r.toxic for r in counts) == 20_000
 
