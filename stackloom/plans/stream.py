@@ -123,7 +123,7 @@ def w4(spark, d):
     return buckets.only_buckets(in_turns(spark, [s, clock])).select("host", "start_ms", "stack", "count")
 
 
-#: The reference case: samples (ms, stack, count), clock rows (ms) and a flush, hold 10 s, replayed for each host at the second of its first sample.
+#: A known case: samples (ms, stack, count), clock rows (ms) and a flush, hold 10 s, replayed for each host at the second of its first sample.
 STEPS = [[(1000, "1", 3), (2000, "2", 4)], [(11_000, None, None)], [(12_000, None, None)], [(1500, "1", 5), (2500, "2", 7)], [(13_000, None, None)], [(4000, "1", 9)], [(None, None, None)]]
 
 

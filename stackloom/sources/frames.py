@@ -44,24 +44,24 @@ def opened(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
         raise ValueError(f"{path}: executors cannot open this file system; read it by stackloom.sources.store.load_stores") from e
 
 
-def store_folders(path: str) -> list[str]:
-    """The folders below ``path`` (which may hold globs in its names) that have all four files."""
+def store_folders(path: str) -> dict[str, int]:
+    """The folders below ``path`` (which may hold globs in its names) that have all four files, in order, and the bytes of their records."""
     fs, root = opened(path)
     fixed = root.rstrip("/")
     while any(c in fixed for c in "*?["):
         fixed = fixed.rpartition("/")[0]
-    found: dict[str, set[str]] = {}
+    found: dict[str, dict[str, int]] = {}
     for f in fs.get_file_info(pyarrow.fs.FileSelector(fixed, recursive=True)):
         folder, _, name = f.path.rpartition("/")
         if name in FILES:
-            found.setdefault(folder, set()).add(name)
+            found.setdefault(folder, {})[name] = f.size or 0
     wanted = root.rstrip("/").split("/")
 
     def below(folder: str) -> bool:
         names = folder.split("/")
         return len(names) >= len(wanted) and all(fnmatch.fnmatchcase(a, b) for a, b in zip(names, wanted))
 
-    return sorted(f for f, names in found.items() if len(names) == len(FILES) and below(f))
+    return {f: names["stack.bin"] for f, names in sorted(found.items()) if len(names) == len(FILES) and below(f)}
 
 
 def frame_ends(f: pa.NativeFile, at: int, size: int) -> Iterator[int]:
@@ -284,21 +284,25 @@ class StoreTail(DataSourceStreamReader):
 
     The offset is, per store, how many bytes of the file have been read and the records in them.
     A batch goes up to the last whole record that was there when it was planned; a frame or
-    record that is cut then waits for its rest. With the option ``guarded`` the records after a
+    record that is cut then waits for its rest. Files that have not grown are not opened. With the option ``guarded`` the records after a
     store's last guard wait, too, as a guard says that those before it are complete.
     """
 
     def __init__(self, path: str, guarded: bool = False):
         self.path, self.guarded = path, guarded
         self.planned: dict[str, list[int]] = {}
+        self.sizes: dict[str, int] = {}
 
     def initialOffset(self) -> dict:
         return {"stores": {}}
 
     def latestOffset(self) -> dict:
         fs, _ = opened(self.path)
-        for folder in store_folders(self.path):
+        for folder, size in store_folders(self.path).items():
             at, number = self.planned.get(folder, [0, 0])
+            if size == at or size == self.sizes.get(folder):
+                continue  # nothing new since the last look
+            self.sizes[folder] = size
             with fs.open_input_file(f"{folder}/stack.bin") as f:
                 done, count = at, number
                 for packed, begin, size, records in chunks_of(f, f.size(), at):
