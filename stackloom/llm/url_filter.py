@@ -6,8 +6,8 @@ host-suffix + path-prefix expressions. These meet the rules on a short hash pref
 full digests then confirm the match and the longest rule wins.
 
 Defined cases: a null url, or one without ``://``, has an empty host and path and gets the
-default action; rules of one length: the longer host wins, then the smaller text; the same
-rule with both actions blocks; repeated urls are judged once and joined back; no rows give
+default action; rules of one length: the longer host wins (two of one length and host are the
+same rule); the same rule with both actions blocks; repeated urls are judged once and joined back; no rows give
 no rows. Columns of ``pages`` beyond the named ones are never read.
 """
 
@@ -29,6 +29,8 @@ RULES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Hex digits of the digest that the join uses.
 PREFIX_DIGITS = 8
+#: Rules whose rows, of ``ROW_BYTES`` and up to four bytes a character, stay below this go to all executors.
+SENT_BYTES, ROW_BYTES = 64 << 20, 300
 
 
 def rules_table(spark: SparkSession, rules: list[tuple[str, str, str]] = RULES) -> DataFrame:
@@ -61,9 +63,24 @@ def path_prefixes(path: Column, longest: int, odd: list[int]) -> Column:
     return F.transform(lengths, lambda n: F.substring(path, F.lit(1), n))
 
 
-def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow") -> DataFrame:
+def fitting(expressions: DataFrame, keyed: DataFrame, sent: bool) -> DataFrame:
+    """``host, path, ranked`` of every rule that one of the place's ``expressions(host, path, digest, short)`` names.
+
+    Rules that are not ``sent`` meet each distinct expression once. Those that name a rule then
+    go to their places by :func:`join_hot`, as a top-level domain stands in a large share of them.
+    """
+    if sent:
+        return expressions.join(F.broadcast(keyed), "short").where("digest = rule_digest").select("host", "path", "ranked")
+    counted = stored(expressions.groupBy("digest", "short").agg(F.count("*").alias("places")), "url-expressions")
+    named = counted.join(keyed, "short").where("digest = rule_digest").select("digest", "ranked", "places")
+    total = counted.agg(F.sum("places")).first()[0] or 0
+    return join_hot(expressions.select("host", "path", "digest"), stored(named, "url-named"), ["digest"], "places", total).select("host", "path", "ranked")
+
+
+def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: str = "allow", sent_bytes: int = SENT_BYTES) -> DataFrame:
     """``pages`` columns ``page_id, url`` plus ``host, path, rule, verdict`` (rule: the winning rule's text, else null)."""
     bounds = rules.agg(
+        F.coalesce(F.sum(F.lit(ROW_BYTES) + 4 * F.length(F.concat("host", "path"))), F.lit(0)).alias("bytes"),
         F.coalesce(F.max(F.size(F.split("host", r"\."))), F.lit(0)).alias("labels"),
         F.coalesce(F.max(F.length("path")), F.lit(0)).alias("longest"),
         F.sort_array(F.collect_set(F.when(~F.col("path").endswith("/") & (F.col("path") != ""), F.length("path")))).alias("odd"),
@@ -84,11 +101,10 @@ def url_filter(pages: DataFrame, rules: DataFrame, url: str = "url", default: st
     keyed = rules.withColumn("expression", F.concat("host", F.lit("\t"), "path")).select(
         digest.alias("rule_digest"),
         F.substring(digest, 1, PREFIX_DIGITS).alias("short"),
-        F.struct(
-            F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), (F.lit(0) - F.xxhash64("host", "path")).alias("tie"), (F.col("action") == "block").alias("block"), F.concat("host", "path").alias("rule"), F.col("action")
-        ).alias("ranked"),
+        F.struct(F.length(F.concat("host", "path")).alias("length"), F.length("host").alias("host_length"), (F.col("action") == "block").alias("block"), F.concat("host", "path").alias("rule"), F.col("action")).alias("ranked"),
     )
-    best = expressions.join(keyed, "short").where("digest = rule_digest").groupBy("host", "path").agg(F.max("ranked").alias("best"))
+    keyed = keyed.groupBy("short", "rule_digest").agg(F.max("ranked").alias("ranked"))  # a rule may be listed many times
+    best = fitting(expressions, keyed, bounds.bytes <= sent_bytes).groupBy("host", "path").agg(F.max("ranked").alias("best"))
     ruled = stored(places.join(best, ["host", "path"], "left"), "url-ruled")
     named = join_hot(judged.where("host <> ''"), ruled, ["host", "path"], "urls", ruled.agg(F.sum("urls")).first()[0] or 0)
     named = named.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.action", F.lit(default)).alias("verdict"))

@@ -74,6 +74,18 @@ def test_url_filter(spark):
     assert {r.verdict for r in url_filter.url_filter(pages, url_filter.rules_table(spark, [])).collect()} == {"allow"}
 
 
+def test_url_filter_with_many_rules(spark, sf_dir):
+    """Rules that are too large to be sent are joined by distinct expression, with a domain that most places share and rules listed twice."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    pages = pages.unionByName(spark.range(5000).select(F.col("id").alias("page_id"), F.format_string("http://h%d.com/en/%d/x", F.col("id") % 50, F.col("id")).alias("url")), allowMissingColumns=True)
+    listed = url_filter.RULES + [("com", "/", "allow"), ("com", "/", "block")] + [(f"h{i}.com", f"/en/{i + 50 * k}/", "allow") for i in range(50) for k in range(20)]
+    rules = spark.createDataFrame(listed, "host string, path string, action string")
+    sent, joined = [sorted(url_filter.url_filter(pages, rules, sent_bytes=n).collect(), key=str) for n in (1 << 30, -1)]
+    assert joined == sent and len(joined) == pages.count()
+    assert {r.rule for r in joined} >= {"com/", "h3.com/en/53/"}
+    assert {r.verdict for r in joined if r.rule == "com/"} == {"block"}
+
+
 def brute_license(text, notices):
     """Places of notices from every window, without MinHash."""
     w = [x for x in re.split("[\\x00-/:-@\\[-`{-\\x7f]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or "")) if x]
