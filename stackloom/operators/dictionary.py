@@ -44,7 +44,7 @@ def intern_stacks(stacks: DataFrame) -> DataFrame:
 def encode_stacks(stacks: DataFrame, strings: DataFrame) -> DataFrame:
     """``stacks(ids_id, meta, frames)``, one row per id, as ``ids_id, sids``."""
     parts = stacks.select("ids_id", F.posexplode(F.array_prepend("frames", F.col("meta"))).alias("pos", "str"))
-    return parts.join(strings, "str").groupBy("ids_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda x: x["sid"]).alias("sids"))
+    return parts.join(strings, "str").groupBy("ids_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sid")))["sid"].alias("sids"))
 
 
 def store_keys(*frames: DataFrame) -> list[str]:
@@ -61,7 +61,7 @@ def decode_stacks(encoded: DataFrame, strings: DataFrame, lost: str = "export")
     keys = store_keys(encoded, strings)
     parts = encoded.select(*keys, "ids_id", F.posexplode("sids").alias("pos", "sid")).join(strings, [*keys, "sid"], "left" if lost == "export" else "inner")
     text = F.coalesce("str", F.lit(LOST_STRING))
-    return parts.groupBy(*keys, "ids_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", text.alias("str")))), lambda x: x["str"]).alias("parts"))
+    return parts.groupBy(*keys, "ids_id").agg(F.sort_array(F.collect_list(F.struct("pos", text.alias("str"))))["str"].alias("parts"))
 
 
 def lost_stacks(counts: DataFrame, idsmap: DataFrame, weight: str = "count") -> DataFrame:

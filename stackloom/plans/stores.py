@@ -33,7 +33,7 @@ def tables(spark, d) -> store.Stores:
     strmap = stored(strings.withColumn("sid", F.row_number().over(Window.partitionBy(*KEYS).orderBy("str"))), "store-strmap")
     numbered = stored(stacks.withColumn("ids_id", F.row_number().over(Window.partitionBy(*KEYS).orderBy("meta", "frames"))), "store-stacks")
     parts = numbered.select(*KEYS, "ids_id", F.posexplode(F.array_prepend("frames", F.col("meta"))).alias("pos", "str")).join(strmap, [*KEYS, "str"])
-    idsmap = parts.groupBy(*KEYS, "ids_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda x: x["sid"]).alias("sids"))
+    idsmap = parts.groupBy(*KEYS, "ids_id").agg(F.sort_array(F.collect_list(F.struct("pos", "sid")))["sid"].alias("sids"))
     index = (F.dense_rank().over(Window.partitionBy(*KEYS).orderBy("hour")) - 1).alias("record_idx")
     hours = sums.groupBy(*KEYS, "hour").agg(F.count("*").alias("entry_len")).select(*KEYS, "hour", "entry_len", index)
     records = hours.select(*KEYS, "record_idx", (F.col("hour") * HOUR).cast("long").alias("start_ms"), (F.col("hour") * HOUR + HOUR).cast("long").alias("end_ms"), "entry_len")

@@ -545,7 +545,7 @@ def split_store(records: DataFrame, counts: DataFrame, idsmap: DataFrame, strmap
     stacks = idsmap.join(kept.select(*keys, "ids_id").distinct(), [*keys, "ids_id"])
     parts = stacks.select(*keys, "ids_id", F.posexplode("sids").alias("pos", "sid")).join(strmap, [*keys, "sid"], "left").withColumn("str", F.coalesce("str", F.lit(LOST_STRING)))
     strings = parts.groupBy(*keys, "str").agg(F.min("sid").alias("_s")).withColumn("new_sid", F.row_number().over(Window.partitionBy(*keys).orderBy("_s", "str"))).drop("_s")
-    listed = parts.join(strings, [*keys, "str"]).groupBy(*keys, "ids_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "new_sid"))), lambda x: x["new_sid"]).alias("sids"))
+    listed = parts.join(strings, [*keys, "str"]).groupBy(*keys, "ids_id").agg(F.sort_array(F.collect_list(F.struct("pos", "new_sid")))["new_sid"].alias("sids"))
     listed = listed.withColumn("new_id", F.row_number().over(Window.partitionBy(*keys).orderBy("ids_id")))
     renumbered = kept.join(listed.select(*keys, "ids_id", "new_id"), [*keys, "ids_id"]).select(*keys, "record_idx", F.col("new_id").alias("ids_id"), "count")
     return strings.select(*keys, F.col("new_sid").alias("sid"), "str"), listed.select(*keys, F.col("new_id").alias("ids_id"), "sids"), renumbered

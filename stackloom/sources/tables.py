@@ -170,7 +170,7 @@ def interval_tables(buckets: DataFrame, path: str) -> dict[str, DataFrame]:
     stacks = stored(sums.select(*KEYS, "meta", "frames").distinct().withColumn("_stack", F.monotonically_increasing_id()), "interval-stacks")
     parts = stacks.select(*KEYS, "_stack", F.posexplode(F.array_prepend("frames", F.col("meta"))).alias("pos", "str"))
     strings = stored(merge_ids(parts, old("strmap"), "str", "sid", KEYS), "interval-strings")
-    listed = parts.join(strings, [*KEYS, "str"]).groupBy(*KEYS, "_stack").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "sid"))), lambda x: x["sid"]).alias("sids"))
+    listed = parts.join(strings, [*KEYS, "str"]).groupBy(*KEYS, "_stack").agg(F.sort_array(F.collect_list(F.struct("pos", "sid")))["sid"].alias("sids"))
     listed = stored(listed, "interval-lists")
     ids = stored(merge_ids(listed, old("idsmap"), "sids", "ids_id", KEYS), "interval-ids")
     numbered = stacks.join(listed, [*KEYS, "_stack"]).join(ids.drop("is_new"), [*KEYS, "sids"]).select(*KEYS, "meta", "frames", "ids_id")
