@@ -1,14 +1,16 @@
 """Stores as Parquet tables that intervals are appended to, each exactly once.
 
-Tables are partitioned by day and host. A batch is written beside them by Spark, then its files
-are renamed into the partitions under names that begin with the batch. A ledger has two marks
+Tables are partitioned by day; a day's files are cut by size and ordered by host, so a filter on
+hosts passes over row groups by their statistics, and the number of files grows with the data, not
+with the hosts. A batch is written beside them by Spark, then its files are renamed into the
+partitions under names that begin with the batch. A ledger has two marks
 per batch: its *intent*, with the partitions it goes to, before the first rename, and *done*
 after the last. A batch that is done is skipped when it comes again. One that has an intent
 alone was interrupted: its files are removed from the partitions of the intent and it is
 written anew. Readers leave out files of batches that are not done. So a job that dies at any
 point and is repeated, as Structured Streaming does with a micro-batch, leaves each row once.
 
-What a batch is compared with are only the partitions of its own days and hosts.
+What a batch is compared with are only the partitions of its own days, and the rows of its hosts there.
 """
 
 from __future__ import annotations
@@ -28,10 +30,10 @@ from stackloom.sources.store import Stores
 
 KEYS = ["host", "store_id"]
 SCHEMAS = {
-    "strmap": "store_id string, sid int, str string",
-    "idsmap": "store_id string, ids_id int, sids array<int>",
-    "records": "store_id string, record_idx int, start_ms bigint, end_ms bigint, entry_len bigint",
-    "stack_counts": "store_id string, record_idx int, ids_id int, count bigint",
+    "strmap": "host string, store_id string, sid int, str string",
+    "idsmap": "host string, store_id string, ids_id int, sids array<int>",
+    "records": "host string, store_id string, record_idx int, start_ms bigint, end_ms bigint, entry_len bigint",
+    "stack_counts": "host string, store_id string, record_idx int, ids_id int, count bigint",
 }
 
 
@@ -75,9 +77,9 @@ class Ledger:
 
 
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    """``day, host, ..`` of one table, without the files of batches that are not done; a table that is not there is empty."""
+    """``host, .., day`` of one table, without the files of batches that are not done; a table that is not there is empty."""
     ledger = Ledger(spark, path)
-    schema = f"{SCHEMAS[name]}, day string, host string"
+    schema = f"{SCHEMAS[name]}, day string"
     if not ledger.fs.exists(ledger.place(name)):
         return spark.createDataFrame([], schema)
     rows = spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
@@ -106,14 +108,15 @@ def commit(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFra
     moves: list[tuple[str, str]] = []
     counts = {}
     for name, df in tables.items():
-        rows = df.withColumn("day", day_of(F.col("store_id"))).select("day", "host", *[c.split()[0] for c in SCHEMAS[name].split(", ")])
-        rows.repartition("day", "host").write.partitionBy("day", "host").parquet(f"{path}/{staged}/{name}")
+        rows = df.withColumn("day", day_of(F.col("store_id"))).select("day", *[c.split()[0] for c in SCHEMAS[name].split(", ")])
+        # Rows of a day go together, cut and joined to parts of the size that Spark's adaptive execution aims at.
+        rows.hint("rebalance", "day").sortWithinPartitions("day", "host").write.partitionBy("day").parquet(f"{path}/{staged}/{name}")
         found = ledger.fs.listFiles(ledger.place(f"{staged}/{name}"), True)
         counts[name] = 0
         while found.hasNext():
             at = found.next().getPath().toString()
             if (own := at.rpartition("/")[2]).startswith("part-"):
-                folder = f"{name}/" + "/".join(at.split("/")[-3:-1])
+                folder = f"{name}/{at.split('/')[-2]}"
                 moves.append((at, f"{folder}/{batch}-{own}"))
                 counts[name] += 1
     ledger.write(batch, "intent", {"folders": sorted({target.rpartition("/")[0] for _, target in moves}), "files": counts})
@@ -137,7 +140,7 @@ def days_of(rows: DataFrame) -> list[str]:
 
 
 def stored_rows(spark: SparkSession, path: str, name: str, days: list[str], hosts: DataFrame) -> DataFrame:
-    """Rows of the partitions that a batch goes to: of its days by the names of folders, of its hosts by a join."""
+    """Rows that a batch is compared with: of its days by the names of folders, of its hosts by a join."""
     return read_table(spark, path, name).where(F.col("day").isin(days)).join(hosts, "host", "left_semi").drop("day")
 
 
