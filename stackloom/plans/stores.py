@@ -213,7 +213,8 @@ def s13t(spark, d):
 @query("s14_read_kallsyms", "select cast(18446744071562067968 + p_partkey * 4096::hugeint as varchar) as addr, case when p_partkey % 2 = 0 then 'T' else 't' end as kind, 'sym_' || p_partkey as sym from part where p_partkey % 5 <> 0")
 def s14(spark, d):
     path = shared_path(spark, "kallsyms")
-    address = F.lower(F.hex(F.lit(-2147483648).cast("long") + F.col("p_partkey") * 4096))  # 0xffffffff80000000 and up
+    over = F.col("p_partkey") * 4096 - F.lit(2147483648).cast("long")
+    address = F.concat(F.when(over >= 0, "1").otherwise(""), F.lower(F.lpad(F.hex(over), 16, "0")))  # 0xffffffff80000000 and up, also past 64 bits
     line = F.concat(address, F.lit(" "), F.when(F.col("p_partkey") % 2 == 0, "T").otherwise("t"), F.lit(" sym_"), F.col("p_partkey").cast("string"), F.lit("\t[module]"))
     table(spark, d, "part").select(F.when(F.col("p_partkey") % 5 != 0, line).otherwise("not a symbol").alias("value")).write.text(path)
     found = text.read_kallsyms(spark, path)

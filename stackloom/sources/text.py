@@ -14,6 +14,14 @@ KERNEL_CONTEXT, USER_CONTEXT = 18446744073709551488, 18446744073709551104
 ADDRESS = "decimal(20,0)"
 
 
+def hex_address(digits: Column) -> Column:
+    """The number that hexadecimal digits name, exactly, also above 64 bits; null where it does not fit ``ADDRESS``."""
+    # conv stops at 64 bits, so the last 15 digits and those before them are read apart.
+    high, low = (F.regexp_extract(digits, r"^0*(.*?)(.{0,15})$", i) for i in (1, 2))
+    value = [F.conv(F.concat(F.lit("0"), F.when(F.length(x) < 16, x)), 16, 10).cast("decimal(20,0)") for x in (high, low)]
+    return (value[0] * F.lit(1 << 60).cast("decimal(19,0)") + value[1]).try_cast(ADDRESS)
+
+
 def parse_folded(lines: DataFrame) -> DataFrame:
     """``lines(value)`` to ``meta, stack, samples, _corrupt``: the count after the last space, frames between semicolons, the header first.
 
@@ -41,7 +49,8 @@ def parse_kallsyms(lines: DataFrame) -> DataFrame:
     """``lines(.., value)`` to ``.., addr, kind, sym``; malformed lines are skipped."""
     shape = r"^([0-9a-f]+) (\S) (\S+)"
     rest = [c for c in lines.columns if c != "value"]
-    return lines.where(F.col("value").rlike(shape)).select(*rest, F.conv(F.regexp_extract("value", shape, 1), 16, 10).cast(ADDRESS).alias("addr"), F.regexp_extract("value", shape, 2).alias("kind"), F.regexp_extract("value", shape, 3).alias("sym"))
+    rows = lines.where(F.col("value").rlike(shape)).select(*rest, hex_address(F.regexp_extract("value", shape, 1)).alias("addr"), F.regexp_extract("value", shape, 2).alias("kind"), F.regexp_extract("value", shape, 3).alias("sym"))
+    return rows.where("addr is not null")
 
 
 def read_kallsyms(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +69,8 @@ def parse_proc_maps(lines: DataFrame, permissions: str = "x") -> DataFrame:
     """``lines(.., line_no, value)`` to ``.., line_no, start, stop, perm, path`` for rows with any of the permissions."""
     shape = r"^([0-9a-f]+)-([0-9a-f]+) (\S+) \S+ \S+ \S+\s*(.*)$"
     rest = [c for c in lines.columns if c != "value"]
-    rows = lines.where(F.col("value").rlike(shape)).select(*rest, *[F.conv(F.regexp_extract("value", shape, i), 16, 10).cast(ADDRESS).alias(n) for i, n in ((1, "start"), (2, "stop"))], F.regexp_extract("value", shape, 3).alias("perm"), F.regexp_extract("value", shape, 4).alias("path"))
-    return rows.where(F.col("perm").rlike(f"[{permissions}]"))
+    rows = lines.where(F.col("value").rlike(shape)).select(*rest, *[hex_address(F.regexp_extract("value", shape, i)).alias(n) for i, n in ((1, "start"), (2, "stop"))], F.regexp_extract("value", shape, 3).alias("perm"), F.regexp_extract("value", shape, 4).alias("path"))
+    return rows.where(F.col("perm").rlike(f"[{permissions}]") & F.col("start").isNotNull() & F.col("stop").isNotNull())
 
 
 def split_callchain(ips: Column, depth: int = 127) -> Column:

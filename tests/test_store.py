@@ -135,3 +135,21 @@ def test_kallsyms_maps_callchain(spark):
     ips = spark.createDataFrame([([str(x) for x in (text.KERNEL_CONTEXT, 2**64 - 5, text.USER_CONTEXT, 7, 8)],)], "ips array<string>").select(F.col("ips").cast("array<decimal(20,0)>").alias("ips"))
     row = ips.select(text.split_callchain(F.col("ips"), 1).alias("c")).first().c
     assert [int(x) for x in row.kernel] == [2**64 - 5] and [int(x) for x in row.user] == [7]
+
+
+def test_addresses_above_64_bits(spark):
+    lines = spark.createDataFrame([("10000000000001000 T over",), ("0000000000000000ffffffff81000000 t zeros",), ("0 T zero",), ("ffffffffffffffff T top",), ("f" * 40 + " T huge",)], "value string")
+    assert {r.sym: int(r.addr) for r in text.parse_kallsyms(lines).collect()} == {"over": 2**64 + 0x1000, "zeros": 0xFFFFFFFF81000000, "zero": 0, "top": 2**64 - 1}
+
+
+def test_listing_goes_past_64_bits(spark, tmp_path):
+    """Keys as large tables have them: the twin's numbers go on above 2^64."""
+    import duckdb
+
+    from stackloom.plans import catalog
+
+    spark.range(3).selectExpr("524286 + id as p_partkey").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    got = catalog.QUERIES["s14_read_kallsyms"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(con.execute(catalog.ORACLES["s14_read_kallsyms"]).fetchall())
