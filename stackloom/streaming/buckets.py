@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +28,62 @@ def second_counts(samples: DataFrame, hold: str = "10 seconds", seconds: int = 1
     return samples.withWatermark("ts", hold).groupBy("host", w.alias("w"), "stack").agg(F.sum("cnt").alias("count")).select("host", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "stack", "count")
 
 
+#: Rows of a batch that are summed at once, and the seconds of a block of sums, as a power of two.
+SUM_ROWS, BLOCK_BITS = 1 << 19, 14
+
+
+def summed(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """``(seconds, codes, counts)`` of all parts, ordered and summed."""
+    second, code, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.lexsort((code, second))
+    second, code, n = second[order], code[order], n[order]
+    first = np.flatnonzero(np.r_[True, (second[1:] != second[:-1]) | (code[1:] != code[:-1])])
+    return second[first], code[first], np.add.reduceat(n, first)
+
+
+class Sums:
+    """Counts of a batch per second and stack in flat columns, kept in blocks of seconds, so that beside them no more than a block and ``SUM_ROWS`` rows are held."""
+
+    def __init__(self):
+        self.codes, self.fresh, self.size, self.blocks = {}, [], 0, {}
+
+    def add(self, second: pd.Series, stack: pd.Series, n: pd.Series) -> None:
+        if not len(second):
+            return
+        code, names = pd.factorize(stack)
+        own = np.array([self.codes.setdefault(name, len(self.codes)) for name in names], np.int32)
+        self.fresh.append((second.to_numpy(np.int64), own[code], n.to_numpy(np.int64)))
+        self.size += len(code)
+        if self.size >= SUM_ROWS:
+            self.settle()
+
+    def settle(self) -> None:
+        if not self.fresh:
+            return
+        columns = summed(self.fresh)
+        self.fresh, self.size = [], 0
+        cuts = np.flatnonzero(np.diff(columns[0] >> BLOCK_BITS)) + 1
+        for part in zip(*(np.split(x, cuts) for x in columns)):
+            runs = self.blocks.setdefault(int(part[0][0]) >> BLOCK_BITS, [])
+            runs.append(tuple(x.copy() for x in part))
+            if len(runs) == 8:
+                runs[:] = [summed(runs)]
+
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """``(seconds, stacks, counts)`` block by block, which are given up."""
+        self.settle()
+        names = np.array(list(self.codes), object)
+        for block in sorted(self.blocks):
+            second, code, n = summed(self.blocks.pop(block))
+            yield second, names[code], n
+
+
+def out_rows(n: int, **columns) -> pd.DataFrame:
+    """``n`` rows of ``OUT_SCHEMA``; columns not given are null."""
+    kinds = {c.split()[0]: "Int64" if c.endswith("bigint") else object for c in OUT_SCHEMA.split(", ")}
+    return pd.DataFrame({c: pd.Series(columns.get(c), range(n), kind) for c, kind in kinds.items()})
+
+
 class ClampingProcessor(StatefulProcessor):
     """State per host: open (second, stack) counts, and (greatest time, oldest open second, clamped weight, flushed seconds, batches).
 
@@ -53,25 +110,21 @@ class ClampingProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         max_ms, oldest, clamped, flushed, batches = self.marks.get() if self.marks.exists() else (0, 0, 0, 0, 0)
-        flush_all, sums = False, {}
+        flush_all, sums = False, Sums()
         for part in rows:
             control, times = part["stack"].isna(), part["record_ms"].dropna()
             flush_all |= bool((control & part["record_ms"].isna()).any())
             max_ms = max(max_ms, int(times.max()) if len(times) else 0)
             part = part[~control]
-            second = (part["record_ms"] // 1000).astype("int64")
-            clamped += int(part["cnt"][second < oldest].sum())
-            for at, n in part.groupby([second.clip(lower=oldest), part["stack"]])["cnt"].sum().items():
-                sums[at] = sums.get(at, 0) + int(n)
-        for (second, stack), n in sums.items():
-            at = (int(second), stack)
-            self.counts.updateValue(at, ((self.counts.getValue(at)[0] if self.counts.containsKey(at) else 0) + n,))
-        yield self.emitted(key, max_ms, max(max_ms, self.now(timerValues)), oldest, clamped, flushed, batches, flush_all)
+            second, n = (part["record_ms"] // 1000).astype("int64"), part["cnt"].fillna(0).astype("int64")
+            clamped += int(n[second < oldest].sum())
+            sums.add(second.clip(lower=oldest), part["stack"], n)
+        yield from self.emitted(key, sums, max_ms, max(max_ms, self.now(timerValues)), oldest, clamped, flushed, batches, flush_all)
         self.wait(timerValues)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         max_ms, *rest = self.marks.get()
-        yield self.emitted(key, max_ms, max(max_ms, self.now(timerValues)), *rest, False)
+        yield from self.emitted(key, Sums(), max_ms, max(max_ms, self.now(timerValues)), *rest, False)
         self.wait(timerValues)
 
     def wait(self, timerValues) -> None:
@@ -82,19 +135,29 @@ class ClampingProcessor(StatefulProcessor):
             if next(iter(self.counts.keys()), None) is not None:
                 self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.tick_ms)
 
-    def emitted(self, key, max_ms: int, clock_ms: int, oldest: int, clamped: int, flushed: int, batches: int, flush_all: bool) -> pd.DataFrame:
-        """The open seconds before the clock's less the hold, or all, which are then closed, and a row of statistics. Flushing all does not move the oldest open second."""
-        limit = clock_ms // 1000 - self.hold_s
-        rows = [(at[0], at[1], value[0]) for at, value in list(self.counts.iterator())]
-        closed = [r for r in rows if flush_all or r[0] < limit]
-        for second, stack, _ in closed:
-            self.counts.removeKey((second, stack))
-        flushed, batches = flushed + len({r[0] for r in closed}), batches + 1
+    def emitted(self, key, sums: Sums, max_ms: int, clock_ms: int, oldest: int, clamped: int, flushed: int, batches: int, flush_all: bool) -> Iterator[pd.DataFrame]:
+        """The open seconds before the clock's less the hold, or all, which are then closed, and a row of statistics. Flushing all does not move the oldest open second.
+
+        Only what stays open meets the state, which so holds no more than the seconds of the hold.
+        """
+        limit, batches = clock_ms // 1000 - self.hold_s, batches + 1
+        held = {(at[0], at[1]): value[0] for at, value in list(self.counts.iterator())}
+        if held:
+            sums.add(*(pd.Series(x) for x in ([at[0] for at in held], [at[1] for at in held], list(held.values()))))
+        open_ = {}
+        for second, stack, n in sums.parts():
+            closed = np.full(len(second), True) if flush_all else second < limit
+            open_.update(zip(zip(second[~closed].tolist(), stack[~closed]), n[~closed].tolist()))
+            flushed += len(np.unique(second[closed]))
+            start = second[closed] * 1000
+            yield out_rows(len(start), host=key[0], start_ms=start, end_ms=start + 1000, stack=stack[closed], count=n[closed], clamped=clamped, batch=batches)
+        for at in held.keys() - open_.keys():
+            self.counts.removeKey(at)
+        for at, n in open_.items():
+            if held.get(at) != n:
+                self.counts.updateValue(at, (n,))
         self.marks.update((max_ms, max(oldest, limit), clamped, flushed, batches))
-        open_ = [r for r in rows if not flush_all and r[0] >= limit]
-        out = [(key[0], s * 1000, s * 1000 + 1000, stack, n, clamped, None, None, None, batches) for s, stack, n in closed]
-        out.append((key[0], None, None, None, None, clamped, flushed, len({r[0] for r in open_}), sum(r[2] for r in open_), batches))
-        return pd.DataFrame(out, columns=[c.split()[0] for c in OUT_SCHEMA.split(", ")]).astype({c.split()[0]: "Int64" for c in OUT_SCHEMA.split(", ") if c.endswith("bigint")})
+        yield out_rows(1, host=key[0], clamped=clamped, flushed=flushed, pending=len({at[0] for at in open_}), pending_weight=sum(open_.values()), batch=batches)
 
     def close(self) -> None:
         pass

@@ -150,6 +150,72 @@ def test_wheel(spark):
     assert (last.clamped, last.flushed, last.pending, last.pending_weight) == (5, 3, 0, 0)
 
 
+def test_closed_seconds_do_not_meet_the_state(monkeypatch):
+    """Many unordered rows of a host in parts against a plain loop: only what stays open is put, and sums cross blocks."""
+    import pandas as pd
+
+    from stackloom.streaming import buckets
+
+    class Held:
+        def __init__(self):
+            self.own, self.touched = {}, 0
+
+        def iterator(self):
+            return iter([(k, v) for k, v in self.own.items()])
+
+        def containsKey(self, k):
+            self.touched += 1
+            return k in self.own
+
+        def getValue(self, k):
+            self.touched += 1
+            return self.own[k]
+
+        def updateValue(self, k, v):
+            self.touched += 1
+            self.own[k] = v
+
+        def removeKey(self, k):
+            self.touched += 1
+            del self.own[k]
+
+    class Marks:
+        held = None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, v):
+            self.held = v
+
+    monkeypatch.setattr(buckets, "SUM_ROWS", 300, raising=False)
+    monkeypatch.setattr(buckets, "BLOCK_BITS", 5, raising=False)
+    rng, processor = random.Random(11), buckets.ClampingProcessor()
+    processor.counts, processor.marks = Held(), Marks()
+    open_, oldest, top, clamped, flushed = {}, 0, 0, 0, 0
+    for turn in range(3):
+        rows = [(rng.randrange(turn * 900_000, 1_000_000 + turn * 1_000_000), rng.choice("abc"), rng.randint(1, 3)) for _ in range(4000)]
+        parts = [pd.DataFrame({"host": "h", "record_ms": [r[0] for r in p], "stack": [r[1] for r in p], "cnt": [r[2] for r in p]}) for p in (rows[i : i + 170] for i in range(0, len(rows), 170))]
+        before, processor.counts.touched = len(open_), 0
+        out = pd.concat(list(processor.handleInputRows(("h",), iter(parts), None)))
+        for ms, stack, n in rows:
+            top, clamped = max(top, ms), clamped + (n if ms // 1000 < oldest else 0)
+            at = (max(ms // 1000, oldest), stack)
+            open_[at] = open_.get(at, 0) + n
+        limit = top // 1000 - 10
+        closed = {at: n for at, n in open_.items() if at[0] < limit}
+        open_, oldest, flushed = {at: n for at, n in open_.items() if at[0] >= limit}, max(oldest, limit), flushed + len({at[0] for at in closed})
+        found = out[out["stack"].notna()]
+        assert {(int(s) // 1000, x): int(n) for s, x, n in zip(found["start_ms"], found["stack"], found["count"])} == closed and len(found) == len(closed)
+        last = out[out["stack"].isna()].iloc[0]
+        assert (last.clamped, last.flushed, last.pending, last.pending_weight, last.batch) == (clamped, flushed, len({at[0] for at in open_}), sum(open_.values()), turn + 1)
+        assert {at: v[0] for at, v in processor.counts.own.items()} == open_
+        assert processor.counts.touched <= before + len(open_) < len(closed) / 10
+
+
 def test_idle_host_is_flushed(spark, tmp_path):
     """With no more input, the wall clock goes on: it stands at six seconds when the samples come."""
     import time
