@@ -78,7 +78,7 @@ def s1(spark, d):
 
 @query("s2_read_conf", with_views(STORE + f" select distinct host, store_id, {CPU_NUM} as cpu_num, {FREQ} as freq, {RECORD_INTERVAL} as record_interval, host as hostname, 'cpa: all' as mode from st", "samples"))
 def s2(spark, d):
-    conf = loaded(spark, d).conf
+    conf = store.load_conf(spark, f"{written(spark, d)}/")
     return conf.select("host", "store_id", "cpu_num", "freq", "record_interval", F.col("raw.hostname").alias("hostname"), F.col("raw.mode").alias("mode"))
 
 
@@ -152,7 +152,7 @@ def s10i(spark, d):
     hours = s.groupBy(*KEYS, start.alias("start_ms"), (start + HOUR).alias("end_ms"), "meta", "frames").agg(F.sum("cnt").alias("count"))
     buckets = stored(hours, "hour-buckets")
     for i in range(2):
-        buckets.where(F.floor(F.col("start_ms") / (12 * HOUR)) == i).coalesce(1).write.mode("append").parquet(f"{path}/feed")
+        buckets.where(F.floor(F.col("start_ms") / (12 * HOUR)) == i).write.mode("append").parquet(f"{path}/feed")
         stream = spark.readStream.schema(buckets.schema).parquet(f"{path}/feed")
         sink = store_tables.interval_sink(f"{path}/tables")
         stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
@@ -175,7 +175,7 @@ def s11(spark, d):
 
 @query("s12_write_conf", with_views(STORE + f", h as (select host, count(distinct store_id) as n from st group by 1) select unnest(['cpu_num: {CPU_NUM}', 'freq: {FREQ}', 'record_interval: {RECORD_INTERVAL}', 'hostname: ' || host, 'mode: cpa: all']) as value, unnest([n, n, n, n, n]) as n from h", "samples").replace("select unnest(['cpu_num", "select value, cast(sum(n) as bigint) as n from (select unnest(['cpu_num") + ") group by 1")
 def s12(spark, d):
-    return store.conf_lines(loaded(spark, d).conf).groupBy("value").agg(F.count("*").alias("n"))
+    return store.conf_lines(store.load_conf(spark, f"{written(spark, d)}/")).groupBy("value").agg(F.count("*").alias("n"))
 
 
 @query("s13_read_sample_stream", with_views(" select host, comm, count(*) as n, cast(sum(k) as bigint) as weight from samples where k % 5 <> 0 group by 1, 2", "samples"))

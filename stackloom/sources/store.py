@@ -35,7 +35,7 @@ ZSTD = b"\x28\xb5\x2f\xfd"
 HEAD, FOOT = b"\xfa\xfb", b"\xfc\xfd"
 ENTRY = np.dtype([("id", "<u4"), ("n", "<u8")])
 CONF_KEYS = ("cpu_num", "freq", "record_interval", "kernel_version", "hostname", "mode", "env", "version")
-BATCH_ENTRIES = 1 << 17
+BATCH_ENTRIES, READ_BYTES = 1 << 17, 1 << 20
 #: Files above this size are cut into pieces; lines or bytes of records that one zstd frame holds when written.
 SPLIT_BYTES, FRAME_LINES, FRAME_BYTES = 1 << 26, 1000, 1 << 20
 #: A zstd frame that decoders skip, but for its content of one byte, with which Spark's text writer ends a row.
@@ -169,19 +169,25 @@ def _large(spark: SparkSession, path: str, file: str) -> dict[bool, list[str]]:
 
 
 def _whole_lines(spark: SparkSession, path: str, file: str, odd: list[str] = ()) -> DataFrame:
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in parts:
-            for host, store, content in part.itertuples(index=False):
-                lines: list[str] = []
-                for i, line in enumerate(plain(io.BytesIO(content))):
-                    lines.append(line.decode("utf-8", "replace").rstrip("\r\n"))
-                    if len(lines) == 50_000:
-                        yield pd.DataFrame({"host": host, "store_id": store, "line_no": range(i + 1 - len(lines), i + 1), "line": lines})
-                        lines = []
-                if lines:
-                    yield pd.DataFrame({"host": host, "store_id": store, "line_no": range(i + 1 - len(lines), i + 1), "line": lines})
-
-    rows = _contents(spark, path, file, odd).mapInPandas(run, "host string, store_id string, line_no long, line string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for host, store, content in zip(*(c.to_pylist() for c in batch.columns)):
+                data, number, rest = plain(io.BytesIO(content)), 0, b""
+                while part := data.read(READ_BYTES):
+                    whole, mark, rest = (rest + part).rpartition(b"\n")
+                    if mark:
+                        yield named(host, store, number, whole)
+                        number += whole.count(b"\n") + 1
+                if rest:
+                    yield named(host, store, number, rest)
+
+    def named(host: str, store: str, number: int, data: bytes) -> pa.RecordBatch:
+        lines = [line.rstrip("\r") for line in data.decode("utf-8", "replace").split("\n")]
+        n = len(lines)
+        columns = [pa.array([host] * n, pa.string()), pa.array([store] * n, pa.string()), pa.array(np.arange(number, number + n)), pa.array(lines, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=["host", "store_id", "line_no", "line"])
+
+    rows = _contents(spark, path, file, odd).mapInArrow(run, "host string, store_id string, line_no long, line string")
     return rows.select("host", "store_id", F.struct(F.lit(0).cast("long").alias("block"), F.col("line_no").alias("row")).alias("at"), "line")
 
 
@@ -398,10 +404,15 @@ class Stores:
     counts: DataFrame
 
 
+def load_conf(spark: SparkSession, path: str) -> DataFrame:
+    """The ``conf`` of all stores below ``path``."""
+    return read_conf(spark, path, spark.read.option("pathGlobFilter", "conf").option("recursiveFileLookup", "true"))
+
+
 def load_stores(spark: SparkSession, path: str) -> Stores:
-    """All stores below ``path`` (a folder of hosts, of stores, or one store; globs are allowed)."""
-    conf = spark.read.option("pathGlobFilter", "conf").option("recursiveFileLookup", "true")
-    return Stores(read_conf(spark, path, conf), read_strmap(spark, path), read_idsmap(spark, path), *read_stack_bin(spark, path))
+    """All stores below ``path`` (a folder of hosts, of stores, or one store; globs are allowed). Each file is read once, whatever uses the tables."""
+    strmap, idsmap = stored(read_strmap(spark, path), "strmap"), stored(read_idsmap(spark, path), "idsmap")
+    return Stores(load_conf(spark, path), strmap, idsmap, *read_stack_bin(spark, path))
 
 
 def record_bytes(start_ms: int, end_ms: int, entries: list[tuple[int, int]]) -> bytes:
@@ -470,8 +481,9 @@ def write_stores(stores: Stores, path: str, zstd: bool = True) -> None:
     """The four files of each store below ``path/host/store_id``, on any file system that Spark writes.
 
     Spark's text writer makes the files in a folder beside them, one task per file with its rows
-    sorted and streamed; its committer sees to lost and repeated tasks. Only when all are there
-    the driver renames them into place. If the job fails, nothing is left.
+    sorted and streamed; its committer sees to lost and repeated tasks. Stores are dealt to as many
+    tasks as shuffles have, however few bytes they are, as each file takes its time. Only when all
+    are there the driver renames them into place. If the job fails, nothing is left.
     """
     keys = ["host", "store_id"]
     spark = stores.conf.sparkSession
@@ -483,6 +495,7 @@ def write_stores(stores: Stores, path: str, zstd: bool = True) -> None:
     def lines(df: DataFrame, ended: bool) -> DataFrame:
         return df.select(*keys, "at", F.concat("line", F.lit("\n" if ended else "")).cast("binary").alias("piece"))
 
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     staged = f"{path}/.writing-{shared_path(spark, 'x').rpartition('-')[2]}"
     jobs = [(lines(conf, False), "conf", False, "\n"), (lines(strings, zstd), "strmap", zstd, "\n"), (lines(stacks, zstd), "idsmap", zstd, "\n")]
     # A plain record's last byte is what the writer ends the row with.
@@ -490,7 +503,7 @@ def write_stores(stores: Stores, path: str, zstd: bool = True) -> None:
     try:
         for rows, file, packed, end in jobs:
             order = [*keys, "file", "at"]
-            dealt = rows.withColumn("file", F.lit(file)).withColumn("at", F.col("at").cast("long")).repartition(*keys).sortWithinPartitions(*order)
+            dealt = rows.withColumn("file", F.lit(file)).withColumn("at", F.col("at").cast("long")).repartition(tasks, *keys, "file").sortWithinPartitions(*order)
             values = packed_rows(dealt, packed).sortWithinPartitions(*order).select(*keys, "file", F.col("value").cast("string").alias("value"))
             values.write.partitionBy(*keys, "file").option("lineSep", end).option("encoding", "ISO-8859-1").mode("append").text(staged)
         _put_in_place(spark, staged, path)
@@ -500,23 +513,29 @@ def write_stores(stores: Stores, path: str, zstd: bool = True) -> None:
 
 
 def _put_in_place(spark: SparkSession, staged: str, path: str) -> None:
-    """Renames ``staged/host=../store_id=../file=../part-..`` to ``path/host/store_id/file``; replaces files that are there."""
+    """Renames ``staged/host=../store_id=../file=../part-..`` to ``path/host/store_id/file``, several at a time; replaces files that are there."""
+    from concurrent.futures import ThreadPoolExecutor
     from urllib.parse import unquote
 
     jvm = spark._jvm
     place = jvm.org.apache.hadoop.fs.Path(staged)
     fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
-    found = fs.listFiles(place, True)
-    while found.hasNext():
-        at = found.next().getPath()
-        if not at.getName().startswith("part-"):
-            continue
-        host, store, file = (unquote(p.partition("=")[2]) for p in at.getParent().toString().rsplit("/", 3)[1:])
-        target = jvm.org.apache.hadoop.fs.Path(f"{path}/{host}/{store}/{file}")
-        fs.mkdirs(target.getParent())
-        fs.delete(target, False)
-        if not fs.rename(at, target):
-            raise OSError(f"cannot rename {at.toString()} to {target.toString()}")
+    moves = {}
+    for found in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{staged}/*/*/*/part-*")) or []:  # listFiles would ask for each file's owner and place
+        at = found.getPath().toString()
+        host, store, file = (unquote(p.partition("=")[2]) for p in at.split("/")[-4:-1])
+        moves.setdefault(f"{path}/{host}/{store}", []).append((at, file))
+
+    def move(folder: str) -> None:
+        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+        for at, file in moves[folder]:
+            target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
+            fs.delete(target, False)
+            if not fs.rename(jvm.org.apache.hadoop.fs.Path(at), target):
+                raise OSError(f"cannot rename {at} to {target.toString()}")
+
+    with ThreadPoolExecutor(16) as pool:
+        list(pool.map(move, moves))
 
 
 def conf_pairs(raw: Column) -> Column:
@@ -541,11 +560,12 @@ def split_store(records: DataFrame, counts: DataFrame, idsmap: DataFrame, strmap
     Entries of unknown stacks are dropped, unknown strings replaced by a marker.
     """
     keys = ["host", "store_id"]
-    kept = counts.join(records.select(*keys, "record_idx"), [*keys, "record_idx"], "left_semi").join(idsmap.select(*keys, "ids_id"), [*keys, "ids_id"], "left_semi")
+    kept = stored(counts.join(records.select(*keys, "record_idx"), [*keys, "record_idx"], "left_semi").join(idsmap.select(*keys, "ids_id"), [*keys, "ids_id"], "left_semi"), "split-counts")
     stacks = idsmap.join(kept.select(*keys, "ids_id").distinct(), [*keys, "ids_id"])
     parts = stacks.select(*keys, "ids_id", F.posexplode("sids").alias("pos", "sid")).join(strmap, [*keys, "sid"], "left").withColumn("str", F.coalesce("str", F.lit(LOST_STRING)))
     strings = parts.groupBy(*keys, "str").agg(F.min("sid").alias("_s")).withColumn("new_sid", F.row_number().over(Window.partitionBy(*keys).orderBy("_s", "str"))).drop("_s")
+    strings = stored(strings, "split-strings")
     listed = parts.join(strings, [*keys, "str"]).groupBy(*keys, "ids_id").agg(F.sort_array(F.collect_list(F.struct("pos", "new_sid")))["new_sid"].alias("sids"))
-    listed = listed.withColumn("new_id", F.row_number().over(Window.partitionBy(*keys).orderBy("ids_id")))
+    listed = stored(listed.withColumn("new_id", F.row_number().over(Window.partitionBy(*keys).orderBy("ids_id"))), "split-stacks")
     renumbered = kept.join(listed.select(*keys, "ids_id", "new_id"), [*keys, "ids_id"]).select(*keys, "record_idx", F.col("new_id").alias("ids_id"), "count")
     return strings.select(*keys, F.col("new_sid").alias("sid"), "str"), listed.select(*keys, F.col("new_id").alias("ids_id"), "sids"), renumbered

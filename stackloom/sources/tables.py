@@ -111,14 +111,11 @@ def commit(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFra
         rows = df.withColumn("day", day_of(F.col("store_id"))).select("day", *[c.split()[0] for c in SCHEMAS[name].split(", ")])
         # Rows of a day go together, cut and joined to parts of the size that Spark's adaptive execution aims at.
         rows.hint("rebalance", "day").sortWithinPartitions("day", "host").write.partitionBy("day").parquet(f"{path}/{staged}/{name}")
-        found = ledger.fs.listFiles(ledger.place(f"{staged}/{name}"), True)
         counts[name] = 0
-        while found.hasNext():
-            at = found.next().getPath().toString()
-            if (own := at.rpartition("/")[2]).startswith("part-"):
-                folder = f"{name}/{at.split('/')[-2]}"
-                moves.append((at, f"{folder}/{batch}-{own}"))
-                counts[name] += 1
+        for found in ledger.fs.globStatus(ledger.place(f"{staged}/{name}/*/part-*")) or []:
+            *_, folder, own = found.getPath().toString().split("/")
+            moves.append((found.getPath().toString(), f"{name}/{folder}/{batch}-{own}"))
+            counts[name] += 1
     ledger.write(batch, "intent", {"folders": sorted({target.rpartition("/")[0] for _, target in moves}), "files": counts})
     for at, target in moves:
         move(ledger, at, target)

@@ -153,3 +153,45 @@ def test_listing_goes_past_64_bits(spark, tmp_path):
     con.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
     got = catalog.QUERIES["s14_read_kallsyms"](spark, str(tmp_path)).collect()
     assert sorted(tuple(r) for r in got) == sorted(con.execute(catalog.ORACLES["s14_read_kallsyms"]).fetchall())
+
+
+def test_files_are_read_once_and_in_parts(spark, tmp_path):
+    """Lines go on over the parts a file is read in; the tables stay when the files have gone."""
+    import shutil
+
+    from stackloom.sources import store
+
+    folder = tmp_path / "h" / "cpa_240101"
+    folder.mkdir(parents=True)
+    names = [f"näme_{i}_{'x' * (i % 60)}" for i in range(40_000)]
+    (folder / "conf").write_text("freq: 49\n")
+    (folder / "strmap").write_bytes("".join(f"{n} {i}{'\r' if i % 3 == 0 else ''}\n" for i, n in enumerate(names)).encode().removesuffix(b"\n"))
+    (folder / "idsmap").write_text("1;2; 1\n3; 2")
+    (folder / "stack.bin").write_bytes(store.record_bytes(0, 5, [(1, 7)]))
+    s = store.load_stores(spark, str(tmp_path))
+    shutil.rmtree(tmp_path / "h")
+    assert {r.sid: r.str for r in s.strmap.collect()} == dict(enumerate(names))
+    assert {r.ids_id: list(r.sids) for r in s.idsmap.collect()} == {1: [1, 2], 2: [3]}
+
+
+def test_each_store_has_a_task_to_write(spark, tmp_path):
+    """Few bytes in many stores: the smallest file is not written by one task for all."""
+    from stackloom.sources import store
+
+    keys = "host string, store_id string, "
+    ids = [("h", f"cpa_2401{i:02d}") for i in range(1, 25)]
+    conf = spark.createDataFrame([(*k, "49") for k in ids], keys + "f string").groupBy("host", "store_id").agg(F.max("f").alias("f")).select("host", "store_id", F.create_map(F.lit("freq"), "f").alias("raw"))
+    tables = [spark.createDataFrame([(*k, *row) for k in ids], keys + kinds) for row, kinds in (((1, "a"), "sid int, str string"), ((1, [1]), "ids_id int, sids array<int>"), ((0, 0, 5, 1), "record_idx int, start_ms long, end_ms long, entry_len long"), ((0, 1, 7), "record_idx int, ids_id int, count long"))]
+    spark.sparkContext.setJobGroup("writing", "stores")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        store.write_stores(store.Stores(conf, *tables), str(tmp_path / "out"), zstd=False)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    tracker, stages = spark.sparkContext.statusTracker(), []
+    for job in tracker.getJobIdsForGroup("writing"):
+        stages += [tracker.getStageInfo(i) for i in tracker.getJobInfo(job).stageIds]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sum(1 for x in stages if x and x.numTasks == 7) >= 4  # all four kinds of files
+    assert len(list((tmp_path / "out").glob("h/*/[!.]*"))) == 4 * len(ids)
