@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stackloom.functions.frames import LOST_STRING
+from stackloom.functions.frames import LOST_STRING, demangle
 from stackloom.session import stored
 
 
@@ -76,6 +76,17 @@ def lost_stacks(counts: DataFrame, idsmap: DataFrame, weight: str = "count") ->
     return found.groupBy(state.alias("state")).agg(F.count("*").alias("stacks"), F.sum("n").alias("n"), F.sum("weight").cast("long").alias("weight"))
 
 
+def demangled(strings: DataFrame, symbol: str, name: str) -> DataFrame:
+    """``strings`` with the column ``symbol`` replaced by its C++ name, as ``name``.
+
+    A name takes far more time than its bytes tell, so rows are dealt evenly to as many tasks as
+    shuffles have, however few files or row groups they come from.
+    """
+    spark = strings.sparkSession
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return strings.repartition(tasks).withColumn(symbol, demangle(symbol)).withColumnRenamed(symbol, name)
+
+
 def dictionary_delta(new: DataFrame, old: DataFrame, key: str = "str") -> DataFrame:
     return new.select(key).distinct().join(old, key, "left_anti")
 

@@ -363,7 +363,7 @@ def n1(spark, d):
     sized = F.concat(F.length("n").cast("string"), F.col("n"))
     kinds = [F.concat(F.lit(before), sized if before else F.col("n"), F.lit(after)) for before, after, _ in MANGLED]
     symbol = F.element_at(F.array(*kinds), (F.col("p_partkey") % len(MANGLED) + 1).cast("int"))
-    return parts.select("p_partkey", frames.demangle(symbol).alias("name"))
+    return dictionary.demangled(parts.select("p_partkey", symbol.alias("symbol")), "symbol", "name")
 
 
 @query("s9_folded_lines", with_views(" select array_to_string(list_concat([env, group_comm], frames), ';') || '; ' || cast(sum(cnt) as bigint) as value from samples group by env, group_comm, frames", "samples"))

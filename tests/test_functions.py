@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from stackloom.functions import cpuset, frames, itanium, metadata, timefmt
-from stackloom.operators import filters, history, timeline
+from stackloom.operators import dictionary, filters, history, timeline
 
 
 def one(spark, column):
@@ -52,6 +52,20 @@ def test_deep_names_stay(deep):
     assert frames.demangle_name(deep) == deep
 
 
+def test_deep_pointers_are_not_walked(monkeypatch):
+    asked, plain = [], itanium.Reader.type
+    monkeypatch.setattr(itanium.Reader, "type", lambda self: asked.append(1) or plain(self))
+    assert frames.demangle_name(deep := "_Z1fI" + "PRO" * 1000 + "iEvv") == deep and len(asked) < 10
+    assert frames.demangle_name("_ZTI" + "P" * 1900 + "i") == "typeinfo for int" + "*" * 1900
+
+
+def test_names_are_made_by_many_tasks(spark):
+    symbols = spark.createDataFrame([(i, f"_ZN2ns3f{i:02}Ev") for i in range(40)] + [(40, None)], "id int, symbol string").coalesce(1)
+    found = dictionary.demangled(symbols, "symbol", "name")
+    assert found.columns == ["id", "name"] and found.rdd.getNumPartitions() >= 4
+    assert {r.id: r.name for r in found.collect()} == {i: f"ns::f{i:02}" for i in range(40)} | {40: None}
+
+
 def test_names_of_a_library():
     """Every symbol of the C++ library against the system's demangler, where both are there."""
     import glob
