@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,6 +29,8 @@ from stackloom.sources.store import ENTRY, FILES, FOOT, HEAD, ZSTD, plain
 
 #: Bytes of chunks that one task reads, and of records that a chunk of a plain file holds.
 TASK_BYTES, CHUNK_BYTES = 1 << 26, 1 << 22
+#: Bytes that opening a file counts as, and the tasks that many small files are dealt to unless an option says otherwise.
+OPEN_BYTES, TASKS = 1 << 16, 200
 ENTRIES = "host string, store_id string, record_idx int, start_ms bigint, end_ms bigint, ids_id int, count bigint"
 INDEX = "host string, store_id string, path string, packed boolean, at bigint, bytes bigint, first_record bigint, records bigint, first_ms bigint, last_ms bigint"
 
@@ -64,6 +67,27 @@ def store_folders(path: str) -> dict[str, int]:
     return {f: names["stack.bin"] for f, names in sorted(found.items()) if len(names) == len(FILES) and below(f)}
 
 
+def grouped(sized: list[tuple], tasks: int) -> list[list]:
+    """The things of ``(thing, bytes)`` in groups of neighbours, one per task: about ``tasks`` of equal bytes, or more where that would be above ``TASK_BYTES``.
+
+    A file counts as ``OPEN_BYTES`` more than it holds, for the time that opening it takes. There is always one group.
+    """
+    most = min(TASK_BYTES, -(-sum(n + OPEN_BYTES for _, n in sized) // max(tasks, 1)))
+    groups, size = [[]], 0
+    for thing, n in sized:
+        if groups[-1] and size + n + OPEN_BYTES > most:
+            groups.append([])
+            size = 0
+        groups[-1].append(thing)
+        size += n + OPEN_BYTES
+    return groups
+
+
+def task_number(spark: SparkSession) -> int:
+    """How many tasks many small files are dealt to."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def frame_ends(f: pa.NativeFile, at: int, size: int) -> Iterator[int]:
     """Where the zstd frames from ``at`` on end, by the headers of their blocks; a cut last frame has no end."""
     while at + 5 <= size:
@@ -149,7 +173,7 @@ def chunks_of(f: pa.NativeFile, size: int, at: int = 0, packed: bool | None = No
 
 
 class FrameIndex(DataSource):
-    """``spark.read.format("profile_frames").load(path)``: the index of the ``stack.bin`` files below ``path``, one task per file."""
+    """``spark.read.format("profile_frames").load(path)``: the index of the ``stack.bin`` files below ``path``, small files together in at most about ``tasks`` tasks."""
 
     @classmethod
     def name(cls) -> str:
@@ -159,40 +183,39 @@ class FrameIndex(DataSource):
         return INDEX
 
     def reader(self, schema) -> DataSourceReader:
-        return FrameIndexReader(self.options["path"])
+        return FrameIndexReader(self.options["path"], int(self.options.get("tasks", TASKS)))
 
 
 class FrameIndexReader(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+    def __init__(self, path: str, tasks: int):
+        self.path, self.tasks = path, tasks
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(f) for f in store_folders(self.path)] or [InputPartition(None)]
+        return [InputPartition(group) for group in grouped(list(store_folders(self.path).items()), self.tasks)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if partition.value is None:
-            return
         fs, _ = opened(self.path)
-        host, store = partition.value.rsplit("/", 2)[1:]
-        path, number = f"{partition.value}/stack.bin", 0
-        with fs.open_input_file(path) as f:
-            for packed, at, size, records in chunks_of(f, f.size()):
-                times = [r[0] for r in records], [r[1] for r in records]
-                yield host, store, path, packed, at, size, number, len(records), min(times[0], default=None), max(times[1], default=None)
-                number += len(records)
+        for folder in partition.value:
+            host, store = folder.rsplit("/", 2)[1:]
+            path, number = f"{folder}/stack.bin", 0
+            with fs.open_input_file(path) as f:
+                for packed, at, size, records in chunks_of(f, f.size()):
+                    times = [r[0] for r in records], [r[1] for r in records]
+                    yield host, store, path, packed, at, size, number, len(records), min(times[0], default=None), max(times[1], default=None)
+                    number += len(records)
 
 
 def write_index(spark: SparkSession, path: str, index: str) -> None:
     """Indexes all stores below ``path`` into the Parquet table ``index``."""
     ship(spark)
     spark.dataSource.register(FrameIndex)
-    spark.read.format("profile_frames").load(path).write.mode("overwrite").parquet(index)
+    spark.read.format("profile_frames").option("tasks", task_number(spark)).load(path).write.mode("overwrite").parquet(index)
 
 
 class StoreSource(DataSource):
     """``spark.read.format("profile_store").option("index", index).load(path)``: entries of all records of the stores below ``path``.
 
-    Without an index a file is one task and is walked from its start.
+    Without an index a file is walked from its start by one task. Small files, or their chunks, go together in at most about ``tasks`` tasks.
     """
 
     @classmethod
@@ -203,15 +226,15 @@ class StoreSource(DataSource):
         return ENTRIES
 
     def reader(self, schema) -> DataSourceReader:
-        return StoreReader(self.options["path"], self.options.get("index"))
+        return StoreReader(self.options["path"], self.options.get("index"), int(self.options.get("tasks", TASKS)))
 
     def streamReader(self, schema) -> DataSourceStreamReader:
         return StoreTail(self.options["path"], self.options.get("guarded") == "true")
 
 
 class StoreReader(DataSourceReader):
-    def __init__(self, path: str, index: str | None):
-        self.path, self.index, self.filters = path, index, []
+    def __init__(self, path: str, index: str | None, tasks: int = TASKS):
+        self.path, self.index, self.tasks, self.filters = path, index, tasks, []
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
         """Filters on host, store and times choose chunks; Spark still applies them all to the rows."""
@@ -238,36 +261,35 @@ class StoreReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         if self.index is None:
             kept = {name: f for name, f in self.filters if isinstance(f, EqualTo) and name in ("host", "store_id")}
-            folders = [f for f in store_folders(self.path) if all(f.rsplit("/", 2)[1 if n == "host" else 2] == x.value for n, x in kept.items())]
-            return [InputPartition((f"{f}/stack.bin", None)) for f in folders] or [InputPartition(None)]
+            folders = [(f, n) for f, n in store_folders(self.path).items() if all(f.rsplit("/", 2)[1 if k == "host" else 2] == x.value for k, x in kept.items())]
+            return [InputPartition((None, group)) for group in grouped([(f"{f}/stack.bin", n) for f, n in folders], self.tasks)]
         fs, where = opened(self.index)
         rows = ds.dataset(where, filesystem=fs, format="parquet").to_table(columns=["path", "packed", "at", "bytes", "first_record"], filter=self.wanted()).sort_by([("path", "ascending"), ("at", "ascending")])
-        tasks: list[tuple[str, list]] = []
-        size = 0
-        for path, packed, at, n, first in zip(*(c.to_pylist() for c in rows.columns)):
-            if not tasks or tasks[-1][0] != path or size + n > TASK_BYTES:
-                tasks.append((path, []))
-                size = 0
-            tasks[-1][1].append((packed, at, n, first))
-            size += n
-        return [InputPartition(t) for t in tasks] or [InputPartition(None)]
+        runs: list[tuple[list, int]] = []  # chunks of one file that one task reads, and their bytes
+        for chunk in zip(*(c.to_pylist() for c in rows.columns)):
+            if not runs or runs[-1][0][-1][0] != chunk[0] or runs[-1][1] + chunk[3] > TASK_BYTES:
+                runs.append(([], 0))
+            runs[-1][0].append(chunk)
+            runs[-1] = runs[-1][0], runs[-1][1] + chunk[3]
+        return [InputPartition((self.index, [chunk for run in group for chunk in run])) for group in grouped(runs, self.tasks)]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         """A batch per record."""
-        if partition.value is None:
-            return
-        (path, chunks), (fs, _) = partition.value, opened(self.path)
-        with fs.open_input_file(path) as f:
-            if chunks is None:
+        (index, places), (fs, _) = partition.value, opened(self.path)
+        if index is None:
+            for path in places:
                 number = 0
-                for *_, records in chunks_of(f, f.size()):
-                    yield from batches(path, number, records)
-                    number += len(records)
-                return
-            for packed, at, size, first in chunks:
-                f.seek(at)
-                data = f.read(size)
-                yield from batches(path, first, walked(plain(io.BytesIO(data)).read() if packed else data)[0])
+                with fs.open_input_file(path) as f:
+                    for *_, records in chunks_of(f, f.size()):
+                        yield from batches(path, number, records)
+                        number += len(records)
+            return
+        for path, chunks in itertools.groupby(places, lambda chunk: chunk[0]):
+            with fs.open_input_file(path) as f:
+                for _, packed, at, size, first in chunks:
+                    f.seek(at)
+                    data = f.read(size)
+                    yield from batches(path, first, walked(plain(io.BytesIO(data)).read() if packed else data)[0])
 
 
 def batches(path: str, number: int, records: list[tuple[int, int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -336,7 +358,7 @@ def read_stores(spark: SparkSession, path: str, index: str | None = None) -> Dat
     ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(StoreSource)
-    reader = spark.read.format("profile_store")
+    reader = spark.read.format("profile_store").option("tasks", task_number(spark))
     return (reader.option("index", index) if index else reader).load(path)
 
 

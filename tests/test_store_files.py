@@ -138,6 +138,18 @@ def test_round_trip_where_only_spark_can_open(spark, tmp_path, packed):
         frames.read_stores(spark, f"viewfs://{name}/data/stores").count()
 
 
+def test_packed_and_plain_hosts_are_written_at_once(spark, tmp_path):
+    whole = made(spark, records_of(3, 20))
+    keys = whole.conf.select("host", "store_id").distinct().collect()
+    first = (F.col("host") == keys[0].host) & (F.col("store_id") == keys[0].store_id)
+    store.write_stores(whole, f"{tmp_path}/both", first)
+    for chosen, zstd in ((first, True), (~first, False)):
+        part = store.Stores(*[df.where(chosen) for df in (whole.conf, whole.strmap, whole.idsmap, whole.records, whole.counts)])
+        store.write_stores(part, f"{tmp_path}/one", zstd)
+    found = {p.relative_to(tmp_path / "both"): p.read_bytes() for p in (tmp_path / "both").rglob("*") if p.name in store.FILES}
+    assert len(found) == 4 * len(keys) > 4 and found == {p.relative_to(tmp_path / "one"): p.read_bytes() for p in (tmp_path / "one").rglob("*") if p.name in store.FILES}
+
+
 def test_a_failed_write_leaves_nothing(spark, tmp_path):
     whole = made(spark, records_of(3, 20))
     broken = whole.counts.withColumn("count", F.when(F.col("record_idx") < 15, F.col("count")).otherwise(F.raise_error("lost").cast("long")))
@@ -169,6 +181,22 @@ def test_index_prunes_and_splits(spark, tmp_path, monkeypatch):
     assert 3 <= len(chunks) <= 5 < len(index) / 10
 
 
+def test_small_files_share_tasks(spark, tmp_path):
+    records = records_of(4, 6)
+    for i in range(60):
+        put(tmp_path / "s" / f"h{i % 3}" / f"cpa_2512{i // 3 + 1:02}", records, i % 2 == 0)
+    assert spark.dataSource.register(frames.FrameIndex) is None
+    index = spark.read.format("profile_frames").option("tasks", 7).load(f"{tmp_path}/s")
+    assert index.rdd.getNumPartitions() <= 8 and index.select("path").distinct().count() == 60
+    frames.write_index(spark, f"{tmp_path}/s", f"{tmp_path}/index")
+    for at in (None, f"{tmp_path}/index"):
+        rows = frames.read_stores(spark, f"{tmp_path}/s", at)
+        assert rows.rdd.getNumPartitions() <= 5
+        assert sorted((r.record_idx, r.start_ms, r.end_ms, r.ids_id, r["count"]) for r in rows.collect()) == sorted(e for e in entries(records) for _ in range(60))
+    big = frames.grouped([("a", 10), ("b", frames.TASK_BYTES), ("c", frames.TASK_BYTES), ("d", 10), ("e", 10)], 1)
+    assert big == [["a"], ["b"], ["c"], ["d", "e"]] and frames.grouped([], 4) == [[]]
+
+
 @pytest.mark.parametrize("packed", [False, True])
 def test_stream_follows_growing_stores(spark, tmp_path, packed):
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
