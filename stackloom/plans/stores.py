@@ -52,9 +52,7 @@ def written(spark, d) -> str:
     key = spark.sparkContext.applicationId, d
     if key not in made or not exists(spark, made[key]):
         path, whole = shared_path(spark, "stores"), tables(spark, d)
-        for packed in (True, False):
-            part = [df.where(zstd_host() if packed else ~zstd_host()) for df in (whole.conf, whole.strmap, whole.idsmap, whole.records, whole.counts)]
-            store.write_stores(store.Stores(*part), path, packed)
+        store.write_stores(whole, path, zstd_host())
         made[key] = path
     return made[key]
 

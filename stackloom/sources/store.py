@@ -477,34 +477,55 @@ def written_records(records: DataFrame, counts: DataFrame) -> DataFrame:
     return records.select(*keys, "start_ms", "end_ms").join(entries, keys, "left").mapInArrow(run, "host string, store_id string, record_idx int, raw binary")
 
 
-def write_stores(stores: Stores, path: str, zstd: bool = True) -> None:
-    """The four files of each store below ``path/host/store_id``, on any file system that Spark writes.
+def write_stores(stores: Stores, path: str, zstd: bool | Column = True) -> None:
+    """The four files of each store below ``path/host/store_id``, on any file system that Spark writes; ``zstd`` may be a condition on ``host, store_id``.
 
     Spark's text writer makes the files in a folder beside them, one task per file with its rows
     sorted and streamed; its committer sees to lost and repeated tasks. Stores are dealt to as many
-    tasks as shuffles have, however few bytes they are, as each file takes its time. Only when all
-    are there the driver renames them into place. If the job fails, nothing is left.
+    tasks as shuffles have, however few bytes they are, as each file takes its time; files of all
+    kinds whose rows end alike are one job. Only when all are there the driver renames them into
+    place. If the job fails, nothing is left.
     """
     keys = ["host", "store_id"]
     spark = stores.conf.sparkSession
     conf = stores.conf.select(*keys, F.posexplode(conf_pairs(F.col("raw"))).alias("at", "line"))
     strings = stores.strmap.select(*keys, F.col("sid").alias("at"), F.concat("str", F.lit(" "), F.col("sid").cast("string")).alias("line"))
     stacks = stores.idsmap.select(*keys, F.col("ids_id").alias("at"), F.concat(F.array_join(F.col("sids").cast("array<string>"), ";"), F.lit("; "), F.col("ids_id").cast("string")).alias("line"))
-    records = written_records(stores.records, stores.counts).select(*keys, F.col("record_idx").alias("at"), F.col("raw").alias("piece"))
+    packed = F.lit(zstd) if isinstance(zstd, bool) else F.coalesce(zstd, F.lit(False))
 
-    def lines(df: DataFrame, ended: bool) -> DataFrame:
-        return df.select(*keys, "at", F.concat("line", F.lit("\n" if ended else "")).cast("binary").alias("piece"))
+    def pieces(df: DataFrame, file: str, piece: Column) -> DataFrame:
+        return df.select(*keys, F.lit(file).alias("file"), F.col("at").cast("long").alias("at"), piece.alias("piece"))
+
+    def lines(df: DataFrame, file: str, end: str = "") -> DataFrame:
+        return pieces(df, file, F.concat("line", F.lit(end)).cast("binary"))
+
+    def records(chosen: Column, piece: str) -> DataFrame:
+        rows = written_records(stores.records.where(chosen), stores.counts.where(chosen)).withColumnRenamed("record_idx", "at")
+        return pieces(rows, "stack.bin", F.expr(piece))
 
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    order = [*keys, "file", "at"]
+
+    def dealt(rows: DataFrame, zstd: bool) -> DataFrame:
+        return packed_rows(rows.repartition(tasks, *keys, "file").sortWithinPartitions(*order), zstd)
+
     staged = f"{path}/.writing-{shared_path(spark, 'x').rpartition('-')[2]}"
-    jobs = [(lines(conf, False), "conf", False, "\n"), (lines(strings, zstd), "strmap", zstd, "\n"), (lines(stacks, zstd), "idsmap", zstd, "\n")]
-    # A plain record's last byte is what the writer ends the row with.
-    jobs.append((records if zstd else records.withColumn("piece", F.expr("substring(piece, 1, length(piece) - 1)")), "stack.bin", zstd, "\n" if zstd else FOOT[-1:].decode("latin-1")))
+    listed = [(strings, "strmap"), (stacks, "idsmap")]
+    jobs = {"\n": [dealt(lines(conf, "conf"), False)]}
+    if zstd is not False:
+        of_lines = [lines(df.where(packed), file, "\n") for df, file in listed]
+        jobs["\n"].append(dealt(of_lines[0].unionByName(of_lines[1]).unionByName(records(packed, "raw")), True))
+    if zstd is not True:
+        of_lines = [lines(df.where(~packed), file) for df, file in listed]
+        jobs["\n"].append(dealt(of_lines[0].unionByName(of_lines[1]), False))
+        # A plain record's last byte is what the writer ends the row with.
+        jobs[FOOT[-1:].decode("latin-1")] = [dealt(records(~packed, "substring(raw, 1, length(raw) - 1)"), False)]
     try:
-        for rows, file, packed, end in jobs:
-            order = [*keys, "file", "at"]
-            dealt = rows.withColumn("file", F.lit(file)).withColumn("at", F.col("at").cast("long")).repartition(tasks, *keys, "file").sortWithinPartitions(*order)
-            values = packed_rows(dealt, packed).sortWithinPartitions(*order).select(*keys, "file", F.col("value").cast("string").alias("value"))
+        for end, parts in jobs.items():
+            rows = parts[0]
+            for part in parts[1:]:
+                rows = rows.unionByName(part)
+            values = rows.sortWithinPartitions(*order).select(*keys, "file", F.col("value").cast("string").alias("value"))
             values.write.partitionBy(*keys, "file").option("lineSep", end).option("encoding", "ISO-8859-1").mode("append").text(staged)
         _put_in_place(spark, staged, path)
     finally:
@@ -527,12 +548,16 @@ def _put_in_place(spark: SparkSession, staged: str, path: str) -> None:
         moves.setdefault(f"{path}/{host}/{store}", []).append((at, file))
 
     def move(folder: str) -> None:
-        fs.mkdirs(jvm.org.apache.hadoop.fs.Path(folder))
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        old = fs.exists(place)
+        if not old:
+            fs.mkdirs(place)
         for at, file in moves[folder]:
-            target = jvm.org.apache.hadoop.fs.Path(f"{folder}/{file}")
-            fs.delete(target, False)
+            target = jvm.org.apache.hadoop.fs.Path(place, file)
+            if old:
+                fs.delete(target, False)
             if not fs.rename(jvm.org.apache.hadoop.fs.Path(at), target):
-                raise OSError(f"cannot rename {at} to {target.toString()}")
+                raise OSError(f"cannot rename {at} to {folder}/{file}")
 
     with ThreadPoolExecutor(16) as pool:
         list(pool.map(move, moves))
