@@ -163,6 +163,7 @@ TOGGLES = ("env", "cgroup", "cpu", "group", "pid", "comm")
 @query("m8_viewer_toggles", with_views(", t as (select unnest(range(0, 64)) as t), one as (select env, cgroup_id, cpu, group_comm, pid, comm, count(*) as n from samples group by all) select t as toggles, array_to_string(list_filter([case when t & 1 > 0 then env end, case when t & 2 > 0 then 'CGID ' || cgroup_id end, case when t & 4 > 0 then 'CPU ' || lpad(cast(cpu as varchar), 4, ' ') end, case when t & 16 > 0 and t & 8 > 0 then group_comm || ':' || pid when t & 16 > 0 then pid::varchar when t & 8 > 0 then comm end, case when t & 32 > 0 then comm end], lambda x: x is not null), ';') as label, cast(sum(n) as bigint) as n from one, t group by 1, 2", "samples"))
 def m8t(spark, d):
     s = samples(spark, d).groupBy("env", "cgroup_id", "cpu", "group_comm", "pid", "comm").agg(F.count("*").alias("n"))
+    s = s.repartition("pid")  # most labels are of one process, so they are summed in full before they are shuffled
     each = [F.struct(F.lit(t).cast("long").alias("toggles"), stack_text(metadata.viewer_labels(**{name: bool(t >> i & 1) for i, name in enumerate(TOGGLES)})).alias("label")) for t in range(64)]
     rows = s.select("n", F.explode(F.array(*each)).alias("t")).select("t.toggles", "t.label", "n")
     return rows.groupBy("toggles", "label").agg(F.sum("n").cast("long").alias("n"))
