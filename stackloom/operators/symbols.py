@@ -134,15 +134,20 @@ def interval_join(points: DataFrame, intervals: DataFrame, point: str, start: st
     return found.select(point, *[F.when(inside, F.col(c)).alias(c) for c in intervals.columns])
 
 
+def length_class(first: Column, last: Column) -> Column:
+    """The power of two above the length of an interval, in steps of three: points are shuffled once per class, and a cell is at most 16 times as long as its intervals."""
+    return (F.ceil(F.length(F.bin(last - first)) / 3) * 3).cast("int")
+
+
 def closed_interval_join(points: DataFrame, intervals: DataFrame, point: str) -> DataFrame:
     """``points`` with the narrowest of the closed ``intervals(first, last, ..)`` that hold them; ties go to the smaller first, then map_id.
 
-    An interval lies in at most two cells of the power of two above its length, whatever that
-    is; a point is looked up once for each length class that occurs, at most 64.
+    An interval lies in at most two cells of its class of lengths, whatever its length is; a point
+    is looked up once for each class that occurs, at most 22.
     """
-    levelled = intervals.withColumn("_level", F.length(F.bin(F.col("last") - F.col("first"))))
+    levelled = intervals.withColumn("_level", length_class(F.col("first"), F.col("last")))
     cells = F.array_distinct(F.array(F.expr("shiftright(first, _level)"), F.expr("shiftright(last, _level)")))
-    levels = F.broadcast(levelled.select("_level").distinct())  # at most 64 rows
+    levels = F.broadcast(levelled.select("_level").distinct())  # at most 22 rows
     placed = points.crossJoin(levels).withColumn("_cell", F.expr(f"shiftright({point}, _level)"))
     found = placed.join(levelled.withColumn("_cell", F.explode(cells)), ["_level", "_cell"]).where((F.col("first") <= F.col(point)) & (F.col(point) <= F.col("last")))
     best = F.min(F.struct((F.col("last") - F.col("first")).alias("width"), "first", "map_id", "last")).alias("b")

@@ -86,3 +86,17 @@ def test_kallsyms_lines_have_numbers(spark, tmp_path):
     rows = text.read_kallsyms(spark, str(tmp_path))
     assert sorted((r.host, r.line_no, int(r.addr), r.sym) for r in rows.collect()) == [("h1", 0, 16, "first"), ("h1", 2, 16, "last"), ("h1", 3, 32, "end")]
     assert {int(r.addr): r.sym for r in sym.last_of_address(rows, ["host"]).collect()} == {16: "last", 32: "end"}
+
+
+def test_few_length_classes_hold_all_lengths(spark):
+    lengths = [*range(50), *[2**i - 1 for i in range(64)], *[2**i for i in range(63)]]
+    rows = spark.createDataFrame([(0, n) for n in lengths], "first long, last long")
+    found = {r["last"]: r.c for r in rows.select("last", sym.length_class(F.col("first"), F.col("last")).alias("c")).collect()}
+    assert len({found[n] for n in range(50)}) == 2 and len(set(found.values())) <= 21
+    assert all(n < 2**c <= 16 * max(n, 1) for n, c in found.items())
+    random.seed(5)
+    intervals = [(a := random.randrange(2000), a + random.choice([0, 3, 40, 700, 5000]), i) for i in range(200)]
+    points = range(0, 8000, 7)
+    got = sym.closed_interval_join(spark.createDataFrame([(p,) for p in points], "p long"), spark.createDataFrame(intervals, "first long, last long, map_id long"), "p")
+    want = {p: min((b - a, a, i) for a, b, i in intervals if a <= p <= b) for p in points if any(a <= p <= b for a, b, _ in intervals)}
+    assert {r.p: (r["last"] - r["first"], r["first"], r.map_id) for r in got.collect()} == want
