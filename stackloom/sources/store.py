@@ -13,6 +13,7 @@ in ``stackloom.sources.frames`` read ranges of files through an index instead.
 
 from __future__ import annotations
 
+import functools
 import io
 import re
 from collections.abc import Iterator
@@ -483,8 +484,8 @@ def write_stores(stores: Stores, path: str, zstd: bool | Column = True) -> None:
 
     Spark's text writer makes the files in a folder beside them, one task per file with its rows
     sorted and streamed; its committer sees to lost and repeated tasks. Stores are dealt to as many
-    tasks as shuffles have, however few bytes they are, as each file takes its time; files of all
-    kinds whose rows end alike are one job. Only when all are there the driver renames them into
+    tasks as shuffles have, however few bytes they are, as each file takes its time. Each kind of
+    file is a job; with a condition, all kinds whose rows end alike are one. Only when all are there the driver renames them into
     place. If the job fails, nothing is left.
     """
     keys = ["host", "store_id"]
@@ -513,21 +514,23 @@ def write_stores(stores: Stores, path: str, zstd: bool | Column = True) -> None:
     staged = f"{path}/.writing-{shared_path(spark, 'x').rpartition('-')[2]}"
     listed = [(strings, "strmap"), (stacks, "idsmap")]
     jobs = {"\n": [dealt(lines(conf, "conf"), False)]}
-    if zstd is not False:
+    if zstd is True:
+        jobs["\n"] += [dealt(rows, True) for rows in (*[lines(df, file, "\n") for df, file in listed], records(packed, "raw"))]
+    elif zstd is False:
+        jobs["\n"] += [dealt(lines(df, file), False) for df, file in listed]
+    else:
         of_lines = [lines(df.where(packed), file, "\n") for df, file in listed]
         jobs["\n"].append(dealt(of_lines[0].unionByName(of_lines[1]).unionByName(records(packed, "raw")), True))
-    if zstd is not True:
         of_lines = [lines(df.where(~packed), file) for df, file in listed]
         jobs["\n"].append(dealt(of_lines[0].unionByName(of_lines[1]), False))
+    if zstd is not True:
         # A plain record's last byte is what the writer ends the row with.
         jobs[FOOT[-1:].decode("latin-1")] = [dealt(records(~packed, "substring(raw, 1, length(raw) - 1)"), False)]
     try:
         for end, parts in jobs.items():
-            rows = parts[0]
-            for part in parts[1:]:
-                rows = rows.unionByName(part)
-            values = rows.sortWithinPartitions(*order).select(*keys, "file", F.col("value").cast("string").alias("value"))
-            values.write.partitionBy(*keys, "file").option("lineSep", end).option("encoding", "ISO-8859-1").mode("append").text(staged)
+            for rows in parts if isinstance(zstd, bool) else [functools.reduce(DataFrame.unionByName, parts)]:
+                values = rows.sortWithinPartitions(*order).select(*keys, "file", F.col("value").cast("string").alias("value"))
+                values.write.partitionBy(*keys, "file").option("lineSep", end).option("encoding", "ISO-8859-1").mode("append").text(staged)
         _put_in_place(spark, staged, path)
     finally:
         place = spark._jvm.org.apache.hadoop.fs.Path(staged)
