@@ -64,6 +64,18 @@ def decode_stacks(encoded: DataFrame, strings: DataFrame, lost: str = "export")
     return parts.groupBy(*keys, "ids_id").agg(F.sort_array(F.collect_list(F.struct("pos", text.alias("str"))))["str"].alias("parts"))
 
 
+def decode_shared(encoded: DataFrame, strings: DataFrame) -> DataFrame:
+    """:func:`decode_stacks` where many stacks share all strings but the first: each list of the others is decoded once per store."""
+    keys = store_keys(encoded, strings)
+    stacks = encoded.select(*keys, "ids_id", F.get("sids", F.lit(0)).alias("sid"), F.slice("sids", 2, F.greatest(F.size("sids"), F.lit(1))).alias("_rest"))
+    lists = stored(stacks.select(*keys, "_rest").distinct().withColumn("_list", F.monotonically_increasing_id()), "shared-lists")
+    texts = decode_stacks(lists.select(*keys, F.col("_list").alias("ids_id"), F.col("_rest").alias("sids")), strings).withColumnRenamed("ids_id", "_list")
+    # An empty list has no parts.
+    texts = stored(lists.join(texts, [*keys, "_list"], "left").select(*keys, "_rest", F.coalesce("parts", F.array().cast("array<string>")).alias("_texts")), "shared-texts")
+    first = stacks.where(F.col("sid").isNotNull()).join(texts, [*keys, "_rest"]).join(strings, [*keys, "sid"], "left")
+    return first.select(*keys, "ids_id", F.array_prepend("_texts", F.coalesce("str", F.lit(LOST_STRING))).alias("parts"))
+
+
 def lost_stacks(counts: DataFrame, idsmap: DataFrame, weight: str = "count") -> DataFrame:
     """``state, stacks, n, weight`` for ``known`` and ``lost``: entries of ``counts(.., ids_id, weight)`` with and without a stack in the dictionary.
 
@@ -100,7 +112,7 @@ def merge_ids(new: DataFrame, old: DataFrame, value: str, name: str, keys: list[
     """
     keys = keys or []
     values = new.select(*keys, value).distinct()
-    known = values.join(old.select(*keys, value, name), [*keys, value], "left")
+    known = stored(values.join(old.select(*keys, value, name), [*keys, value], "left"), "merge-known")  # both halves below read it
     fresh = known.where(F.col(name).isNull()).select(*keys, value)
     top = old.groupBy(*keys).agg(F.max(name).alias("_top"))
     if keys:

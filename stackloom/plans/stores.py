@@ -11,7 +11,7 @@ from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
 from stackloom.functions import metadata
-from stackloom.operators import flame, profile, timeline
+from stackloom.operators import dictionary, flame, profile, timeline
 from stackloom.plans.catalog import query
 from stackloom.plans.decode import METAS, stack_text, with_meta
 from stackloom.session import exists, shared_path, stored
@@ -156,7 +156,7 @@ def s10i(spark, d):
         stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
     sink(buckets, 1)
     whole = store_tables.read_tables(spark, f"{path}/tables")
-    stacks = profile.decoded(whole.idsmap.select(*KEYS, "ids_id", F.lit(0).alias("cnt")), whole, "export").select(*KEYS, "ids_id", stack_text(F.array_prepend("frames", F.col("raw"))).alias("stack"))
+    stacks = dictionary.decode_shared(whole.idsmap, whole.strmap).select(*KEYS, "ids_id", stack_text(F.col("parts")).alias("stack"))
     rows = whole.counts.join(whole.records, [*KEYS, "record_idx"]).join(stacks, [*KEYS, "ids_id"])
     return rows.select(*KEYS, F.col("record_idx").cast("long").alias("record_idx"), "start_ms", "stack", F.col("count").alias("n"))
 

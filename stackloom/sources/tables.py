@@ -18,8 +18,11 @@ from __future__ import annotations
 import json
 import re
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -29,6 +32,8 @@ from stackloom.session import stored
 from stackloom.sources.store import Stores
 
 KEYS = ["host", "store_id"]
+#: Files renamed at a time, and tasks per core that list folders.
+MOVES, LISTS = 16, 4
 SCHEMAS = {
     "strmap": "host string, store_id string, sid int, str string",
     "idsmap": "host string, store_id string, ids_id int, sids array<int>",
@@ -47,10 +52,11 @@ class Ledger:
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
+        self.jvm_path = spark._jvm.org.apache.hadoop.fs.Path  # looked up once: each name on the way is a call
         self.fs = self.place("").getFileSystem(spark._jsc.hadoopConfiguration())
 
     def place(self, name: str):
-        return self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return self.jvm_path(f"{self.path}/{name}" if name else self.path)
 
     def has(self, batch: str, mark: str) -> bool:
         return self.fs.exists(self.place(f"_ledger/{batch}.{mark}"))
@@ -76,13 +82,26 @@ class Ledger:
         return sorted(b for n in names if n.endswith(".intent") and not n.startswith(".") and (b := n.removesuffix(".intent")) not in done)
 
 
+@contextmanager
+def few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Many folders are listed by some tasks per core, not by a task each."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(int(before), LISTS * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def read_table(spark: SparkSession, path: str, name: str) -> DataFrame:
     """``host, .., day`` of one table, without the files of batches that are not done; a table that is not there is empty."""
     ledger = Ledger(spark, path)
     schema = f"{SCHEMAS[name]}, day string"
     if not ledger.fs.exists(ledger.place(name)):
         return spark.createDataFrame([], schema)
-    rows = spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
+    with few_listing_tasks(spark):
+        rows = spark.read.schema(schema).option("basePath", f"{path}/{name}").parquet(f"{path}/{name}")
     for batch in ledger.open_batches():
         rows = rows.where(~F.col("_metadata.file_name").startswith(f"{batch}-"))
     return rows
@@ -94,7 +113,11 @@ def read_tables(spark: SparkSession, path: str) -> Stores:
 
 
 def commit(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFrame]) -> bool:
-    """Adds ``tables(host, store_id, ..)`` as one batch; whether it was not done before."""
+    """Adds ``tables(host, store_id, ..)`` as one batch; whether it was not done before.
+
+    Tables are written at the same time and files renamed several at a time, so neither a small table of
+    many days nor the number of files holds the others up.
+    """
     if not re.fullmatch(r"[A-Za-z0-9_]+", batch):
         raise ValueError(f"{batch}: letters, digits and _ only")
     ledger = Ledger(spark, path)
@@ -105,29 +128,32 @@ def commit(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFra
             for f in ledger.fs.globStatus(ledger.place(f"{folder}/{batch}-*")) or []:
                 ledger.fs.delete(f.getPath(), False)
     staged = f"_staged/{batch}-{uuid.uuid4().hex}"
-    moves: list[tuple[str, str]] = []
-    counts = {}
-    for name, df in tables.items():
-        rows = df.withColumn("day", day_of(F.col("store_id"))).select("day", *[c.split()[0] for c in SCHEMAS[name].split(", ")])
+
+    def write(name: str) -> list[tuple[str, str]]:
+        rows = tables[name].withColumn("day", day_of(F.col("store_id"))).select("day", *[c.split()[0] for c in SCHEMAS[name].split(", ")])
         # Rows of a day go together, cut and joined to parts of the size that Spark's adaptive execution aims at.
         rows.hint("rebalance", "day").sortWithinPartitions("day", "host").write.partitionBy("day").parquet(f"{path}/{staged}/{name}")
-        counts[name] = 0
-        for found in ledger.fs.globStatus(ledger.place(f"{staged}/{name}/*/part-*")) or []:
-            *_, folder, own = found.getPath().toString().split("/")
-            moves.append((found.getPath().toString(), f"{name}/{folder}/{batch}-{own}"))
-            counts[name] += 1
-    ledger.write(batch, "intent", {"folders": sorted({target.rpartition("/")[0] for _, target in moves}), "files": counts})
-    for at, target in moves:
-        move(ledger, at, target)
+        found = [f.getPath().toString() for f in ledger.fs.globStatus(ledger.place(f"{staged}/{name}/*/part-*")) or []]
+        return [(at, f"{name}/{folder}/{batch}-{own}") for at in found for *_, folder, own in [at.split("/")]]
+
+    with ThreadPoolExecutor(max(len(tables), 1)) as pool:
+        # Jobs of these threads belong to the caller's group, so a stream that is stopped ends them.
+        written = dict(zip(tables, pool.map(inheritable_thread_target(spark)(write), tables)))
+    counts = {name: len(moves) for name, moves in written.items()}
+    moves = [m for own in written.values() for m in own]
+    folders = sorted({target.rpartition("/")[0] for _, target in moves})
+    ledger.write(batch, "intent", {"folders": folders, "files": counts})
+    with ThreadPoolExecutor(MOVES) as pool:
+        list(pool.map(lambda folder: ledger.fs.mkdirs(ledger.place(folder)), folders))
+        list(pool.map(lambda m: move(ledger, *m), moves))
     ledger.write(batch, "done", {"files": counts})
     ledger.fs.delete(ledger.place(staged), True)
     return True
 
 
 def move(ledger: Ledger, at: str, target: str) -> None:
-    place = ledger.place(target)
-    ledger.fs.mkdirs(place.getParent())
-    if not ledger.fs.rename(ledger.spark._jvm.org.apache.hadoop.fs.Path(at), place):
+    """Renames one file into a folder that is there."""
+    if not ledger.fs.rename(ledger.jvm_path(at), ledger.place(target)):
         raise OSError(f"cannot rename {at} to {target}")
 
 
@@ -159,6 +185,8 @@ def interval_tables(buckets: DataFrame, path: str) -> dict[str, DataFrame]:
 
     Strings and stacks that a store has keep their ids, new ones go on from its greatest; records
     are numbered on from its last. Intervals of a store that come twice in a batch are one record.
+    Lists of frames, which many processes share, are looked up once each; a row then meets the ids of
+    its list and of its ``meta``, and from there on has numbers in place of texts.
     """
     spark = buckets.sparkSession
     sums = stored(buckets.groupBy(*KEYS, "start_ms", "end_ms", "meta", "frames").agg(F.sum("count").alias("count")), "interval-sums")
@@ -167,19 +195,23 @@ def interval_tables(buckets: DataFrame, path: str) -> dict[str, DataFrame]:
     def old(name: str) -> DataFrame:
         return stored_rows(spark, path, name, days, hosts)
 
-    stacks = stored(sums.select(*KEYS, "meta", "frames").distinct().withColumn("_stack", F.monotonically_increasing_id()), "interval-stacks")
-    parts = stacks.select(*KEYS, "_stack", F.posexplode(F.array_prepend("frames", F.col("meta"))).alias("pos", "str"))
-    strings = stored(merge_ids(parts, old("strmap"), "str", "sid", KEYS), "interval-strings")
-    listed = parts.join(strings, [*KEYS, "str"]).groupBy(*KEYS, "_stack").agg(F.sort_array(F.collect_list(F.struct("pos", "sid")))["sid"].alias("sids"))
-    listed = stored(listed, "interval-lists")
-    ids = stored(merge_ids(listed, old("idsmap"), "sids", "ids_id", KEYS), "interval-ids")
-    numbered = stacks.join(listed, [*KEYS, "_stack"]).join(ids.drop("is_new"), [*KEYS, "sids"]).select(*KEYS, "meta", "frames", "ids_id")
+    lists = stored(sums.select(*KEYS, "frames").distinct().withColumn("_list", F.monotonically_increasing_id()), "interval-lists")
+    parts = lists.select(*KEYS, "_list", F.posexplode("frames").alias("pos", "str"))
+    texts = parts.select(*KEYS, "str").unionByName(sums.select(*KEYS, F.col("meta").alias("str")))
+    strings = stored(merge_ids(texts, old("strmap"), "str", "sid", KEYS), "interval-strings")
+    called = parts.join(strings, [*KEYS, "str"]).groupBy(*KEYS, "_list").agg(F.sort_array(F.collect_list(F.struct("pos", "sid")))["sid"].alias("_sids"))
+    # An empty list has no parts.
+    called = stored(lists.join(called, [*KEYS, "_list"], "left").select(*KEYS, "frames", F.coalesce("_sids", F.array().cast("array<int>")).alias("_sids")), "interval-called")
+    metas = strings.select(*KEYS, F.col("str").alias("meta"), F.col("sid").alias("_meta"))
+    numbered = sums.join(called, [*KEYS, "frames"]).join(metas, [*KEYS, "meta"])
+    numbered = stored(numbered.select(*KEYS, "start_ms", "end_ms", F.array_prepend("_sids", F.col("_meta")).alias("sids"), "count"), "interval-numbered")
+    ids = stored(merge_ids(numbered, old("idsmap"), "sids", "ids_id", KEYS), "interval-ids")
     last = old("records").groupBy(*KEYS).agg(F.max("record_idx").alias("_last"))
     spans = sums.groupBy(*KEYS, "start_ms", "end_ms").agg(F.count("*").alias("entry_len"))
     place = F.row_number().over(Window.partitionBy(*KEYS).orderBy("start_ms", "end_ms"))  # one row per interval of a store in this batch
     records = spans.withColumn("_n", place).join(last, KEYS, "left").withColumn("record_idx", (F.col("_n") + F.coalesce("_last", F.lit(-1))).cast("int")).drop("_n", "_last")
     records = stored(records, "interval-records")
-    counts = sums.join(records, [*KEYS, "start_ms", "end_ms"]).join(numbered, [*KEYS, "meta", "frames"]).select(*KEYS, "record_idx", "ids_id", "count")
+    counts = numbered.join(records, [*KEYS, "start_ms", "end_ms"]).join(ids, [*KEYS, "sids"]).select(*KEYS, "record_idx", "ids_id", "count")
     return {"strmap": strings.where("is_new").drop("is_new"), "idsmap": ids.where("is_new").drop("is_new"), "records": records, "stack_counts": counts}
 
 

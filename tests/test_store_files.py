@@ -1,6 +1,7 @@
 """Stores on file systems that only Spark opens, cut files, ranges by an index, followed folders, and tables that take each interval once."""
 
 import random
+import threading
 from collections import Counter
 
 import numpy as np
@@ -286,6 +287,63 @@ def test_intervals_are_stored_once(spark, tmp_path, monkeypatch):
     assert {r.store_id for r in plan.collect()} == {"cpa_251216"}
 
 
+def test_shared_frames_are_looked_up_once(spark, tmp_path, monkeypatch):
+    written, keep = {}, tables.stored
+
+    def watched(df, name):
+        held = written[name] = keep(df, name)
+        return held
+
+    monkeypatch.setattr(tables, "stored", watched)
+    rows = [("a", "cpa_251216", t * 1000, t * 1000 + 1000, f"m{m}", f, m + 1) for t in range(2) for m in range(50) for f in ([], ["main"], ["main", "f", "main"])]
+    for i in range(2):
+        tables.interval_sink(f"{tmp_path}/t")(buckets(spark, [r for r in rows if r[2] == i * 1000]), i)
+        assert written["interval-lists"].count() == 3  # of 150 stacks
+    assert decoded(spark, f"{tmp_path}/t") == Counter((h, s, a, b, (m, *f), n) for h, s, a, b, m, f, n in rows)
+    whole = tables.read_tables(spark, f"{tmp_path}/t")
+    assert whole.idsmap.count() == 150 and whole.strmap.count() == 52  # the second interval brings nothing new
+
+
+def test_files_are_renamed_several_at_a_time(spark, tmp_path, monkeypatch):
+    move, both = tables.move, threading.Barrier(2)
+
+    def waiting(ledger, at, target):
+        both.wait(20)  # fails unless two are under way
+        move(ledger, at, target)
+
+    monkeypatch.setattr(tables, "move", waiting)
+    rows = [("a", f"cpa_2512{d}", 0, 1000, "m", ["main"], 1) for d in (16, 17)]
+    tables.interval_sink(f"{tmp_path}/t")(buckets(spark, rows).coalesce(1), 0)
+    assert sum(decoded(spark, f"{tmp_path}/t").values()) == 2
+
+
+def test_many_days_are_listed_by_few_tasks(spark, tmp_path):
+    days = 40  # more than a driver lists by itself
+    tables.interval_sink(f"{tmp_path}/t")(buckets(spark, [("a", f"cpa_25{1 + d // 28:02}{1 + d % 28:02}", 0, 1000, "m", ["main"], 1) for d in range(days)]), 0)
+    key, group = "spark.sql.sources.parallelPartitionDiscovery.parallelism", "listing-of-days"
+    before, status = spark.conf.get(key), spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        rows = tables.read_table(spark, f"{tmp_path}/t", "records")
+        stages = [status.getStageInfo(i) for j in status.getJobIdsForGroup(group) for i in status.getJobInfo(j).stageIds]
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert [s.numTasks for s in stages] == [4 * spark.sparkContext.defaultParallelism]
+    assert spark.conf.get(key) == before and rows.count() == days
+
+
+def test_shared_lists_decode_alike(spark):
+    from stackloom.operators import dictionary
+
+    rng = random.Random(9)
+    stacks = [("a", s, i, [rng.randint(1, 9) for _ in range(rng.randint(1, 4))]) for s in "xy" for i in range(60)]
+    encoded = spark.createDataFrame(stacks, "host string, store_id string, ids_id int, sids array<int>")
+    strings = spark.createDataFrame([("a", s, i, f"{s}{i}") for s in "xy" for i in range(1, 8)], "host string, store_id string, sid int, str string")  # 8 and 9 are lost
+    plain = {(r.store_id, r.ids_id): r.parts for r in dictionary.decode_stacks(encoded, strings).collect()}
+    shared = dictionary.decode_shared(encoded, strings).collect()
+    assert len(shared) == 120 and {(r.store_id, r.ids_id): r.parts for r in shared} == plain
+
+
 def test_ids_do_not_change(spark):
     from stackloom.operators.dictionary import merge_ids
 
