@@ -137,8 +137,9 @@ def commit(spark: SparkSession, path: str, batch: str, tables: dict[str, DataFra
         return [(at, f"{name}/{folder}/{batch}-{own}") for at in found for *_, folder, own in [at.split("/")]]
 
     with ThreadPoolExecutor(max(len(tables), 1)) as pool:
-        # Jobs of these threads belong to the caller's group, so a stream that is stopped ends them.
-        written = dict(zip(tables, pool.map(inheritable_thread_target(spark)(write), tables)))
+        # Jobs of these threads belong to the caller's group, so a stream that is stopped ends them; each has properties of its own.
+        running = {name: pool.submit(inheritable_thread_target(spark)(write), name) for name in tables}
+        written = {name: r.result() for name, r in running.items()}
     counts = {name: len(moves) for name, moves in written.items()}
     moves = [m for own in written.values() for m in own]
     folders = sorted({target.rpartition("/")[0] for _, target in moves})
