@@ -158,6 +158,11 @@ def move(ledger: Ledger, at: str, target: str) -> None:
         raise OSError(f"cannot rename {at} to {target}")
 
 
+def stores_of(rows: DataFrame) -> DataFrame:
+    """``host, store_id`` of a batch, written, so that Spark knows how small they are: stored rows meet them where they are and are not dealt by host."""
+    return stored(rows.select(*KEYS).distinct(), "batch-stores")
+
+
 def days_of(rows: DataFrame) -> list[str]:
     """The days of a batch's stores, one or two for an interval."""
     return [r.day for r in rows.select(day_of(F.col("store_id")).alias("day")).distinct().collect()]
@@ -173,7 +178,8 @@ def append_tables(stores: Stores, path: str, batch: str) -> bool:
     spark = stores.records.sparkSession
     if Ledger(spark, path).has(batch, "done"):
         return False
-    days, hosts = days_of(stores.strmap.select("store_id").distinct()), stores.strmap.select("host").distinct()
+    own_stores = stores_of(stores.strmap)
+    days, hosts = days_of(own_stores), own_stores.select("host").distinct()
     tables = {}
     for name, df, own in (("strmap", stores.strmap, "sid"), ("idsmap", stores.idsmap, "ids_id"), ("records", stores.records, "record_idx"), ("stack_counts", stores.counts, "record_idx")):
         old = stored_rows(spark, path, name, days, hosts).select(*KEYS, own).distinct()
@@ -191,7 +197,8 @@ def interval_tables(buckets: DataFrame, path: str) -> dict[str, DataFrame]:
     """
     spark = buckets.sparkSession
     sums = stored(buckets.groupBy(*KEYS, "start_ms", "end_ms", "meta", "frames").agg(F.sum("count").alias("count")), "interval-sums")
-    days, hosts = days_of(sums), sums.select("host").distinct()
+    own_stores = stores_of(sums)
+    days, hosts = days_of(own_stores), own_stores.select("host").distinct()
 
     def old(name: str) -> DataFrame:
         return stored_rows(spark, path, name, days, hosts)

@@ -304,6 +304,27 @@ def test_shared_frames_are_looked_up_once(spark, tmp_path, monkeypatch):
     assert whole.idsmap.count() == 150 and whole.strmap.count() == 52  # the second interval brings nothing new
 
 
+def test_stored_rows_are_not_dealt_by_host(spark, tmp_path, monkeypatch):
+    keep, plans = tables.stored_rows, []
+
+    def watched(*args):
+        rows = keep(*args)
+        plans.append(rows._jdf.queryExecution().executedPlan().toString())
+        return rows
+
+    monkeypatch.setattr(tables, "stored_rows", watched)
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "4000")  # between the size of the batch and that of its hosts
+    try:
+        for i in range(2):
+            tables.interval_sink(f"{tmp_path}/t")(buckets(spark, [(f"h{m % 2}", "cpa_251216", i * 1000, i * 1000 + 1000, f"meta {m * 7919}", ["main"], 1) for m in range(3000)]), i)
+    finally:
+        spark.conf.set(key, before)
+    assert len(plans) == 6 and all("BroadcastHashJoin" in p for p in plans[3:])
+    assert sum(decoded(spark, f"{tmp_path}/t").values()) == 6000
+
+
 def test_files_are_renamed_several_at_a_time(spark, tmp_path, monkeypatch):
     move, both = tables.move, threading.Barrier(2)
 
